@@ -112,3 +112,18 @@ def pieces(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def rank_from_zero(df: DataFrame, order: Column, name: str) -> DataFrame:
+    """Adds ``name``: the row's place in the whole table's order, from 0, without one task holding all rows.
+
+    Rows are dealt by ranges of ``order``, numbered inside their range and shifted
+    by the sizes of the ranges before (as many rows as shuffle partitions).
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(parts, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_range").orderBy(order)
+    return dealt.withColumn("_in", F.row_number().over(inside) - 1).join(F.broadcast(sizes), "_range").withColumn(name, F.col("_in") + F.col("_off")).drop("_range", "_in", "_off")

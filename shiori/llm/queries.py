@@ -4,13 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiori.llm import media, warc
+from pyspark.sql import functions as F
+
+from shiori.llm import media, mixing, sharding, warc
+from shiori.llm.common import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = mixing.MixSpec(weights=(3.0, 1.0, 2.0), share=1.5, epochs=2.0)
+    rows = written(mixing.sized(table(spark, sf_dir, "documents"), "doc_id", "text", "source", spec.seed), "mix-sizes")
+    return mixing.with_taken(rows, mixing.plan(rows, spec)).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+#: The layout that op2 starts from: six shards by a hash of the id.
+OLD_SHARDS, NEW_SHARDS = 6, 8
+
+
+def shard_digest(docs: DataFrame) -> DataFrame:
+    placed = sharding.reshard(docs, sharding.old_by_hash(OLD_SHARDS), OLD_SHARDS, NEW_SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"), with_bytes=False)
 
@@ -19,5 +41,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
-QUERIES = {f.__name__: f for f in (op3_media, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_media, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
