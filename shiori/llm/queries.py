@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from shiori.llm import decontaminate, media, mixing, sharding, warc
+from shiori.llm import decontaminate, langid, media, mixing, sharding, warc
 from shiori.llm.common import written
 from shiori.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -42,8 +42,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, spec = table(spark, sf_dir, "documents"), langid.LangSpec(folds=5, held=0)
+    return langid.identify(docs, langid.fit(docs, spec), spec)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_media, op7_decontaminate, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_media, op7_decontaminate, op8_langid, op10_warc)}
