@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from shiori.llm import decontaminate, html_crf, langid, media, mixing, sharding, warc
+from shiori.llm import decontaminate, html_crf, langid, media, mixing, quality, sharding, warc
 from shiori.llm.common import written
 from shiori.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -42,6 +42,11 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_crf.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, spec = table(spark, sf_dir, "documents"), quality.QualitySpec(folds=4, held=2, threshold=0.7)
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), spec), spec)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10))
 
@@ -55,4 +60,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_media, op5_html, op7_decontaminate, op8_langid, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_media, op5_html, op6_quality, op7_decontaminate, op8_langid, op10_warc)}
