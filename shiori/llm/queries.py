@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from shiori.llm import decontaminate, html_crf, langid, media, mixing, quality, sharding, warc
+from shiori.llm import decontaminate, html_crf, langid, media, mixing, ngram_join, quality, sharding, warc
 from shiori.llm.common import written
 from shiori.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -38,6 +38,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"), with_bytes=False)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_crf.extract(table(spark, sf_dir, "pages"))
 
@@ -60,4 +64,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_media, op5_html, op6_quality, op7_decontaminate, op8_langid, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_media, op4_ngram_join, op5_html, op6_quality, op7_decontaminate, op8_langid, op10_warc)}
