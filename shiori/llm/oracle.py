@@ -42,3 +42,33 @@ SELECT source, source_size, least(cap, w * (SELECT min(CASE WHEN w * level <= ca
 """
 
 ORACLE_SQL: dict[str, str] = {"op7_decontaminate": OP7}
+
+
+def _op9() -> str:
+    from shiori.llm.secrets import RULES
+
+    def spans(i, rule):
+        pattern = rule.pattern.replace("'", "''")
+        ok = f"length(regexp_extract(h, '{pattern}', {rule.group})) >= {rule.least}"
+        return f"""
+SELECT rid, {i} AS kind, start, start + length(h) AS stop FROM (
+  SELECT rid, hits[i] AS h, list_sum(list_transform(gaps[1 : i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1 : i - 1], lambda g: length(g))), 0) AS start
+  FROM (SELECT rid, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT rid, regexp_extract_all(text, '{pattern}') AS hits, regexp_split_to_array(text, '{pattern}') AS gaps FROM d))
+) WHERE {ok}"""
+
+    kinds = "CASE kind " + " ".join(f"WHEN {i} THEN '{r.kind}'" for i, r in enumerate(RULES)) + " END"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), s AS ({" UNION ALL ".join(spans(i, r) for i, r in enumerate(RULES))}
+), n AS (SELECT rid, kind, start, {kinds} || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM s
+), g AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
+    string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans FROM n GROUP BY rid
+)
+SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)
+"""
+
+
+ORACLE_SQL["op9_secrets"] = _op9()
