@@ -370,24 +370,34 @@ def links(df: DataFrame, found: DataFrame, *, n: int, percent: int, id_col: str,
 
 
 def join_components(df: DataFrame, *, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, th (hash of its text), n_shingles, node (its class) and component_id (the least id reachable)."""
+    """Per document: doc_id, th (hash of its text), n_shingles, component_id (the least id reachable) and leads.
+
+    ``leads``: whether the row is its component's first by id (null last), then
+    th; documents without words lead.
+    """
     found = facts(df, n=n, percent=percent, id_col=id_col, text_col=text_col)
     roots = components(written(links(df, found, n=n, percent=percent, id_col=id_col, text_col=text_col), "ngram-links"))
-    classes = found.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    classes = found.filter("node is not null").groupBy("node").agg(F.min(name).alias("low"))
     classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = written(classes.join(least, "root").select("node", "component_id"), "ngram-classes")
+    least = classes.groupBy("root").agg(F.min("low").alias("lead"))
+    classes = written(classes.join(least, "root").select("node", "lead"), "ngram-classes")
     out = found.select("doc_id", "th", "n_shingles", "node").join(classes, "node", "left")
-    return out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    alone = F.col("node").isNull()
+    return out.select("doc_id", "th", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("lead.doc_id")).alias("component_id"), (alone | (F.col("lead") == name)).alias("leads"))
 
 
 def keep_one(df: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one document of each group of linked ones: the one with the least id; documents without words stay.
+    """``df`` with one document of each group of linked ones, the one with the least id; documents without words stay.
 
-    Of repeated rows of that document one stays.
+    Of repeated rows (equal id and text, with words) one stays, whichever Spark meets first.
     """
-    judged = join_components(df, n=n, percent=percent, id_col=id_col, text_col=text_col)
-    drop = judged.filter(F.col("node").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    drop = written(drop, "ngram-drop")
-    kept = df.join(drop, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")), "left_anti")
-    return kept.dropDuplicates([id_col, text_col]) if df.select(id_col).count() != df.select(id_col).distinct().count() else kept
+    judged = written(join_components(df, n=n, percent=percent, id_col=id_col, text_col=text_col), "ngram-judged-docs")
+    own = (F.col(id_col).cast("long").eqNullSafe(F.col("_id"))) & (F.xxhash64(text_col) == F.col("_th"))
+    key = [F.col("doc_id").alias("_id"), F.col("th").alias("_th")]
+    kept = df.join(written(judged.filter("not leads").select(*key).distinct(), "ngram-drop"), own, "left_anti")
+    again = judged.filter("leads and n_shingles > 0").groupBy("doc_id", "th").count().filter("count > 1").select(*key)
+    again = written(again, "ngram-again")
+    if not again.head(1):
+        return kept
+    return kept.join(again, own, "left_anti").unionByName(kept.join(again, own, "left_semi").dropDuplicates([id_col, text_col]))
