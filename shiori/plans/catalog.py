@@ -1,6 +1,291 @@
-"""Registered queries over the driver's tables, and their SQL."""
+"""Registered queries over the driver's tables: the engine's operators, each on a whole table.
+
+Adapters: a ``documents`` row is the file ``documents/<doc_id>.txt``; days are
+constants; scores are rounded to nine places.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from shiori.functions import text as tx
+from shiori.operators import chunking, embedding, ingest, render, search
+from shiori.operators.index import corpus, postings
+from shiori.plans.oracle import ORACLE_SQL  # noqa: F401
+from shiori.schema import EXTENSIONS
+from shiori.sources.formats import html, markup
+from shiori.streaming.watch import last_per_path
+
+DAY, NEXT_DAY = "2022-01-08", "2022-01-09"
+#: Of the stand-in embedder.
+DIM = 64
+LIMIT, RRF_K, WINDOW = 5, 60, 1
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Test tables are single files, thus single tasks: what is costly a row is dealt out first."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
+def source_of(doc_id: str = "doc_id") -> Column:
+    return F.concat(F.lit("documents/"), F.col(doc_id).cast("string"), F.lit(".txt"))
+
+
+def current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source, doc_name, file_hash."""
+    docs = table(spark, sf_dir, "documents").withColumn("source", source_of())
+    return docs.select("doc_id", "source", tx.file_name(F.col("source")).alias("doc_name"), tx.sha256_hex(F.col("text").cast("binary")).alias("file_hash"))
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata as of the day before: every fifth document unknown, every seventh with another hash."""
+    old = F.when(F.col("doc_id") % 7 == 0, F.lit("deadbeef")).otherwise(F.col("file_hash"))
+    day = F.lit(DAY).cast("date")
+    return current(spark, sf_dir).filter("doc_id % 5 <> 0").select("source", "doc_name", day.alias("created"), day.alias("updated"), old.alias("file_hash"))
+
+
+def told_days(meta: DataFrame) -> DataFrame:
+    """Days as text, which any comparison reads alike."""
+    return meta.withColumns({c: F.col(c).cast("string") for c in ("created", "updated") if c in meta.columns})
+
+
+@query
+def doc_meta_build(spark, sf_dir):
+    day = F.lit(DAY).cast("date")
+    return told_days(current(spark, sf_dir).select("source", "doc_name", day.alias("created"), day.alias("updated"), "file_hash"))
+
+
+@query
+def ext_filter(spark, sf_dir):
+    kinds = F.array(*map(F.lit, ("md", "adoc", "txt", "PDF", "html", "htm", "docx", "csv", "TSV", "exe")))
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit("."), F.element_at(kinds, (F.col("doc_id") % 10 + 1).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", path.alias("path")).withColumn("ext", tx.extension(F.col("path"))).filter(F.col("ext").isin(*EXTENSIONS))
+
+
+@query
+def diff_classify(spark, sf_dir):
+    return told_days(ingest.classify(current(spark, sf_dir), stored(spark, sf_dir)).select("source", "action", F.col("old_created").alias("created")))
+
+
+@query
+def upsert_meta(spark, sf_dir):
+    """Documents divisible by eleven are not offered, so that stored ones stay as they are."""
+    kept = stored(spark, sf_dir)
+    files = current(spark, sf_dir).filter("doc_id % 11 <> 0")
+    return told_days(ingest.upsert(kept, ingest.meta_rows(ingest.classify(files, kept), F.lit(NEXT_DAY).cast("date"))))
+
+
+@query
+def drop_sources(spark, sf_dir):
+    gone = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select(source_of().alias("source"))
+    return told_days(ingest.without_sources(stored(spark, sf_dir), gone))
+
+
+@query
+def list_docs(spark, sf_dir):
+    return ingest.list_docs(stored(spark, sf_dir), "ts/1_2", LIMIT)
+
+
+@query
+def store_status(spark, sf_dir):
+    meta, parts = stored(spark, sf_dir), chunk_plain_text(spark, sf_dir)
+    rows = [("doc_chunk", parts, "source, doc_name, vector, chunk_id, chunk_text"), ("doc_meta", meta, "source, doc_name, created, updated, file_hash")]
+    out = None
+    for name, df, fields in rows:
+        one = df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("name"), "row_count", F.lit(fields).alias("fields"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def reindex_plan(spark, sf_dir):
+    """What a rebuild writes: every registered source anew, with today's date."""
+    day = F.lit(NEXT_DAY).cast("date")
+    known = stored(spark, sf_dir).select("source").distinct()
+    files = current(spark, sf_dir).join(known, "source", "left_semi")
+    return told_days(ingest.meta_rows(ingest.classify(files, stored(spark, sf_dir).limit(0)), day))
+
+
+def document_chunks(spark, sf_dir) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return chunking.explode_chunks(docs, chunking.chunks_of(F.col("text")), ["doc_id"])
+
+
+@query
+def chunk_plain_text(spark, sf_dir):
+    return document_chunks(spark, sf_dir)
+
+
+@query
+def merge_short(spark, sf_dir):
+    return chunking.merge_short_rows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn", "text")
+
+
+@query
+def section_prefix(spark, sf_dir):
+    heading = F.concat(F.lit("## "), F.col("doc_id").cast("string"))
+    return document_chunks(spark, sf_dir).select("doc_id", "chunk_id", F.concat(heading, F.lit("\n"), "chunk_text").alias("chunk_text"))
+
+
+@query
+def adoc_sections(spark, sf_dir):
+    """Each line of a document becomes the body of a section."""
+    body = F.regexp_replace("text", "\n", "\n\n=== part\n\n")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("== document\n\n"), body).alias("adoc")))
+    cut = F.udf(markup.asciidoc_sections, "array<struct<heading:string,body:string>>", useArrow=True)
+    return docs.select("doc_id", F.posexplode(cut("adoc")).alias("section", "s")).select("doc_id", F.col("section").cast("long").alias("section"), "s.heading", "s.body")
+
+
+@query
+def row_to_text(spark, sf_dir):
+    names = ["s_suppkey", "s_name", "s_nationkey"]
+    cells = [F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 3 == 0, F.lit("  ")).otherwise(F.col("s_name")), F.col("s_nationkey").cast("string")]
+    return table(spark, sf_dir, "supplier").select("s_suppkey", tx.row_to_text(names, cells).alias("line"))
+
+
+@query
+def pack_rows(spark, sf_dir):
+    lines = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.concat_ws(", ", F.concat(F.lit("c_custkey: "), F.col("c_custkey").cast("string")), F.concat(F.lit("c_name: "), "c_name")).alias("line"))
+    return chunking.pack_rows(lines, ["c_nationkey"], "c_custkey", "line", size=200)
+
+
+@query
+def html_sections(spark, sf_dir):
+    cut = F.udf(html.sections, "array<struct<heading:string,body:string>>", useArrow=True)
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.select("page_id", F.posexplode(cut("html")).alias("section", "s")).select("page_id", F.col("section").cast("long").alias("section"), "s.heading", "s.body")
+
+
+@query
+def html_chunks(spark, sf_dir):
+    split = F.udf(lambda t: chunking.chunk_sections(html.sections(t or "")), "array<string>", useArrow=True)
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return chunking.explode_chunks(pages, split("html"), ["page_id"])
+
+
+@query
+def ws_normalize(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    spaced = F.concat(F.lit("  "), F.regexp_replace("text", "\n", " \t\n\n\n\n "), F.lit("　\n"))
+    return docs.select("doc_id", tx.normalize_html_column(spaced).alias("html_text"), tx.normalize_pdf_column(spaced).alias("pdf_text"))
+
+
+@query
+def vector_topk(spark, sf_dir):
+    """The nearest vectors of each of ten query vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.lit("v").alias("source"), F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    asked = [(r.chunk_id, np.array(r.vector, np.float64)) for r in vectors.filter("chunk_id < 10").collect()]
+    return search.vector_leg(spread(vectors), asked, LIMIT).select("query_id", F.col("chunk_id").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def mean_pool(spark, sf_dir):
+    """Mean of each label's vectors, L2-normalised, position by position."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x"))
+    means = rows.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    norm = F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy("label")))
+    return means.select("label", F.col("pos").cast("long").alias("pos"), F.round(F.when(norm > 0, F.col("m") / norm).otherwise(F.col("m")), 6).alias("x"))
+
+
+def with_source(chunks: DataFrame) -> DataFrame:
+    return chunks.select(source_of().alias("source"), "chunk_id", "chunk_text")
+
+
+def benchmark_queries(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def one_query(spark, text: str) -> DataFrame:
+    return spark.range(1).select(F.col("id").alias("query_id"), F.lit(text).alias("query"))
+
+
+#: Query of the single searches: a word that occurs in the documents.
+TERM = "nder the tion"
+
+
+def first_leg(spark, sf_dir, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    terms = search.query_terms(queries).persist()
+    return search.full_text_leg(postings(chunks, only=terms.select("term")), corpus(chunks), terms, LIMIT)
+
+
+@query
+def fts_bm25_topk(spark, sf_dir):
+    chunks = with_source(document_chunks(spark, sf_dir))
+    hits = first_leg(spark, sf_dir, one_query(spark, TERM), chunks)
+    return hits.select("source", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def rrf_fuse(spark, sf_dir):
+    """Two rankings of the parts, by size and by price, fused."""
+    part = table(spark, sf_dir, "part").select(F.lit(0).cast("long").alias("query_id"), F.lit("p").alias("source"), F.col("p_partkey").cast("long").alias("chunk_id"), "p_size", "p_retailprice")
+    legs = [(mark, search.ranked(part.withColumn("score", F.col(c).cast("double")), 50)) for mark, c in ((search.KEYWORD, "p_size"), (search.SEMANTIC, "p_retailprice"))]
+    fused = search.fuse(legs, 50, RRF_K)
+    return fused.select("chunk_id", F.round("score", 9).alias("score"), "method", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def adjacent_text(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("source"), F.col("turn").alias("chunk_id"), F.col("text").alias("chunk_text"))
+    hits = turns.filter("chunk_id % 2 = 0").select("source", "chunk_id")
+    return search.with_context(hits, turns, WINDOW)
+
+
+def hybrid(spark, sf_dir, queries: DataFrame) -> DataFrame:
+    embedder = embedding.HashedEmbedder(DIM)
+    chunks = with_source(document_chunks(spark, sf_dir)).withColumn("vector", embedding.embed(F.col("chunk_text"), embedder, "double")).persist()
+    terms = search.query_terms(queries)
+    index = postings(chunks, only=terms.select("term"))
+    out = search.hybrid(chunks, index, corpus(chunks), queries, embedder, limit=LIMIT, k=RRF_K, window=WINDOW)
+    return out.withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 9))
+
+
+@query
+def hybrid_search(spark, sf_dir):
+    return hybrid(spark, sf_dir, one_query(spark, TERM)).select("source", "chunk_id", "score", "method", "text", "rank")
+
+
+@query
+def hybrid_batch(spark, sf_dir):
+    return hybrid(spark, sf_dir, benchmark_queries(spark, sf_dir)).select("query_id", "source", "chunk_id", "score", "method", "rank")
+
+
+@query
+def short_query(spark, sf_dir):
+    """One character: no full-text leg, all hits are semantic; a one-character text has the zero vector."""
+    return hybrid(spark, sf_dir, one_query(spark, "a")).select("source", "chunk_id", "score", "method", "rank")
+
+
+@query
+def watch_fold(spark, sf_dir):
+    """Events as a change feed: the last change of each user counts."""
+    kind = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "error", "remove").otherwise("modify")
+    feed = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), kind.alias("kind"), F.struct("ts", "event_id").alias("seq"))
+    last = last_per_path(feed)
+    return last.select(F.col("path").alias("user_id"), F.when(F.col("kind") == "remove", "drop").otherwise("upsert").alias("action"))
+
+
+@query
+def result_render(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", source_of().alias("source"), F.col("doc_id").alias("chunk_id"), (F.lit(1.0) / (F.col("doc_id") + 60)).alias("score"),
+        F.when(F.col("doc_id") % 3 == 0, "Hybrid").when(F.col("doc_id") % 3 == 1, "Keyword").otherwise("Semantic").alias("method"), "text",
+    )
+    return docs.select("doc_id", render.line().alias("line"))
