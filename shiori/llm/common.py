@@ -52,6 +52,13 @@ def unit_hash(seed: int, *cols: Column) -> Column:
     return F.xxhash64(F.lit(seed), *cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))
 
 
+def md5_hash(seed: int, *cols: Column) -> Column:
+    """A seeded 63-bit hash that SQL engines share: the first 60 bits of an md5, shifted; null is its own value."""
+    parts = [F.coalesce(c.cast("string"), F.lit("null")) for c in cols]
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), 1, 15)
+    return F.shiftleft(F.conv(digits, 16, 10).cast("long"), 3)
+
+
 def running(
     df: DataFrame,
     group: list[str],

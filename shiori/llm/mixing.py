@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiori.llm.common import WORD_RE, rank_from_zero, running, unit_hash, written
+from shiori.llm.common import WORD_RE, md5_hash, rank_from_zero, running, written
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ def targets(sources: DataFrame, spec: MixSpec) -> DataFrame:
 def sized(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     """(doc_id, source, size, h) of every row."""
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    return rows.withColumn("h", unit_hash(seed, F.col("doc_id"), F.col("size")))
+    return rows.withColumn("h", md5_hash(seed, F.col("doc_id"), F.col("size")))
 
 
 def plan(rows: DataFrame, spec: MixSpec) -> DataFrame:
@@ -102,7 +102,7 @@ def mix(df: DataFrame, spec: MixSpec = MixSpec(), *, id_col: str = "doc_id", tex
     rows = written(sized(df, id_col, text_col, source_col, spec.seed), "mix-sizes")
     told = plan(rows, spec).select(F.col("source").alias("_s"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"), F.col("part").alias("_need"))
     docs = df.withColumn("_size", word_count(F.col(text_col)))
-    docs = docs.withColumn("_key", F.struct(unit_hash(spec.seed, F.col(id_col), F.col("_size")).alias("h"), F.col(id_col).alias("doc_id"), F.col("_size").alias("size")))
+    docs = docs.withColumn("_key", F.struct(md5_hash(spec.seed, F.col(id_col), F.col("_size")).alias("h"), F.col(id_col).alias("doc_id"), F.col("_size").alias("size")))
     docs = docs.join(told, F.col(source_col).eqNullSafe(F.col("_s")), "left")
     part = F.when(F.col("_size") == 0, 0).when(F.col("_key") < F.col("_cut"), F.col("_size")).when(F.col("_key") == F.col("_cut"), F.col("_need")).otherwise(0)
     docs = docs.withColumn("_part", part)

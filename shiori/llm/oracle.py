@@ -27,21 +27,110 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN pos USING (rid) LEFT JOIN items USING (rid)
 """
 
-OP1 = r"""
+
+
+def _hash(seed: int, *cols: str) -> str:
+    parts = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), 'null')" for c in cols)
+    return f"(('0x' || substr(md5('{seed}|' || {parts}), 1, 15))::BIGINT)"
+
+
+OP1 = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS w
   FROM d GROUP BY source
 ), o AS (
-  SELECT *, 2.0 * source_size AS cap, row_number() OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST) AS k, 1.5 * sum(source_size) OVER () AS total FROM s
+  SELECT *, 2.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST) AS k, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s
 ), p AS (
   SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o
+), t AS (
+  -- The water level: the first at which the next source to fill is not above its cap.
+  SELECT source, source_size, least(cap, w * coalesce((SELECT arg_min(level, k) FROM p WHERE w * level <= cap), 1e300)) AS target FROM p
+), q AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t
+), r AS (SELECT *, CAST(floor(target - whole * source_size) AS BIGINT) AS rest FROM q
+), keys AS (
+  SELECT source, doc_id, size, {_hash(17, "doc_id", "size")} AS h, sum(size) AS words, count(*) AS copies FROM d GROUP BY ALL
+), c AS (
+  SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keys
+), f AS (
+  SELECT c.source, c.doc_id, c.size, whole * c.size + CASE WHEN before + words <= rest THEN c.size WHEN before <= rest THEN (rest - before) // copies ELSE 0 END AS taken, source_size, target
+  FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source
+)
+SELECT d.doc_id, d.source, d.size, source_size, target, CAST(taken AS BIGINT) AS taken
+FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.doc_id IS NOT DISTINCT FROM f.doc_id AND d.size = f.size
+"""
+
+OP2 = rf"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda k, z: CASE WHEN k % 2 = 1 THEN xor(k // 2, 3988292384) ELSE k // 2 END)) AS t
+), x AS (
+  SELECT text, hex(encode(text)) AS x FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL AND text <> '')
+), crcs AS (
+  SELECT text, xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+    lambda crc, b: xor(crc // 256, t[xor(crc, b) % 256 + 1]))) AS crc FROM x, tab
+), d AS (
+  SELECT doc_id, CAST(coalesce(strlen(d.text), 0) + 1 AS BIGINT) AS size, CAST(coalesce(crc, 0) AS BIGINT) AS text_crc32, {_hash(30, "doc_id")} % 6 AS old FROM documents d LEFT JOIN crcs ON d.text = crcs.text
+), e AS (SELECT *, {_hash(29, "doc_id", "text_crc32")} AS h FROM d
+), tot AS (SELECT sum(size) AS total FROM e
+), caps AS (SELECT j, total // 8 + CASE WHEN j < total % 8 THEN 1 ELSE 0 END AS cap FROM tot, range(8) AS g(j)
+), olds AS (SELECT i, coalesce((SELECT sum(size) FROM e WHERE old = i), 0) AS size FROM range(6) AS g(i)
+), gives AS (SELECT i, least(size, cap) AS stay, size - least(size, cap) AS over, sum(size - least(size, cap)) OVER (ORDER BY i) AS top FROM olds JOIN caps ON i = j
+), takes AS (SELECT j, cap - coalesce(stay, 0) AS room, sum(cap - coalesce(stay, 0)) OVER (ORDER BY j) AS top FROM caps LEFT JOIN gives ON i = j
+), flow AS (
+  SELECT i, i AS j, stay AS bytes, 0 AS moved FROM gives WHERE stay > 0
+  UNION ALL
+  SELECT i, j, least(g.top, t.top) - greatest(g.top - over, t.top - room), 1 FROM gives g, takes t WHERE least(g.top, t.top) > greatest(g.top - over, t.top - room)
+), runs AS (
+  SELECT i, j, sum(bytes) OVER w - bytes AS low, sum(bytes) OVER w AS high, row_number() OVER (PARTITION BY i ORDER BY moved DESC, j DESC) = 1 AS last FROM flow WINDOW w AS (PARTITION BY i ORDER BY moved, j)
+), keys AS (SELECT old, h, doc_id, text_crc32, size, sum(size) AS bytes, size <= greatest(1, (SELECT total FROM tot) // (8 * 4096)) AS small FROM e GROUP BY ALL
+), seen AS (
+  SELECT *, coalesce(sum(bytes) OVER (PARTITION BY old ORDER BY small, h, doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + bytes / 2.0::DOUBLE AS middle FROM keys
+), placed AS (
+  SELECT e.*, j AS shard FROM e JOIN seen USING (old, h, text_crc32, size) JOIN runs ON i = old AND middle >= low AND (middle < high OR last)
+  WHERE e.doc_id IS NOT DISTINCT FROM seen.doc_id
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed
+"""
+
+OP4 = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT rid, array_to_string(w[i : i + least(len(w), 3) - 1], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid
+), both_sides AS (SELECT a.rid AS a, b.rid AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY ALL
+), links AS (SELECT a, b FROM both_sides JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * o >= 90 * (x.n + y.n - o)
+), reach(a, b) AS (SELECT rid, rid FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT x.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(y.doc_id) AS component_id
+FROM d x JOIN reach ON reach.a = x.rid JOIN d y ON y.rid = reach.b LEFT JOIN n ON n.rid = x.rid GROUP BY x.rid, x.doc_id
+"""
+
+#: What the extraction must find on the tables' layout: the blocks of the article element.
+OP5 = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_replace(replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<br>', ' '), '</?(p|h1)>', chr(1), 'g') AS x FROM pages
+), b AS (
+  SELECT page_id, url, list_transform(string_split(regexp_replace(x, '<[^>]*>', '', 'g'), chr(1)),
+    lambda s: trim(regexp_replace(replace(replace(replace(replace(s, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts FROM a
 )
-SELECT source, source_size, least(cap, w * (SELECT min(CASE WHEN w * level <= cap THEN level END) FROM p)) AS target FROM p
+SELECT page_id, url, array_to_string(list_filter(parts, lambda s: s <> ''), chr(10)) AS text, CAST(length(array_to_string(list_filter(parts, lambda s: s <> ''), chr(10))) AS BIGINT) AS n_chars FROM b
+"""
+
+OP10 = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+g AS (SELECT page_id, url, strlen(html) AS size, sha1(html) AS x, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, url, CAST(size AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, 5 * i // 4 + 1, 2))::INT >> (3 - 5 * i % 4)::INT) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS NOT DISTINCT FROM top THEN NULL ELSE top END AS refers_to
+FROM g
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_decontaminate": OP7}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_sharding": OP2, "op4_ngram_join": OP4, "op5_html": OP5, "op7_decontaminate": OP7, "op10_warc": OP10}
 
 
 def _op9() -> str:
