@@ -4,14 +4,15 @@ Two documents link when 100 * |A & B| >= percent * |A | B| over their sets of
 distinct word n-grams.  The join is exact.
 
 1. *Classes.* Documents with equal sets are one node.
-2. *Blocking without loss.*  A linked pair differs in at most D n-grams, a bound
-   derived from the smaller size.  The n-grams are dealt by hash to m parts; with
-   more than D parts that are not empty in both, a linked pair agrees on a whole
-   part.  A node emits the hash of each part, for its size class and, if a
-   partner may lie there, for the class below; a level with more parts follows
-   while too many parts are empty.  Nodes that share a part's hash are compared
-   by size and by the difference of 32-bin histograms, which bounds D from
-   below: pairs below the bound are discarded before any text is read.
+2. *Blocking without loss.*  In any one order of all n-grams, two linked sets
+   share an n-gram among the first |A| - ceil(percent * |A| / 100) + 1 of each
+   (the bound that the sizes imply on the overlap).  A node emits these.  The
+   order puts n-grams that many documents hold last, so that common passages
+   bring few nodes together; it decides the work, never the result.  Nodes that
+   share an emitted n-gram are compared by size and by the parities of their
+   n-gram counts in about as many bins as they have n-grams: the bins that differ
+   are a lower bound of the difference, and pairs beyond the size-derived bound
+   are discarded before any text is read.
 3. *Product.*  The nodes that still hang together form families.  A family is
    cut into blocks; the product of two blocks accumulates overlap counts over
    slices of n-gram columns, and pairs below the size-derived bound are
@@ -20,8 +21,8 @@ distinct word n-grams.  The join is exact.
    one link per node, so copies are never expanded into all pairs.
 4. *Components* of those links by large-star and small-star steps.
 
-Skew: copies collapse to one node before anything is paired; hash groups are
-aggregated map-side and larger ones are tiled; families are tiled.  Nothing is
+Skew: copies collapse to one node before anything is paired; groups of an n-gram
+are aggregated map-side and larger ones are tiled; families are tiled.  Nothing is
 capped: a document of any group is compared as the bounds demand.  Nodes are
 named by a 64-bit hash of their set.
 
@@ -33,7 +34,6 @@ empty table gives no rows.  :func:`keep_one` keeps all columns of its input.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -46,13 +46,17 @@ from pyspark.sql import functions as F
 from shiori.llm.common import written
 from shiori.llm.graph import components
 
-BINS = 32
+#: Most n-grams in the list of common ones (8 bytes each): the bound of its broadcast.
+COMMON = 1 << 20
+#: An Arrow batch reports n-grams that at least so many of its documents hold.
+COMMON_IN_BATCH = 4
 #: A block holds about this many n-grams, and nodes.
 BLOCK_GRAMS, BLOCK_NODES = 400_000, 512
+#: Rows of n-gram groups that are compared in one task.
+GROUP_ROWS = 2_000
 #: N-gram columns multiplied at once.
 SLICE = 4096
-LEVELS = 12
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_A = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,48 +82,51 @@ def linked(overlap, a, b, percent: int):
     return (100 + percent) * overlap >= percent * (a + b)
 
 
-@functools.lru_cache(maxsize=4)
-def size_classes(percent: int) -> tuple[list[int], list[int]]:
-    """Least sizes of the size classes (a partner is in the same or a neighbouring one), and D of each."""
-    least = [1]
-    while least[-1] < 1 << 40:
-        least.append(max(least[-1] + 1, -(-least[-1] * 100 // percent), least[-1] * 5 // 4))
-    return least, [(b - 1) * (100 - percent) // percent for b in least[1:]]
+def prefix(grams: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
+    """The first n-grams of a set, common ones last: what a linked set shares at least one of."""
+    n = len(grams)
+    size = n - -(-n * percent // 100) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+        last = common[at] == grams
+        grams = np.concatenate((grams[~last], grams[last]))
+    return grams[:size]
 
 
-def part_hashes(grams: np.ndarray, percent: int) -> np.ndarray:
-    """The hashes by which a node finds every possible partner."""
-    least, most = size_classes(percent)
-    n = len(grams)
-    k = int(np.searchsorted(least, n, side="right")) - 1
-    schemes = [k]
-    if k and -(-n * percent // 100) <= least[k] - 1:
-        schemes.append(k - 1)
-    tops, mixed, out = grams >> np.uint64(32), mix(grams ^ _B), []
-    for s in schemes:
-        d = most[s]
-        if d == 0:
-            continue  # only equal sets link
-        spare = 1.5 * np.exp(-0.9 * least[s] / (d + 1))
-        for level in range(LEVELS):
-            m = d + 1 + int(np.ceil((d + 1) * spare * 1.3**level)) * (level > 0 or spare > 0.002) + level
-            part = (tops * np.uint64(m)) >> np.uint64(32)
-            start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            sums = np.add.reduceat(mixed, start)
-            tag = np.uint64(s * 64 + level)
-            out.append(mix(sums + part[start] * _C + mix(np.array([m], np.uint64) * _A + tag)))
-            if len(start) > d:
-                break
-        else:
-            out.append(mix(np.array([s], np.uint64) * _A + _C))  # too few parts at any level: all such nodes meet
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+def parities(grams: np.ndarray) -> bytes:
+    """A bit per bin of n-grams (by leading bits of the hash): whether it holds an odd number."""
+    bits = max(6, int(len(grams) - 1).bit_length())
+    odd = np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(bins: np.ndarray) -> np.ndarray:
+    """Parities in half as many bins."""
+    bits = np.unpackbits(bins)
+    return np.packbits(bits[::2] ^ bits[1::2])
 
 
 FACTS = "doc_id long, th long, n_shingles long, node long, bins binary, parts array<long>"
 
 
+def common_grams(df: DataFrame, *, n: int, text_col: str) -> np.ndarray:
+    """Sorted n-grams that many documents hold, counted over all of them batch by batch; at most COMMON."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), n) for t in batch.column(0)]
+            grams, times = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
+            many = times >= COMMON_IN_BATCH
+            yield pa.RecordBatch.from_arrays([pa.array(grams[many].view(np.int64)), pa.array(times[many], pa.int64())], names=["gram", "times"])
+
+    counted = df.select(F.col(text_col).alias("text")).mapInArrow(count, "gram long, times long")
+    top = counted.groupBy("gram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "gram").limit(COMMON)
+    return np.sort(top.select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64))
+
+
 def facts(df: DataFrame, *, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document: size, node, histogram and part hashes."""
+    """Per document: size, node, parities and prefix."""
+    shared = df.sparkSession.sparkContext.broadcast(common_grams(df, n=n, text_col=text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,8 +137,8 @@ def facts(df: DataFrame, *, n: int, percent: int, id_col: str, text_col: str) ->
                     grams = shingles(text.as_py(), n)
                     sizes.append(len(grams))
                     nodes.append(int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True) if len(grams) else None)
-                    bins.append(np.minimum(np.bincount((grams >> np.uint64(59)).astype(np.int64), minlength=BINS), 65535).astype(np.uint16).tobytes())
-                    found.append(part_hashes(grams, percent).view(np.int64) if len(grams) else np.zeros(0, np.int64))
+                    bins.append(parities(grams) if len(grams) else b"")
+                    found.append(prefix(grams, percent, shared.value).view(np.int64) if len(grams) else np.zeros(0, np.int64))
                 offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bins, pa.binary()), lists], names=["doc_id", "th", "n_shingles", "node", "bins", "parts"])
@@ -140,14 +147,38 @@ def facts(df: DataFrame, *, n: int, percent: int, id_col: str, text_col: str) ->
     return written(rows.mapInArrow(run, FACTS), "ngram-facts")
 
 
-def compatible(sizes: np.ndarray, bins: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs the sizes and histograms do not rule out."""
-    a, b = sizes[i], sizes[j]
-    out = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
-    at = np.flatnonzero(out)
-    differ = np.abs(bins[i[at]] - bins[j[at]]).sum(axis=1)
-    out[at] = (100 + percent) * differ <= (100 - percent) * (a[at] + b[at])
-    return out
+class Sketches:
+    """Sizes and parities of some nodes, each at its own number of bins and at half as many."""
+
+    def __init__(self, sizes: np.ndarray, bins: list[bytes]) -> None:
+        self.sizes = sizes
+        self.width = np.array([len(b) for b in bins], np.int64)
+        rows: dict[int, list[np.ndarray]] = {}
+        self.place = {}
+        for i, raw in enumerate(bins):
+            own = np.frombuffer(raw, np.uint8)
+            for row in (own, folded(own)) if len(own) > 1 else (own,):
+                held = rows.setdefault(len(row), [])
+                self.place[i, len(row)] = len(held)
+                held.append(row)
+        self.rows = {w: np.stack(x) for w, x in rows.items()}
+        self.at = {w: np.full(len(bins), -1, np.int64) for w in self.rows}
+        for (i, w), k in self.place.items():
+            self.at[w][i] = k
+
+    def compatible(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs the sizes and parities do not rule out."""
+        a, b = self.sizes[i], self.sizes[j]
+        out = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+        width = np.minimum(self.width[i], self.width[j])
+        for w, rows in self.rows.items():
+            here = np.flatnonzero(out & (width == w))
+            x, y = self.at[w][i[here]], self.at[w][j[here]]
+            both = (x >= 0) & (y >= 0)  # sizes that may link differ by one halving at most
+            here, x, y = here[both], x[both], y[both]
+            differ = np.bitwise_count(rows[x] ^ rows[y]).sum(axis=1, dtype=np.int64)
+            out[here] = (100 + percent) * differ <= (100 - percent) * (a[here] + b[here])
+        return out
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -178,12 +209,11 @@ def _ranks(nodes: np.ndarray) -> np.ndarray:
 
 
 def group_edges(percent: int):
-    """For tiles of hash groups (tile, sig, side, node, n, bins): compatible pairs as a spanning forest."""
+    """For tiles of n-gram groups (tile, sig, side, node, n, bins): compatible pairs as a spanning forest."""
 
     def run(table: pa.Table) -> pa.Table:
         sig, side, node = (table.column(c).to_numpy() for c in ("sig", "side", "node"))
-        sizes = table.column("n").to_numpy()
-        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32)
+        sizes, bins = table.column("n").to_numpy(), table.column("bins")
         order = np.argsort(sig, kind="stable")
         cuts = np.flatnonzero(np.diff(sig[order])) + 1
         out = []
@@ -191,11 +221,12 @@ def group_edges(percent: int):
             i, j = np.triu_indices(len(own), 1)
             keep = (side[own[i]] != side[own[j]]) | (side[own[i]] == 0)
             i, j = i[keep], j[keep]
-            for at in range(0, len(i), 1 << 18):
-                a, b = own[i[at : at + (1 << 18)]], own[j[at : at + (1 << 18)]]
-                ok = compatible(sizes, bins, a, b, percent)
+            sketches = Sketches(sizes[own], bins.take(pa.array(own)).to_pylist())
+            for at in range(0, len(i), 1 << 16):
+                a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                ok = sketches.compatible(a, b, percent)
                 if ok.any():
-                    out.append(np.stack((a[ok], b[ok])))
+                    out.append(np.stack((own[a[ok]], own[b[ok]])))
         if not out:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         names, index = np.unique(node, return_inverse=True)
@@ -206,17 +237,17 @@ def group_edges(percent: int):
 
 
 def candidate_edges(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b) that hold together all nodes that may link, and the nodes' centrality.
+    """Edges (a, b) that hold together all nodes that may link, and the nodes' centrality (shared n-grams).
 
-    In a hash group whose members are all compatible with its least node, that
+    In the group of an n-gram whose members are all compatible with its least node, that
     node stands for the group; in any other group all pairs are compared.
     """
     rows = found.filter("n_shingles > 0").select("node", F.explode("parts").alias("sig"))
-    groups = rows.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("_top"), F.count(F.lit(1)).alias("weight")).filter("pivot < _top").drop("_top")
+    groups = rows.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("_top")).filter("pivot < _top").drop("_top")
     groups = written(groups, "ngram-groups")
-    members = written(rows.join(groups, "sig").groupBy("sig", "node", "pivot").agg(F.first("weight").alias("weight")), "ngram-members")
+    members = written(rows.join(groups, "sig").distinct(), "ngram-members")
     nodes = written(found.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bins").alias("bins")), "ngram-nodes")
-    pairs = members.filter("node != pivot").groupBy("node", "pivot").agg(F.sum("weight").alias("weight"))
+    pairs = members.filter("node != pivot").select("node", "pivot").distinct()
     other = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("n2"), F.col("bins").alias("bins2"))
     pairs = pairs.join(nodes, "node").join(other, "pivot")
 
@@ -225,8 +256,7 @@ def candidate_edges(found: DataFrame, percent: int) -> tuple[DataFrame, DataFram
             if b.num_rows:
                 n = b.num_rows
                 sizes = np.concatenate((b.column(2).to_numpy(), b.column(4).to_numpy()))
-                bins = np.frombuffer(b"".join(b.column(3).to_pylist() + b.column(5).to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32)
-                ok = compatible(sizes, bins, np.arange(n), np.arange(n) + n, percent)
+                ok = Sketches(sizes, b.column(3).to_pylist() + b.column(5).to_pylist()).compatible(np.arange(n), np.arange(n) + n, percent)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok)], names=["node", "pivot", "ok"])
 
     judged = written(pairs.select("node", "pivot", "n", "bins", "n2", "bins2").mapInArrow(judge, "node long, pivot long, ok boolean"), "ngram-judged")
@@ -240,11 +270,11 @@ def candidate_edges(found: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     # A group of one block is a tile with others; of more, a node goes to the tile of its block and each block.
     tiles = tiles.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)))
     pair = F.struct(F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"))
-    bins = max(1, total // 20_000)
+    bins = max(1, total // GROUP_ROWS)
     tiles = tiles.withColumn("tile", F.when(F.col("_b") == 1, F.pmod(F.xxhash64("sig"), F.lit(bins))).otherwise(F.xxhash64("sig", pair)))
     tiles = tiles.withColumn("side", F.when((F.col("_b") == 1) | (F.col("_own") == F.col("_other")), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2))
     inside = tiles.select("tile", "sig", "side", "node", "n", "bins").groupBy("tile").applyInArrow(group_edges(percent), "a long, b long")
-    centrality = members.groupBy("node").agg(F.sum("weight").alias("central"))
+    centrality = members.groupBy("node").agg(F.count(F.lit(1)).alias("central"))
     return written(stars.unionByName(inside), "ngram-candidates"), centrality
 
 
