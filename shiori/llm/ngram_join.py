@@ -246,8 +246,12 @@ def candidate_edges(found: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     groups = rows.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("_top")).filter("pivot < _top").drop("_top")
     groups = written(groups, "ngram-groups")
     members = written(rows.join(groups, "sig").distinct(), "ngram-members")
+    # N-grams of one shared passage bring the same nodes together: one of them stands for all.
+    same = members.groupBy("sig", "pivot").agg(F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("_y"))
+    same = same.groupBy("pivot", "_n", "_x", "_y").agg(F.min("sig").alias("sig"))
+    alike = written(members.join(same.select("sig", "_n"), "sig"), "ngram-alike")
     nodes = written(found.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bins").alias("bins")), "ngram-nodes")
-    pairs = members.filter("node != pivot").select("node", "pivot").distinct()
+    pairs = alike.filter("node != pivot").select("node", "pivot").distinct()
     other = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("n2"), F.col("bins").alias("bins2"))
     pairs = pairs.join(nodes, "node").join(other, "pivot")
 
@@ -262,8 +266,10 @@ def candidate_edges(found: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     judged = written(pairs.select("node", "pivot", "n", "bins", "n2", "bins2").mapInArrow(judge, "node long, pivot long, ok boolean"), "ngram-judged")
     stars = judged.filter("ok").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
 
-    odd = members.join(judged.filter("not ok").select("node", "pivot"), ["node", "pivot"]).select("sig").distinct()
-    odd = written(members.join(odd, "sig").join(nodes, "node").select("sig", "node", "n", "bins"), "ngram-odd")
+    # A group of two has no pair but the one that was judged.
+    rest = alike.filter("_n > 2")
+    odd = rest.join(judged.filter("not ok").select("node", "pivot"), ["node", "pivot"]).select("sig").distinct()
+    odd = written(rest.join(odd, "sig").join(nodes, "node").select("sig", "node", "n", "bins"), "ngram-odd")
     sizes = written(odd.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.ceil(F.col("_n") / (2 * BLOCK_NODES))), "ngram-odd-sizes")
     total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     tiles = odd.join(sizes, "sig").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_b")))
