@@ -38,6 +38,8 @@ BITS = 12
 SPACE = 32
 SYMBOLS = 1 << BITS
 UND = "und"
+#: Most nats that a language loses at a symbol against the best one.
+GAP = np.float32(3.0)
 
 
 @dataclass(frozen=True)
@@ -47,8 +49,9 @@ class LangSpec:
     #: Folds held out: crc32 of the id as text modulo ``folds`` equal to ``held``.
     folds: int = 5
     held: int = 0
-    #: Rejection: times the largest standardised excess of a calibration document.
+    #: Rejection: times the largest standardised excess of a calibration document, and times the mean.
     slack: float = 1.5
+    excess: float = 1.3
     seed: int = 41
 
 
@@ -104,8 +107,8 @@ class Model:
     #: By order from 1: sorted context codes, and log back-off weights.
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
-    #: Per language: mean and deviation of a symbol's code length, and the largest standardised excess allowed.
-    limits: np.ndarray | None = None
+    #: Mean and deviation of a symbol's code length in its best language; the largest standardised and the largest relative excess.
+    limits: tuple[float, float, float, float] = (0.0, 1.0, np.inf, np.inf)
 
     def symbol_logp(self, code: np.ndarray) -> np.ndarray:
         """Log-probability of each code's last symbol after the others (codes x languages)."""
@@ -168,21 +171,24 @@ def train(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     return Model(languages, grams, logp, contexts, backoff)
 
 
-def measure(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of each text (0: no letter), sums of log-probabilities, and sums of their squares."""
-    width = len(model.languages)
-    n, total, square = np.zeros(len(texts), np.int64), np.zeros((len(texts), width)), np.zeros((len(texts), width))
+def measure(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of each text (0: no letter); by language, the sum of log-probabilities; of the best language at each symbol, their sum and the sum of their squares."""
+    n, total = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(model.languages)))
+    best, square = np.zeros(len(texts)), np.zeros(len(texts))
     held: list[tuple[int, np.ndarray]] = []
     size = 0
 
     def flush() -> None:
         if held:
             values = model.symbol_logp(np.concatenate([c for _, c in held]))
+            top = values.max(axis=1)
+            np.maximum(values, (top - GAP)[:, None], out=values)
             starts = np.cumsum([0, *(len(c) for _, c in held[:-1])])
-            sums, squares = np.add.reduceat(values, starts, dtype=np.float64), np.add.reduceat(values * values, starts, dtype=np.float64)
+            sums, tops, squares = (np.add.reduceat(x, starts, dtype=np.float64) for x in (values, top, top * top))
             for k, (i, c) in enumerate(held):
                 n[i] += len(c)
                 total[i] += sums[k]
+                best[i] += tops[k]
                 square[i] += squares[k]
             held.clear()
 
@@ -199,7 +205,7 @@ def measure(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
                 flush()
                 size = 0
     flush()
-    return n, total, square
+    return n, total, best, square
 
 
 def crc_fold(id_col: Column, folds: int) -> Column:
@@ -242,26 +248,18 @@ def fit(df: DataFrame, spec: LangSpec = LangSpec(), *, id_col: str = "doc_id", t
     shared = spark.sparkContext.broadcast(model)
 
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = shared.value.languages
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            n, total, square = measure(shared.value, batch.column(1).to_pylist())
-            rows = [(x, int(n[i]), float(total[i, names.index(x)]), float(square[i, names.index(x)])) for i, x in enumerate(langs) if n[i] and x in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["lang", "n", "s", "q"])
-
-    seen = rows.filter("calibrates").select("lang", "text").mapInArrow(calibrate, "lang string, n long, s double, q double").toPandas()
-    limits = np.empty((len(model.languages), 3))
-    for j, name in enumerate(model.languages):
-        own = seen[seen["lang"] == name]
-        n = own["n"].sum()
-        if n < 2:
-            limits[j] = 0, 1, np.inf  # nothing to calibrate on: rejects nothing
-            continue
-        mean = -own["s"].sum() / n
-        dev = max(np.sqrt(max(own["q"].sum() / n - mean * mean, 0)), 1e-6)
-        excess = (-own["s"] / own["n"] - mean) * np.sqrt(own["n"]) / dev
-        limits[j] = mean, dev, spec.slack * max(float(excess.max()), 4.0)
-    model.limits = limits
+            n, _, best, square = measure(shared.value, batch.column(0).to_pylist())
+            keep = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (n, best, square)], names=["n", "s", "q"])
+
+    seen = rows.filter("calibrates").select("text").mapInArrow(calibrate, "n long, s double, q double").toPandas()
+    n = seen["n"].sum()
+    if n > 1:  # else nothing to calibrate on: nothing but letterless texts is rejected
+        mean = -seen["s"].sum() / n
+        dev = max(np.sqrt(max(seen["q"].sum() / n - mean * mean, 0)), 1e-6)
+        excess = (-seen["s"] / seen["n"] - mean) * np.sqrt(seen["n"]) / dev
+        model.limits = float(mean), float(dev), spec.slack * max(float(excess.max()), 4.0), spec.excess
     return model
 
 
@@ -272,15 +270,15 @@ def decide(model: Model | None, texts: list[str | None]) -> list[tuple[str, floa
     """lang_pred, score, rejected, cross-entropy (bits a symbol) of each text."""
     if model is None:
         return [(UND, 0.0, True, None)] * len(texts)
-    n, total, _ = measure(model, texts)
-    best = np.argmax(total, axis=1)
-    rows = np.arange(len(texts))
-    ce = -total / np.maximum(n, 1)[:, None]
+    n, total, top, _ = measure(model, texts)
+    best, rows, size = np.argmax(total, axis=1), np.arange(len(texts)), np.maximum(n, 1)
+    ce = -total / size[:, None]
     # Posterior of the best language; evidence counts up to 40 symbols, as neighbouring symbols aren't independent.
     odds = np.exp(-(ce - ce[rows, best][:, None]) * np.minimum(n, 40)[:, None])
     score = 1 / odds.sum(axis=1)
-    mean, dev, most = model.limits[best].T
-    far = (ce[rows, best] - mean) * np.sqrt(n) / dev > most
+    mean, dev, furthest, times = model.limits
+    least = -top / size
+    far = ((least - mean) * np.sqrt(size) / dev > furthest) & (least > times * mean)
     return [(model.languages[best[i]], float(score[i]), bool(far[i]), float(ce[i, best[i]] / np.log(2))) if n[i] else (UND, 0.0, True, None) for i in rows]
 
 
