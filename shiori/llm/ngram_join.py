@@ -120,8 +120,16 @@ def common_grams(df: DataFrame, *, n: int, text_col: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(grams[many].view(np.int64)), pa.array(times[many], pa.int64())], names=["gram", "times"])
 
     counted = df.select(F.col(text_col).alias("text")).mapInArrow(count, "gram long, times long")
-    top = counted.groupBy("gram").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "gram").limit(COMMON)
-    return np.sort(top.select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64))
+    counted = written(counted.groupBy("gram").agg(F.sum("times").alias("times")), "ngram-common")
+    # The least count that leaves at most COMMON n-grams, from counts by eighths of a power of two.
+    step = F.floor(8 * F.log2("times")).cast("int")
+    room, least = COMMON, 1 << 30
+    for s, many in sorted(((r[0], r[1]) for r in counted.groupBy(step).count().collect()), reverse=True):
+        room -= many
+        if room < 0:
+            break
+        least = s
+    return np.sort(counted.filter(step >= least).select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64))
 
 
 def facts(df: DataFrame, *, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -236,6 +244,20 @@ def group_edges(percent: int):
     return run
 
 
+def by_size(groups: DataFrame, percent: int) -> DataFrame:
+    """Groups (sig, node, n) split by size, so that each pair whose sizes may link stays together in one.
+
+    Classes grow by a little more than the largest ratio of linked sizes; a node
+    is in the group of its class and of the class below, where smaller partners
+    lie.  Groups of one node go, and of groups with the same nodes one stays.
+    """
+    own = F.floor(F.log("n") / F.log(F.lit(100 / percent * 1.0001))).cast("long")
+    rows = written(groups.withColumn("_class", F.explode(F.array(own, own - 1))).select(F.xxhash64("sig", "_class").alias("sig"), "node", "n"), "ngram-by-size")
+    sets = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_m"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("_y"))
+    sets = sets.filter("_n > 1").groupBy("_n", "_m", "_x", "_y").agg(F.min("sig").alias("sig"))
+    return rows.join(sets.select("sig"), "sig")
+
+
 def candidate_edges(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) that hold together all nodes that may link, and the nodes' centrality (shared n-grams).
 
@@ -269,7 +291,8 @@ def candidate_edges(found: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     # A group of two has no pair but the one that was judged.
     rest = alike.filter("_n > 2")
     odd = rest.join(judged.filter("not ok").select("node", "pivot"), ["node", "pivot"]).select("sig").distinct()
-    odd = written(rest.join(odd, "sig").join(nodes, "node").select("sig", "node", "n", "bins"), "ngram-odd")
+    odd = written(by_size(rest.join(odd, "sig").join(nodes.select("node", "n"), "node").select("sig", "node", "n"), percent), "ngram-sized")
+    odd = written(odd.join(nodes.select("node", "bins"), "node").select("sig", "node", "n", "bins"), "ngram-odd")
     sizes = written(odd.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.ceil(F.col("_n") / (2 * BLOCK_NODES))), "ngram-odd-sizes")
     total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     tiles = odd.join(sizes, "sig").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_b")))
