@@ -47,6 +47,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that are broadcast at most (some 40 MB in memory).
+FEW_ROWS = 250_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df`` (a written table of narrow rows), to be broadcast if it is counted to have few; else it is shuffled as usual."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
 def unit_hash(seed: int, *cols: Column) -> Column:
     """A seeded 63-bit hash (non-negative long)."""
     return F.xxhash64(F.lit(seed), *cols).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiori.llm.common import WORD_RE, md5_hash, rank_from_zero, running, written
+from shiori.llm.common import WORD_RE, few, md5_hash, rank_from_zero, running, written
 
 
 @dataclass(frozen=True)
@@ -78,15 +78,15 @@ def plan(rows: DataFrame, spec: MixSpec) -> DataFrame:
     sources = written(sources.withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")), "mix-targets")
     keys = rows.groupBy("source", "h", "doc_id", "size").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("copies"))
     seen = running(keys, ["source"], "h", ["words"], tie=["doc_id", "size"], rows=rows.count())
-    rest = sources.select(F.col("source").alias("_s"), "rest")
+    rest = few(sources.select(F.col("source").alias("_s"), "rest"))
     crossing = seen.join(rest, F.col("source").eqNullSafe(F.col("_s"))).filter((F.col("_before_words") <= F.col("rest")) & (F.col("rest") < F.col("_before_words") + F.col("words")))
     cut = crossing.select("_s", F.struct("h", "doc_id", "size").alias("cut"), F.floor((F.col("rest") - F.col("_before_words")) / F.col("copies")).cast("long").alias("part"))
-    return sources.join(cut, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "rest")
+    return written(sources.join(few(written(cut, "mix-cuts")), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "rest"), "mix-plan")
 
 
 def with_taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds source_size, target, whole (repetitions), part (words of a last, fractional one) and taken (words)."""
-    told = plan.withColumnRenamed("source", "_s")
+    told = few(plan.withColumnRenamed("source", "_s"))
     key = F.struct("h", "doc_id", "size")
     part = F.when(key < F.col("cut"), F.col("size")).when(key == F.col("cut"), F.col("part")).otherwise(0)
     joined = rows.join(told, F.col("source").eqNullSafe(F.col("_s")), "left")
@@ -96,11 +96,11 @@ def with_taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def mix(df: DataFrame, spec: MixSpec = MixSpec(), *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: rows of ``df`` as often as taken, with ``copy`` (from 1) and ``partial`` (the text is cut at a word).
 
-    The plan has one row per source; Spark broadcasts it only below its own
-    threshold, and else splits hot sources by its skew join.
+    The plan has one row per source; it is broadcast if it is counted to have few,
+    and else joined, where Spark splits hot sources by its skew join.
     """
     rows = written(sized(df, id_col, text_col, source_col, spec.seed), "mix-sizes")
-    told = plan(rows, spec).select(F.col("source").alias("_s"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"), F.col("part").alias("_need"))
+    told = few(plan(rows, spec).select(F.col("source").alias("_s"), F.col("whole").alias("_whole"), F.col("cut").alias("_cut"), F.col("part").alias("_need")))
     docs = df.withColumn("_size", word_count(F.col(text_col)))
     docs = docs.withColumn("_key", F.struct(md5_hash(spec.seed, F.col(id_col), F.col("_size")).alias("h"), F.col(id_col).alias("doc_id"), F.col("_size").alias("size")))
     docs = docs.join(told, F.col(source_col).eqNullSafe(F.col("_s")), "left")
