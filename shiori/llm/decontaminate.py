@@ -150,7 +150,7 @@ def _reporter(sets, pick):
     return run
 
 
-def report(df: DataFrame, benchmark: DataFrame, *, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+def report(df: DataFrame, benchmark: DataFrame, *, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """Per document: n_words, n_hit (words inside hits) and the items that occur in it (sorted as strings)."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -187,7 +187,7 @@ def report(df: DataFrame, benchmark: DataFrame, *, n: int = 10, id_col: str = "d
     ).drop("row")
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, *, n: int = 10, remove: str = "documents", share: float = 0.0, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+def decontaminate(df: DataFrame, benchmark: DataFrame, *, n: int = 10, remove: str = "documents", share: float = 0.0, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """``df`` without contamination: ``documents`` with more than ``share`` of their words hit go, or ``spans`` of hit words are cut out.
 
     A span runs from its first hit word to its last; what stays of the text is
