@@ -10,8 +10,8 @@ hits are marked.
 
 The broadcast: the benchmark's size is measured first.  It is scanned in blocks
 of at most ``block_bytes`` of text, so what is broadcast at once never exceeds a
-block (an item longer than that is a block of its own), however large the
-benchmark; marks of several blocks are united per document.
+block (an item longer than that is a block of its own): at the default of 4 MB
+some hundred MB in a worker, however large the benchmark; marks of several blocks are united per document.
 
 Edge cases: null and wordless texts have no words and are never hit; null or
 wordless items have no windows; repeated items are all counted; repeated

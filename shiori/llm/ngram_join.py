@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiori.llm.common import written
+from shiori.llm.common import few, written
 from shiori.llm.graph import components
 
 #: Most n-grams in the list of common ones (8 bytes each): the bound of its broadcast.
@@ -389,7 +389,8 @@ def links(df: DataFrame, found: DataFrame, *, n: int, percent: int, id_col: str,
     size = written(size.select("family", "_g", "hub", F.when(F.col("_n") <= BLOCK_NODES, F.greatest(F.lit(1), F.ceil(F.col("_g") / (4 * BLOCK_GRAMS)))).otherwise(blocks).cast("long").alias("_b")), "ngram-family-sizes")
     total = size.agg(F.coalesce(F.sum("_g"), F.lit(0))).first()[0]
     docs = df.select(F.col(id_col).cast("long").alias("_id2"), F.xxhash64(text_col).alias("_th2"), F.col(text_col).alias("text"))
-    texts = member.join(size.drop("_g"), "family").join(docs, (F.col("_th") == F.col("_th2")) & F.col("_id").eqNullSafe(F.col("_id2")))
+    asked = few(written(member.join(size.drop("_g"), "family"), "ngram-asked"))
+    texts = docs.join(asked, (F.col("_th") == F.col("_th2")) & F.col("_id").eqNullSafe(F.col("_id2")))
     texts = written(texts.select("node", "family", "n", "hub", "_b", F.pmod(F.xxhash64("node"), F.col("_b")).alias("_own"), "text"), "ngram-texts")
 
     tile = F.pmod(F.xxhash64("family"), F.lit(max(1, total // BLOCK_GRAMS)))
@@ -454,9 +455,9 @@ def keep_one(df: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc
     judged = written(join_components(df, n=n, percent=percent, id_col=id_col, text_col=text_col), "ngram-judged-docs")
     own = (F.col(id_col).cast("long").eqNullSafe(F.col("_id"))) & (F.xxhash64(text_col) == F.col("_th"))
     key = [F.col("doc_id").alias("_id"), F.col("th").alias("_th")]
-    kept = df.join(written(judged.filter("not leads").select(*key).distinct(), "ngram-drop"), own, "left_anti")
+    kept = df.join(few(written(judged.filter("not leads").select(*key).distinct(), "ngram-drop")), own, "left_anti")
     again = judged.filter("leads and n_shingles > 0").groupBy("doc_id", "th").count().filter("count > 1").select(*key)
-    again = written(again, "ngram-again")
+    again = few(written(again, "ngram-again"))
     if not again.head(1):
         return kept
     return kept.join(again, own, "left_anti").unionByName(kept.join(again, own, "left_semi").dropDuplicates([id_col, text_col]))
