@@ -282,14 +282,21 @@ def decide(model: Model | None, texts: list[str | None]) -> list[tuple[str, floa
     return [(model.languages[best[i]], float(score[i]), bool(far[i]), float(ce[i, best[i]] / np.log(2))) if n[i] else (UND, 0.0, True, None) for i in rows]
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most ``rows`` rows, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def identify(df: DataFrame, model: Model | None, spec: LangSpec = LangSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score (0 to 1), rejected and cross_entropy of every row."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             got = decide(shared.value, batch.column(2).to_pylist())
-            columns = [pa.array(c, k) for c, k in zip(zip(*got, strict=True) if got else [[]] * 4, (pa.string(), pa.float64(), pa.bool_(), pa.float64()), strict=True)]
+            columns = [pa.array(c, k) for c, k in zip(zip(*got, strict=True), (pa.string(), pa.float64(), pa.bool_(), pa.float64()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "held_out", "lang_pred", "score", "rejected", "cross_entropy"])
 
     held = crc_fold(F.col(id_col), spec.folds) == spec.held
@@ -301,7 +308,7 @@ def keep_identified(df: DataFrame, model: Model | None, *, text_col: str = "text
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             at = batch.schema.get_field_index(text_col)
             yield batch.filter(pa.array([not r for _, _, r, _ in decide(shared.value, batch.column(at).to_pylist())], pa.bool_()))
 

@@ -48,8 +48,8 @@ from shiori.llm.graph import components
 
 #: Most n-grams in the list of common ones (8 bytes each): the bound of its broadcast.
 COMMON = 1 << 20
-#: An Arrow batch reports n-grams that at least so many of its documents hold.
-COMMON_IN_BATCH = 4
+#: Of so many documents at a time, n-grams are reported that at least so many hold.
+COMMON_DOCS, COMMON_IN_BATCH = 4096, 3
 #: A block holds about this many n-grams, and nodes.
 BLOCK_GRAMS, BLOCK_NODES = 400_000, 512
 #: Rows of n-gram groups that are compared in one task.
@@ -110,14 +110,17 @@ FACTS = "doc_id long, th long, n_shingles long, node long, bins binary, parts ar
 
 
 def common_grams(df: DataFrame, *, n: int, text_col: str) -> np.ndarray:
-    """Sorted n-grams that many documents hold, counted over all of them batch by batch; at most COMMON."""
+    """Sorted n-grams that many documents hold, counted over all of them, some at a time; at most COMMON."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), n) for t in batch.column(0)]
-            grams, times = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-            many = times >= COMMON_IN_BATCH
-            yield pa.RecordBatch.from_arrays([pa.array(grams[many].view(np.int64)), pa.array(times[many], pa.int64())], names=["gram", "times"])
+            for start in range(0, batch.num_rows, COMMON_DOCS):
+                sets = [shingles(t.as_py(), n) for t in batch.column(0).slice(start, COMMON_DOCS)]
+                grams = np.concatenate(sets)
+                del sets
+                grams, times = np.unique(grams, return_counts=True)
+                many = times >= COMMON_IN_BATCH
+                yield pa.RecordBatch.from_arrays([pa.array(grams[many].view(np.int64)), pa.array(times[many], pa.int64())], names=["gram", "times"])
 
     counted = df.select(F.col(text_col).alias("text")).mapInArrow(count, "gram long, times long")
     counted = written(counted.groupBy("gram").agg(F.sum("times").alias("times")), "ngram-common")
