@@ -4,12 +4,16 @@ Two documents link when 100 * |A & B| >= percent * |A | B| over their sets of
 distinct word n-grams.  The join is exact.
 
 1. *Classes.* Documents with equal sets are one node.
-2. *Blocking without loss.*  In any one order of all n-grams, two linked sets
-   share an n-gram among the first |A| - ceil(percent * |A| / 100) + 1 of each
-   (the bound that the sizes imply on the overlap).  A node emits these.  The
-   order puts n-grams that many documents hold last, so that common passages
-   bring few nodes together; it decides the work, never the result.  Nodes that
-   share an emitted n-gram are compared by size and by the parities of their
+2. *Blocking without loss.*  From 85 per cent on, by parts: a linked pair differs
+   in at most D n-grams, a bound derived from the smaller size; dealt by hash to
+   more than D parts that are not empty in both, it agrees on a whole part.  A
+   node emits the hash of each part, for its size class and, if a partner may lie
+   there, for the class below; a level with more parts follows while too many are
+   empty.  Below 85, where parts would hold few n-grams, by prefixes: in any one
+   order of all n-grams, two linked sets share one among the first
+   |A| - ceil(percent * |A| / 100) + 1 of each.  The order puts n-grams that many
+   documents hold last; it decides the work, never the result.  Nodes that
+   share an emitted mark are compared by size and by the parities of their
    n-gram counts in about as many bins as they have n-grams: the bins that differ
    are a lower bound of the difference, and pairs beyond the size-derived bound
    are discarded before any text is read.
@@ -34,6 +38,7 @@ empty table gives no rows.  :func:`keep_one` keeps all columns of its input.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -56,7 +61,10 @@ BLOCK_GRAMS, BLOCK_NODES = 400_000, 512
 GROUP_ROWS = 2_000
 #: N-gram columns multiplied at once.
 SLICE = 4096
-_A = np.uint64(0x9E3779B97F4A7C15)
+#: From this percentage on, part hashes bring nodes together; below, parts would be too small, and prefixes do.
+PARTS_FROM = 85
+LEVELS = 12
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -93,6 +101,48 @@ def prefix(grams: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
     return grams[:size]
 
 
+@functools.lru_cache(maxsize=4)
+def size_classes(percent: int) -> tuple[list[int], list[int]]:
+    """Least sizes of the size classes (a partner is in the same or a neighbouring one), and D of each."""
+    least = [1]
+    while least[-1] < 1 << 40:
+        least.append(max(least[-1] + 1, -(-least[-1] * 100 // percent), least[-1] * 5 // 4))
+    return least, [(b - 1) * (100 - percent) // percent for b in least[1:]]
+
+
+def part_hashes(grams: np.ndarray, percent: int) -> np.ndarray:
+    """The hashes by which a node finds every possible partner."""
+    least, most = size_classes(percent)
+    n = len(grams)
+    k = int(np.searchsorted(least, n, side="right")) - 1
+    schemes = [k]
+    if k and -(-n * percent // 100) <= least[k] - 1:
+        schemes.append(k - 1)
+    tops, mixed, out = grams >> np.uint64(32), mix(grams ^ _B), []
+    for s in schemes:
+        d = most[s]
+        if d == 0:
+            continue  # only equal sets link
+        spare = 1.5 * np.exp(-0.9 * least[s] / (d + 1))
+        for level in range(LEVELS):
+            m = d + 1 + int(np.ceil((d + 1) * spare * 1.3**level)) * (level > 0 or spare > 0.002) + level
+            part = (tops * np.uint64(m)) >> np.uint64(32)
+            start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            sums = np.add.reduceat(mixed, start)
+            tag = np.uint64(s * 64 + level)
+            out.append(mix(sums + part[start] * _C + mix(np.array([m], np.uint64) * _A + tag)))
+            if len(start) > d:
+                break
+        else:
+            out.append(mix(np.array([s], np.uint64) * _A + _C))  # too few parts at any level: all such nodes meet
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def marks(grams: np.ndarray, percent: int, common: np.ndarray | None) -> np.ndarray:
+    """What a node emits, so that linked nodes have at least one in common."""
+    return part_hashes(grams, percent) if common is None else prefix(grams, percent, common)
+
+
 def parities(grams: np.ndarray) -> bytes:
     """A bit per bin of n-grams (by leading bits of the hash): whether it holds an odd number."""
     bits = max(6, int(len(grams) - 1).bit_length())
@@ -137,7 +187,7 @@ def common_grams(df: DataFrame, *, n: int, text_col: str) -> np.ndarray:
 
 def facts(df: DataFrame, *, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Per document: size, node, parities and prefix."""
-    shared = df.sparkSession.sparkContext.broadcast(common_grams(df, n=n, text_col=text_col))
+    shared = df.sparkSession.sparkContext.broadcast(None if percent >= PARTS_FROM else common_grams(df, n=n, text_col=text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +199,7 @@ def facts(df: DataFrame, *, n: int, percent: int, id_col: str, text_col: str) ->
                     sizes.append(len(grams))
                     nodes.append(int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True) if len(grams) else None)
                     bins.append(parities(grams) if len(grams) else b"")
-                    found.append(prefix(grams, percent, shared.value).view(np.int64) if len(grams) else np.zeros(0, np.int64))
+                    found.append(marks(grams, percent, shared.value).view(np.int64) if len(grams) else np.zeros(0, np.int64))
                 offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bins, pa.binary()), lists], names=["doc_id", "th", "n_shingles", "node", "bins", "parts"])
