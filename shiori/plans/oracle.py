@@ -148,6 +148,12 @@ WITH p AS (
   SELECT q.vec_id AS query_id, v.vec_id, round(sqrt(greatest(list_dot_product(q.e, q.e) + list_dot_product(v.e, v.e) - 2 * list_dot_product(q.e, v.e), 0)), 9) AS d
   FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 10) q, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v
 )
+SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) - 1 AS rank FROM p QUALIFY rank < 5""",
+    "vector_batch": """
+WITH p AS (
+  SELECT q.vec_id AS query_id, v.vec_id, round(sqrt(greatest(list_dot_product(q.e, q.e) + list_dot_product(v.e, v.e) - 2 * list_dot_product(q.e, v.e), 0)), 9) AS d
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0) q, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v
+)
 SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) - 1 AS rank FROM p QUALIFY rank < 5""",
     "mean_pool": """
 WITH m AS (SELECT label, i - 1 AS pos, avg(embedding[i]::DOUBLE) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL)

@@ -3,8 +3,10 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
+from shiori.operators import search
 from shiori.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +46,20 @@ def test_library_does_not_need_the_llm_package():
             for node in ast.walk(ast.parse(path.read_text())):
                 names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
                 assert not any("llm" in n for n in names), path
+
+
+def test_vector_batch_asks_every_hundredth_row(spark, tmp_path, monkeypatch):
+    """Ids beyond the first ten are asked, in several blocks, each against all rows."""
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(1050, 8)).astype(np.float32)
+    order = rng.permutation(len(vectors))
+    spark.createDataFrame([(int(i), vectors[i].tolist()) for i in order], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    got = {}
+    for r in catalog.QUERIES["vector_batch"](spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    wide = vectors.astype(np.float64)
+    for q in range(0, 1050, 100):
+        far = np.round(np.sqrt(((wide - wide[q]) ** 2).sum(1)), 9)
+        assert got.pop(q) == dict(enumerate(np.lexsort((np.arange(len(far)), far))[:5].tolist()))
+    assert not got
