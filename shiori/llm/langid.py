@@ -7,10 +7,16 @@ with the interpolated log-probability in every language, and beside each context
 the row of its back-off weights, so a character costs one binary search in most
 cases.  A document goes to the language of lowest cross-entropy per symbol.
 
-Rejection is calibrated on sampled documents that were not counted: a document
-is rejected if it has no letter, or if its cross-entropy, standardised by its
-length, is further above its language's mean than ``slack`` times the furthest
-calibration document of that language.
+Rejection is calibrated on sampled documents that were not counted, and on their
+beginnings of 1, 2, 4, ... characters.  A text's loss is that of the best language
+of each passage of PASSAGE symbols, per symbol, so that a passage in another known
+language does no harm.  A text is rejected if it has no letter, or if its loss is
+above ``slack`` times its language's median loss times a ratio that hangs on its
+length class (powers of two) alone: the QUANTILE of loss over the language's median,
+over the class's calibration texts of all languages.  A class of fewer than
+CLASS_TEXTS has the ratio of the next shorter one, so that no single document sets
+it (fewer than that in every class: all in one); no class has a higher ratio than a
+shorter one.  A language without calibration documents rejects only letterless texts.
 
 Edge cases: null, empty and letterless texts get ``und`` and score 0; a null id
 counts as held out and is never learned from; null languages are never learned;
@@ -40,6 +46,12 @@ SYMBOLS = 1 << BITS
 UND = "und"
 #: Most nats that a language loses at a symbol against the best one.
 GAP = np.float32(3.0)
+#: Symbols of a passage; a divisor of the pieces that texts are measured in.
+PASSAGE = 32
+#: Of the calibration texts of a length class, and the fewest that make a class.
+QUANTILE, CLASS_TEXTS = 0.95, 40
+#: Length classes, by the bits of a text's count of symbols.
+CLASSES = 64
 
 
 @dataclass(frozen=True)
@@ -49,9 +61,8 @@ class LangSpec:
     #: Folds held out: crc32 of the id as text modulo ``folds`` equal to ``held``.
     folds: int = 5
     held: int = 0
-    #: Rejection: times the largest standardised excess of a calibration document, and times the mean.
+    #: Rejection: times the loss that calibration documents of that length reach.
     slack: float = 1.5
-    excess: float = 1.3
     seed: int = 41
 
 
@@ -107,8 +118,8 @@ class Model:
     #: By order from 1: sorted context codes, and log back-off weights.
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
-    #: Mean and deviation of a symbol's code length in its best language; the largest standardised and the largest relative excess.
-    limits: tuple[float, float, float, float] = (0.0, 1.0, np.inf, np.inf)
+    #: Most nats a symbol (languages x length classes) of a text that is not rejected; None: nothing to calibrate on.
+    limits: np.ndarray | None = None
 
     def symbol_logp(self, code: np.ndarray) -> np.ndarray:
         """Log-probability of each code's last symbol after the others (codes x languages)."""
@@ -172,9 +183,9 @@ def train(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
 
 
 def measure(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of each text (0: no letter); by language, the sum of log-probabilities; of the best language at each symbol, their sum and the sum of their squares."""
+    """Symbols of each text (0: no letter); by language, the sum of log-probabilities; their sum in the best language at each symbol, and in that of each passage."""
     n, total = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(model.languages)))
-    best, square = np.zeros(len(texts)), np.zeros(len(texts))
+    best, passages = np.zeros(len(texts)), np.zeros(len(texts))
     held: list[tuple[int, np.ndarray]] = []
     size = 0
 
@@ -184,12 +195,15 @@ def measure(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
             top = values.max(axis=1)
             np.maximum(values, (top - GAP)[:, None], out=values)
             starts = np.cumsum([0, *(len(c) for _, c in held[:-1])])
-            sums, tops, squares = (np.add.reduceat(x, starts, dtype=np.float64) for x in (values, top, top * top))
+            sums, tops = (np.add.reduceat(x, starts, dtype=np.float64) for x in (values, top))
+            within = [np.arange(a, a + len(c), PASSAGE) for a, (_, c) in zip(starts, held, strict=True)]
+            told = np.add.reduceat(values, np.concatenate(within), dtype=np.float64).max(axis=1)
+            own = np.add.reduceat(told, np.cumsum([0, *(len(w) for w in within[:-1])]))
             for k, (i, c) in enumerate(held):
                 n[i] += len(c)
                 total[i] += sums[k]
                 best[i] += tops[k]
-                square[i] += squares[k]
+                passages[i] += own[k]
             held.clear()
 
     for i, text in enumerate(texts):
@@ -205,7 +219,29 @@ def measure(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
                 flush()
                 size = 0
     flush()
-    return n, total, best, square
+    return n, total, best, passages
+
+
+def beginnings(text: str) -> list[str]:
+    """The text, and its first 1, 2, 4, ... characters."""
+    return [*(text[: 1 << k] for k in range((len(text) - 1).bit_length())), text]
+
+
+def length_class(n: np.ndarray) -> np.ndarray:
+    """Bits of a count of symbols."""
+    return np.frexp(n)[1]
+
+
+def ratios(n: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """By length class, the QUANTILE of the calibration texts' losses over their languages' medians."""
+    out, last = np.empty(CLASSES), np.inf
+    kind = length_class(n)
+    known = [c for c in range(CLASSES) if (kind == c).sum() >= CLASS_TEXTS]
+    first = np.quantile(ratio[kind == known[0]] if known else ratio, QUANTILE)
+    for c in range(CLASSES):
+        last = min(last, np.quantile(ratio[kind == c], QUANTILE) if c in known else first)
+        out[c] = last
+    return out
 
 
 def crc_fold(id_col: Column, folds: int) -> Column:
@@ -248,18 +284,18 @@ def fit(df: DataFrame, spec: LangSpec = LangSpec(), *, id_col: str = "doc_id", t
     shared = spark.sparkContext.broadcast(model)
 
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, _, best, square = measure(shared.value, batch.column(0).to_pylist())
-            keep = n > 0
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (n, best, square)], names=["n", "s", "q"])
-
-    seen = rows.filter("calibrates").select("text").mapInArrow(calibrate, "n long, s double, q double").toPandas()
-    n = seen["n"].sum()
-    if n > 1:  # else nothing to calibrate on: nothing but letterless texts is rejected
-        mean = -seen["s"].sum() / n
-        dev = max(np.sqrt(max(seen["q"].sum() / n - mean * mean, 0)), 1e-6)
-        excess = (-seen["s"] / seen["n"] - mean) * np.sqrt(seen["n"]) / dev
-        model.limits = float(mean), float(dev), spec.slack * max(float(excess.max()), 4.0), spec.excess
+        for batch in parts(batches, 64):
+            rows = [(x, t, t is text) for x, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for t in beginnings(text)]
+            n, _, _, passages = measure(shared.value, [t for _, t, _ in rows])
+            loss = -passages / np.maximum(n, 1)
+            columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.bool_()), pa.array(n), pa.array(loss)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "whole", "n", "loss"]).filter(pa.array(n > 0))
+
+    seen = rows.filter(F.col("calibrates") & F.col("lang").isin(model.languages)).select("lang", "text").mapInArrow(calibrate, "lang string, whole boolean, n long, loss double").toPandas()
+    if len(seen):  # else nothing to calibrate on: nothing but letterless texts is rejected
+        middle = seen[seen["whole"]].groupby("lang")["loss"].median().clip(lower=1e-6)
+        of_class = ratios(seen["n"].to_numpy(), (seen["loss"] / seen["lang"].map(middle)).to_numpy())
+        model.limits = spec.slack * middle.reindex(model.languages, fill_value=np.inf).to_numpy()[:, None] * of_class
     return model
 
 
@@ -270,15 +306,13 @@ def decide(model: Model | None, texts: list[str | None]) -> list[tuple[str, floa
     """lang_pred, score, rejected, cross-entropy (bits a symbol) of each text."""
     if model is None:
         return [(UND, 0.0, True, None)] * len(texts)
-    n, total, top, _ = measure(model, texts)
+    n, total, _, passages = measure(model, texts)
     best, rows, size = np.argmax(total, axis=1), np.arange(len(texts)), np.maximum(n, 1)
     ce = -total / size[:, None]
     # Posterior of the best language; evidence counts up to 40 symbols, as neighbouring symbols aren't independent.
     odds = np.exp(-(ce - ce[rows, best][:, None]) * np.minimum(n, 40)[:, None])
     score = 1 / odds.sum(axis=1)
-    mean, dev, furthest, times = model.limits
-    least = -top / size
-    far = ((least - mean) * np.sqrt(size) / dev > furthest) & (least > times * mean)
+    far = np.zeros(len(texts), bool) if model.limits is None else -passages / size > model.limits[best, length_class(size)]
     return [(model.languages[best[i]], float(score[i]), bool(far[i]), float(ce[i, best[i]] / np.log(2))) if n[i] else (UND, 0.0, True, None) for i in rows]
 
 

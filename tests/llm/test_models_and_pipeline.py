@@ -101,6 +101,27 @@ def test_two_languages_in_one_text(spark, tongues):
     assert [(lang, rejected) for lang, _, rejected, _ in got] == [("bb", False), ("cc", False)]
 
 
+def test_rejects_short_junk_beside_a_long_outlier(spark, tongues):
+    """One long document of junk that calibrates sets no limit; limits do not grow with length."""
+    junk = " ".join("".join(random.Random(9 + i).choice("qxzwvjfgyp") for _ in range(5)) for i in range(4000))
+    tried = docs(spark, [(7000 + i, "x", "aa", "s") for i in range(40)])
+    outlier = next(r.doc for r in langid.sample(tried, langid.LangSpec(), "doc_id", "text", "lang").collect() if r.calibrates)
+    model = langid.fit(docs(spark, [*tongues, (outlier, junk, "aa", "s")]))
+    rng = random.Random(10)
+    short = ["".join(rng.choice("qxzwvjfgyp ") for _ in range(n)).strip() + "q" for n in (8, 16, 30, 60) for _ in range(5)]
+    clean = [prose(rng, lang, n) for lang in SYLLABLES for n in (4, 8, 30, 900)]
+    assert [r for _, _, r, _ in langid.decide(model, [*short, junk, *clean])] == [True] * (len(short) + 1) + [False] * len(clean)
+    assert np.isfinite(model.limits).all() and (np.diff(model.limits, axis=1) <= 0).all()
+
+
+def test_language_that_nothing_calibrates(spark):
+    """Too few documents to calibrate on: only letterless texts are rejected."""
+    rows = langid.sample(docs(spark, [(i, "x", "aa", "s") for i in range(40)]), langid.LangSpec(), "doc_id", "text", "lang").collect()
+    counted = next(r.doc for r in rows if not r.calibrates)
+    model = langid.fit(docs(spark, [(counted, prose(random.Random(1), "aa", 50), "aa", "s")]))
+    assert model.limits is None and [r for _, _, r, _ in langid.decide(model, ["qxz wv", "12", None])] == [False, True, True]
+
+
 # --- quality
 
 
