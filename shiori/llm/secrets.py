@@ -82,8 +82,11 @@ def _literals(tokens) -> list[str] | None:
                 part = ["", *inner]
             elif low == high == 1:
                 part = inner
+            elif low and len(inner) ** 2 <= ALTERNATIVES:
+                # First and last repetition, each any alternative; of a single one the first is the last.
+                part = [f"{x}{BREAK}{y}" for x in inner for y in inner]
             else:
-                part = [f"{x}{BREAK}{x}" if low else BREAK for x in inner] if low else [BREAK]
+                part = [BREAK]
         else:
             part = [BREAK]
         out = list(dict.fromkeys(a + b for a in out for b in part))

@@ -303,6 +303,15 @@ def test_trigram_queries_are_mandatory():
                 assert any(all(g in text.lower() for g in c) for c in query)
 
 
+def test_repeats_of_alternatives(spark):
+    """The first and the last repetition may be different alternatives: no match is lost to the index."""
+    assert secrets.trigram_query("key(abc)+def") == [frozenset({"key", "eya", "yab", "abc", "bcd", "cde", "def"})]
+    rules = (secrets.Rule("bits", "id=[01]{8}end"), secrets.Rule("words", "(foo|bar)+xyz"), secrets.Rule("many", "pre([abcd]|[efgh]|[ijkl])+suf"))
+    texts = ["id=00000001end", "id=10101010end", "id=11111111end", "foobarxyz", "xyz barxyz", "barfoofooxyz", "preasuf preaksuf", "id=0000end fooxy presuf"]
+    got = {r.doc_id: [tuple(x) for x in r.found] for r in secrets.scan(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), rules).collect()}
+    assert got == {i: sorted((m.start(), k, m.end()) for k, r in enumerate(rules) for m in re.finditer(r.pattern, t)) for i, t in enumerate(texts)}
+
+
 def test_secrets_plan_is_native(spark):
     plan = secrets.digest(secrets.scan(docs(spark, [(1, "password=hunter22", "s")])))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
