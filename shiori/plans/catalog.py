@@ -252,13 +252,25 @@ def rrf_fuse(spark, sf_dir):
     return fused.select("chunk_id", F.round("score", 9).alias("score"), "method", F.col("rank").cast("long").alias("rank"))
 
 
+def turns_as_chunks(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("source"), F.col("turn").alias("chunk_id"), F.col("text").alias("chunk_text"))
+
+
 @query
 def adjacent_text(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("source"), F.col("turn").alias("chunk_id"), F.col("text").alias("chunk_text"))
+    """The context of every second turn."""
+    turns = turns_as_chunks(spark, sf_dir)
     hits = turns.filter("chunk_id % 2 = 0").select("source", "chunk_id")
     return search.with_context(hits, turns, WINDOW)
 
 
+@query
+def adjacent_batch(spark, sf_dir):
+    """The context of all turns."""
+    turns = turns_as_chunks(spark, sf_dir)
+    return search.with_context(turns.select("source", "chunk_id"), turns, WINDOW)
+
+
 def hybrid(spark, sf_dir, queries: DataFrame) -> DataFrame:
     embedder = embedding.HashedEmbedder(DIM)
     chunks = with_source(document_chunks(spark, sf_dir)).withColumn("vector", embedding.embed(F.col("chunk_text"), embedder, "double")).persist()

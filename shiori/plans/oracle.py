@@ -169,6 +169,10 @@ SELECT CAST(p_partkey AS BIGINT) AS chunk_id, round(s, 9) AS score, CASE legs WH
 WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS source, turn, text FROM conversations)
 SELECT h.source, h.turn AS chunk_id, string_agg(n.text, chr(10) ORDER BY n.turn) AS text
 FROM t h JOIN t n ON h.source = n.source AND n.turn BETWEEN h.turn - 1 AND h.turn + 1 WHERE h.turn % 2 = 0 GROUP BY ALL""",
+    "adjacent_batch": """
+WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS source, turn, text FROM conversations)
+SELECT h.source, h.turn AS chunk_id, string_agg(n.text, chr(10) ORDER BY n.turn) AS text
+FROM t h JOIN t n ON h.source = n.source AND n.turn BETWEEN h.turn - 1 AND h.turn + 1 GROUP BY ALL""",
     "hybrid_search": f"""
 WITH RECURSIVE {_search(ONE)}
 SELECT f.source, f.chunk_id, f.score, f.method, string_agg(c.chunk_text, chr(10) ORDER BY c.chunk_id) AS text, f.rank

@@ -63,3 +63,10 @@ def test_vector_batch_asks_every_hundredth_row(spark, tmp_path, monkeypatch):
         far = np.round(np.sqrt(((wide - wide[q]) ** 2).sum(1)), 9)
         assert got.pop(q) == dict(enumerate(np.lexsort((np.arange(len(far)), far))[:5].tolist()))
     assert not got
+
+
+def test_adjacent_batch_takes_every_turn(spark, tmp_path):
+    turns = [(c, t, f"{c}.{t}") for c in (1, 2) for t in range(5)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.source, r.chunk_id): r.text for r in catalog.QUERIES["adjacent_batch"](spark, str(tmp_path)).collect()}
+    assert got == {(str(c), t): "\n".join(f"{c}.{n}" for n in range(max(t - 1, 0), min(t + 1, 4) + 1)) for c, t, _ in turns}
