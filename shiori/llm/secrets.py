@@ -2,19 +2,24 @@
 
 From each rule's regular expression a Boolean trigram query is derived: an OR of
 conjunctions of trigrams that any match must hold.  Postings (trigram, document)
-are built over the ASCII-folded texts for the queries' trigrams; a conjunction's
-postings are intersected by one aggregation; the candidates are joined back and
-verified by the rule itself.  Rules without mandatory trigrams scan every text.
+are built over the folded texts for the trigrams of the rules asked for: an index
+serves one rule set and those whose trigrams it holds, not any other.  A
+conjunction's postings are intersected by one aggregation; the candidates are
+joined back and verified by the rule itself.  Rules without mandatory trigrams
+scan every text.  Trigrams are of ASCII characters alone, which fold one by one;
+any other character ends a literal.
 
 Spans are found without a UDF: splitting a text by a rule's matches gives the
 gaps, extracting gives the matches, and their running lengths give the offsets
-(code points, end exclusive).
+(code points, end exclusive).  The lengths are summed in blocks of BLOCK matches, so
+that no step copies more than a block and the list of blocks.
 
 Base kinds: assign, access, hex; further kinds follow them and only add spans.
 
 Edge cases: null and empty texts have no spans; matches that fail a length rule
 are dropped (the text they covered is not searched again); repeated rows are each
-reported; an empty table gives no rows; only the named input columns are read.
+reported; an empty table gives no rows; only the named input columns are read;
+a rule that matches the empty string is an error.
 A document is named in the index by a 64-bit hash of id and text; a collision
 makes a candidate more, never a span.
 """
@@ -59,18 +64,25 @@ RULES = BASE + MORE
 
 #: A class of more characters, or a product of more alternatives, ends a literal.
 CLASS_SIZE, ALTERNATIVES = 5, 64
+#: Matches that are summed before their block is appended to the others.
+BLOCK = 64
 #: Ends a literal segment.
 BREAK = "\0"
 
 
+def _folded(point: int) -> str:
+    """A literal character as it stands in the folded text."""
+    return chr(point).lower() if 0 < point < 128 else BREAK
+
+
 def _literals(tokens) -> list[str] | None:
     """Strings of literal segments (parted by BREAK), one of which every match contains in order; None: too many."""
     out = [""]
     for op, arg in tokens:
         if op is rc.LITERAL:
-            part = [chr(arg)]
+            part = [_folded(arg)]
         elif op is rc.IN and all(o is rc.LITERAL for o, _ in arg) and len(arg) <= CLASS_SIZE:
-            part = [chr(a) for _, a in arg]
+            part = [_folded(a) for _, a in arg]
         elif op is rc.SUBPATTERN:
             part = _literals(arg[-1]) or [BREAK]
         elif op is rc.BRANCH:
@@ -97,10 +109,13 @@ def _literals(tokens) -> list[str] | None:
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     """An OR of ANDs of folded trigrams that every match holds; None if some match may hold none."""
-    found = _literals(_parser.parse(pattern))
+    parsed = _parser.parse(pattern)
+    if parsed.getwidth()[0] == 0:
+        raise ValueError(f"rule matches the empty string: {pattern}")
+    found = _literals(parsed)
     if found is None:
         return None
-    out = {frozenset(s[i : i + 3] for s in x.lower().split(BREAK) for i in range(len(s) - 2)) for x in found}
+    out = {frozenset(s[i : i + 3] for s in x.split(BREAK) for i in range(len(s) - 2)) for x in found}
     if frozenset() in out:
         return None
     return sorted((x for x in out if not any(y < x for y in out)), key=sorted)
@@ -135,12 +150,20 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...], trigrams: list[str]) -
     return written(met.groupBy("key").agg(F.collect_set("rule").alias("rules")), "secret-candidates")
 
 
+EMPTY = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spans(text: Column, rule: Rule, number: int) -> Column:
     """array<struct<start, kind, end>> of a rule's matches in order, those that fail its length dropped."""
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.split(text, rule.pattern, -1)
     sized = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(F.length(g).alias("gap"), F.length(h).alias("size"), (F.length(F.regexp_extract(h, rule.pattern, rule.group)) >= rule.least).alias("ok")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
+    blocks = _let(sized, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / BLOCK).cast("int")), lambda k: F.slice(s, k * BLOCK + 1, F.lit(BLOCK))))
 
     def step(acc: Column, x: Column) -> Column:
         a = acc["at"] + x["gap"]
@@ -148,7 +171,13 @@ def spans(text: Column, rule: Rule, number: int) -> Column:
         one = F.struct(a.alias("start"), F.lit(number).alias("kind"), b.alias("end"))
         return F.struct(b.alias("at"), F.when(x["ok"], F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(sized, start, step)["out"]
+    def block(acc: Column, xs: Column) -> Column:
+        own = F.aggregate(xs, F.struct(acc["at"].alias("at"), F.array().cast(EMPTY).alias("out")), step)
+        return _let(own, lambda o: F.struct(o["at"].alias("at"), F.array_append(acc["out"], o["out"]).alias("out")))
+
+    none = F.array().cast(EMPTY)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{EMPTY}>").alias("out"))
+    return F.when(text.rlike(rule.pattern), F.flatten(F.aggregate(blocks, start, block)["out"])).otherwise(none)
 
 
 def full_scan(text: Column, rule: Rule, number: int) -> Column:
@@ -160,9 +189,6 @@ def full_scan(text: Column, rule: Rule, number: int) -> Column:
     return spans(text, Rule(rule.kind, f"{own[1]}{{{rule.least},}}"), number)
 
 
-EMPTY = "array<struct<start:int,kind:int,end:int>>"
-
-
 def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ``found``: every span of every rule, by start, then kind in the rules' order."""
     queries = [trigram_query(r.pattern) for r in rules]
