@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -76,18 +77,21 @@ def running(
     *,
     tie: list[str],
     first: str | None = None,
-    rows_per_bucket: int = 50_000,
+    rows_per_bucket: int | None = None,
     rows: int | None = None,
 ) -> DataFrame:
     """Adds ``_n`` (rows before this one in its group) and ``_before_<c>`` (sum of c before it).
 
     A group may hold any share of the rows: rows are dealt by (group, bucket of
     the hash ``order``), numbered inside buckets, and shifted by the totals of
-    the buckets before, so no task holds a whole group.  ``order`` must be a
+    the buckets before, so no task holds a whole group.  There are as many buckets
+    as a bucket has rows (the root of their count, 512 rows at least), so neither
+    a bucket nor a group's list of buckets grows beyond that.  ``order`` must be a
     63-bit hash; ``first`` (boolean) puts its rows before all others; ``tie``
     breaks ties of the hash.  ``df`` is read twice: pass a written table.
     """
     rows = df.count() if rows is None else rows
+    rows_per_bucket = rows_per_bucket or max(512, math.isqrt(rows))
     buckets = max(1, -(-rows // rows_per_bucket))
     bucket = F.floor(F.col(order) / F.lit(2**63 / buckets)).cast("long")
     if first:

@@ -73,26 +73,28 @@ WITH tab AS (
     lambda crc, b: xor(crc // 256, t[xor(crc, b) % 256 + 1]))) AS crc FROM x, tab
 ), d AS (
   SELECT doc_id, CAST(coalesce(strlen(d.text), 0) + 1 AS BIGINT) AS size, CAST(coalesce(crc, 0) AS BIGINT) AS text_crc32, {_hash(30, "doc_id")} % 6 AS old FROM documents d LEFT JOIN crcs ON d.text = crcs.text
-), e AS (SELECT *, {_hash(29, "doc_id", "text_crc32")} AS h FROM d
+), e AS (
+  SELECT *, {_hash(29, "doc_id", "text_crc32", "nth")} AS h FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text_crc32, size) - 1 AS nth FROM d)
 ), tot AS (SELECT sum(size) AS total FROM e
 ), caps AS (SELECT j, total // 8 + CASE WHEN j < total % 8 THEN 1 ELSE 0 END AS cap FROM tot, range(8) AS g(j)
 ), olds AS (SELECT i, coalesce((SELECT sum(size) FROM e WHERE old = i), 0) AS size FROM range(6) AS g(i)
-), gives AS (SELECT i, least(size, cap) AS stay, size - least(size, cap) AS over, sum(size - least(size, cap)) OVER (ORDER BY i) AS top FROM olds JOIN caps ON i = j
+), gives AS (SELECT i, least(size, cap) AS stay FROM olds JOIN caps ON i = j
 ), takes AS (SELECT j, cap - coalesce(stay, 0) AS room, sum(cap - coalesce(stay, 0)) OVER (ORDER BY j) AS top FROM caps LEFT JOIN gives ON i = j
-), flow AS (
-  SELECT i, i AS j, stay AS bytes, 0 AS moved FROM gives WHERE stay > 0
-  UNION ALL
-  SELECT i, j, least(g.top, t.top) - greatest(g.top - over, t.top - room), 1 FROM gives g, takes t WHERE least(g.top, t.top) > greatest(g.top - over, t.top - room)
-), runs AS (
-  SELECT i, j, sum(bytes) OVER w - bytes AS low, sum(bytes) OVER w AS high, row_number() OVER (PARTITION BY i ORDER BY moved DESC, j DESC) = 1 AS last FROM flow WINDOW w AS (PARTITION BY i ORDER BY moved, j)
-), keys AS (SELECT old, h, doc_id, text_crc32, size, sum(size) AS bytes, size <= greatest(1, (SELECT total FROM tot) // (8 * 4096)) AS small FROM e GROUP BY ALL
 ), seen AS (
-  SELECT *, coalesce(sum(bytes) OVER (PARTITION BY old ORDER BY small, h, doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + bytes / 2.0::DOUBLE AS middle FROM keys
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY old ORDER BY size <= (SELECT greatest(1, total // (8 * 4096)) FROM tot), h, doc_id NULLS FIRST, text_crc32, size, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e
+), k AS (
+  -- What stays in its shard; the point of rounding differs by shard.
+  SELECT seen.*, before + size * (1.0::DOUBLE - (old + 0.5::DOUBLE) / 6.0::DOUBLE) < stay AS stays FROM seen JOIN gives ON i = old
+), t AS (
+  SELECT *, coalesce(sum(tail) OVER (ORDER BY old ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - kept AS shift, sum(tail) OVER () AS tails
+  FROM (SELECT old, coalesce(sum(size) FILTER (stays), 0) AS kept, coalesce(sum(size) FILTER (NOT stays), 0) AS tail FROM k GROUP BY old)
+), ends AS (
+  -- The line of what does not stay, cut in proportion to what each receiving shard lacks.
+  SELECT j, CASE WHEN top = max(top) OVER () THEN 1e300 ELSE top::DOUBLE * (SELECT max(tails) FROM t) / (max(top) OVER ())::DOUBLE END AS stop FROM takes WHERE room > 0
 ), placed AS (
-  SELECT e.*, j AS shard FROM e JOIN seen USING (old, h, text_crc32, size) JOIN runs ON i = old AND middle >= low AND (middle < high OR last)
-  WHERE e.doc_id IS NOT DISTINCT FROM seen.doc_id
+  SELECT k.*, CASE WHEN stays THEN old ELSE (SELECT min(j) FROM ends WHERE stop > before + shift + size / 2.0::DOUBLE) END AS shard FROM k JOIN t USING (old)
 )
-SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST, text_crc32, size, nth) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM placed
 """
 

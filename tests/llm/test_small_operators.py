@@ -152,6 +152,32 @@ def test_reshard(spark):
     assert rows(sharding.reshard(df, sharding.old_by_hash(6), 6, 8)) == sorted((tuple(r) for r in got), key=repr)
 
 
+@pytest.mark.parametrize("data", [
+    [(i, "y" * 100, "s") for i in range(400)] + [(7, "x" * 100, "s")] * 600,
+    [(None, None, None)] * 1000,
+    [(None, None, None)] * 1004,
+    [(i, "y" * 99, "s") for i in range(1003)],
+    [(1, "same", "s")] * 5 + [(i, "z" * (i % 7), "s") for i in range(90)],
+])
+def test_reshard_cuts_inside_repeated_rows(spark, data):
+    for parts in (1, 7):
+        got = sharding.reshard(docs(spark, data).repartition(parts), sharding.old_by_hash(6), 6, 8).collect()
+        assert len(got) == len(data)
+        sizes = [sum(r["size"] for r in got if r.shard == k) for k in range(8)]
+        assert max(sizes) - min(sizes) <= max(r["size"] for r in got)
+        for k in range(8):
+            assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+
+
+def test_rewrite_cuts_inside_repeated_rows(spark):
+    path = new_path(spark, "old")
+    sharding.write_shards(docs(spark, [(7, "x" * 99, "s")] * 300 + [(None, "y" * 99, None)] * 20).repartition(3), F.lit(0), path)
+    manifest, _ = sharding.rewrite(spark, path, 1, 4)
+    got = [spark.read.parquet(*manifest[k]).collect() for k in range(4)]
+    assert [len(g) for g in got] == [80] * 4
+    assert sum(r.doc_id is None for g in got for r in g) == 20
+
+
 def test_reshard_edges(spark):
     assert sharding.reshard(docs(spark, []), sharding.old_by_hash(6), 6, 8).count() == 0
     got = sharding.reshard(docs(spark, [(1, None, None)]), sharding.old_by_hash(6), 6, 8).collect()
