@@ -7,16 +7,22 @@ weights; the weights maximise the likelihood of labelled pages (forward-backward
 Adam), and a page is decoded by Viterbi.
 
 The labelled pages are written by :func:`labelled_pages`: seeded layouts with
-articles in article / main / div elements among menus, headers, sidebars,
-notices, adverts, forms and reader comments, whose labels are known by
-construction.  Callers may train on pages of their own instead.
+articles in article / main / section / div / td elements or bare, among menus,
+headers, sidebars, notices, adverts, forms and reader comments, some of them
+inside the article, whose labels are known by construction.  Callers may train
+on pages of their own instead.
+
+Cutting takes time in proportion to the page: nothing is searched again that was
+not found once, and open elements are found by name, not by a walk up the stack.
 
 Edge cases: null and empty html give the empty text; text outside any element is
 a block; unclosed p, li, td, th, tr, dt, dd, option are closed as HTML5 implies;
 ``br`` is white space within its block; character references are decoded; white
 space (Unicode) inside a block becomes one space.  Contents of script, style,
-template, noscript, iframe, svg, head, textarea, select and button are never
-text.  Repeated pages are each extracted.  Only the named input columns are read.
+title, template, noscript, iframe, svg, textarea, select and button are never
+text (those that may hold markup are ignored if they are not closed).  A quote
+that is not closed ends nothing: from there on a tag ends at the next ``>``.
+Repeated pages are each extracted.  Only the named input columns are read.
 """
 
 from __future__ import annotations
@@ -34,19 +40,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Element names of HTML.
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = frozenset("script style template noscript iframe svg head textarea select button".split())
+#: Contents that are no markup, and elements of markup that are never text.
+RAW = frozenset("script style textarea title iframe".split())
+HIDDEN = frozenset("template noscript svg select button".split())
 #: Start tags that end an open element of these names (up to a border).
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BORDER = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-#: Elements that an unclosed p does not reach out of.
-CLOSES_P = BLOCK - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "option"}
-
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][A-Za-z0-9:_-]*)([^>]*)>", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: What an end tag does not reach out of.
+SCOPE = ("html", "table", "td", "th", "caption")
+IN_TABLE = frozenset("tr td th tbody thead tfoot caption".split())
+#: Elements whose start ends an open p.
+CLOSES_P = BLOCK - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "caption"}
+#: Elements that hold blocks of their own rather than a run of text.
+CONTAINERS = frozenset("article aside body center details dialog div fieldset footer form header html main menu nav ol section table td ul".split())
+
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][A-Za-z0-9:_-]*)|/)")
+_MARK = re.compile(r">|=\s*[\"']")
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[a-z]{2,}")
+_STOPS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW | HIDDEN}
 
 
 @dataclass(slots=True)
@@ -55,14 +69,82 @@ class Block:
     tag: str
     ancestors: frozenset
     names: frozenset
+    #: The names of its own element alone.
+    own: frozenset
     linked: int
+    #: Number of the innermost container.
+    group: int
+
+
+class _Stack:
+    """Open block elements, found by name; inline elements are not kept."""
+
+    def __init__(self, known: frozenset | None) -> None:
+        self.known = known
+        self.open: list[tuple[str, frozenset, int]] = []
+        self.at: dict[str, list[int]] = {name: [] for name in BLOCK}
+        self.headings: list[int] = []
+        self.counts: dict[str, int] = {}
+        self.groups = 0
+        self.seen: tuple[frozenset, frozenset] | None = None
+
+    def push(self, name: str, attributes: str) -> None:
+        found: frozenset = frozenset()
+        if attributes and name not in ("html", "body"):
+            found = frozenset(_PARTS.findall(" ".join("".join(x) for x in _NAMES.findall(attributes)).lower()))
+            if self.known is not None:
+                found &= self.known
+        if not self.at[name]:
+            self.seen = None
+        self.at[name].append(len(self.open))
+        if name in HEADINGS:
+            self.headings.append(len(self.open))
+        if name in CONTAINERS:
+            self.groups += 1
+            group = self.groups
+        else:
+            group = self.open[-1][2] if self.open else 0
+        self.open.append((name, found, group))
+        for c in found:
+            if c not in self.counts:
+                self.seen = None
+            self.counts[c] = self.counts.get(c, 0) + 1
+
+    def cut(self, k: int) -> None:
+        while len(self.open) > k:
+            name, found, _ = self.open.pop()
+            self.at[name].pop()
+            if not self.at[name]:
+                self.seen = None
+            if name in HEADINGS:
+                self.headings.pop()
+            for c in found:
+                self.counts[c] -= 1
+                if not self.counts[c]:
+                    del self.counts[c]
+                    self.seen = None
+
+    def border(self, names: tuple) -> int:
+        return max((self.at[n][-1] for n in names if n in self.at and self.at[n]), default=-1)
+
+    def close(self, name: str, border: int) -> None:
+        """Ends the innermost open ``name`` above ``border`` with all inside it."""
+        places = self.headings if name in HEADINGS else self.at[name]
+        if places and places[-1] > border:
+            self.cut(places[-1])
+
+    def context(self) -> tuple[frozenset, frozenset]:
+        if self.seen is None:
+            self.seen = frozenset(n for n, places in self.at.items() if places), frozenset(self.counts)
+        return self.seen
 
 
-def leaf_blocks(html: str) -> list[Block]:
+def leaf_blocks(html: str, known: frozenset | None = None) -> list[Block]:
+    """The blocks of a page in order; ``known``: the class and id words that matter (None: all)."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset]] = []
-    buffer: list[str] = []
-    links, linked, at = 0, 0, 0
+    stack, buffer = _Stack(known), []
+    link, linked, at, size = False, 0, 0, len(html)
+    plain, missing = False, set()
 
     def flush() -> None:
         nonlocal linked
@@ -73,99 +155,143 @@ def leaf_blocks(html: str) -> list[Block]:
                 text = html_lib.unescape(text)
             text = " ".join(text.split())
             if text:
-                own = next((n for n, _ in reversed(stack) if n in BLOCK), "")
-                out.append(Block(text, own, frozenset(n for n, _ in stack), frozenset().union(*(c for _, c in stack)), linked))
+                own, found, group = stack.open[-1] if stack.open else ("", frozenset(), 0)
+                out.append(Block(text, own, *stack.context(), found, linked, group))
         linked = 0
 
-    def close(name: str, border: tuple = ()) -> None:
-        """Ends the innermost open ``name`` above ``border`` with all inside it."""
-        nonlocal links
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name or (name in HEADINGS and stack[k][0] in HEADINGS):
-                links -= sum(n == "a" for n, _ in stack[k:])
-                del stack[k:]
-                return
-            if stack[k][0] in border:
-                return
-
-    size = len(html)
+    def tag_end(start: int) -> int:
+        """Where the tag's ``>`` stands, quoted values passed over; -1: nowhere."""
+        nonlocal plain
+        here = start
+        while not plain:
+            m = _MARK.search(html, here)
+            if m and m[0] == ">":
+                return m.start()
+            close = html.find(m[0][-1], m.end()) if m else -1
+            plain = close < 0
+            here = close + 1
+        return html.find(">", start)
+
+    def held(text: str) -> None:
+        nonlocal linked
+        buffer.append(text)
+        if link:
+            linked += len(text)
+
     while at < size:
-        m = _TAG.search(html, at)
-        text = html[at : m.start() if m else size]
-        if text:
-            buffer.append(text)
-            if links:
-                linked += len(text)
+        m = _OPEN.search(html, at)
         if not m:
+            held(html[at:])
             break
+        if m.start() > at:
+            held(html[at : m.start()])
         at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
+        if m[1]:
+            stop = html.find("-->", m.start() + 2)
+            at = stop + 3 if stop >= 0 else size
+            continue
+        name = (m[4] or "").lower()
+        if not name:  # <!doctype>, <?xml>, </ and no name
+            stop = html.find(">", at)
+            at = stop + 1 if stop >= 0 else size
             continue
-        end, attributes = m[1] or m[4], (m[3] if m[2] else m[6]) or ""
-        if name in SKIP and not end:
-            if not attributes.endswith("/") or name != "svg":
-                stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
-                # An unclosed head ends where the body starts; other unclosed ones take the rest.
-                if name == "head" and not stop:
-                    stop = re.compile(r"(?=<body\b)", re.I).search(html, at)
-                at = stop.end() if stop else size
+        stop = tag_end(at)
+        if stop < 0:
+            break
+        attributes, at, end = html[at:stop], stop + 1, m[3]
+        if name in _STOPS:
+            if end or (name == "svg" and attributes.endswith("/")):
+                continue
+            found = None if name in missing else _STOPS[name].search(html, at)
+            if found:
+                stop = tag_end(found.end())
+                at = stop + 1 if stop >= 0 else size
+            elif name in RAW:
+                break
+            else:
+                missing.add(name)
             continue
-        if name == "br":
+        if name == "a":
+            link = not end
+        elif name == "br":
             buffer.append(" ")
+        if name not in BLOCK:
             continue
-        if name in BLOCK:
-            flush()
+        flush()
         if end:
-            if name == "p" and all(n != "p" for n, _ in stack):
-                continue
-            close(name, ("html",) if name in BLOCK else tuple(BLOCK))
-        elif name not in VOID:
+            if name in IN_TABLE:
+                stack.close(name, stack.border(("html", "table")))
+            else:
+                stack.close(name, stack.border(("html",) if name == "table" else SCOPE))
+        elif name != "hr":
             if name in CLOSES_P:
-                close("p", ("td", "th", "li", "article", "section", "div", "body", "blockquote"))
-            if name in IMPLIED:
-                for other in IMPLIED[name]:
-                    close(other, BORDER[name])
-            found = frozenset(_PARTS.findall(" ".join("".join(x) for x in _NAMES.findall(attributes)).lower())) if attributes else frozenset()
-            stack.append((name, found))
-            links += name == "a"
+                stack.close("p", stack.border(SCOPE))
+            for other in IMPLIED.get(name, ()):
+                stack.close(other, stack.border(BORDER[name]))
+            stack.push(name, attributes)
     flush()
     return out
 
 
-def features(blocks: list[Block]) -> list[list[str]]:
-    """Names of each block's binary features."""
-    out = []
-    for i, b in enumerate(blocks):
-        own = ["bias", f"tag={b.tag}", *(f"in={n}" for n in b.ancestors), *(f"name={n}" for n in b.names)]
+def context_features(tag: str, ancestors: frozenset, names: frozenset, found: frozenset) -> list[str]:
+    """Of a block's place in the tree."""
+    own = ["bias", f"tag={tag}", *(f"in={n}" for n in ancestors), *(f"name={n}" for n in names), *(f"own={n}" for n in found)]
+    inside = next((n for n in ("article", "main") if n in ancestors), None)
+    return own + [f"{n}<{inside}" for n in ("header", "footer", "section", "div", "aside") if inside and n in ancestors]
+
+
+def text_features(blocks: list[Block]) -> list[list[str]]:
+    """Of each block's text and of its place in the page."""
+    mass: dict[int, int] = {}
+    for b in blocks:
+        if b.linked * 2 < len(b.text):
+            mass[b.group] = mass.get(b.group, 0) + b.text.count(" ") + 1
+    out, titled = [], False
+    for b in blocks:
         size, words = len(b.text), b.text.count(" ") + 1
-        own.append(f"size={min(size.bit_length(), 11)}")
-        own.append(f"words={min(words.bit_length(), 8)}")
-        own.append(f"links={round(4 * min(1.0, b.linked / max(1, size)))}")
+        own = [f"size={min(size.bit_length(), 11)}", f"words={min(words.bit_length(), 8)}", f"links={round(4 * min(1.0, b.linked / max(1, size)))}", f"mass={min(mass.get(b.group, 0).bit_length(), 9)}"]
         if b.text[-1] in ".!?。！？…\"":
             own.append("stop")
-        if "©" in b.text:
+        if b.text[0] == "©" or b.text[:9].lower() == "copyright":
             own.append("sign")
-        if i == 0:
-            own.append("first")
-        if i == len(blocks) - 1:
-            own.append("last")
+        if b.tag == "h1":
+            titled = True
+        elif titled:
+            own.append("titled")
         out.append(own)
     return out
 
 
+def features(blocks: list[Block]) -> list[list[str]]:
+    """Names of each block's binary features."""
+    return [context_features(b.tag, b.ancestors, b.names, b.own) + own for b, own in zip(blocks, text_features(blocks), strict=True)]
+
+
 @dataclass
 class Crf:
     weights: dict[str, float]
     #: Of (boilerplate, text) followed by (boilerplate, text).
     transitions: np.ndarray
 
+    def words(self) -> frozenset:
+        """The class and id words that have a weight."""
+        return frozenset(f[5:] for f in self.weights if f.startswith("name="))
+
+    def scores(self, blocks: list[Block]) -> list[float]:
+        get, places = self.weights.get, {}
+        out = []
+        for b, own in zip(blocks, text_features(blocks), strict=True):
+            key = b.tag, b.ancestors, b.names, b.own
+            if key not in places:
+                places[key] = sum(get(f, 0.0) for f in context_features(*key))
+            out.append(places[key] + sum(get(f, 0.0) for f in own))
+        return out
+
     def decode(self, blocks: list[Block]) -> list[bool]:
         """The labels (True: text) of the likeliest path, by Viterbi."""
         if not blocks:
             return []
-        get = self.weights.get
-        scores = [sum(get(f, 0.0) for f in fs) for fs in features(blocks)]
+        scores = self.scores(blocks)
         (t00, t01), (t10, t11) = self.transitions.tolist()
         a, b, back = 0.0, scores[0], []
         for s in scores[1:]:
@@ -185,43 +311,63 @@ def train(pages: list[tuple[list[Block], list[bool]]], *, rounds: int = 150, l2:
     names: dict[str, int] = {}
     rows = [[[names.setdefault(f, len(names)) for f in fs] for fs in features(blocks)] for blocks, _ in pages]
     p, t = len(pages), max(len(r) for r in rows)
-    x = np.zeros((p, t, len(names)), np.float32)
     y, mask = np.zeros((p, t)), np.zeros((p, t), bool)
+    cell, feature = [], []
     for i, (own, (_, labels)) in enumerate(zip(rows, pages, strict=True)):
         mask[i, : len(own)] = True
         y[i, : len(own)] = labels
         for k, fs in enumerate(own):
-            x[i, k, fs] = 1
-    flat = x.reshape(p * t, -1)
+            cell += [i * t + k] * len(fs)
+            feature += fs
+    cell, feature = np.array(cell), np.array(feature)
     pairs = mask[:, 1:]
     seen = np.zeros((2, 2))
     for a in (0, 1):
         for b in (0, 1):
             seen[a, b] = ((y[:, :-1] == a) & (y[:, 1:] == b) & pairs).sum()
-    w, tr = np.zeros(len(names) + 4), np.zeros((2, 2))
+    w = np.zeros(len(names) + 4)
     m1, m2 = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
         tr = w[-4:].reshape(2, 2)
         emit = np.zeros((p, t, 2))
-        emit[:, :, 1] = (flat @ w[:-4].astype(np.float32)).reshape(p, t)
+        emit[:, :, 1] = np.bincount(cell, w[feature], p * t).reshape(p, t)
         fwd, bwd = np.zeros((p, t, 2)), np.zeros((p, t, 2))
         fwd[:, 0] = emit[:, 0]
         for k in range(1, t):
-            new = emit[:, k] + np.logaddexp.reduce(fwd[:, k - 1, :, None] + tr, axis=1)
-            fwd[:, k] = np.where(mask[:, k, None], new, fwd[:, k - 1])
+            last = fwd[:, k - 1]
+            new = emit[:, k] + np.logaddexp(last[:, :1] + tr[0], last[:, 1:] + tr[1])
+            fwd[:, k] = np.where(mask[:, k, None], new, last)
         for k in range(t - 2, -1, -1):
-            new = np.logaddexp.reduce(tr + (emit[:, k + 1] + bwd[:, k + 1])[:, None, :], axis=2)
+            ahead = emit[:, k + 1] + bwd[:, k + 1]
+            new = np.logaddexp(ahead[:, :1] + tr[:, 0], ahead[:, 1:] + tr[:, 1])
             bwd[:, k] = np.where(mask[:, k + 1, None], new, 0)
         z = np.logaddexp.reduce(fwd[:, -1], axis=1)
         p1 = np.where(mask, np.exp(fwd[:, :, 1] + bwd[:, :, 1] - z[:, None]), 0)
         joint = np.exp(fwd[:, :-1, :, None] + tr + (emit + bwd)[:, 1:, None, :] - z[:, None, None, None]) * pairs[:, :, None, None]
-        grad = np.concatenate((((y - p1) * mask).reshape(-1) @ flat, (seen - joint.sum(axis=(0, 1))).reshape(-1))) / p - l2 * w
+        wrong = ((y - p1) * mask).reshape(-1)
+        grad = np.concatenate((np.bincount(feature, wrong[cell], len(names)), (seen - joint.sum(axis=(0, 1))).reshape(-1))) / p - l2 * w
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
         w = w + rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
     return Crf({n: float(w[i]) for n, i in names.items()}, w[-4:].reshape(2, 2))
 
 
-def labelled_pages(n: int = 480, seed: int = 7) -> list[tuple[list[Block], list[bool]]]:
+#: Words by which pages name their parts.
+PARTS = {
+    "menu": "menu nav navbar navigation breadcrumb breadcrumbs crumbs tabs toolbar pagination pager links topbar skip",
+    "advert": "ad ads advert advertisement adsense sponsor sponsored promo promotion promoted banner billboard",
+    "side": "sidebar side rail widget related recommended recommendations trending popular more teaser teasers",
+    "share": "share sharing social follow tags buttons tools actions",
+    "notice": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup paywall",
+    "comments": "comments comment commentlist replies reply respond discussion disqus responses thread reader",
+    "footer": "footer foot bottom copyright colophon legal imprint",
+    "header": "header masthead branding logo top site",
+    "form": "form login search contact signin register poll",
+    "article": "content article post entry story main text body hentry news blog prose",
+}
+PARTS = {k: v.split() for k, v in PARTS.items()}
+
+
+def labelled_pages(n: int = 700, seed: int = 7) -> list[tuple[list[Block], list[bool]]]:
     """Seeded pages of many layouts; a block is text where it holds the mark that only articles are given."""
     rng = random.Random(seed)
     mark = ""
@@ -231,66 +377,136 @@ def labelled_pages(n: int = 480, seed: int = 7) -> list[tuple[list[Block], list[
         style = rng.random()
         if style < 0.06:
             return text.replace(" ", rng.choice((" | ", "### ", "!! ", " - ")))
-        text = text.upper() if style < 0.09 else text.capitalize() if style < 0.94 else text
+        if style < 0.1:
+            text = text.replace(" ", rng.choice((" &copy; ", " &middot; ", " &amp; ")), 1)
+        text = text.upper() if style > 0.97 else text.capitalize()
         return text + ("." if stop else "")
 
+    def chance(p: float) -> bool:
+        return rng.random() < p
+
+    def noise() -> str:
+        """A name that tells nothing."""
+        return "".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(rng.randint(1, 3))) + str(rng.randrange(99))
+
+    def named(tag: str, part: str, inner: str) -> str:
+        name = rng.choice(PARTS[part])
+        if chance(0.4):
+            name = rng.choice((f"{name}-{rng.choice(('box', 'wrap', 'list', 'area', 'inner', 'block'))}", f"{noise()} {name}", f"{rng.choice(('site', 'page', 'top'))}-{name}"))
+        return f'<{tag} {rng.choice(("class", "id", "class"))}="{name}">{inner}</{tag}>'
+
     def menu() -> str:
-        return "<ul>" + "".join(f'<li><a href="/{i}">{words(rng.randint(1, 3), rng.random() < 0.3)}</a></li>' for i in range(rng.randint(3, 9))) + "</ul>"
+        items = [f'<a href="/{i}">{words(rng.randint(1, 4), chance(0.3))}</a>' for i in range(rng.randint(2, 9))]
+        kind = rng.random()
+        if kind < 0.7:
+            return "<ul>" + "".join(f"<li>{x}{'</li>' if chance(0.8) else ''}" for x in items) + "</ul>"
+        return "<div>" + rng.choice((" | ", " ", " &middot; ")).join(items) + "</div>"
 
-    def named(tag: str, names: list[str], inner: str) -> str:
-        kind = rng.choice(("class", "id"))
-        return f'<{tag} {kind}="{rng.choice(names)}">{inner}</{tag}>'
+    def some(tags: tuple = ("div", "div", "section")) -> str:
+        return rng.choice(tags)
 
-    def boiler() -> str:
-        text = f"<p>{words(rng.randint(3, 40))}</p>" if rng.random() < 0.6 else words(rng.randint(3, 40))
-        return rng.choice((
+    def prose(k: int) -> str:
+        """Text of a notice, advert or comment."""
+        return "".join(f"<p>{words(rng.randint(3, 40))}</p>" if chance(0.6) else f"<div>{words(rng.randint(3, 40))}</div>" if chance(0.3) else words(rng.randint(3, 30)) for _ in range(k))
+
+    def comments() -> str:
+        head = f"<h{rng.choice('234')}>{words(2, False)}</h2>" if chance(0.6) else ""
+        many = rng.randint(1, 4)
+        kind = rng.random()
+        if kind < 0.4:
+            return named(some(), "comments", head + "".join(f'<div class="{rng.choice(("comment", "reply", "item"))}">{prose(1)}</div>' for _ in range(many)))
+        if kind < 0.7:
+            return named(rng.choice(("ol", "ul")), "comments", "".join(f"<li>{'<b>' + words(1, False) + '</b> ' if chance(0.5) else ''}{prose(1)}</li>" for _ in range(many)))
+        return named(some(), "comments", head + prose(many))
+
+    def boiler(inside: bool = False) -> str:
+        kinds = [
             lambda: f"<nav>{menu()}</nav>",
-            lambda: named("div", ["menu", "nav", "navbar", "breadcrumb", "top-menu"], menu()),
-            lambda: named("div", ["ad", "ads", "advert", "advertisement", "sponsor", "promo", "banner"], text),
-            lambda: f"<aside>{text}{menu() if rng.random() < 0.5 else ''}</aside>",
-            lambda: named("div", ["sidebar", "side", "related", "widget", "share", "social"], text + menu()),
-            lambda: named("div", ["cookie", "notice", "cookie-notice", "consent", "newsletter", "subscribe", "alert", "popup"], text),
-            lambda: f"<form>{text}<label>{words(2, False)}</label><input><button>{words(1, False)}</button></form>",
-            lambda: f'<section class="comments"><h2>{words(2, False)}</h2>' + "".join(f'<div class="comment"><p>{words(rng.randint(4, 40))}</p></div>' for _ in range(rng.randint(1, 4))) + "</section>",
-            lambda: named("div", ["comments", "comment-list", "reader-comments", "discussion", "replies"], "".join(f"<p>{words(rng.randint(4, 40))}</p>" for _ in range(rng.randint(1, 4)))),
-        ))()
-
-    def paragraph() -> str:
-        text = mark + words(rng.choice((1, 2, 5, 12, 30, 60, 120)), rng.random() < 0.9)
+            lambda: named("div", "menu", menu()),
+            lambda: named(some(("div", "div", "aside", "p", "section")), "advert", words(rng.randint(1, 40))),
+            lambda: named(some(), "advert", prose(rng.randint(1, 2))),
+            lambda: f"<aside>{prose(rng.randint(1, 2))}{menu() if chance(0.5) else ''}</aside>",
+            lambda: named(some(("div", "section", "aside")), "side", (f"<h3>{words(2, False)}</h3>" if chance(0.5) else "") + prose(rng.randint(0, 2)) + menu()),
+            lambda: named(some(("div", "ul", "p")), "share", rng.choice((words(rng.randint(1, 4), False), menu(), f"<a href='#'>{words(1, False)}</a> <a href='#'>{words(1, False)}</a>"))),
+            lambda: named(some(("div", "div", "section", "dialog")), "notice", prose(rng.randint(1, 2))),
+            lambda: f"<form>{prose(1)}<label>{words(2, False)}</label><input><button>{words(1, False)}</button></form>",
+            lambda: named("div", "form", f"<form><p>{words(rng.randint(1, 12))}</p><input></form>"),
+            comments,
+        ]
+        return rng.choice([*kinds[2:], *[kinds[6]] * 3] if inside else kinds)()
+
+    def m(k: int, stop: bool = True) -> str:
+        return mark + words(k, stop)
+
+    def paragraph(loose: bool) -> str:
+        text = m(rng.choice((1, 2, 5, 12, 30, 60, 120)), chance(0.9))
         kind = rng.random()
-        if kind < 0.65:
+        if loose:
+            return rng.choice((f"<div>{text}</div>", f"{text}<br><br>{words(20)}", f"<div class='{noise()}'>{text}</div>", f"<p>{text}</p>"))
+        if kind < 0.55:
             return f"<p>{text}</p>"
-        if kind < 0.75:
-            return f"<p><b>{text}<br><p>{mark}{words(20)}</p>"
-        if kind < 0.83:
+        if kind < 0.62:
+            return f"<p><b>{text}<br><p>{m(20)}</p>"
+        if kind < 0.7:
             level = rng.randint(2, 4)
-            return f"<h{level}>{mark}{words(rng.randint(1, 6), False)}</h{level}><p>{text}</p>"
-        if kind < 0.9:
-            return "<ul>" + "".join(f"<li>{mark}{words(rng.randint(2, 15))}</li>" for _ in range(3)) + "</ul>"
+            return f"<h{level}>{m(rng.randint(1, 6), False)}</h{level}><p>{text}</p>"
+        if kind < 0.76:
+            return f"<{(tag := rng.choice(('ul', 'ol')))}>" + "".join(f"<li>{m(rng.randint(1, 15))}" for _ in range(3)) + f"</{tag}>"
+        if kind < 0.81:
+            return f'<blockquote>{text}</blockquote><p>{m(9)} <a href="#">{words(2, False)}</a> {words(8)}</p>'
+        if kind < 0.85:
+            return "<table>" + "".join(f"<tr><td>{m(2, False)}</td><td>{m(2, False)}</td></tr>" for _ in range(3)) + "</table>"
+        if kind < 0.89:
+            return f"<figure><img src='x'><figcaption>{m(rng.randint(2, 14), chance(0.5))}</figcaption></figure><p>{text}</p>"
+        if kind < 0.92:
+            return f"<pre><code>{m(rng.randint(3, 30), False)}</code></pre><p>{text}</p>"
         if kind < 0.95:
-            return f'<blockquote>{text}</blockquote><p>{mark}{words(9)} <a href="#">{words(2, False)}</a> {words(8)}</p>'
-        return "<table>" + "".join(f"<tr><td>{mark}{words(2, False)}</td><td>{mark}{words(2, False)}</td></tr>" for _ in range(3)) + "</table>"
+            return f"<p><a href='#'>{m(rng.randint(1, 8), chance(0.5))}</a></p><p>{text}</p>"
+        if kind < 0.97:
+            return f"<dl><dt>{m(2, False)}<dd>{m(8)}</dl>"
+        return f"<div class='{noise()}'>{text}</div><section><h2>{m(3, False)}</h2><p>{m(30)}</p></section>"
+
+    def article() -> str:
+        loose = chance(0.15)
+        parts = [paragraph(loose) for _ in range(rng.choice((1, 1, 2, 3, 5, 9, 14)))]
+        level = 1 if chance(0.85) else 2
+        head = f"<h{level}>{m(rng.randint(1, 12), chance(0.4))}</h{level}>" if chance(0.88) else ""
+        line = f"<{(tag := rng.choice(('p', 'div', 'address')))} class='{rng.choice(('byline', 'author', 'date', 'meta', noise()))}'>{m(rng.randint(2, 6), False)}</{tag}>" if chance(0.25) else ""
+        if head and chance(0.2):
+            head, line = f"<header>{head}{line}</header>", ""
+        for _ in range(rng.choice((0, 0, 0, 1, 1, 2))):
+            parts.insert(rng.randint(1, len(parts)), boiler(True))
+        foot = f"<footer>{rng.choice((menu(), words(rng.randint(2, 9))))}</footer>" if chance(0.08) else ""
+        content = head + line + "".join(parts) + foot
+        kind = rng.random()
+        if kind < 0.4:
+            return f"<article>{content}</article>"
+        if kind < 0.5:
+            return f"<main><article class='{noise()}'>{content}</article>{boiler() if chance(0.3) else ''}</main>"
+        if kind < 0.6:
+            return f"<main>{content}</main>"
+        if kind < 0.78:
+            return named(some(), "article", content)
+        if kind < 0.84:
+            return f'<div id="page"><section class="post">{content}</section></div>'
+        if kind < 0.92:
+            return f"<div id='{noise()}'>{content}</div>"
+        if kind < 0.96:
+            return f"<table><tr><td class='{noise()}'>{named('div', 'menu', menu())}</td><td>{content}</td></tr></table>"
+        return content
 
     out = []
     for _ in range(n):
-        body = "".join(paragraph() for _ in range(rng.choice((1, 1, 2, 3, 5, 9, 14))))
-        head = f"<h1>{mark}{words(rng.randint(2, 12), rng.random() < 0.4)}</h1>" if rng.random() < 0.85 else ""
-        inner = boiler() if rng.random() < 0.25 else ""
-        content = head + body + inner
-        if rng.random() < 0.15:
-            content = f"<header>{head}</header>{body}{inner}" if head else content
-        page = rng.choice((
-            lambda: f"<article>{content}</article>",
-            lambda: f"<main><article>{content}</article></main>",
-            lambda: f"<main>{content}</main>",
-            lambda: named("div", ["content", "article", "post", "entry-content", "main-text", "story", "article-body"], content),
-            lambda: f'<div id="page"><section class="post">{content}</section></div>',
-        ))() if rng.random() < 0.75 else f"<article>{content}</article>"
-        before = "".join(boiler() for _ in range(rng.randint(0, 3)))
-        after = "".join(boiler() for _ in range(rng.randint(0, 3)))
-        top = f"<header>{words(rng.randint(1, 5), False)}{menu() if rng.random() < 0.4 else ''}</header>" if rng.random() < 0.4 else ""
-        foot = f"<footer>&copy; {words(rng.randint(2, 12))}</footer>" if rng.random() < 0.8 else named("div", ["footer", "bottom", "copyright"], f"<p>&copy; {words(6)}</p>")
-        blocks = leaf_blocks(f"<html><head><title>{words(4)}</title></head><body>{top}{before}{page}{after}{foot}</body></html>")
+        page = article()
+        before = "".join(boiler() for _ in range(rng.choice((0, 0, 1, 1, 2, 3))))
+        after = "".join(boiler() for _ in range(rng.choice((0, 0, 1, 1, 2, 3))))
+        top = f"<header>{words(rng.randint(1, 5), False)}{menu() if chance(0.4) else ''}</header>" if chance(0.35) else named("div", "header", words(rng.randint(1, 5), False) + (menu() if chance(0.5) else "")) if chance(0.3) else ""
+        line = rng.choice(("&copy; ", "&copy; 2020 ", "Copyright ", "")) + words(rng.randint(2, 12))
+        foot = rng.choice((f"<footer>{line}</footer>", f"<footer><p>{line}</p>{menu()}</footer>", named("div", "footer", f"<p>{line}</p>"), f"<p>&copy; {line}</p>", ""))
+        body = f"{top}{before}{page}{after}{foot}"
+        if chance(0.3):
+            body = f"<div class='{rng.choice(('has-sidebar', 'wrapper', 'container', 'page with-ads', 'layout comments-open', 'no-header', noise()))}'>{body}</div>"
+        blocks = leaf_blocks(f"<html><head><title>{words(4)}</title></head><body>{body}</body></html>")
         labels = [mark in b.text for b in blocks]
         for b in blocks:
             b.text = b.text.replace(mark, "").strip() or "."
@@ -300,12 +516,12 @@ def labelled_pages(n: int = 480, seed: int = 7) -> list[tuple[list[Block], list[
 
 
 @functools.lru_cache(maxsize=2)
-def default_model(n: int = 480, seed: int = 7) -> Crf:
+def default_model(n: int = 700, seed: int = 7) -> Crf:
     return train(labelled_pages(n, seed))
 
 
-def main_text(model: Crf, html: str | None) -> str:
-    blocks = leaf_blocks(html) if html else []
+def main_text(model: Crf, html: str | None, known: frozenset | None = None) -> str:
+    blocks = leaf_blocks(html, model.words() if known is None else known) if html else []
     return "\n".join(b.text for b, keep in zip(blocks, model.decode(blocks), strict=True) if keep)
 
 
@@ -314,10 +530,11 @@ def extract(df: DataFrame, model: Crf | None = None, *, id_col: str = "page_id",
     shared = df.sparkSession.sparkContext.broadcast(model or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value.words()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                texts = [main_text(shared.value, x.as_py()) for x in part.column(2)]
+                texts = [main_text(shared.value, x.as_py(), known) for x in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
