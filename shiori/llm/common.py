@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -122,6 +123,13 @@ def running(
     return out.drop("_bucket", "_in_n", "_off_n", *(f"_k_{k}" for k in key), *(f"_{p}_{c}" for c in sums for p in ("in", "off")))
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most ``rows`` rows, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def pieces(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``limit`` characters each, in order."""
     start, size = 0, 0

@@ -5,12 +5,13 @@ labelled documents (whole texts).  All languages share sorted arrays of n-gram
 codes (a 48-bit hash of four symbols of 12 bits); beside each code stands a row
 with the interpolated log-probability in every language, and beside each context
 the row of its back-off weights, so a character costs one binary search in most
-cases.  A document goes to the language of lowest cross-entropy per symbol.
+cases.  A document goes to the language of lowest cross-entropy per symbol, over
+the whole text; the score is that language's posterior under equal priors.
 
 Rejection is calibrated on sampled documents that were not counted, and on their
-beginnings of 1, 2, 4, ... characters.  A text's loss is that of the best language
-of each passage of PASSAGE symbols, per symbol, so that a passage in another known
-language does no harm.  A text is rejected if it has no letter, or if its loss is
+beginnings of 1, 2, 4, ... characters.  It does not look at the cross-entropy but
+at the passage loss: that of the best language of each passage of PASSAGE symbols,
+per symbol, so that a passage in another known language does no harm.  A text is rejected if it has no letter, or if its loss is
 above ``slack`` times its language's median loss times a ratio that hangs on its
 length class (powers of two) alone: the QUANTILE of loss over the language's median,
 over the class's calibration texts of all languages.  A class of fewer than
@@ -21,8 +22,9 @@ shorter one.  A language without calibration documents rejects only letterless t
 Edge cases: null, empty and letterless texts get ``und`` and score 0; a null id
 counts as held out and is never learned from; null languages are never learned;
 without any labelled row every text is ``und``; ties go to the first language in
-code-point order; repeated sample rows (same id and language) count once.  Only
-the named input columns are read by :func:`identify`; :func:`keep_identified`
+code-point order; repeated sample rows (same id and language) count once.  The
+sample is of the least hashes of the ids, up to a bound that counts by ranges of
+the hash (64 to an octave) give, so no task holds a language.  Only the named input columns are read by :func:`identify`; :func:`keep_identified`
 keeps all columns of its input.
 """
 
@@ -37,15 +39,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shiori.llm.common import pieces, unit_hash, written
+from shiori.llm.common import parts, pieces, unit_hash, written
 
 ORDER = 4
 BITS = 12
 SPACE = 32
 SYMBOLS = 1 << BITS
 UND = "und"
-#: Most nats that a language loses at a symbol against the best one.
-GAP = np.float32(3.0)
 #: Symbols of a passage; a divisor of the pieces that texts are measured in.
 PASSAGE = 32
 #: Of the calibration texts of a length class, and the fewest that make a class.
@@ -182,27 +182,23 @@ def train(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     return Model(languages, grams, logp, contexts, backoff)
 
 
-def measure(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of each text (0: no letter); by language, the sum of log-probabilities; their sum in the best language at each symbol, and in that of each passage."""
-    n, total = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(model.languages)))
-    best, passages = np.zeros(len(texts)), np.zeros(len(texts))
+def measure(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of each text (0: no letter); by language, the sum of log-probabilities; their sum in the best language of each passage."""
+    n, total, passages = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
     held: list[tuple[int, np.ndarray]] = []
     size = 0
 
     def flush() -> None:
         if held:
             values = model.symbol_logp(np.concatenate([c for _, c in held]))
-            top = values.max(axis=1)
-            np.maximum(values, (top - GAP)[:, None], out=values)
             starts = np.cumsum([0, *(len(c) for _, c in held[:-1])])
-            sums, tops = (np.add.reduceat(x, starts, dtype=np.float64) for x in (values, top))
             within = [np.arange(a, a + len(c), PASSAGE) for a, (_, c) in zip(starts, held, strict=True)]
-            told = np.add.reduceat(values, np.concatenate(within), dtype=np.float64).max(axis=1)
-            own = np.add.reduceat(told, np.cumsum([0, *(len(w) for w in within[:-1])]))
+            sums = np.add.reduceat(values, np.concatenate(within), dtype=np.float64)
+            first = np.cumsum([0, *(len(w) for w in within[:-1])])
+            whole, own = np.add.reduceat(sums, first), np.add.reduceat(sums.max(axis=1), first)
             for k, (i, c) in enumerate(held):
                 n[i] += len(c)
-                total[i] += sums[k]
-                best[i] += tops[k]
+                total[i] += whole[k]
                 passages[i] += own[k]
             held.clear()
 
@@ -219,7 +215,7 @@ def measure(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
                 flush()
                 size = 0
     flush()
-    return n, total, best, passages
+    return n, total, passages
 
 
 def beginnings(text: str) -> list[str]:
@@ -253,9 +249,11 @@ def sample(df: DataFrame, spec: LangSpec, id_col: str, text_col: str, lang_col:
     rows = df.select(F.col(id_col).alias("doc"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter(F.col("doc").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("doc"), spec.folds) != spec.held))
     rows = rows.withColumn("h", unit_hash(spec.seed, F.col("doc")))
-    lowest = Window.partitionBy("lang").orderBy("h")
-    bound = rows.select("lang", "h").withColumn("_r", F.row_number().over(lowest)).filter(F.col("_r") <= spec.docs_per_language)
-    bound = written(bound.groupBy(F.col("lang").alias("_lang")).agg(F.max("h").alias("top")), "langid-bound")
+    # Counts by ranges of the hash, whose ends grow by a 64th of an octave; the ranges that together hold few enough.
+    ranges = rows.groupBy("lang", F.floor(64 * F.log2(F.col("h").cast("double") + 1)).alias("range")).agg(F.count(F.lit(1)).alias("_n"), F.max("h").alias("top"))
+    upto = F.sum("_n").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bound = ranges.withColumn("_upto", upto).filter(F.col("_upto") <= spec.docs_per_language)
+    bound = written(bound.groupBy(F.col("lang").alias("_lang")).agg(F.max("top").alias("top")), "langid-bound")
     chosen = rows.join(bound, F.col("lang") == F.col("_lang")).filter(F.col("h") <= F.col("top"))
     chosen = chosen.groupBy("lang", "doc").agg(F.min("text").alias("text"), F.min("h").alias("h"))
     return written(chosen.select("doc", "lang", "text", (F.col("h") % 4 == 0).alias("calibrates")), "langid-sample")
@@ -286,7 +284,7 @@ def fit(df: DataFrame, spec: LangSpec = LangSpec(), *, id_col: str = "doc_id", t
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 64):
             rows = [(x, t, t is text) for x, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for t in beginnings(text)]
-            n, _, _, passages = measure(shared.value, [t for _, t, _ in rows])
+            n, _, passages = measure(shared.value, [t for _, t, _ in rows])
             loss = -passages / np.maximum(n, 1)
             columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.bool_()), pa.array(n), pa.array(loss)]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "whole", "n", "loss"]).filter(pa.array(n > 0))
@@ -306,23 +304,14 @@ def decide(model: Model | None, texts: list[str | None]) -> list[tuple[str, floa
     """lang_pred, score, rejected, cross-entropy (bits a symbol) of each text."""
     if model is None:
         return [(UND, 0.0, True, None)] * len(texts)
-    n, total, _, passages = measure(model, texts)
+    n, total, passages = measure(model, texts)
     best, rows, size = np.argmax(total, axis=1), np.arange(len(texts)), np.maximum(n, 1)
     ce = -total / size[:, None]
-    # Posterior of the best language; evidence counts up to 40 symbols, as neighbouring symbols aren't independent.
-    odds = np.exp(-(ce - ce[rows, best][:, None]) * np.minimum(n, 40)[:, None])
-    score = 1 / odds.sum(axis=1)
+    score = 1 / np.exp(total - total[rows, best][:, None]).sum(axis=1)
     far = np.zeros(len(texts), bool) if model.limits is None else -passages / size > model.limits[best, length_class(size)]
     return [(model.languages[best[i]], float(score[i]), bool(far[i]), float(ce[i, best[i]] / np.log(2))) if n[i] else (UND, 0.0, True, None) for i in rows]
 
 
-def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """Batches in parts of at most ``rows`` rows, so that few texts are Python strings at a time."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def identify(df: DataFrame, model: Model | None, spec: LangSpec = LangSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score (0 to 1), rejected and cross_entropy of every row."""
     shared = df.sparkSession.sparkContext.broadcast(model)

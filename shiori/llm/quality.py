@@ -13,7 +13,9 @@ the id) and read whole; scoring reads every whole text once, without a shuffle.
 Edge cases: null and empty texts have the features of no words and get a score
 as others do; null ids are not held out, never match a label and are scored;
 repeated labels of a document count once each; without both labels in the sample
-every score is 0.7 times the share of good rows.  Only the named columns are
+every score is 0.7 times the share of good rows (bad rows alone: 0, nothing is
+predicted good; good rows alone or no label at all: 0.7, and every text is
+predicted good, as nothing speaks against it).  Only the named columns are
 read by :func:`score`; :func:`keep_good` keeps all columns of its input.
 """
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiori.llm.common import unit_hash, written
+from shiori.llm.common import parts, unit_hash, written
 
 
 @dataclass(frozen=True)
@@ -206,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec(), *
     joined = texts.join(F.broadcast(chosen), "doc").select("doc", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             x = matrix(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int64()), pa.array(list(x), pa.list_(pa.float64()))], names=["doc", "label", "x"])
 
@@ -222,11 +224,9 @@ def score(df: DataFrame, ranker: Ranker, spec: QualitySpec = QualitySpec(), *, i
     shared = df.sparkSession.sparkContext.broadcast(ranker)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                s = shared.value.scores(matrix(part.column(2).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= spec.threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        for part in parts(batches):
+            s = shared.value.scores(matrix(part.column(2).to_pylist()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= spec.threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = fold(F.col(id_col), spec.folds) == spec.held
     return df.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -237,7 +237,7 @@ def keep_good(df: DataFrame, ranker: Ranker, *, least: float | None = None, text
     shared, least = df.sparkSession.sparkContext.broadcast(ranker), ranker.threshold if least is None else least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             at = batch.schema.get_field_index(text_col)
             yield batch.filter(pa.array(shared.value.scores(matrix(batch.column(at).to_pylist())) >= least))
 

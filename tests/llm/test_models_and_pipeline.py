@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -82,14 +83,70 @@ def test_kneser_ney_sums_to_one():
         assert np.exp(model.symbol_logp(every).astype(np.float64)).sum(axis=0) == pytest.approx(np.ones(3), abs=2e-3)
 
 
+class Twin:
+    """Interpolated Kneser-Ney of one language by dictionaries."""
+
+    def __init__(self, texts):
+        self.counts = [None] * (langid.ORDER + 1)
+        grams = [tuple(run[i : i + langid.ORDER]) for run in (langid.symbols(t).tolist() for t in texts) for i in range(len(run) - langid.ORDER + 1)]
+        level = Counter(grams)
+        for n in range(langid.ORDER, 0, -1):
+            self.counts[n] = level
+            level = Counter(g[1:] for g in level)
+        self.d, self.context = [None], [None]
+        for level in self.counts[1:]:
+            ones, twos = (sum(c == k for c in level.values()) for k in (1, 2))
+            self.d.append(ones / (ones + 2 * twos) if ones and twos else 0.75)
+            sums = {}
+            for g, c in level.items():
+                total, kinds = sums.get(g[:-1], (0, 0))
+                sums[g[:-1]] = total + c, kinds + 1
+            self.context.append(sums)
+
+    def p(self, gram):
+        n = len(gram)
+        if not n:
+            return 1 / langid.SYMBOLS
+        total, kinds = self.context[n].get(gram[:-1], (0, 0))
+        if not total:
+            return self.p(gram[1:])
+        return max(self.counts[n].get(gram, 0) - self.d[n], 0) / total + self.d[n] * kinds / total * self.p(gram[1:])
+
+
+def test_model_equals_its_twin():
+    """Probability by probability and prediction by prediction, over texts of known, mixed and unknown letters."""
+    rng = random.Random(21)
+    texts = {lang: [prose(rng, lang, 40) for _ in range(30)] for lang in SYLLABLES}
+    counts = {k: np.unique(np.concatenate([langid.codes(langid.symbols(t)) for t in v]), return_counts=True) for k, v in texts.items()}
+    model, twins = langid.train(counts), {k: Twin(v) for k, v in texts.items()}
+    tried = [prose(rng, rng.choice(list(SYLLABLES)), rng.randrange(1, 30)) for _ in range(40)] + [prose(rng, "aa", 4) + prose(rng, "bb", 5), "qxz wvj", "Ü", "漢字 かな", "k"]
+    for text, (lang, score, _, entropy) in zip(tried, langid.decide(model, tried), strict=True):
+        run = langid.symbols(text).tolist()
+        grams = [tuple(run[i : i + langid.ORDER]) for i in range(len(run) - langid.ORDER + 1)]
+        expected = np.array([[np.log(twins[k].p(g)) for k in model.languages] for g in grams])
+        assert np.allclose(model.symbol_logp(langid.codes(langid.symbols(text))), expected, atol=1e-4)
+        total = expected.sum(axis=0)
+        assert lang == model.languages[int(np.argmax(total))]
+        assert entropy == pytest.approx(-total.max() / len(grams) / np.log(2), rel=1e-4)
+        assert score == pytest.approx(1 / np.exp(total - total.max()).sum(), abs=1e-3)
+
+
+def test_sample_is_bounded_and_of_the_least_hashes(spark):
+    rows = [(i, "x", "aa" if i % 10 else "bb", "s") for i in range(3000)]
+    got = langid.sample(docs(spark, rows), langid.LangSpec(docs_per_language=200), "doc_id", "text", "lang").collect()
+    n = Counter(r.lang for r in got)
+    assert 185 <= n["aa"] <= 200 and 185 <= n["bb"] <= 200
+    few = langid.sample(docs(spark, rows), langid.LangSpec(docs_per_language=5000), "doc_id", "text", "lang")
+    assert few.count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(3000))
+
+
 def test_long_text_in_pieces(spark, tongues):
     model = langid.fit(docs(spark, tongues))
     text = prose(random.Random(8), "bb", 150_000)
-    n, total, best, _ = langid.measure(model, [text, None, "ei"])
-    values = model.symbol_logp(langid.codes(langid.symbols(text)))
-    top = values.max(axis=1)
-    bounded = np.maximum(values, (top - langid.GAP)[:, None])
-    assert n[0] == len(values) and total[0] == pytest.approx(bounded.sum(axis=0, dtype=np.float64), rel=1e-6) and best[0] == pytest.approx(top.sum(dtype=np.float64), rel=1e-6)
+    n, total, passages = langid.measure(model, [text, None, "ei"])
+    values = model.symbol_logp(langid.codes(langid.symbols(text))).astype(np.float64)
+    assert n[0] == len(values) and total[0] == pytest.approx(values.sum(axis=0), rel=1e-6)
+    assert passages[0] == pytest.approx(np.add.reduceat(values, np.arange(0, len(values), langid.PASSAGE)).max(axis=1).sum(), rel=1e-6)
     assert n[1] == 0 and n[2] > 0
 
 
@@ -150,6 +207,79 @@ def test_quality_held_out(spark):
     assert quality.score(df.limit(0), ranker).count() == 0
 
 
+def quality_rows(n=500):
+    rng = random.Random(16)
+    rows, labels = [], []
+    for i in range(n):
+        good = rng.random() < 0.6
+        text = prose(rng, "aa", rng.randrange(5, 60)).capitalize() + "."
+        if not good:
+            text = rng.choice([text.upper().replace(" ", "!! "), " ".join([text.split()[0]] * 60), text.replace(" ", "### "), text[: len(text) // 3]])
+        rows.append((i, text, "aa", "s"))
+        labels.append((i, int(good if rng.random() < 0.95 else not good)))
+    return rows, labels
+
+
+def test_quality_equals_its_twin(spark):
+    """Scores against gradient ascent on the same Bradley-Terry pairs, written out pair by pair, and a threshold found by trying all."""
+    rows, labels = quality_rows()
+    spec = quality.QualitySpec(pairs=3000)
+    df, table = docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.score(df, quality.fit(df, table, spec), spec).collect()}
+    learned = [(i, q) for i, q in sorted(labels) if zlib.crc32(str(i).encode()) % 4 != 2]
+    text = {i: t for i, t, *_ in rows}
+    x = np.array([quality.features(text[i]) for i, _ in learned])
+    good = np.array([q == 1 for _, q in learned])
+    low, high = np.quantile(x, 0.001, axis=0), np.quantile(x, 0.999, axis=0)
+    mean, dev = np.clip(x, low, high).mean(axis=0), np.maximum(np.clip(x, low, high).std(axis=0), 1e-6)
+
+    def inputs(v):
+        z = (np.clip(v, low, high) - mean) / dev
+        return np.hstack([z, z**2])
+
+    z = inputs(x)
+    rng = np.random.default_rng(spec.seed)
+    pairs = list(zip(rng.choice(np.flatnonzero(good), spec.pairs), rng.choice(np.flatnonzero(~good), spec.pairs), strict=True))
+    diff = np.array([z[a] - z[b] for a, b in pairs])
+    w, rate = np.zeros(z.shape[1]), 0.9 / (np.linalg.norm(diff, 2) ** 2 / len(diff) / 4 + 1e-3)
+    seen = w
+    for k in range(60000):  # accelerated: a step from a point beyond the last one
+        step = diff.T @ (1 / (1 + np.exp(diff @ seen))) / len(diff) - 1e-3 * seen
+        new = seen + rate * step
+        seen, w = new + k / (k + 3) * (new - w), new
+        if np.abs(step).max() < 1e-9:
+            break
+    worth = z @ w
+    candidates = sorted(worth)
+    edges = [candidates[0] - 1, *((a + b) / 2 for a, b in zip(candidates, candidates[1:], strict=False)), candidates[-1] + 1]
+    wrong = [sum((v > e) != g for v, g in zip(worth, good, strict=True)) for e in edges]
+    best = [k for k, v in enumerate(wrong) if v == min(wrong)]
+    at = best[len(best) // 2]
+    cut = edges[at] if 0 < at < len(candidates) else edges[at] / 2 + candidates[0 if at == 0 else -1] / 2
+    scale = np.median(np.abs(worth - cut)) / 2
+    for i, t in text.items():
+        s = 1 / (1 + np.exp(-((inputs(np.array([quality.features(t)])) @ w)[0] - cut) / scale - np.log(0.7 / 0.3)))
+        assert got[i] == pytest.approx(s, abs=2e-3)
+
+
+def test_quality_learns_from_its_labels_alone(spark):
+    """Flipped labels turn the order round; held-out labels, languages, sources and ids change nothing."""
+    rows, labels = quality_rows(300)
+    df = docs(spark, rows)
+
+    def scores(labels, df=df):
+        table = spark.createDataFrame(labels, "doc_id long, quality int")
+        return [r.score for r in sorted(quality.score(df, quality.fit(df, table)).collect(), key=lambda r: r.doc_id)]
+
+    base = scores(labels)
+    flipped = scores([(i, 1 - q) for i, q in labels])
+    assert np.corrcoef(base, flipped)[0, 1] < -0.9
+    learned = [(i, q) for i, q in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert scores(learned) == pytest.approx(base, abs=1e-9)
+    assert scores([(i, q if (i, q) in learned else 1 - q) for i, q in labels]) == pytest.approx(base, abs=1e-9)
+    assert scores(labels, docs(spark, [(i, t, "zz", f"other{i}") for i, t, *_ in rows])) == pytest.approx(base, abs=1e-9)
+
+
 def test_quality_with_one_label(spark):
     df = docs(spark, [(i, "a b", "aa", "s") for i in range(9)])
     one = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, quality int")
