@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +18,10 @@ from pyspark.sql.window import Window
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
+#: Names that new_path makes.
+_MADE = re.compile(r"^[a-z-]+-[0-9a-f]{32}$")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
@@ -46,7 +52,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again: all that hangs on them has itself been written."""
+    for t in tables:
+        path = getattr(t, "_written_path", None)
+        if path:
+            fs, at = _folder(t.sparkSession, path)
+            fs.delete(at, True)
+
+
+def sweep(spark: SparkSession, older_than_seconds: float) -> int:
+    """Deletes what operators have left in the shared folder for so long: tables behind results that callers hold lazily.
+
+    Only names that :func:`new_path` makes are touched.  Call it when no job that
+    began before that time is still running; no operator calls it.
+    """
+    fs, at = _folder(spark, shared_dir(spark))
+    old = [s.getPath() for s in fs.listStatus(at) if _MADE.search(s.getPath().getName()) and s.getModificationTime() < (time.time() - older_than_seconds) * 1000]
+    for path in old:
+        fs.delete(path, True)
+    return len(old)
 
 
 #: Rows of a few numbers that are broadcast at most (some 40 MB in memory).

@@ -3,7 +3,12 @@
 Netpbm (P1-P6) and BMP (1, 4, 8, 24 and 32 bit, uncompressed) bytes are decoded
 to numpy arrays, resized by area with integral images, and turned into NPY tiles
 and 64-bit difference hashes.  :func:`text_media` stores any bytes losslessly as
-the samples of such an image.
+the samples of such an image: the images are written to the shared folder, read
+back, decoded and measured, and their tiles are written there in turn.
+
+Sums over areas are whole numbers (grey values in thousandths, edges in fractions
+of a pixel), so tiles and hashes hang on no rounding.  An image is taken in bands
+of rows; beside its samples, memory holds a few numbers for each of its rows.
 
 Edge cases: a null text is the empty text; every payload is padded to a positive
 multiple of 192 bytes, so the empty text is one row of 64 blank RGB pixels.
@@ -24,9 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiori.llm.common import release, written
+
 #: Bytes of a row of pixels: 64 pixels of three samples.
 ROW_BYTES = 192
 TILE = (8, 9)  # rows, columns: a difference hash compares 8 pairs in each of 8 rows
+#: Weights of red, green and blue in grey, in thousandths.
+LUMA = (299, 587, 114)
+#: Rows of pixels that are summed at a time; rows and bytes of a batch that is handed on.
+BAND, BATCH_ROWS, BATCH_BYTES = 1024, 512, 4 << 20
 
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
@@ -108,36 +119,51 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
-def area_resize(grey: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    """Mean over the (fractional) source area of each target pixel, by an integral image."""
-    h, w = grey.shape
-    total = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(grey, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
+def _edges(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The m + 1 edges of m equal parts of n pixels: whole pixels, and the rest in m-ths of one."""
+    at = np.arange(m + 1, dtype=np.int64) * n
+    return at // m, at % m
+
+
+def _between(total: np.ndarray, m: int) -> np.ndarray:
+    """Differences of an integral (n + 1 rows) at the edges of m equal parts, times m."""
+    n = len(total) - 1
+    whole, rest = _edges(n, m)
+    at = total[whole]
+    return np.diff(m * at + rest.reshape(-1, *[1] * (total.ndim - 1)) * (total[np.minimum(whole + 1, n)] - at), axis=0)
+
+
+def area_sums(pixels: np.ndarray, shape: tuple[int, int], grey=lambda x: x) -> np.ndarray:
+    """Sums over the source area of each target pixel, times rows and columns of ``shape``, by an integral image in bands."""
+    h, w = pixels.shape[:2]
+    kind = np.int64 if pixels.dtype.kind in "ui" else np.float64
+    rows = np.zeros((h + 1, shape[1]), kind)
+    for at in range(0, h, BAND):
+        band = grey(pixels[at : at + BAND])
+        total = np.zeros((w + 1, len(band)), kind)
+        np.cumsum(band.T, axis=0, dtype=kind, out=total[1:])
+        rows[at + 1 : at + 1 + len(band)] = _between(total, shape[1]).T
+    return _between(np.cumsum(rows, axis=0), shape[0])
 
-    def edges(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-        at = np.arange(m + 1) * (n / m)
-        low = np.minimum(at.astype(np.int64), n - 1)
-        return low, at - low
 
-    (y, fy), (x, fx) = edges(h, shape[0]), edges(w, shape[1])
-    rows = total[y] * (1 - fy)[:, None] + total[y + 1] * fy[:, None]
-    both = rows[:, x] * (1 - fx) + rows[:, x + 1] * fx
-    return np.diff(np.diff(both, axis=0), axis=1) * (shape[0] * shape[1] / (h * w))
+def area_resize(pixels: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """Mean over the (fractional) source area of each target pixel."""
+    return area_sums(pixels, shape) / (pixels.shape[0] * pixels.shape[1])
 
 
 def luma(pixels: np.ndarray) -> np.ndarray:
-    return pixels @ np.array([0.299, 0.587, 0.114]) if pixels.ndim == 3 else pixels.astype(np.float64)
+    """Grey values in thousandths."""
+    wide = pixels.astype(np.int64)
+    return wide @ np.array(LUMA) if wide.ndim == 3 else wide * 1000
 
 
 def tile_and_hash(pixels: np.ndarray) -> tuple[bytes, str]:
     """NPY bytes of the 8 x 9 grey tile, and its difference hash as 16 hex digits."""
-    small = area_resize(luma(pixels), TILE)
-    tile = np.clip(np.rint(small), 0, 255).astype(np.uint8)
+    sums, area = area_sums(pixels, TILE, luma), 1000 * pixels.shape[0] * pixels.shape[1]
+    tile = np.minimum((2 * sums + area) // (2 * area), 255).astype(np.uint8)
     out = io.BytesIO()
     np.save(out, tile)
-    # Compared with 1e-9 of slack, so that rounding cannot decide a flat area.
-    bits = np.packbits(small[:, 1:] > small[:, :-1] + 1e-9)
-    return out.getvalue(), bits.tobytes().hex()
+    return out.getvalue(), np.packbits(sums[:, 1:] > sums[:, :-1]).tobytes().hex()
 
 
 def payload_of(text: bytes) -> bytes:
@@ -145,35 +171,69 @@ def payload_of(text: bytes) -> bytes:
     return text.ljust(max(1, -(-len(text) // ROW_BYTES)) * ROW_BYTES, b" ")
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
 
 
-def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, form: str = "ppm", with_bytes: bool = True) -> DataFrame:
-    """Every text as an image column: stored, read back, hashed and tiled.
+def _batches(rows: Iterator[tuple], names: list[str], kinds: tuple) -> Iterator[pa.RecordBatch]:
+    """Rows of (bytes held, values) as batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes."""
+    held, size = [], 0
+    for n, row in rows:
+        held.append(row)
+        size += n
+        if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=False)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=False)], names=names)
 
-    ``form`` is ``ppm`` or ``bmp``.  With ``with_bytes`` the columns ``media``
-    (the stored image) and ``tile`` (NPY) come along; else only what is derived
-    from them.  No shuffle; memory is one Arrow batch and one image.
-    """
+
+def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, form: str = "ppm") -> DataFrame:
+    """doc_id, n_bytes and ``media``: every text's payload as the samples of an image (``ppm`` or ``bmp``)."""
     encoder = {"ppm": encode_ppm, "bmp": encode_bmp}[form]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
-            for start in range(0, batch.num_rows, 512):
-                rows = []
-                for text in texts.slice(start, 512):
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for doc, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
                     raw = text.as_py() or b""
                     media = encoder(np.frombuffer(payload_of(raw), np.uint8).reshape(-1, ROW_BYTES // 3, 3))
+                    yield len(media), (doc.as_py(), len(raw), media)
+
+        yield from _batches(rows(), ["doc_id", "n_bytes", "media"], (pa.int64(), pa.int64(), pa.binary()))
+
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+
+
+def measured(stored: DataFrame, *, with_media: bool = False) -> DataFrame:
+    """What the images of ``stored`` (doc_id, n_bytes, media) give when they are decoded: SCHEMA, and ``media`` if asked for."""
+    schema = SCHEMA + (", media binary" if with_media else "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for doc, n, media in zip(*batch.columns, strict=True):
+                    media = media.as_py()
                     pixels = decode(media)
-                    back = np.ascontiguousarray(pixels).tobytes()
+                    back = np.ascontiguousarray(pixels).data
                     tile, feature = tile_and_hash(pixels)
-                    row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, hashlib.sha256(tile).hexdigest())
-                    rows.append((*row, media, tile) if with_bytes else row)
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary()]
-                names = [x.split()[0] for x in schema.split(", ")]
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
-                yield pa.RecordBatch.from_arrays([ids.slice(start, 512), *columns], names=names)
-
-    schema = SCHEMA + (", media binary, tile binary" if with_bytes else "")
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+                    row = (doc.as_py(), n.as_py(), back.nbytes, hashlib.sha256(back).hexdigest(), zlib.crc32(bytes(back.cast("B")[-16:])), len(media), hashlib.sha256(media).hexdigest(), feature, tile)
+                    yield len(media), (*row, media) if with_media else row
+
+        yield from _batches(rows(), [x.split()[0] for x in schema.split(", ")], KINDS)
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+
+
+def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, form: str = "ppm", with_bytes: bool = True) -> DataFrame:
+    """Every text as an image column: stored in the shared folder, read back, hashed and tiled.
+
+    With ``with_bytes`` the columns ``media`` (the stored image) and ``tile``
+    (NPY) come along; else only what is derived from them.  No shuffle; memory
+    is one Arrow batch and one image.
+    """
+    stored = written(encode_texts(df, id_col, text_col, form=form), "media-images")
+    tiles = written(measured(stored, with_media=with_bytes), "media-tiles")
+    release(stored)
+    out = tiles.withColumn("tile_sha256", F.sha2("tile", 256))
+    return out if with_bytes else out.drop("tile")

@@ -98,6 +98,34 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard
 FROM placed
 """
 
+#: Bytes by their hex digits; grey areas as whole numbers: an 8 x 9 tile of h rows of 64 pixels.
+OP3 = r"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda k, z: CASE WHEN k % 2 = 1 THEN xor(k // 2, 3988292384) ELSE k // 2 END)) AS t
+), d AS (
+  SELECT text, payload, strlen(payload) // 192 AS h, hex(encode(payload)) AS x
+  FROM (SELECT text, text || repeat(' ', greatest(1, (strlen(text) + 191) // 192) * 192 - strlen(text)) AS payload FROM (SELECT DISTINCT coalesce(text, '') AS text FROM documents))
+), b AS (SELECT text, h, unnest(regexp_extract_all(x, '..')) AS byte, unnest(range(h * 192)) AS p FROM d
+), px AS (
+  SELECT text, h, p // 192 AS y, (p % 192) // 3 AS c, sum(('0x' || byte)::BIGINT * CASE p % 3 WHEN 0 THEN 299 WHEN 1 THEN 587 ELSE 114 END) AS grey FROM b GROUP BY ALL
+), r AS (
+  SELECT text, h, y, k, sum(grey * (least(9 * c + 9, 64 * k + 64) - greatest(9 * c, 64 * k))) AS v FROM px JOIN range(9) AS g(k) ON 9 * c < 64 * k + 64 AND 64 * k < 9 * c + 9 GROUP BY ALL
+), cell AS (
+  SELECT text, h, j, k, CAST(sum(v * (least(8 * y + 8, h * j + h) - greatest(8 * y, h * j))) AS HUGEINT) AS v FROM r JOIN range(8) AS g(j) ON 8 * y < h * j + h AND h * j < 8 * y + 8 GROUP BY ALL
+), bits AS (
+  SELECT text, j, sum(CASE WHEN k > 0 AND v > last THEN 1 << (8 - k) ELSE 0 END)::BIGINT AS bits, string_agg(printf('%02x', ((2 * v + 64000 * h) // (128000 * h))::BIGINT), '' ORDER BY k) AS line
+  FROM (SELECT *, lag(v) OVER (PARTITION BY text, j ORDER BY k) AS last FROM cell) GROUP BY ALL
+), f AS (SELECT text, string_agg(printf('%02x', bits), '' ORDER BY j) AS feature, string_agg(line, '' ORDER BY j) AS tile FROM bits GROUP BY text
+), m AS (
+  SELECT d.text, feature, tile, payload, 'P6' || chr(10) || '64 ' || h || chr(10) || '255' || chr(10) || payload AS media,
+    xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(16), lambda i: ('0x' || substr(right(x, 32), 2 * i + 1, 2))::BIGINT)), lambda crc, b: xor(crc // 256, t[xor(crc, b) % 256 + 1]))) AS tail
+  FROM d JOIN f USING (text), tab
+)
+SELECT doc_id, CAST(strlen(m.text) AS BIGINT) AS n_bytes, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_sha256, CAST(tail AS BIGINT) AS tail_crc32, CAST(strlen(media) AS BIGINT) AS media_bytes,
+  sha256(media) AS media_sha256, feature, sha256(unhex('934e554d50590100' || '7600' || hex(encode(rpad('{''descr'': ''|u1'', ''fortran_order'': False, ''shape'': (8, 9), }', 117, ' ') || chr(10))) || tile)) AS tile_sha256
+FROM documents JOIN m ON coalesce(documents.text, '') = m.text
+"""
+
 OP4 = rf"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -132,7 +160,7 @@ SELECT page_id, url, CAST(size AS BIGINT) AS payload_bytes,
 FROM g
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_sharding": OP2, "op4_ngram_join": OP4, "op5_html": OP5, "op7_decontaminate": OP7, "op10_warc": OP10}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op2_sharding": OP2, "op3_media": OP3, "op4_ngram_join": OP4, "op5_html": OP5, "op7_decontaminate": OP7, "op10_warc": OP10}
 
 
 def _op9() -> str:

@@ -235,6 +235,47 @@ def test_area_resize_is_a_mean_over_areas():
     assert np.allclose(media.area_resize(img, (8, 9)), fine.reshape(8, 7, 9, 10).mean(axis=(1, 3)))
 
 
+@pytest.mark.parametrize("rows", [1, 2, 7, 8, 9, 1023, 1024, 1025, 3000])
+def test_features_pixel_by_pixel(rows):
+    """Tile and hash of bands against sums over a grid that divides both sides, in whole numbers."""
+    pixels = np.random.default_rng(rows).integers(0, 256, (rows, 64, 3), dtype=np.uint8)
+    grey = [[299 * int(r) + 587 * int(g) + 114 * int(b) for r, g, b in line] for line in pixels]
+    tile, feature = media.tile_and_hash(pixels)
+    sums = [[0] * 9 for _ in range(8)]
+    for y, line in enumerate(grey):
+        for j in range(8 * y // rows, (8 * y + 7) // rows + 1):
+            dy = min(8 * y + 8, rows * j + rows) - max(8 * y, rows * j)
+            for x, v in enumerate(line):
+                for k in range(9 * x // 64, (9 * x + 8) // 64 + 1):
+                    sums[j][k] += v * dy * (min(9 * x + 9, 64 * k + 64) - max(9 * x, 64 * k))
+    assert np.load(io.BytesIO(tile)).tolist() == [[int(v / (64000 * rows) + 0.5) for v in line] for line in sums]
+    assert feature == "".join(f"{sum((b > a) << (7 - k) for k, (a, b) in enumerate(zip(line, line[1:], strict=False))):02x}" for line in sums)
+
+
+def test_media_of_a_very_long_text_in_little_memory(spark):
+    import tracemalloc
+
+    pixels = np.frombuffer(media.payload_of(b"long text " * 2_000_000), np.uint8).reshape(-1, 64, 3)
+    tracemalloc.start()
+    media.tile_and_hash(pixels)
+    assert tracemalloc.get_traced_memory()[1] < pixels.nbytes
+    tracemalloc.stop()
+
+
+def test_written_tables_are_released_and_swept(spark):
+    from pathlib import Path
+
+    from shiori.llm.common import release, shared_dir, sweep
+
+    here = Path(shared_dir(spark).removeprefix("file://"))
+    a, b = written(spark.range(3), "keep-me"), written(spark.range(3), "drop-me")
+    release(b, spark.range(1))
+    assert a.count() == 3 and not list(here.glob("drop-me-*")) and list(here.glob("keep-me-*"))
+    (here / "not-ours").mkdir(exist_ok=True)
+    assert sweep(spark, 3600) == 0 and sweep(spark, -60) > 0
+    assert not list(here.glob("keep-me-*")) and (here / "not-ours").exists()
+
+
 # --- decontamination
 
 ITEMS = [(1, " ".join(f"w{i}" for i in range(15))), (2, "Short ITEM here"), (3, None), (4, "!!!"), (5, "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 other end"), (2, "short item here"), (10, "ünï côde")]
