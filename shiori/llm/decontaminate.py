@@ -11,12 +11,16 @@ hits are marked.
 The broadcast: the benchmark's size is measured first.  It is scanned in blocks
 of at most ``block_bytes`` of text, so what is broadcast at once never exceeds a
 block (an item longer than that is a block of its own): at the default of 4 MB
-some hundred MB in a worker, however large the benchmark; marks of several blocks are united per document.
+some hundred MB in a worker, however large the benchmark.  A block's set is made,
+broadcast, applied, its result written and the set destroyed before the next one;
+a benchmark of one block is applied without a write.  :func:`report` then keeps
+only the rows that a block hits, and unites their marks per document.
 
 Edge cases: null and wordless texts have no words and are never hit; null or
-wordless items have no windows; repeated items are all counted; repeated
-documents are each reported; an empty benchmark leaves every document clean; an
-empty table gives no rows.  :func:`decontaminate` keeps all columns of its input;
+wordless items have no windows; items of equal id (as text) count as one, whose
+windows are those of all; items without an id hit words, but are neither counted
+nor named; repeated documents are each reported; an empty benchmark leaves every
+document clean; an empty table gives no rows.  :func:`decontaminate` keeps all columns of its input;
 its own work columns start with an underscore and are dropped.
 """
 
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiori.llm.common import written
+from shiori.llm.common import parts, release, written
 
 #: Fixed value: what is no word character, over lower-cased text.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -74,7 +78,8 @@ class WindowSet:
                     number[key] = len(out.windows)
                     out.windows.append(key)
                     out.items.append([])
-                out.items[number[key]].append(str(item))
+                if item is not None:
+                    out.items[number[key]].append(str(item))
         by_length: dict[int, list[int]] = {}
         for w, key in enumerate(out.windows):
             by_length.setdefault(len(key), []).append(w)
@@ -138,14 +143,12 @@ def _reporter(sets, pick):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = sets.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                scanned = []
-                for text in part.column(part.num_columns - 1):
-                    words = words_of(text.as_py())
-                    scanned.append((words, *windows.scan(words)))
-                yield pick(part, scanned)
+        for part in parts(batches, 256):
+            scanned = []
+            for text in part.column(part.num_columns - 1):
+                words = words_of(text.as_py())
+                scanned.append((words, *windows.scan(words)))
+            yield pick(part, scanned)
 
     return run
 
@@ -161,68 +164,84 @@ def report(df: DataFrame, benchmark: DataFrame, *, n: int = 10, id_col: str = "d
             names=["doc_id", "n_words", "n_hit", "items"],
         )
 
-    told = iter(blocks(benchmark, item_id_col, item_text_col, block_bytes))
+    told = blocks(benchmark, item_id_col, item_text_col, block_bytes)
     first, more = next(told, []), next(told, None)
     if more is None:
         return docs.mapInArrow(_reporter(spark.sparkContext.broadcast(WindowSet.build(first, n)), pick), REPORT)
 
-    # Many blocks: marks (packed bits) of each block by row, united by the row's key.
+    # Many blocks: marks of each block by row, of rows that it hits, united by the row's key.
     def marks(part, scanned):
-        return pa.RecordBatch.from_arrays(
-            [*part.columns[:2], pa.array([len(w) for w, _, _ in scanned], pa.int64()), pa.array([np.flatnonzero(h).tolist() for _, h, _ in scanned], pa.list_(pa.int64())), pa.array([sorted(f) for _, _, f in scanned], pa.list_(pa.string()))],
-            names=["row", "doc_id", "n_words", "hits", "items"],
+        batch = pa.RecordBatch.from_arrays(
+            [part.column(0), pa.array([np.flatnonzero(h).tolist() for _, h, _ in scanned], pa.list_(pa.int64())), pa.array([sorted(f) for _, _, f in scanned], pa.list_(pa.string()))],
+            names=["row", "hits", "items"],
         )
+        return batch.filter(pa.array([bool(h.any()) for _, h, _ in scanned], pa.bool_()))
 
     keyed = written(docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text"), "decontaminate-docs")
-    out = None
+    out = keyed.mapInArrow(_counter, "row long, doc_id long, n_words long")
+    hit = None
     while first:
         sets = spark.sparkContext.broadcast(WindowSet.build(first, n))
-        one = written(keyed.mapInArrow(_reporter(sets, marks), "row long, doc_id long, n_words long, hits array<long>, items array<string>"), "decontaminate-marks")
-        sets.unpersist()
-        out = one if out is None else out.unionByName(one)
+        one = written(keyed.select("row", "text").mapInArrow(_reporter(sets, marks), "row long, hits array<long>, items array<string>"), "decontaminate-marks")
+        sets.destroy()
+        hit = one if hit is None else hit.unionByName(one)
         first, more = more or [], next(told, None)
-    return out.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    ).drop("row")
+    hit = hit.groupBy("row").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    none = F.array().cast("array<string>")
+    return out.join(hit, "row", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
+
+
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts(batches, 256):
+        yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([len(words_of(t.as_py())) for t in part.column(2)], pa.int64())], names=["row", "doc_id", "n_words"])
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, *, n: int = 10, remove: str = "documents", share: float = 0.0, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """``df`` without contamination: ``documents`` with more than ``share`` of their words hit go, or ``spans`` of hit words are cut out.
 
     A span runs from its first hit word to its last; what stays of the text is
-    kept as it was.  Blocks of the benchmark are applied one after the other.
+    kept as it was.  Blocks of the benchmark are applied one after the other, so
+    ``share`` counts a block's hits against the words that the blocks before left.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove: documents or spans")
-    spark, names = df.sparkSession, df.columns
-    for rows in blocks(benchmark, item_id_col, item_text_col, block_bytes):
-        sets = spark.sparkContext.broadcast(WindowSet.build(rows, n))
-
-        def run(batches: Iterator[pa.RecordBatch], sets=sets) -> Iterator[pa.RecordBatch]:
-            windows = sets.value
-            for batch in batches:
-                at = batch.schema.get_field_index(text_col)
-                for start in range(0, batch.num_rows, 256):
-                    part, keep, texts = batch.slice(start, 256), [], []
-                    for value in part.column(at):
-                        text = value.as_py()
-                        lower = text.translate(_LOWER) if text else ""
-                        spans = [m.span() for m in WORD.finditer(lower)]
-                        hit, _ = windows.scan([lower[a:b] for a, b in spans])
-                        if remove == "documents":
-                            keep.append(not hit.any() or hit.sum() <= share * len(hit))
-                        else:
-                            keep.append(True)
-                            if hit.any():
-                                text = _without(text, spans, hit)
-                        texts.append(text)
-                    columns = list(part.columns)
-                    columns[at] = pa.array(texts, batch.schema.field(at).type)
-                    yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
-
-        df = df.mapInArrow(run, df.schema)
-    return df.select(*names)
+    spark, last = df.sparkSession, None
+    told = blocks(benchmark, item_id_col, item_text_col, block_bytes)
+    rows = next(told, None)
+    while rows is not None:
+        sets, rows = spark.sparkContext.broadcast(WindowSet.build(rows, n)), next(told, None)
+        df = df.mapInArrow(_remover(sets, text_col, remove, share), df.schema)
+        if rows is not None:  # else the caller's action applies the last set
+            df = written(df, "decontaminate-clean")
+            sets.destroy()
+            if last is not None:
+                release(last)
+            last = df
+    return df
+
+
+def _remover(sets, text_col: str, remove: str, share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = sets.value
+        for part in parts(batches, 256):
+            at, keep, texts = part.schema.get_field_index(text_col), [], []
+            for value in part.column(at):
+                text = value.as_py()
+                lower = text.translate(_LOWER) if text else ""
+                spans = [m.span() for m in WORD.finditer(lower)]
+                hit, _ = windows.scan([lower[a:b] for a, b in spans])
+                if remove == "documents":
+                    keep.append(not hit.any() or hit.sum() <= share * len(hit))
+                else:
+                    keep.append(True)
+                    if hit.any():
+                        text = _without(text, spans, hit)
+                texts.append(text)
+            columns = list(part.columns)
+            columns[at] = pa.array(texts, part.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def _without(text: str, spans: list[tuple[int, int]], hit: np.ndarray) -> str:

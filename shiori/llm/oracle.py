@@ -19,7 +19,7 @@ WITH d AS (
 ), hits AS (SELECT rid, i, dw.k AS k, item_id FROM dw JOIN win ON dw.g = win.g AND dw.k = win.k
 ), pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM hits) GROUP BY rid
 ), items AS (
-  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  SELECT rid, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS list
   FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY rid
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,

@@ -307,6 +307,36 @@ def test_decontamination(spark, block_bytes):
     assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got} == {i: naive_report(t, ITEMS) for i, t in enumerate(texts)}
 
 
+def test_blocks_are_broadcast_one_at_a_time(spark, monkeypatch):
+    from pyspark import SparkContext
+
+    alive, most, made = [], [0], SparkContext.broadcast
+
+    def broadcast(self, value):
+        out = made(self, value)
+        if isinstance(value, decontaminate.WindowSet):
+            alive.append(out)
+            most[0] = max(most[0], len(alive))
+            end = out.destroy
+            out.destroy = lambda *a: (alive.remove(out), end(*a))
+        return out
+
+    monkeypatch.setattr(SparkContext, "broadcast", broadcast)
+    items = spark.createDataFrame([(i, f"only item {i} has these words a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(12)], "item_id long, text string")
+    df = docs(spark, [(i, f"x only item {i} has these words a{i} b{i} c{i} d{i} e{i} f{i} y" if i % 2 else "clean text", "s") for i in range(12)])
+    kept = decontaminate.decontaminate(df, items, block_bytes=120)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 6, 8, 10] and kept.columns == df.columns
+    assert most[0] == 1
+    found = decontaminate.report(df, items, block_bytes=120).collect()
+    assert most[0] <= 2 and {r.doc_id: r["items"] for r in found} == {i: [str(i)] if i % 2 else [] for i in range(12)}
+
+
+def test_items_without_an_id(spark):
+    items = spark.createDataFrame([(None, "these are secret words"), (5, "other words here"), (5, "and these too")], "item_id long, text string")
+    got = decontaminate.report(docs(spark, [(1, "x these are secret words and these too", "s")]), items).collect()
+    assert [(r.n_hit, r["items"]) for r in got] == [(7, ["5"])]
+
+
 def test_decontaminate_removes(spark):
     data = [(1, "keep this text as it is", "s"), (2, f"before, {ITEMS[0][1]} after.", "s"), (3, None, None)]
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
