@@ -16,18 +16,23 @@ distinct word n-grams.  The join is exact.
    share an emitted mark are compared by size and by the parities of their
    n-gram counts in about as many bins as they have n-grams: the bins that differ
    are a lower bound of the difference, and pairs beyond the size-derived bound
-   are discarded before any text is read.
+   are discarded before any text is read.  That comparison, too, is a blocked
+   product (of parity bits): no pair is emitted, and a task hands on a forest.
 3. *Product.*  The nodes that still hang together form families.  A family is
-   cut into blocks; the product of two blocks accumulates overlap counts over
-   slices of n-gram columns, and pairs below the size-derived bound are
-   discarded.  A large family is first multiplied by its most central node; nodes
-   linked to that one need no product among each other.  A block emits at most
-   one link per node, so copies are never expanded into all pairs.
+   cut into blocks of sorted coordinates; the product of two blocks accumulates
+   overlap counts as whole numbers, by listing the pairs of columns that few rows
+   hold and multiplying slices of the columns that many hold, and pairs below the
+   size-derived bound are discarded.  A large family is first multiplied by its
+   most central node; nodes linked to that one need no product among each other.
+   A block emits at most one link per node, so copies are never expanded into all
+   pairs.
 4. *Components* of those links by large-star and small-star steps.
 
 Skew: copies collapse to one node before anything is paired; groups of an n-gram
 are aggregated map-side and larger ones are tiled; families are tiled.  Nothing is
-capped: a document of any group is compared as the bounds demand.  Nodes are
+capped: a document of any group is compared as the bounds demand.  Of a family of
+n documents that are nearly, but not quite, similar enough, some n² bits products
+remain (a few seconds of one core for 20,000 documents), dealt to tasks by blocks.  Nodes are
 named by a 64-bit hash of their set.
 
 Edge cases: null, empty and blank texts have the empty set and link with
@@ -48,7 +53,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiori.llm.common import few, written
+from shiori.llm.common import few, parts, release, written
 from shiori.llm.graph import components
 
 #: Most n-grams in the list of common ones (8 bytes each): the bound of its broadcast.
@@ -57,10 +62,12 @@ COMMON = 1 << 20
 COMMON_DOCS, COMMON_IN_BATCH = 4096, 3
 #: A block holds about this many n-grams, and nodes.
 BLOCK_GRAMS, BLOCK_NODES = 400_000, 512
-#: Rows of n-gram groups that are compared in one task.
-GROUP_ROWS = 2_000
-#: N-gram columns multiplied at once.
+#: Rows of n-gram groups that are compared in one task, and nodes of a group beyond which it is cut into blocks.
+GROUP_ROWS, GROUP_NODES = 2_000, 4_096
+#: Columns (n-grams, or parity bits) multiplied at once.
 SLICE = 4096
+#: A column of which a block pair holds one in so many pairs or more is multiplied densely; at most so many pairs are listed at a time.
+DENSE, LISTED = 64, 1 << 22
 #: From this percentage on, part hashes bring nodes together; below, parts would be too small, and prefixes do.
 PARTS_FROM = 85
 LEVELS = 12
@@ -263,10 +270,73 @@ def _edges(nodes: np.ndarray, root: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(nodes[keep], pa.int64()), "b": pa.array(nodes[root[keep]], pa.int64())})
 
 
-def _ranks(nodes: np.ndarray) -> np.ndarray:
-    out = np.empty(len(nodes), np.int64)
-    out[np.argsort(nodes, kind="stable")] = np.arange(len(nodes))
-    return out
+def halved(rows: np.ndarray) -> np.ndarray:
+    """Parities of many nodes (rows of bytes) in half as many bins."""
+    bits = np.unpackbits(rows, axis=1)
+    return np.packbits(bits[:, ::2] ^ bits[:, 1::2], axis=1)
+
+
+def near_pairs(sizes: np.ndarray, bins: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs that sizes and parities do not rule out, block by block, as a blocked product of the parity bits.
+
+    Bits that differ are those of both less twice the common ones; two nodes are
+    compared at the smaller number of bins.  A pair comes once or twice.
+    """
+    width = np.array([len(b) for b in bins])
+    held = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
+    rows = {w: np.frombuffer(b"".join(bins[k] for k in at), np.uint8).reshape(-1, w) for w, at in held.items()}
+    widths = sorted(held)
+    for w in widths:
+        most = sizes[held[w]].max() * 100 // percent + 1
+        others, made = [], []
+        for wide in widths[widths.index(w) :]:
+            at = held[wide]
+            here = sizes[at] <= most
+            folded_rows = rows[wide][here]
+            k = wide
+            while k > w and len(folded_rows):
+                folded_rows, k = halved(folded_rows), k // 2
+            others.append(at[here])
+            made.append(folded_rows.reshape(-1, w))
+        other, right = np.concatenate(others), np.concatenate(made)
+        for a in range(0, len(held[w]), BLOCK_NODES):
+            own, left = held[w][a : a + BLOCK_NODES], rows[w][a : a + BLOCK_NODES]
+            for b in range(0, len(other), 2 * BLOCK_NODES):
+                to, cols = other[b : b + 2 * BLOCK_NODES], right[b : b + 2 * BLOCK_NODES]
+                common = np.zeros((len(own), len(to)), np.int64)
+                for at in range(0, w, SLICE // 8):
+                    x, y = (np.unpackbits(m[:, at : at + SLICE // 8], axis=1).astype(np.float32) for m in (left, cols))
+                    common += (x @ y.T).astype(np.int64)  # whole numbers up to SLICE, so exact
+                differ = np.bitwise_count(left).sum(axis=1, dtype=np.int64)[:, None] + np.bitwise_count(cols).sum(axis=1, dtype=np.int64) - 2 * common
+                s, t = sizes[own][:, None], sizes[to][None, :]
+                ok = (100 * np.minimum(s, t) >= percent * np.maximum(s, t)) & ((100 + percent) * differ <= (100 - percent) * (s + t))
+                i, j = np.nonzero(ok)
+                i, j = own[i], to[j]
+                yield i[i != j], j[i != j]
+
+
+class Forest:
+    """Edges among n nodes, folded into a spanning forest whenever they are many."""
+
+    def __init__(self, n: int) -> None:
+        self.root = np.arange(n)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.held.append(np.stack((self.root[i], self.root[j])))
+        self.size += len(i)
+        if self.size > 1 << 20:
+            self.roots()
+
+    def roots(self) -> np.ndarray:
+        """The least node of each node's tree."""
+        if self.held:
+            i, j = np.concatenate(self.held, axis=1)
+            n = len(self.root)
+            self.root = _forest(n, i, j, np.arange(n))[self.root]
+            self.held, self.size = [], 0
+        return self.root
 
 
 def group_edges(percent: int):
@@ -276,23 +346,14 @@ def group_edges(percent: int):
         sig, side, node = (table.column(c).to_numpy() for c in ("sig", "side", "node"))
         sizes, bins = table.column("n").to_numpy(), table.column("bins")
         order = np.argsort(sig, kind="stable")
-        cuts = np.flatnonzero(np.diff(sig[order])) + 1
-        out = []
-        for own in np.split(order, cuts):
-            i, j = np.triu_indices(len(own), 1)
-            keep = (side[own[i]] != side[own[j]]) | (side[own[i]] == 0)
-            i, j = i[keep], j[keep]
-            sketches = Sketches(sizes[own], bins.take(pa.array(own)).to_pylist())
-            for at in range(0, len(i), 1 << 16):
-                a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                ok = sketches.compatible(a, b, percent)
-                if ok.any():
-                    out.append(np.stack((own[a[ok]], own[b[ok]])))
-        if not out:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         names, index = np.unique(node, return_inverse=True)
-        pairs = index[np.concatenate(out, axis=1)]
-        return _edges(names, _forest(len(names), pairs[0], pairs[1], _ranks(names)))
+        forest = Forest(len(names))
+        for own in np.split(order, np.flatnonzero(np.diff(sig[order])) + 1):
+            for i, j in near_pairs(sizes[own], bins.take(pa.array(own)).to_pylist(), percent):
+                i, j = own[i], own[j]
+                keep = (side[i] != side[j]) | (side[i] == 0)
+                forest.add(index[i[keep]], index[j[keep]])
+        return _edges(names, forest.roots())
 
     return run
 
@@ -346,7 +407,7 @@ def candidate_edges(found: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     odd = rest.join(judged.filter("not ok").select("node", "pivot"), ["node", "pivot"]).select("sig").distinct()
     odd = written(by_size(rest.join(odd, "sig").join(nodes.select("node", "n"), "node").select("sig", "node", "n"), percent), "ngram-sized")
     odd = written(odd.join(nodes.select("node", "bins"), "node").select("sig", "node", "n", "bins"), "ngram-odd")
-    sizes = written(odd.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.ceil(F.col("_n") / (2 * BLOCK_NODES))), "ngram-odd-sizes")
+    sizes = written(odd.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.ceil(F.col("_n") / GROUP_NODES)), "ngram-odd-sizes")
     total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     tiles = odd.join(sizes, "sig").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_b")))
     # A group of one block is a tile with others; of more, a node goes to the tile of its block and each block.
@@ -361,48 +422,78 @@ def candidate_edges(found: DataFrame, percent: int) -> tuple[DataFrame, DataFram
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """The product of two blocks of incidence rows: overlap counts, accumulated over slices of columns."""
-    out = np.zeros((len(left), len(right)), np.float32)
+    """The product of two blocks of incidence rows: overlap counts, as whole numbers.
+
+    Both blocks are coordinate lists sorted by column.  Of a column that few rows
+    hold, the pairs of its rows are listed and counted; columns that many hold are
+    multiplied densely, slice by slice.
+    """
+    nl, nr = len(left), len(right)
+    out = np.zeros((nl, nr), np.int32)
     columns = np.intersect1d(*(np.unique(np.concatenate(x)) for x in (left, right)), assume_unique=True)
+    if not len(columns):
+        return out
 
-    def coordinates(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def coordinates(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         flat = np.concatenate(rows)
         row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         at = np.minimum(np.searchsorted(columns, flat), len(columns) - 1)
         here = columns[at] == flat
         at, row = at[here], row[here]
         order = np.argsort(at, kind="stable")
-        return at[order], row[order]
-
-    if not len(columns):
-        return out
-    (lc, lr), (rc, rr) = coordinates(left), coordinates(right)
-    for start in range(0, len(columns), SLICE):
-        width = min(SLICE, len(columns) - start)
-        a, b = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
-        for c, r, m in ((lc, lr, a), (rc, rr, b)):
+        return at[order], row[order], np.bincount(at, minlength=len(columns))
+
+    (lc, lr, ln), (rc, rr, rn) = coordinates(left), coordinates(right)
+    pairs = ln * rn
+    dense = pairs * DENSE >= nl * nr
+    number = np.cumsum(dense) - 1
+    sides = []
+    for c, r in ((lc, lr), (rc, rr)):
+        many = dense[c]
+        sides.append((number[c[many]], r[many]))
+    for start in range(0, int(dense.sum()), SLICE):
+        width = min(SLICE, int(dense.sum()) - start)
+        a, b = np.zeros((nl, width), np.float32), np.zeros((nr, width), np.float32)
+        for (c, r), m in zip(sides, (a, b), strict=True):
             lo, hi = np.searchsorted(c, (start, start + width))
             m[r[lo:hi], c[lo:hi] - start] = 1
-        out += a @ b.T
+        out += (a @ b.T).astype(np.int32)  # whole numbers up to SLICE, so exact
+    few_rows = np.flatnonzero(~dense)
+    left_start, right_start = np.cumsum(ln) - ln, np.cumsum(rn) - rn
+    upto = np.cumsum(pairs[few_rows])
+    at = 0
+    while at < len(few_rows):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + LISTED, side="right")))
+        own = few_rows[at:stop]
+        n = pairs[own]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        own = np.repeat(own, n)
+        code = lr[left_start[own] + place // rn[own]] * nr + rr[right_start[own] + place % rn[own]]
+        out += np.bincount(code, minlength=nl * nr).reshape(nl, nr).astype(np.int32)
+        at = stop
     return out
 
 
-def product_links(grams: list[np.ndarray], rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (row of ``rows``, any other) in a block, or between two."""
+def product_links(grams: list[np.ndarray], rows: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs (row of ``rows``, any other) of a block, or of two, some rows at a time."""
     sizes = np.array([len(g) for g in grams])
-    found = []
+    # An n-gram of one row alone is in no overlap.
+    flat = np.concatenate(grams)
+    _, back, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[back] > 1
+    grams = [g[k] for g, k in zip(grams, np.split(shared, np.cumsum(sizes)[:-1]), strict=True)]
     for at in range(0, len(rows), BLOCK_NODES):
         own = rows[at : at + BLOCK_NODES]
         # Only rows of sizes that can reach the bound take part in the product.
         low, high = sizes[own].min() * percent // 100, -(-sizes[own].max() * 100 // percent)
         near = np.flatnonzero((sizes >= low) & (sizes <= high))
-        counts = overlaps([grams[i] for i in own], [grams[i] for i in near])
-        i, j = np.nonzero(linked(counts.astype(np.int64), sizes[own][:, None], sizes[near][None, :], percent))
-        i, j = own[i], near[j]
-        keep = i != j
-        found.append(np.stack((i[keep], j[keep])))
-    out = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-    return out[0], out[1]
+        for b in range(0, len(near), 4 * BLOCK_NODES):
+            to = near[b : b + 4 * BLOCK_NODES]
+            counts = overlaps([grams[i] for i in own], [grams[i] for i in to])
+            i, j = np.nonzero(linked(counts.astype(np.int64), sizes[own][:, None], sizes[to][None, :], percent))
+            i, j = own[i], to[j]
+            keep = i != j
+            yield i[keep], j[keep]
 
 
 def tile_edges(n: int, percent: int):
@@ -421,8 +512,10 @@ def tile_edges(n: int, percent: int):
             is_row = np.zeros(len(names), bool)
             is_row[back[role[own] != 2]] = True
             grams = [shingles(texts[int(own[k])].as_py(), n) for k in first]
-            i, j = product_links(grams, np.flatnonzero(is_row), percent)
-            out.append(_edges(names, _forest(len(names), i, j, np.arange(len(names)))))
+            forest = Forest(len(names))
+            for i, j in product_links(grams, np.flatnonzero(is_row), percent):
+                forest.add(i, j)
+            out.append(_edges(names, forest.roots()))
         return pa.concat_tables(out) if out else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
     return run
@@ -459,15 +552,14 @@ def links(df: DataFrame, found: DataFrame, *, n: int, percent: int, id_col: str,
     against = many.join(hubs, (F.col("family") == F.col("_f")) & (F.col("_own") == F.col("_o")))
 
     def hub_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
-        for b in batches:
-            got = []
-            for text, hub in zip(b.column(5), b.column(6), strict=True):
-                hub = hub.as_py()
-                if hub != last[0]:
-                    last = hub, shingles(hub, n)
-                grams = shingles(text.as_py(), n)
-                got.append(bool(linked(len(np.intersect1d(grams, last[1], assume_unique=True)), len(grams), len(last[1]), percent)))
+        for b in parts(batches, 64):
+            got, of_hub = np.zeros(b.num_rows, bool), b.column(2).to_numpy()
+            for hub in np.unique(of_hub):
+                own = np.flatnonzero(of_hub == hub)
+                grams = [shingles(b.column(5)[int(k)].as_py(), n) for k in own]
+                center = shingles(b.column(6)[int(own[0])].as_py(), n)
+                counts = overlaps(grams, [center])[:, 0].astype(np.int64)
+                got[own] = linked(counts, np.array([len(g) for g in grams]), len(center), percent)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(got, pa.bool_())], names=["node", "family", "hub", "_b", "n", "near"])
 
     near = written(against.select("node", "family", "hub", "_b", "n", "text", "hub_text").mapInArrow(hub_links, "node long, family long, hub long, _b long, n long, near boolean"), "ngram-hubs")

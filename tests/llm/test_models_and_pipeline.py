@@ -388,6 +388,66 @@ def test_parities_bound_the_difference():
         assert both.compatible(np.array([0]), np.array([1]), 80)[0] or not linked
 
 
+@pytest.mark.parametrize("percent", [84, 85, 90])
+def test_just_below_and_above_the_bound(spark, percent):
+    """Pairs of one n-gram more and one less than the bound demands, of many sizes; a family around each bound."""
+    rng, data, expected = random.Random(percent), [], {}
+    for k in range(160):
+        a = rng.randrange(3, 260)
+        b = rng.randrange(max(1, a * percent // 100), a * 100 // percent + 1)
+        least = -(-percent * (a + b) // (100 + percent))
+        for over in (0, 1):
+            both = least - over
+            if both > min(a, b):
+                continue
+            words = [f"w{k}x{over}n{i}" for i in range(a + b)]
+            i = len(data)
+            one, two = words[:a], words[:both] + words[a : a + b - both]
+            rng.shuffle(one)
+            rng.shuffle(two)
+            data += [(i, " ".join(one), "aa", "s"), (i + 1, " ".join(two), "aa", "s")]
+            expected[i], expected[i + 1] = i, i + over
+    base = [f"t{i}" for i in range(100)]
+    for m in range(60):  # a common text with words of one's own: alike by turns just enough and not quite
+        own = base[: 100 - m % 12] + [f"o{m}n{i}" for i in range(m % 12)]
+        data.append((10_000 + m, " ".join(own), "aa", "s"))
+    family = data[-60:]
+    component = closure([(x[0], y[0]) for i, x in enumerate(family) for y in family[:i] if ngram_join.linked(len({*x[1].split()} & {*y[1].split()}), 100, 100, percent)], [x[0] for x in family])
+    expected |= component
+    got = ngram_join.join_components(docs(spark, data), n=1, percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in got} == expected
+
+
+def test_near_pairs_equal_the_comparison_of_each_pair(monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 7)
+    monkeypatch.setattr(ngram_join, "SLICE", 32)
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    for percent in (40, 80, 90):
+        sets = [np.unique(np.concatenate((rng.choice(base[:k], k * 9 // 10, replace=False), rng.integers(0, 2**64, rng.integers(0, 12), dtype=np.uint64)))) for k in rng.integers(20, 400, 60)]
+        sizes, bins = np.array([len(g) for g in sets]), [ngram_join.parities(g) for g in sets]
+        got = {(min(x), max(x)) for i, j in ngram_join.near_pairs(sizes, bins, percent) for x in zip(i.tolist(), j.tolist(), strict=True)}
+        sketches = ngram_join.Sketches(sizes, bins)
+        every = np.array([(i, j) for j in range(60) for i in range(j)])
+        ok = sketches.compatible(every[:, 0], every[:, 1], percent)
+        missed = {(int(i), int(j)) for (i, j), k in zip(every, ok, strict=True) if k} - got
+        assert not any(ngram_join.linked(len(np.intersect1d(sets[i], sets[j])), sizes[i], sizes[j], percent) for i, j in missed)
+        if percent > 50:
+            assert not missed and got == {(int(i), int(j)) for (i, j), k in zip(every, ok, strict=True) if k}
+
+
+@pytest.mark.parametrize("dense,listed", [(64, 1 << 22), (1, 50), (10**9, 10)])
+def test_product_counts(monkeypatch, dense, listed):
+    monkeypatch.setattr(ngram_join, "DENSE", dense)
+    monkeypatch.setattr(ngram_join, "LISTED", listed)
+    monkeypatch.setattr(ngram_join, "SLICE", 5)
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(1, 30)).astype(np.uint64)) for _ in range(23)]
+    got = ngram_join.overlaps(rows[:9], rows[5:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in rows[5:]] for a in rows[:9]]
+    assert ngram_join.overlaps(rows[:2], [np.array([99], np.uint64)]).tolist() == [[0], [0]]
+
+
 def test_keep_one(spark):
     data = corpus(5)
     grams, component = brute(data, 5, 80)
