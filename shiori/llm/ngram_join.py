@@ -60,10 +60,12 @@ from shiori.llm.graph import components
 COMMON = 1 << 20
 #: Of so many documents at a time, n-grams are reported that at least so many hold.
 COMMON_DOCS, COMMON_IN_BATCH = 4096, 3
-#: A block holds about this many n-grams, and nodes.
-BLOCK_GRAMS, BLOCK_NODES = 400_000, 512
+#: A block of a family holds about this many n-grams, and nodes; so many nodes are multiplied at once.
+BLOCK_GRAMS, FAMILY_NODES, BLOCK_NODES = 400_000, 2_048, 512
 #: Rows of n-gram groups that are compared in one task, and nodes of a group beyond which it is cut into blocks.
 GROUP_ROWS, GROUP_NODES = 2_000, 4_096
+#: Groups of more nodes are united with those that they share nodes with, if all then cost fewer comparisons.
+BIG_GROUP = 512
 #: Columns (n-grams, or parity bits) multiplied at once.
 SLICE = 4096
 #: A column of which a block pair holds one in so many pairs or more is multiplied densely; at most so many pairs are listed at a time.
@@ -359,19 +361,41 @@ def group_edges(percent: int):
 
 
 def by_size(groups: DataFrame, percent: int) -> DataFrame:
-    """Groups (sig, node, n) split by size, so that each pair whose sizes may link stays together in one.
+    """Groups (sig, node, n) split by size (adding _class), so that each pair whose sizes may link stays together in one.
 
     Classes grow by a little more than the largest ratio of linked sizes; a node
     is in the group of its class and of the class below, where smaller partners
     lie.  Groups of one node go, and of groups with the same nodes one stays.
     """
     own = F.floor(F.log("n") / F.log(F.lit(100 / percent * 1.0001))).cast("long")
-    rows = written(groups.withColumn("_class", F.explode(F.array(own, own - 1))).select(F.xxhash64("sig", "_class").alias("sig"), "node", "n"), "ngram-by-size")
+    rows = written(groups.withColumn("_class", F.explode(F.array(own, own - 1))).select(F.xxhash64("sig", "_class").alias("sig"), "node", "n", "_class"), "ngram-by-size")
     sets = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_m"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("_y"))
     sets = sets.filter("_n > 1").groupBy("_n", "_m", "_x", "_y").agg(F.min("sig").alias("sig"))
     return rows.join(sets.select("sig"), "sig")
 
 
+def united(groups: DataFrame) -> DataFrame:
+    """``groups`` (sig, node, n, _class: a written table) with big ones of a class that share nodes made one, where that is cheaper.
+
+    A family brings the same nodes together in many groups; compared once, as a
+    whole, they cost the square of the family, not the sum of the groups' squares.
+    The nodes that any group brings together are together in the union as well.
+    """
+    sizes = groups.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_pivot")).filter(F.col("_n") > BIG_GROUP)
+    big = written(groups.join(sizes, "sig").select("sig", "node", "n", "_n", F.xxhash64("node", "_class").alias("_key"), F.xxhash64("_pivot", "_class").alias("_pivot")), "ngram-big")
+    if not big.head(1):
+        return groups.drop("_class")
+    roots = components(big.select(F.col("_key").alias("a"), F.col("_pivot").alias("b")))
+    big = big.join(roots.withColumnRenamed("node", "_key"), "_key", "left").select("sig", "node", "n", "_n", F.coalesce("root", "_key").alias("root"))
+    big = written(big, "ngram-big-rooted")
+    apart = big.groupBy("root", "sig").agg(F.first("_n").alias("_n")).groupBy("root").agg(F.sum(F.col("_n") * F.col("_n")).alias("_apart"))
+    members = written(big.groupBy("root", "node").agg(F.first("n").alias("n")), "ngram-united")
+    together = members.groupBy("root").agg(F.count(F.lit(1)).alias("_all")).join(apart, "root").filter(F.col("_all") * F.col("_all") <= F.col("_apart"))
+    together = written(together.select("root"), "ngram-together")
+    gone = written(big.join(together, "root", "left_semi").select("sig").distinct(), "ngram-gone")
+    return groups.join(gone, "sig", "left_anti").select("sig", "node", "n").unionByName(members.join(together, "root", "left_semi").select(F.xxhash64(F.lit(2), "root").alias("sig"), "node", "n"))
+
+
 def candidate_edges(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) that hold together all nodes that may link, and the nodes' centrality (shared n-grams).
 
@@ -406,6 +430,7 @@ def candidate_edges(found: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     rest = alike.filter("_n > 2")
     odd = rest.join(judged.filter("not ok").select("node", "pivot"), ["node", "pivot"]).select("sig").distinct()
     odd = written(by_size(rest.join(odd, "sig").join(nodes.select("node", "n"), "node").select("sig", "node", "n"), percent), "ngram-sized")
+    odd = united(odd)
     odd = written(odd.join(nodes.select("node", "bins"), "node").select("sig", "node", "n", "bins"), "ngram-odd")
     sizes = written(odd.groupBy("sig").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.ceil(F.col("_n") / GROUP_NODES)), "ngram-odd-sizes")
     total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
@@ -531,8 +556,8 @@ def links(df: DataFrame, found: DataFrame, *, n: int, percent: int, id_col: str,
     member = family.join(lender, "node").join(centrality, "node").select("node", "family", "n", "central", F.col("_l.doc_id").alias("_id"), F.col("_l.th").alias("_th"))
     member = written(member, "ngram-lenders")
     size = member.groupBy("family").agg(F.sum("n").alias("_g"), F.count(F.lit(1)).alias("_n"), F.max(F.struct("central", "node"))["node"].alias("hub"))
-    blocks = F.greatest(F.ceil(F.col("_g") / BLOCK_GRAMS), F.ceil(F.col("_n") / BLOCK_NODES)).cast("long")
-    size = written(size.select("family", "_g", "hub", F.when(F.col("_n") <= BLOCK_NODES, F.greatest(F.lit(1), F.ceil(F.col("_g") / (4 * BLOCK_GRAMS)))).otherwise(blocks).cast("long").alias("_b")), "ngram-family-sizes")
+    blocks = F.greatest(F.ceil(F.col("_g") / BLOCK_GRAMS), F.ceil(F.col("_n") / FAMILY_NODES)).cast("long")
+    size = written(size.select("family", "_g", "hub", F.when(F.col("_n") <= FAMILY_NODES, F.greatest(F.lit(1), F.ceil(F.col("_g") / (4 * BLOCK_GRAMS)))).otherwise(blocks).cast("long").alias("_b")), "ngram-family-sizes")
     total = size.agg(F.coalesce(F.sum("_g"), F.lit(0))).first()[0]
     docs = df.select(F.col(id_col).cast("long").alias("_id2"), F.xxhash64(text_col).alias("_th2"), F.col(text_col).alias("text"))
     asked = few(written(member.join(size.drop("_g"), "family"), "ngram-asked"))
@@ -565,7 +590,7 @@ def links(df: DataFrame, found: DataFrame, *, n: int, percent: int, id_col: str,
     near = written(against.select("node", "family", "hub", "_b", "n", "text", "hub_text").mapInArrow(hub_links, "node long, family long, hub long, _b long, n long, near boolean"), "ngram-hubs")
     stars = near.filter("near and node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     # The rest, in blocks of its own, against every block of the family.
-    rest = near.filter("not near").groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count(F.lit(1)) / BLOCK_NODES)).cast("long").alias("_r"))
+    rest = near.filter("not near").groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count(F.lit(1)) / FAMILY_NODES)).cast("long").alias("_r"))
     far = many.join(near.filter("not near").select("node").distinct(), "node").join(rest, "family")
     far = far.withColumn("_row", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("_r"))).withColumn("_col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)))
     cols = many.join(rest, "family").withColumn("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_r") - 1))).withColumn("_col", F.col("_own"))

@@ -361,8 +361,11 @@ def test_join_against_all_pairs(spark, n, percent, seed, monkeypatch):
 def test_join_in_blocks(spark, monkeypatch):
     """Large families go through the hub and the tiles: here with blocks of two nodes."""
     monkeypatch.setattr(ngram_join, "BLOCK_NODES", 2)
+    monkeypatch.setattr(ngram_join, "FAMILY_NODES", 2)
     monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 60)
     monkeypatch.setattr(ngram_join, "GROUP_ROWS", 3)
+    monkeypatch.setattr(ngram_join, "GROUP_NODES", 4)
+    monkeypatch.setattr(ngram_join, "BIG_GROUP", 1)
     data = corpus(7)
     grams, component = brute(data, 3, 80)
     got = ngram_join.join_components(docs(spark, data), n=3, percent=80).collect()
@@ -388,9 +391,10 @@ def test_parities_bound_the_difference():
         assert both.compatible(np.array([0]), np.array([1]), 80)[0] or not linked
 
 
-@pytest.mark.parametrize("percent", [84, 85, 90])
-def test_just_below_and_above_the_bound(spark, percent):
+@pytest.mark.parametrize("percent,big", [(84, 512), (85, 512), (90, 512), (90, 4)])
+def test_just_below_and_above_the_bound(spark, monkeypatch, percent, big):
     """Pairs of one n-gram more and one less than the bound demands, of many sizes; a family around each bound."""
+    monkeypatch.setattr(ngram_join, "BIG_GROUP", big)
     rng, data, expected = random.Random(percent), [], {}
     for k in range(160):
         a = rng.randrange(3, 260)
