@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import re
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,9 +55,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+#: Tables written inside each open scratch().
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables written inside it at its end, but for those handed to the function it gives.
+
+    What is kept belongs to the scratch around this one, if there is one, and else
+    to the caller of the operator, whose result is read from it.
+    """
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    _scopes.append(own)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        release(*(t for t in own if all(t is not k for k in kept)))
+        if _scopes:
+            _scopes[-1].extend(kept)
+
+
 def _folder(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at

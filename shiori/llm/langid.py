@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shiori.llm.common import parts, pieces, unit_hash, written
+from shiori.llm.common import parts, pieces, scratch, unit_hash, written
 
 ORDER = 4
 BITS = 12
@@ -261,8 +261,12 @@ def sample(df: DataFrame, spec: LangSpec, id_col: str, text_col: str, lang_col:
 
 def fit(df: DataFrame, spec: LangSpec = LangSpec(), *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """The model, or None without a labelled row.  The driver gets the model's tables alone, bounded by the sample."""
-    spark = df.sparkSession
-    rows = sample(df, spec, id_col, text_col, lang_col)
+    with scratch():
+        return _fit(sample(df, spec, id_col, text_col, lang_col), spec)
+
+
+def _fit(rows: DataFrame, spec: LangSpec) -> Model | None:
+    spark = rows.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiori.llm.common import WORD_RE, few, md5_hash, rank_from_zero, running, written
+from shiori.llm.common import WORD_RE, few, md5_hash, rank_from_zero, running, scratch, written
 
 
 @dataclass(frozen=True)
@@ -73,15 +73,16 @@ def sized(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int)
 
 def plan(rows: DataFrame, spec: MixSpec) -> DataFrame:
     """One row per source: source, source_size, target, whole, cut (hash, id, size of the part-taken key), part (its words)."""
-    sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), spec)
-    sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    sources = written(sources.withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")), "mix-targets")
-    keys = rows.groupBy("source", "h", "doc_id", "size").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("copies"))
-    seen = running(keys, ["source"], "h", ["words"], tie=["doc_id", "size"], rows=rows.count())
-    rest = few(sources.select(F.col("source").alias("_s"), "rest"))
-    crossing = seen.join(rest, F.col("source").eqNullSafe(F.col("_s"))).filter((F.col("_before_words") <= F.col("rest")) & (F.col("rest") < F.col("_before_words") + F.col("words")))
-    cut = crossing.select("_s", F.struct("h", "doc_id", "size").alias("cut"), F.floor((F.col("rest") - F.col("_before_words")) / F.col("copies")).cast("long").alias("part"))
-    return written(sources.join(few(written(cut, "mix-cuts")), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "rest"), "mix-plan")
+    with scratch() as keep:
+        sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), spec)
+        sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+        sources = written(sources.withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")), "mix-targets")
+        keys = rows.groupBy("source", "h", "doc_id", "size").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("copies"))
+        seen = running(keys, ["source"], "h", ["words"], tie=["doc_id", "size"], rows=rows.count())
+        rest = few(sources.select(F.col("source").alias("_s"), "rest"))
+        crossing = seen.join(rest, F.col("source").eqNullSafe(F.col("_s"))).filter((F.col("_before_words") <= F.col("rest")) & (F.col("rest") < F.col("_before_words") + F.col("words")))
+        cut = crossing.select("_s", F.struct("h", "doc_id", "size").alias("cut"), F.floor((F.col("rest") - F.col("_before_words")) / F.col("copies")).cast("long").alias("part"))
+        return keep(written(sources.join(few(written(cut, "mix-cuts")), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "rest"), "mix-plan"))
 
 
 def with_taken(rows: DataFrame, plan: DataFrame) -> DataFrame:

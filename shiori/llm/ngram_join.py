@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiori.llm.common import few, parts, release, written
+from shiori.llm.common import few, parts, scratch, written
 from shiori.llm.graph import components
 
 #: Most n-grams in the list of common ones (8 bytes each): the bound of its broadcast.
@@ -605,13 +605,14 @@ def join_components(df: DataFrame, *, n: int = 3, percent: int = 90, id_col: str
     ``leads``: whether the row is its component's first by id (null last), then
     th; documents without words lead.
     """
-    found = facts(df, n=n, percent=percent, id_col=id_col, text_col=text_col)
-    roots = components(written(links(df, found, n=n, percent=percent, id_col=id_col, text_col=text_col), "ngram-links"))
-    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
-    classes = found.filter("node is not null").groupBy("node").agg(F.min(name).alias("low"))
-    classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = classes.groupBy("root").agg(F.min("low").alias("lead"))
-    classes = written(classes.join(least, "root").select("node", "lead"), "ngram-classes")
+    with scratch() as keep:
+        found = keep(facts(df, n=n, percent=percent, id_col=id_col, text_col=text_col))
+        roots = components(written(links(df, found, n=n, percent=percent, id_col=id_col, text_col=text_col), "ngram-links"))
+        name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+        classes = found.filter("node is not null").groupBy("node").agg(F.min(name).alias("low"))
+        classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = classes.groupBy("root").agg(F.min("low").alias("lead"))
+        classes = keep(written(classes.join(least, "root").select("node", "lead"), "ngram-classes"))
     out = found.select("doc_id", "th", "n_shingles", "node").join(classes, "node", "left")
     alone = F.col("node").isNull()
     return out.select("doc_id", "th", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("lead.doc_id")).alias("component_id"), (alone | (F.col("lead") == name)).alias("leads"))

@@ -34,7 +34,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiori.llm.common import written
+from shiori.llm.common import scratch, written
 
 
 @dataclass(frozen=True)
@@ -196,7 +196,8 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_i
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = []
     if trigrams:
-        told = candidates(build_index(docs, trigrams), rules, trigrams)
+        with scratch() as keep:
+            told = keep(candidates(build_index(docs, trigrams), rules, trigrams))
         docs = docs.withColumn("key", _key("doc_id", "text")).join(told, "key", "left")
     for i, (rule, query) in enumerate(zip(rules, queries, strict=True)):
         if query is None:

@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiori.llm.common import new_path, written
+from shiori.llm.common import new_path, release, written
 
 #: Fixed values of the formats.
 GZIP_MAGIC = b"\x1f\x8b\x08"
@@ -44,6 +44,18 @@ READ_BYTES = 1 << 20
 PROBE_BYTES = 64
 
 
+#: Schemes of Hadoop's file systems that pyarrow.fs knows by other names.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
+
+
+def opened(uri: str) -> tuple:
+    """The file system of a URI, and the path in it."""
+    scheme, colon, rest = uri.partition(":")
+    if scheme == "file" and not rest.startswith("//"):
+        rest = "//" + rest
+    return pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
+
+
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -85,7 +97,7 @@ def parse_record(raw: bytes) -> dict:
 
 
 def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", smallest: int = 0) -> DataFrame:
-    """Writes the archives under ``path`` (a URI that pyarrow.fs opens); returns (uri, n_bytes, n_records).
+    """Writes the archives under ``path`` (a URI of a store that pyarrow.fs opens, by Hadoop's name or its own); returns (uri, n_bytes, n_records).
 
     Of records with equal payloads of at least ``smallest`` bytes, those with the
     largest id are responses and the others revisit them.  Duplicates are found
@@ -110,7 +122,7 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
             for i in range(batch.num_rows):
                 if out is None:
                     uri = f"{path}/{uuid.uuid4().hex}.warc.gz"
-                    fs, at = pafs.FileSystem.from_uri(uri)
+                    fs, at = opened(uri)
                     fs.create_dir(at.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(at, compression=None)  # else the name would ask for one more gzip
                 member = build_record(*(batch.column(c)[i].as_py() for c in range(5)))
@@ -120,61 +132,70 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
             out.close()
             yield pa.RecordBatch.from_pydict({"uri": [uri], "n_bytes": [size], "n_records": [n]})
 
-    return written(rows.mapInArrow(write, "uri string, n_bytes long, n_records long"), "warc-archives")
+    out = written(rows.mapInArrow(write, "uri string, n_bytes long, n_records long"), "warc-archives")
+    release(twice)
+    return out
 
 
 def members(source, start: int, end: int) -> Iterator[bytes]:
-    """Decoded members of an open archive that start in [start, end)."""
-    at, window, base, known = start, b"", start, False
-
-    def fill(upto: int) -> bool:
-        """Extends the window to hold the byte at ``upto``."""
-        nonlocal window
-        while base + len(window) <= upto:
-            more = source.read_at(READ_BYTES, base + len(window))
-            if not more:
-                return False
-            window += more
-        return True
-
-    while at < end and fill(at):
+    """Decoded members of an open archive that start in [start, end).
+
+    One chunk of the archive is held beside the member that is being decoded; a
+    candidate that turns out false late is left by reading on from its second byte.
+    """
+    at, known = start, False
+    window, base = b"", start
+
+    def reach(place: int) -> bool:
+        """Makes the window hold the byte at ``place``."""
+        nonlocal window, base
+        if not base <= place < base + len(window):
+            window, base = source.read_at(READ_BYTES, place), place
+        return len(window) > 0
+
+    while at < end:
+        if not reach(at):
+            return
         if not known:
             found = window.find(GZIP_MAGIC, at - base)
             if found < 0:
-                at = max(at + 1, base + len(window) - len(GZIP_MAGIC) + 1)
-                window, base = window[at - base :], at
+                # The magic may lie across the window's end.
+                after = base + len(window) - len(GZIP_MAGIC) + 1
+                at = max(at + 1, after)
+                if len(window) - (at - base) < len(GZIP_MAGIC):
+                    window, base = source.read_at(READ_BYTES, at), at
+                    if len(window) < len(GZIP_MAGIC):
+                        return
                 continue
             at = base + found
             if at >= end:
                 return
-        window, base = window[at - base :], at
-        decoder, parts, fed, size, bad = zlib.decompressobj(31), [], 0, 0, False
+        decoder, held, first, bad, place = zlib.decompressobj(31), [], b"", False, at
         while not decoder.eof:
-            if fed == len(window) and not fill(base + fed):
+            if not reach(place):
                 bad = True
                 break
+            chunk = window[place - base :]
             try:
-                parts.append(decoder.decompress(window[fed:]))
+                held.append(decoder.decompress(chunk))
             except zlib.error:
                 bad = True
                 break
-            fed, size = len(window), size + len(parts[-1])
-            if size >= PROBE_BYTES and not parts[0].startswith(b"WARC/"):
-                if len(parts[0]) >= 5:
+            place += len(chunk)
+            if len(first) < 5:
+                first = (first + held[-1])[:PROBE_BYTES]
+                if len(first) >= 5 and not first.startswith(b"WARC/"):
                     bad = True
                     break
-                parts = [b"".join(parts)]
-        raw = b"" if bad else b"".join(parts)
-        if bad or not raw.startswith(b"WARC/"):
-            if known and not bad:  # a member that is no WARC record: pass over it
-                at = base + len(window) - len(decoder.unused_data)
-                continue
+        if bad or not first.startswith(b"WARC/"):
             at, known = at + 1, False
             continue
-        yield raw
-        at, known = base + len(window) - len(decoder.unused_data), True
-        fill(at)
-        known = window[at - base : at - base + 3] == GZIP_MAGIC
+        yield b"".join(held)
+        at = place - len(decoder.unused_data)
+        known = False
+        if reach(at):
+            head = window[at - base : at - base + 3]
+            known = (head if len(head) == 3 else source.read_at(3, at)) == GZIP_MAGIC
 
 
 def read_warc(archives: DataFrame, *, split_bytes: int = 8 << 20) -> DataFrame:
@@ -199,7 +220,7 @@ def read_warc(archives: DataFrame, *, split_bytes: int = 8 << 20) -> DataFrame:
 
         for batch in batches:
             for r in batch.to_pylist():
-                fs, at = pafs.FileSystem.from_uri(r["uri"])
+                fs, at = opened(r["uri"])
                 with fs.open_input_file(at) as source:
                     for raw in members(source, r["start"], r["end"]):
                         x = parse_record(raw)

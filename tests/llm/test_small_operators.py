@@ -461,6 +461,31 @@ def test_warc_false_magic_inside_members(tmp_path):
         assert seen == list(range(40))
 
 
+def test_warc_reads_a_large_record_in_linear_time(tmp_path):
+    import time
+
+    import pyarrow.fs as pafs
+
+    rng = random.Random(3)
+    noise = rng.randbytes(24 << 20).decode("latin-1").encode()  # hardly compressible
+    recs = [warc.build_record(i, "u", x, False, None) for i, x in enumerate((b"a", noise, b"b"))]
+    (tmp_path / "y").write_bytes(b"".join(recs))
+    fs, at = pafs.FileSystem.from_uri(f"file://{tmp_path}/y")
+    size = sum(map(len, recs))
+    began = time.perf_counter()
+    for cut in (1, len(recs[0]), len(recs[0]) + 5, size):
+        with fs.open_input_file(at) as f:
+            seen = [int(warc.parse_record(raw)["fields"]["x-page-id"]) for a, b in ((0, cut), (cut, size)) for raw in warc.members(f, a, b)]
+        assert seen == [0, 1, 2]
+    assert time.perf_counter() - began < 30
+
+
+def test_warc_paths():
+    for uri in ("file:/tmp/x", "file:///tmp/x", "/tmp/x"):
+        assert warc.opened(uri)[1] == "/tmp/x"
+    assert warc.opened("s3a://bucket/x?region=us-east-1")[0].type_name == "s3"
+
+
 # --- HTML
 
 
