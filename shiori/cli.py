@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("init", help="download the embedding model").add_argument("--url", required=True)
     for name, text in (("add", "register files or directories"), ("drop", "remove files or directories"), ("watch", "follow directories")):
-        sub.add_parser(name, help=text).add_argument("-f", "--files", nargs="+", required=True)
+        sub.add_parser(name, help=text).add_argument("-f", "--file", "--files", dest="files", nargs="+", action="extend", required=True)
     found = sub.add_parser("search", help="hybrid search")
     found.add_argument("query")
     found.add_argument("--json", action="store_true")

@@ -16,35 +16,82 @@ _WORD = re.compile(r"\w+")
 
 #: Analyzers: text to its terms.
 ANALYZERS = {"bigram": bigrams, "word": lambda text: _WORD.findall(text.lower())}
+#: So many terms are pushed down to the postings' files.
+PUSHED_TERMS = 2_000
+#: Of chunks that hold any of some numbered terms: which (``at``), how often (``tf``), and the chunk's length (``dl``).
+FOUND = "source string, chunk_id long, dl long, at array<int>, tf array<int>"
 
 
-def postings(chunks: DataFrame, analyzer: str = "bigram", only: DataFrame | None = None) -> DataFrame:
-    """(term, source, chunk_id, tf, dl) of chunks (source, chunk_id, chunk_text).
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
-    Terms are counted per chunk before anything is shuffled.  ``only`` (term):
-    the terms of a measured, small set of queries; others are dropped at once.
-    """
-    terms, wanted = ANALYZERS[analyzer], None
-    if only is not None:
-        wanted = chunks.sparkSession.sparkContext.broadcast({r[0] for r in only.distinct().collect()})
+
+def postings(chunks: DataFrame, analyzer: str = "bigram") -> DataFrame:
+    """(term, source, chunk_id, tf, dl) of chunks (source, chunk_id, chunk_text); terms are counted per chunk before anything is shuffled."""
+    terms = ANALYZERS[analyzer]
     schema = "term string, source string, chunk_id long, tf long, dl long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                out: list[list] = [[], [], [], [], []]
-                for source, chunk, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    found = terms(text or "")
-                    for term, tf in Counter(found).items():
-                        if wanted is None or term in wanted.value:
-                            for column, value in zip(out, (term, source, chunk, tf, len(found)), strict=True):
-                                column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["term", "source", "chunk_id", "tf", "dl"])
+        for part in _parts(batches):
+            out: list[list] = [[], [], [], [], []]
+            for source, chunk, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                found = terms(text or "")
+                for term, tf in Counter(found).items():
+                    for column, value in zip(out, (term, source, chunk, tf, len(found)), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["term", "source", "chunk_id", "tf", "dl"])
 
     return chunks.select("source", "chunk_id", "chunk_text").mapInArrow(count, schema)
 
 
+def by_term(found: DataFrame, salts: int = 8) -> DataFrame:
+    """Postings as they are stored: dealt by ranges of the term and sorted, so that few files hold a term; hot terms spread over ranges by source."""
+    salt = F.pmod(F.xxhash64("source"), F.lit(salts))
+    return found.repartitionByRange("term", salt).sortWithinPartitions("term")
+
+
+def found_in_chunks(chunks: DataFrame, terms: list[str], analyzer: str = "bigram") -> DataFrame:
+    """FOUND, by a scan of the chunks' texts.  ``terms``: sorted, of a block of queries, so few enough to be broadcast."""
+    number = chunks.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    split = ANALYZERS[analyzer]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = number.value.get
+        for part in _parts(batches):
+            keep, lengths, offsets, at, tf = [], [], [0], [], []
+            for k, text in enumerate(part.column(2).to_pylist()):
+                mine = split(text or "")
+                before = len(at)
+                for term, n in Counter(mine).items():
+                    i = get(term)
+                    if i is not None:
+                        at.append(i)
+                        tf.append(n)
+                if len(at) > before:
+                    keep.append(k)
+                    lengths.append(len(mine))
+                    offsets.append(len(at))
+            of = pa.array(offsets, pa.int32())
+            lists = [pa.ListArray.from_arrays(of, pa.array(x, pa.int32())) for x in (at, tf)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)), pa.array(lengths, pa.int64()), *lists], names=["source", "chunk_id", "dl", "at", "tf"])
+
+    return chunks.select("source", "chunk_id", "chunk_text").mapInArrow(count, FOUND)
+
+
+def found_in_postings(index: DataFrame, terms: list[str]) -> DataFrame:
+    """FOUND, from postings: those of the terms alone are read and brought together by chunk."""
+    spark = index.sparkSession
+    if len(terms) <= PUSHED_TERMS:
+        index = index.filter(F.col("term").isin(terms))
+    numbers = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, at int")
+    mine = index.join(F.broadcast(numbers), "term")
+    pairs = F.collect_list(F.struct("at", F.col("tf").cast("int").alias("tf")))
+    rows = mine.groupBy("source", "chunk_id").agg(F.first("dl").alias("dl"), pairs.alias("p"))
+    return rows.select("source", "chunk_id", "dl", F.col("p.at").alias("at"), F.col("p.tf").alias("tf"))
+
+
 def corpus(chunks: DataFrame, analyzer: str = "bigram") -> DataFrame:
     """One row: n (chunks) and avgdl (terms per chunk)."""
     if analyzer == "bigram":

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from shiori.operators import search
 from shiori.operators.embedding import embed
-from shiori.operators.index import ANALYZERS, corpus, postings
+from shiori.operators.index import by_term, corpus, postings
 from shiori.schema import CHUNKS, HASHED, POSTINGS
-from shiori.sources.files import collect_files, expand_drop_paths, read_files
+from shiori.sources.files import collect_files, expand_drop_paths, is_uri, read_files, with_content
 from shiori.sources.formats import chunks_of_file
+from shiori.sources.staging import staged
 from shiori.sources.store import Store
 
 log = logging.getLogger(__name__)
@@ -76,20 +77,24 @@ def update_files(spark: SparkSession, store: Store, paths: list[str], embedder,
 
     Hashes decide what is read on; what is new or changed is parsed, embedded and
     indexed as one staged table, and appears with one publish.  A file that fails
-    keeps its old version and is reported.
+    keeps its old version and is reported.  Paths with a scheme (``s3a://...``) are
+    directories or files of a store that Spark reads.
     """
-    files = collect_files(paths)
-    if not files:
+    remote = [p for p in paths if is_uri(p)]
+    files = collect_files([p for p in paths if p not in remote])
+    if not files and not remote:
         log.warning("no supported files")
         if replace_all:
             store.publish(truncate=(CHUNKS, HASHED, POSTINGS))
         return Outcome(0, {})
     base = store.version()
     stored = store.read(HASHED, base) if not replace_all else store.read(HASHED, base).limit(0)
-    classified = classify(read_files(spark, files), stored).filter(F.col("action") != UNCHANGED)
-    staged = f"{store.path}/_staging/{uuid.uuid4().hex}"
-    parsed(classified).drop("content").write.parquet(staged)
-    done = spark.read.parquet(staged)
+    # Hashes first: the contents of what is new or changed alone are read on, and by path, not through the join.
+    classified = staged(classify(read_files(spark, files, remote), stored).filter(F.col("action") != UNCHANGED), "classified")
+    work = with_content(classified)
+    path = f"{store.path}/_staging/{uuid.uuid4().hex}"
+    parsed(work).drop("content").write.parquet(path)
+    done = spark.read.parquet(path)
     failed = {r.source: r.failure for r in done.filter("failure is not null").select("source", "failure").toLocalIterator()}
     for source, why in failed.items():
         log.error("%s: %s", source, why)
@@ -99,7 +104,7 @@ def update_files(spark: SparkSession, store: Store, paths: list[str], embedder,
         return Outcome(0, failed)
     chunks = good.select("source", "doc_name", F.posexplode("chunks").alias("chunk_id", "chunk_text"))
     chunks = chunks.withColumn("vector", embed(F.col("chunk_text"), embedder))
-    add = {HASHED: meta_rows(good, F.lit(today or today_utc())), CHUNKS: chunks, POSTINGS: postings(chunks, analyzer).sortWithinPartitions("term")}
+    add = {HASHED: meta_rows(good, F.lit(today or today_utc())), CHUNKS: chunks, POSTINGS: by_term(postings(chunks, analyzer))}
     gone = good.filter(F.col("action") == CHANGED).select("source")
     store.publish(add, None if replace_all else gone, (CHUNKS, HASHED, POSTINGS) if replace_all else (), base)
     return Outcome(count, failed)
@@ -133,7 +138,7 @@ def reindex(spark: SparkSession, store: Store, embedder=None, *, dry_run: bool =
     if sources and not dry_run:
         found = set(collect_files(sources))
         for s in sources:
-            if s not in found:
+            if s not in found and not is_uri(s):
                 log.warning("%s is gone", s)
         update_files(spark, store, sources, embedder, today=today, replace_all=True)
     return len(sources)
@@ -145,7 +150,4 @@ def search_store(store: Store, queries: DataFrame, embedder, *, limit: int = 5,
         raise LookupError("the store holds no documents; add some first")
     version = store.version()
     chunks, index = store.read(CHUNKS, version), store.read(POSTINGS, version)
-    terms = sorted({t for r in queries.select("query").toLocalIterator() for t in ANALYZERS[analyzer](r.query or "")})
-    if 0 < len(terms) <= 2000:
-        index = index.filter(F.col("term").isin(terms))
-    return search.hybrid(chunks, index, corpus(chunks, analyzer), queries, embedder, limit=limit, k=k, window=window, analyzer=analyzer)
+    return search.hybrid(chunks, corpus(chunks, analyzer), queries, embedder, index=index, limit=limit, k=k, window=window, analyzer=analyzer)

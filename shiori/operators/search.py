@@ -1,9 +1,14 @@
 """Hybrid search: a BM25 leg and an exact vector leg, fused by reciprocal rank.
 
 Every function takes a table of queries (query_id, query) and answers all of
-them in one plan; a single search is a table of one row.  Ties are broken by
-score, then source, then chunk_id; scores are rounded to nine places before they
-are ranked, so that the order of a sum cannot decide.
+them; a single search is a table of one row.  Queries are taken in blocks that
+are small enough to be broadcast; only a block's terms and vectors are on the
+driver at a time.  Both legs multiply Arrow batches of chunks with a block of
+queries and keep a batch's best rows of each query, so that a shuffle carries
+batches x queries x limit rows, never a row for each chunk and query that meet.
+
+Ties are broken by score, then source, then chunk_id; scores are rounded to nine
+places before they are ranked, so that the order of a sum cannot decide.
 """
 
 from __future__ import annotations
@@ -11,19 +16,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shiori.operators.index import ANALYZERS
+from shiori.operators.embedding import embed
+from shiori.operators.index import ANALYZERS, found_in_chunks, found_in_postings
+from shiori.sources.staging import staged
 
 #: Okapi BM25.
 K1, B = 1.2, 0.75
 #: A query shorter than this (code points, not trimmed) has no full-text leg.
 MIN_QUERY = 2
-#: Queries that are multiplied with the chunks at once, and the most terms that are broadcast.
-QUERY_BLOCK, TERMS_BROADCAST = 4096, 200_000
+#: Queries of a block, and their terms, about; rows of chunks that are multiplied at once.
+QUERY_BLOCK, TERMS_BLOCK, ROWS = 4096, 200_000, 512
+#: Entries of a dense matrix at most, and pairs that are listed at once.
+DENSE, LISTED = 1 << 22, 1 << 22
 KEYWORD, SEMANTIC = 1, 2
 PLACES = 9
 
@@ -39,64 +49,128 @@ def ranked(scored: DataFrame, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit).withColumn("rank", F.col("rank") - 1)
 
 
-def query_terms(queries: DataFrame, analyzer: str = "bigram") -> DataFrame:
-    """(query_id, term): distinct terms of the queries that are long enough."""
+def terms_of(query: Column, analyzer: str = "bigram") -> Column:
+    """``array<string>``: distinct terms of a query that is long enough."""
+
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted(set(ANALYZERS[analyzer](t))) if isinstance(t, str) else [])
+
+    return F.when(F.length(query) >= MIN_QUERY, split(query)).otherwise(F.array().cast("array<string>"))
+
+
+def best(ids: np.ndarray, score: np.ndarray, part: pa.RecordBatch, limit: int, above: float = -np.inf) -> pa.RecordBatch:
+    """Of a batch's scores (queries x rows): each query's best ``limit``, ties included."""
+    keep = min(limit, score.shape[1])
+    least = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
+    i, j = np.nonzero((score >= least[:, None]) & (score > above))
+    return pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), part.column(0).take(pa.array(j)), part.column(1).take(pa.array(j)), pa.array(score[i, j])], names=["query_id", "source", "chunk_id", "score"])
+
+
+SCORED = "query_id long, source string, chunk_id long, score double"
+
+
+class Weights:
+    """A block's queries by term: inverse document frequencies, and the queries that hold each term."""
+
+    def __init__(self, asked: list[tuple[int, int]], n_terms: int, df: dict[int, int], n: int, avgdl: float) -> None:
+        pairs = np.array(sorted((t, q) for q, t in asked), np.int64).reshape(-1, 2)
+        self.ids, self.query = np.unique(pairs[:, 1], return_inverse=True)
+        self.many = np.bincount(pairs[:, 0], minlength=n_terms)
+        self.start = np.cumsum(self.many) - self.many
+        known = np.array([df.get(t, 0) for t in range(n_terms)], np.float64)
+        self.idf = np.log(1 + (n - known + 0.5) / (known + 0.5))
+        self.avgdl = max(avgdl, 1e-12)
+
+    def score(self, dl: np.ndarray, sizes: np.ndarray, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """BM25 of queries x rows: the product of the rows' and the queries' sparse terms."""
+        rows, queries = len(dl), len(self.ids)
+        row = np.repeat(np.arange(rows), sizes)
+        part = self.idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / self.avgdl))
+        used, where = np.unique(at, return_inverse=True)
+        if max(rows, queries) * len(used) <= DENSE:
+            a, b = np.zeros((len(used), rows)), np.zeros((len(used), queries))
+            a[where, row] = part
+            number = np.repeat(np.arange(len(used)), self.many[used])
+            b[number, self.query[self._places(used)]] = 1
+            return b.T @ a
+        out = np.zeros(queries * rows)
+        upto = np.cumsum(self.many[at])
+        start = 0
+        while start < len(at):
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + LISTED, side="right")))
+            own = at[start:stop]
+            n = self.many[own]
+            out += np.bincount(self.query[self._places(own)] * rows + np.repeat(row[start:stop], n), np.repeat(part[start:stop], n), queries * rows)
+            start = stop
+        return out.reshape(queries, rows)
+
+    def _places(self, terms: np.ndarray) -> np.ndarray:
+        """Where the terms' queries stand, term by term."""
+        n = self.many[terms]
+        return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[terms], n)
+
+
+def full_text_leg(found: DataFrame, corpus: DataFrame, terms: list[str], asked: list[tuple[int, int]], limit: int) -> DataFrame:
+    """(query_id, source, chunk_id, score, rank) by BM25 with OR semantics.
+
+    ``found``: the chunks that hold any of a block's ``terms`` (index.FOUND; read
+    twice, so staged or cheap); ``corpus``: one row (n, avgdl); ``asked``: (query,
+    number of its term).  A row for each term is all that the driver gets.
+    """
+    spark = found.sparkSession
+    frequency = {r[0]: r[1] for r in found.select(F.explode("at").alias("at")).groupBy("at").agg(F.count(F.lit(1))).collect()}
+    shared = spark.sparkContext.broadcast(Weights(asked, len(terms), frequency, *corpus.select("n", "avgdl").first()))
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(q, t) for q, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for t in sorted(set(ANALYZERS[analyzer](text or "")))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["query_id", "term"])
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                lists = part.column(3)
+                sizes = lists.value_lengths().to_numpy()
+                score = shared.value.score(part.column(2).to_numpy(), sizes, lists.flatten().to_numpy(), part.column(4).flatten().to_numpy())
+                yield best(shared.value.ids, np.round(score, PLACES), part, limit, 0.0)
 
-    long_enough = queries.filter(F.length("query") >= MIN_QUERY)
-    return long_enough.select(F.col("query_id").cast("long"), "query").mapInArrow(terms, "query_id long, term string")
+    return ranked(found.mapInArrow(near, SCORED), limit)
 
 
-def full_text_leg(postings: DataFrame, corpus: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
-    """(query_id, source, chunk_id, score, rank) by BM25 with OR semantics; ``corpus`` is one row (n, avgdl).
+def vector_leg(chunks: DataFrame, ids: np.ndarray, vectors: np.ndarray, limit: int, vector: str = "vector") -> DataFrame:
+    """Exact nearest chunks by L2 distance to a block of query vectors: (query_id, source, chunk_id, score = -distance, rank)."""
+    shared = chunks.sparkSession.sparkContext.broadcast((ids, vectors.astype(np.float64)))
 
-    ``terms`` is measured by the caller: it is broadcast below TERMS_BROADCAST rows, and shuffled beyond.
-    """
-    small = terms.count() <= TERMS_BROADCAST
-    distinct = terms.select("term").distinct()
-    mine = postings.join(F.broadcast(distinct) if small else distinct, "term", "left_semi")
-    frequency = mine.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, avgdl = corpus.select("n", "avgdl").first()
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = terms.join(frequency, "term").select("query_id", "term", idf.alias("idf"))
-    hits = mine.join(F.broadcast(weights) if small else weights, "term")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(max(avgdl, 1e-12))))
-    scored = hits.groupBy("query_id", "source", "chunk_id").agg(F.round(F.sum(part), PLACES).alias("score"))
-    return ranked(scored, limit)
-
-
-def vector_leg(chunks: DataFrame, queries: list[tuple[int, np.ndarray]], limit: int, vector: str = "vector") -> DataFrame:
-    """Exact nearest chunks by L2 distance: (query_id, source, chunk_id, score = -distance, rank).
-
-    Queries are multiplied with Arrow batches of vectors; a batch keeps its best
-    ``limit`` of each query (ties included), so the shuffle carries no more than that.
-    """
-    spark, out = chunks.sparkSession, None
-    rows = chunks.select("source", "chunk_id", vector)
-    for at in range(0, len(queries), QUERY_BLOCK):
-        block = queries[at : at + QUERY_BLOCK]
-        shared = spark.sparkContext.broadcast((np.array([q for q, _ in block]), np.stack([v for _, v in block]).astype(np.float64)))
-
-        def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            for batch in batches:
-                for start in range(0, batch.num_rows, 1024):
-                    part = batch.slice(start, 1024)
-                    v = np.array(part.column(2).to_pylist(), np.float64)
-                    square = (q * q).sum(1)[:, None] + (v * v).sum(1) - 2 * q @ v.T
-                    score = -np.round(np.sqrt(np.maximum(square, 0)), PLACES)
-                    keep = min(limit, len(v))
-                    least = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
-                    i, j = np.nonzero(score >= least[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), part.column(0).take(pa.array(j)), part.column(1).take(pa.array(j)), pa.array(score[i, j])], names=["query_id", "source", "chunk_id", "score"])
-
-        one = rows.mapInArrow(near, "query_id long, source string, chunk_id long, score double")
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2 * ROWS):
+                part = batch.slice(start, 2 * ROWS)
+                v = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                square = (q * q).sum(1)[:, None] + (v * v).sum(1) - 2 * q @ v.T
+                yield best(ids, -np.round(np.sqrt(np.maximum(square, 0)), PLACES), part, limit)
+
+    return ranked(chunks.select("source", "chunk_id", vector).mapInArrow(near, SCORED), limit)
+
+
+def blocks_of(queries: DataFrame, terms: str | None = None) -> Iterator[tuple[list, bool]]:
+    """The rows of ``queries`` (with query_id) in blocks, one on the driver at a time, and whether it is the only one."""
+    size = F.coalesce(F.sum(F.size(terms)), F.lit(0)) if terms else F.lit(0)
+    n, total = queries.agg(F.count(F.lit(1)), size).first()
+    count = max(1, -(-n // QUERY_BLOCK), -(-total // TERMS_BLOCK))
+    for k in range(count):
+        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(count)) == k).collect()
+        if rows:
+            yield rows, count == 1
+
+
+def nearest(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """The vector leg of a whole table of queries (query_id, vector)."""
+    out = None
+    for rows, only in blocks_of(queries):
+        one = vector_leg(chunks, np.array([r.query_id for r in rows]), np.array([r.vector for r in rows], np.float64), limit)
+        one = one if only else staged(one, "nearest")
         out = one if out is None else out.unionByName(one)
-    return ranked(out, limit)
+    if out is None:
+        raise ValueError("no query")
+    return out
 
 
 def fuse(legs: list[tuple[int, DataFrame]], limit: int, k: int) -> DataFrame:
@@ -123,15 +197,27 @@ def with_context(hits: DataFrame, chunks: DataFrame, window: int) -> DataFrame:
     return joined.groupBy(*hits.columns).agg(F.array_join(F.transform(parts, lambda p: p["chunk_text"]), "\n").alias("text"))
 
 
-def hybrid(chunks: DataFrame, postings: DataFrame, corpus: DataFrame, queries: DataFrame, embedder, *, limit: int = 5, k: int = 60, window: int = 1, analyzer: str = "bigram") -> DataFrame:
+def hybrid(chunks: DataFrame, corpus: DataFrame, queries: DataFrame, embedder, *, index: DataFrame | None = None, limit: int = 5, k: int = 60, window: int = 1, analyzer: str = "bigram", kind: str = "float") -> DataFrame:
     """Both legs cut at ``limit``, fused, cut again, with neighbouring text.
 
-    ``chunks``: source, chunk_id, chunk_text, vector.  The queries' texts go to the driver to be embedded, block by block.
+    ``chunks``: source, chunk_id, chunk_text, vector.  ``index``: their postings;
+    without them the chunks' texts are scanned for the queries' terms, once for a
+    block of queries.  Vectors and terms of the queries are made by the executors.
     """
-    terms = query_terms(queries, analyzer).persist()
-    asked = [(r.query_id, r.query or "") for r in queries.select("query_id", "query").toLocalIterator()]
-    if not asked:
+    told = queries.select(F.col("query_id").cast("long").alias("query_id"), F.coalesce("query", F.lit("")).alias("query"))
+    told = staged(told.withColumn("vector", embed(F.col("query"), embedder, kind)).withColumn("terms", terms_of(F.col("query"), analyzer)), "queries")
+    out = None
+    for rows, only in blocks_of(told, "terms"):
+        terms = sorted({t for r in rows for t in r.terms})
+        number = {t: i for i, t in enumerate(terms)}
+        asked = [(r.query_id, number[t]) for r in rows for t in r.terms]
+        legs = [(SEMANTIC, vector_leg(chunks, np.array([r.query_id for r in rows]), np.array([r.vector for r in rows], np.float64), limit))]
+        if terms:
+            found = staged(found_in_chunks(chunks, terms, analyzer) if index is None else found_in_postings(index, terms), "found")
+            legs.append((KEYWORD, full_text_leg(found, corpus, terms, asked, limit)))
+        one = with_context(fuse(legs, limit, k), chunks, window)
+        one = one if only else staged(one, "hits")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
         raise ValueError("no query")
-    vectors = [(q, v) for at in range(0, len(asked), QUERY_BLOCK) for (q, _), v in zip(asked[at : at + QUERY_BLOCK], embedder([t for _, t in asked[at : at + QUERY_BLOCK]]), strict=True)]
-    legs = [(KEYWORD, full_text_leg(postings, corpus, terms, limit)), (SEMANTIC, vector_leg(chunks, vectors, limit))]
-    return with_context(fuse(legs, limit, k), chunks, window)
+    return out

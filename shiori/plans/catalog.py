@@ -6,20 +6,25 @@ constants; scores are rounded to nine places.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import io
+import zipfile
+from collections.abc import Callable, Iterator
 
-import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shiori.functions import text as tx
 from shiori.operators import chunking, embedding, ingest, render, search
-from shiori.operators.index import corpus, postings
+from shiori.operators.index import ANALYZERS, by_term, corpus, found_in_chunks, found_in_postings, postings
 from shiori.plans.oracle import ORACLE_SQL  # noqa: F401
-from shiori.schema import EXTENSIONS
-from shiori.sources.formats import html, markup
-from shiori.streaming.watch import last_per_path
+from shiori.schema import CHUNKS, EXTENSIONS, POSTINGS
+from shiori.sources.formats import delimited, docx, html, markup
+from shiori.sources.staging import shared_folder, staged
+from shiori.sources.store import Store
+from shiori.streaming.watch import changes_between, last_per_path
 
 DAY, NEXT_DAY = "2022-01-08", "2022-01-09"
 #: Of the stand-in embedder.
@@ -144,13 +149,98 @@ def section_prefix(spark, sf_dir):
     return document_chunks(spark, sf_dir).select("doc_id", "chunk_id", F.concat(heading, F.lit("\n"), "chunk_text").alias("chunk_text"))
 
 
+def sections_of(df: DataFrame, key: str, text: str, cut: Callable[[str], list[tuple[str, str]]]) -> DataFrame:
+    """(key, section, heading, body) of each text's sections, batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, t in zip(batch.column(0), batch.column(1), strict=True):
+                found = cut(t.as_py() or "")
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(found), pa.int64()), pa.array(range(len(found)), pa.int64()), pa.array([h for h, _ in found], pa.string()), pa.array([b for _, b in found], pa.string())], names=[key, "section", "heading", "body"])
+
+    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, section long, heading string, body string")
+
+
 @query
 def adoc_sections(spark, sf_dir):
     """Each line of a document becomes the body of a section."""
     body = F.regexp_replace("text", "\n", "\n\n=== part\n\n")
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("== document\n\n"), body).alias("adoc")))
-    cut = F.udf(markup.asciidoc_sections, "array<struct<heading:string,body:string>>", useArrow=True)
-    return docs.select("doc_id", F.posexplode(cut("adoc")).alias("section", "s")).select("doc_id", F.col("section").cast("long").alias("section"), "s.heading", "s.body")
+    return sections_of(docs, "doc_id", "adoc", markup.asciidoc_sections)
+
+
+@query
+def md_sections(spark, sf_dir):
+    """A Markdown page for each part: headings of both kinds, emphasis, links, lists, quotes and code."""
+    c = F.col
+    page = F.concat(
+        F.lit("lead *of* "), c("p_name"), F.lit("\n\n# "), c("p_name"), F.lit(" #\n\n**"), c("p_type"), F.lit("** and *[a `link`](http://x.y \"t\")*\n\n- one\n- "), c("p_name"),
+        F.lit("\n\nSize\n----\n> size "), c("p_size").cast("string"), F.lit("\n> more\n\n```\ncode "), c("p_name"), F.lit("\n```\n\n### Empty\n"),
+    )
+    return sections_of(spread(table(spark, sf_dir, "part").select("p_partkey", page.alias("md"))), "p_partkey", "md", markup.markdown_sections)
+
+
+@query
+def csv_chunks(spark, sf_dir):
+    """A CSV file for each nation: its customers, names quoted, every seventh without a segment; its lines packed."""
+    name = F.concat(F.lit('"'), F.col("c_name"), F.lit(', ""x"""'))
+    segment = F.when(F.col("c_custkey") % 7 == 0, F.lit("")).otherwise(F.col("c_mktsegment"))
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), name, segment)
+    files = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("l"))
+    files = files.select("c_nationkey", F.concat(F.lit("﻿key,name,segment\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("csv"))
+    cut = sections_of(spread(files), "c_nationkey", "csv", lambda t: [("", x) for x in delimited.chunks(t, ",", 200)])
+    return cut.select("c_nationkey", F.col("section").alias("chunk_id"), F.col("body").alias("chunk_text"))
+
+
+def docx_of(name: str) -> bytes:
+    """A Word file: a heading in each language, runs that are split, an empty paragraph."""
+
+    def p(text: str, style: str = "") -> str:
+        kind = f'<w:pPr><w:pStyle w:val="{style}"/></w:pPr>' if style else ""
+        return f"<w:p>{kind}<w:r><w:t>{text[:3]}</w:t></w:r><w:r><w:t>{text[3:]}</w:t></w:r></w:p>"
+
+    body = p("lead") + p(name, "Heading1") + p("first " + name) + p("") + p("second") + p("見出し", "見出し 2") + p("third")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+@query
+def docx_sections(spark, sf_dir):
+    """A Word file for each supplier, as its reader's Markdown is cut."""
+    suppliers = spread(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"))
+    return sections_of(suppliers, "s_suppkey", "s_name", lambda t: markup.markdown_sections(docx.pseudo_markdown(docx_of(t))))
+
+
+@query
+def json_render(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", (F.col("s_suppkey") / 4).alias("score"), F.lit("Hybrid").alias("method"), F.col("s_name").alias("source"), F.col("s_suppkey").alias("chunk_id"), F.concat(F.lit('"'), F.col("s_name"), F.lit('"\n\\')).alias("text")
+    )
+    return rows.select("s_suppkey", render.json_row().alias("json"))
+
+
+@query
+def rename_fold(spark, sf_dir):
+    """Two snapshots of files: every third customer's file has another name, every fifth another content, every seventh is gone."""
+    c = F.col("c_custkey")
+    base = table(spark, sf_dir, "customer")
+    old = base.select(F.concat(F.lit("/d/"), c.cast("string"), F.lit(".md")).alias("path"), F.lit(1).cast("long").alias("mtime"), c.cast("long").alias("size"))
+    new = base.filter(c % 7 != 0).select(
+        F.concat(F.lit("/d/"), F.when(c % 3 == 0, "new-").otherwise(""), c.cast("string"), F.lit(".md")).alias("path"), F.when(c % 5 == 0, 2).otherwise(1).cast("long").alias("mtime"), c.cast("long").alias("size")
+    )
+    return changes_between(old, new)
+
+
+@query
+def quoted_drop(spark, sf_dir):
+    """Sources with quotes and wildcards in their names are dropped as they are written."""
+    odd = F.concat(F.lit("o'%_\\"), F.col("s_suppkey").cast("string"), F.lit("'"))
+    kept = table(spark, sf_dir, "supplier").select(odd.alias("source"), "s_suppkey")
+    gone = table(spark, sf_dir, "supplier").filter("s_nationkey < 5").select(odd.alias("source"))
+    return ingest.without_sources(kept, gone).select("s_suppkey", "source")
 
 
 @query
@@ -168,16 +258,13 @@ def pack_rows(spark, sf_dir):
 
 @query
 def html_sections(spark, sf_dir):
-    cut = F.udf(html.sections, "array<struct<heading:string,body:string>>", useArrow=True)
-    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
-    return pages.select("page_id", F.posexplode(cut("html")).alias("section", "s")).select("page_id", F.col("section").cast("long").alias("section"), "s.heading", "s.body")
+    return sections_of(spread(table(spark, sf_dir, "pages").select("page_id", "html")), "page_id", "html", html.sections)
 
 
 @query
 def html_chunks(spark, sf_dir):
-    split = F.udf(lambda t: chunking.chunk_sections(html.sections(t or "")), "array<string>", useArrow=True)
-    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
-    return chunking.explode_chunks(pages, split("html"), ["page_id"])
+    sections = sections_of(spread(table(spark, sf_dir, "pages").select("page_id", "html")), "page_id", "html", lambda t: [(str(i), c) for i, c in enumerate(chunking.chunk_sections(html.sections(t)))])
+    return sections.select("page_id", F.col("section").alias("chunk_id"), F.col("body").alias("chunk_text"))
 
 
 @query
@@ -187,23 +274,12 @@ def ws_normalize(spark, sf_dir):
     return docs.select("doc_id", tx.normalize_html_column(spaced).alias("html_text"), tx.normalize_pdf_column(spaced).alias("pdf_text"))
 
 
-def nearest(spark, sf_dir, asked: str) -> DataFrame:
-    """The nearest of all vectors for each vector that ``asked`` selects."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.lit("v").alias("source"), F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    queries = [(r.chunk_id, np.array(r.vector, np.float64)) for r in vectors.filter(asked).toLocalIterator()]
-    return search.vector_leg(spread(vectors), queries, LIMIT).select("query_id", F.col("chunk_id").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
-
-
 @query
 def vector_topk(spark, sf_dir):
-    """The nearest vectors of each of ten query vectors."""
-    return nearest(spark, sf_dir, "chunk_id < 10")
-
-
-@query
-def vector_batch(spark, sf_dir):
-    """The nearest vectors of the whole query set: every row whose id is divisible by 100."""
-    return nearest(spark, sf_dir, "chunk_id % 100 = 0")
+    """The nearest of all vectors for the query set: every row whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.lit("v").alias("source"), F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    queries = vectors.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    return search.nearest(spread(vectors), queries, LIMIT).select("query_id", F.col("chunk_id").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
 
 
 @query
@@ -231,15 +307,12 @@ def one_query(spark, text: str) -> DataFrame:
 TERM = "nder the tion"
 
 
-def first_leg(spark, sf_dir, queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    terms = search.query_terms(queries).persist()
-    return search.full_text_leg(postings(chunks, only=terms.select("term")), corpus(chunks), terms, LIMIT)
-
-
 @query
 def fts_bm25_topk(spark, sf_dir):
     chunks = with_source(document_chunks(spark, sf_dir))
-    hits = first_leg(spark, sf_dir, one_query(spark, TERM), chunks)
+    terms = sorted(set(ANALYZERS["bigram"](TERM)))
+    found = staged(found_in_chunks(chunks, terms), "found")
+    hits = search.full_text_leg(found, corpus(chunks), terms, [(0, t) for t in range(len(terms))], LIMIT)
     return hits.select("source", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -258,25 +331,19 @@ def turns_as_chunks(spark, sf_dir) -> DataFrame:
 
 @query
 def adjacent_text(spark, sf_dir):
-    """The context of every second turn."""
-    turns = turns_as_chunks(spark, sf_dir)
-    hits = turns.filter("chunk_id % 2 = 0").select("source", "chunk_id")
-    return search.with_context(hits, turns, WINDOW)
-
-
-@query
-def adjacent_batch(spark, sf_dir):
     """The context of all turns."""
     turns = turns_as_chunks(spark, sf_dir)
     return search.with_context(turns.select("source", "chunk_id"), turns, WINDOW)
 
 
+def embedded_chunks(spark, sf_dir) -> DataFrame:
+    chunks = with_source(document_chunks(spark, sf_dir))
+    return chunks.withColumn("vector", embedding.embed(F.col("chunk_text"), embedding.HashedEmbedder(DIM), "double"))
+
+
 def hybrid(spark, sf_dir, queries: DataFrame) -> DataFrame:
-    embedder = embedding.HashedEmbedder(DIM)
-    chunks = with_source(document_chunks(spark, sf_dir)).withColumn("vector", embedding.embed(F.col("chunk_text"), embedder, "double")).persist()
-    terms = search.query_terms(queries)
-    index = postings(chunks, only=terms.select("term"))
-    out = search.hybrid(chunks, index, corpus(chunks), queries, embedder, limit=LIMIT, k=RRF_K, window=WINDOW)
+    chunks = staged(embedded_chunks(spark, sf_dir), "chunks")
+    out = search.hybrid(chunks, corpus(chunks), queries, embedding.HashedEmbedder(DIM), limit=LIMIT, k=RRF_K, window=WINDOW, kind="double")
     return out.withColumn("rank", F.col("rank").cast("long")).withColumn("score", F.round("score", 9))
 
 
@@ -290,6 +357,30 @@ def hybrid_batch(spark, sf_dir):
     return hybrid(spark, sf_dir, benchmark_queries(spark, sf_dir)).select("query_id", "source", "chunk_id", "score", "method", "rank")
 
 
+def stored_index(spark, sf_dir) -> Store:
+    """A store of the documents' chunks and postings, built once in the shared folder and found there again."""
+    path = f"{shared_folder(spark)}/search-store-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    store = Store(spark, path)
+    if not store.exists(CHUNKS):
+        chunks = staged(embedded_chunks(spark, sf_dir).select("source", F.col("source").alias("doc_name"), "vector", "chunk_id", "chunk_text"), "chunks")
+        store.publish({CHUNKS: chunks, POSTINGS: by_term(postings(chunks))})
+    return store
+
+
+@query
+def stored_search(spark, sf_dir):
+    """The single search over a stored index: the query's terms are pushed down to the postings' files.
+
+    The store holds vectors as floats, so chunks that are nearly as near may change places; the
+    full-text leg, which this query returns, is the same.
+    """
+    store = stored_index(spark, sf_dir)
+    terms = sorted(set(ANALYZERS["bigram"](TERM)))
+    found = staged(found_in_postings(store.read(POSTINGS), terms), "found")
+    hits = search.full_text_leg(found, corpus(store.read(CHUNKS)), terms, [(0, t) for t in range(len(terms))], LIMIT)
+    return hits.select("source", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query
 def short_query(spark, sf_dir):
     """One character: no full-text leg, all hits are semantic; a one-character text has the zero vector."""

@@ -127,6 +127,35 @@ SELECT conv_id, CAST(chunk_id AS BIGINT) AS chunk_id, string_agg(text, chr(10) |
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
 SELECT doc_id, CAST(i - 1 AS BIGINT) AS section, CASE WHEN i = 1 THEN '== document' ELSE '=== part' END AS heading, trim(parts[i], {WS}) AS body
 FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM l)""",
+    "md_sections": """
+WITH s AS (
+  SELECT p_partkey, [
+    {'h': '', 'b': 'lead of ' || p_name},
+    {'h': '# ' || p_name, 'b': p_type || ' and a link' || chr(10) || chr(10) || 'one' || chr(10) || chr(10) || p_name},
+    {'h': '## Size', 'b': 'size ' || p_size || chr(10) || 'more' || chr(10) || chr(10) || 'code ' || p_name}] AS parts FROM part
+)
+SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(i - 1 AS BIGINT) AS section, parts[i].h AS heading, parts[i].b AS body FROM (SELECT p_partkey, parts, unnest(range(1, 4)) AS i FROM s)""",
+    "csv_chunks": """
+WITH RECURSIVE l AS (
+  SELECT c_nationkey, 'key: ' || c_custkey || ', name: ' || c_name || ', "x"' || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE ', segment: ' || c_mktsegment END AS line, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer
+), f(c_nationkey, i, chunk_id, size) AS (
+  SELECT c_nationkey, i, CAST(0 AS BIGINT), length(line) FROM l WHERE i = 1
+  UNION ALL
+  SELECT l.c_nationkey, l.i, CASE WHEN f.size + 1 + length(l.line) <= 200 THEN f.chunk_id ELSE f.chunk_id + 1 END, CASE WHEN f.size + 1 + length(l.line) <= 200 THEN f.size + 1 + length(l.line) ELSE length(l.line) END
+  FROM f JOIN l ON l.c_nationkey = f.c_nationkey AND l.i = f.i + 1
+)
+SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, chunk_id, string_agg(line, chr(10) ORDER BY i) AS chunk_text FROM f JOIN l USING (c_nationkey, i) GROUP BY ALL""",
+    "docx_sections": """
+WITH s AS (SELECT s_suppkey, [
+  {'h': '', 'b': 'lead'}, {'h': '# ' || s_name, 'b': 'first ' || s_name || chr(10) || chr(10) || 'second'}, {'h': '## 見出し', 'b': 'third'}] AS parts FROM supplier)
+SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, CAST(i - 1 AS BIGINT) AS section, parts[i].h AS heading, parts[i].b AS body FROM (SELECT s_suppkey, parts, unnest(range(1, 4)) AS i FROM s)""",
+    "json_render": r"""
+SELECT s_suppkey, '{"score":' || CAST(s_suppkey / 4.0::DOUBLE AS VARCHAR) || ',"method":"Hybrid","source":"' || s_name || '","chunk_id":' || s_suppkey || ',"text":"\"' || s_name || '\"\n\\"}' AS json FROM supplier""",
+    "rename_fold": """
+WITH o AS (SELECT '/d/' || c_custkey || '.md' AS path, 1 AS m FROM customer),
+n AS (SELECT '/d/' || CASE WHEN c_custkey % 3 = 0 THEN 'new-' ELSE '' END || c_custkey || '.md' AS path, CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS m FROM customer WHERE c_custkey % 7 <> 0)
+SELECT path, 'remove' AS kind FROM o WHERE path NOT IN (SELECT path FROM n) UNION ALL SELECT n.path, 'upsert' FROM n LEFT JOIN o ON n.path = o.path WHERE o.path IS NULL OR o.m <> n.m""",
+    "quoted_drop": r"""SELECT s_suppkey, 'o' || chr(39) || '%_\' || s_suppkey || chr(39) AS source FROM supplier WHERE s_nationkey >= 5""",
     "row_to_text": """
 SELECT s_suppkey, 's_suppkey: ' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE ', s_name: ' || s_name END || ', s_nationkey: ' || s_nationkey AS line FROM supplier""",
     "pack_rows": """
@@ -144,12 +173,6 @@ WITH s AS (SELECT doc_id, '  ' || replace(text, chr(10), ' ' || chr(9) || repeat
 SELECT doc_id, trim(regexp_replace(regexp_replace(x, '[\\t\\r\\f\\v \\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {WS}) AS html_text,
   trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), {WS}) AS pdf_text FROM s""",
     "vector_topk": """
-WITH p AS (
-  SELECT q.vec_id AS query_id, v.vec_id, round(sqrt(greatest(list_dot_product(q.e, q.e) + list_dot_product(v.e, v.e) - 2 * list_dot_product(q.e, v.e), 0)), 9) AS d
-  FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 10) q, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v
-)
-SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) - 1 AS rank FROM p QUALIFY rank < 5""",
-    "vector_batch": """
 WITH p AS (
   SELECT q.vec_id AS query_id, v.vec_id, round(sqrt(greatest(list_dot_product(q.e, q.e) + list_dot_product(v.e, v.e) - 2 * list_dot_product(q.e, v.e), 0)), 9) AS d
   FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0) q, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v
@@ -159,6 +182,7 @@ SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY d, ve
 WITH m AS (SELECT label, i - 1 AS pos, avg(embedding[i]::DOUBLE) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL)
 SELECT label, CAST(pos AS BIGINT) AS pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS x FROM m""",
     "fts_bm25_topk": f"WITH RECURSIVE {_search(ONE)} SELECT source, chunk_id, score, rank FROM fts",
+    "stored_search": f"WITH RECURSIVE {_search(ONE)} SELECT source, chunk_id, score, rank FROM fts",
     "rrf_fuse": """
 WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS r, 1 AS leg FROM part QUALIFY r < 50),
 b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS r, 2 AS leg FROM part QUALIFY r < 50),
@@ -168,10 +192,6 @@ SELECT CAST(p_partkey AS BIGINT) AS chunk_id, round(s, 9) AS score, CASE legs WH
     "adjacent_text": """
 WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS source, turn, text FROM conversations)
 SELECT h.source, h.turn AS chunk_id, string_agg(n.text, chr(10) ORDER BY n.turn) AS text
-FROM t h JOIN t n ON h.source = n.source AND n.turn BETWEEN h.turn - 1 AND h.turn + 1 WHERE h.turn % 2 = 0 GROUP BY ALL""",
-    "adjacent_batch": """
-WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS source, turn, text FROM conversations)
-SELECT h.source, h.turn AS chunk_id, string_agg(n.text, chr(10) ORDER BY n.turn) AS text
 FROM t h JOIN t n ON h.source = n.source AND n.turn BETWEEN h.turn - 1 AND h.turn + 1 GROUP BY ALL""",
     "hybrid_search": f"""
 WITH RECURSIVE {_search(ONE)}

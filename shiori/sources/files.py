@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from shiori.functions.text import extension, file_name
 from shiori.schema import EXTENSIONS
 
-FILE = "source string, doc_name string, ext string, content binary, file_hash string, error string"
+FILE = "source string, doc_name string, ext string, file_hash string, error string"
+#: Paths of a store that one reader is given.
+REMOTE_PATHS = 100_000
 
 
 def is_supported(path: str) -> bool:
@@ -50,34 +52,88 @@ def expand_drop_paths(paths: list[str]) -> list[str]:
     return [x for p in paths for x in (walk(p, supported_only=False) if os.path.isdir(p) else [p])]
 
 
-def read_files(spark: SparkSession, files: list[str]) -> DataFrame:
-    """Rows (source, doc_name, ext, content, file_hash, error) of listed files, read by the executors.
+def is_uri(path: str) -> bool:
+    return "://" in path
 
-    The listing alone is made on the driver.  Files must lie on storage that all executors see.
+
+def _content(path: str) -> tuple[bytes, str | None]:
+    try:
+        with open(path, "rb") as f:
+            return f.read(), None
+    except OSError as e:
+        return b"", str(e)
+
+
+def _digest(path: str) -> tuple[str, str | None]:
+    """The hash of a file, piece by piece."""
+    own, error = hashlib.sha256(), None
+    try:
+        with open(path, "rb") as f:
+            while piece := f.read(1 << 20):
+                own.update(piece)
+    except OSError as e:
+        own, error = hashlib.sha256(), str(e)
+    return own.hexdigest(), error
+
+
+def read_files(spark: SparkSession, files: list[str], remote: list[str] | None = None) -> DataFrame:
+    """Rows (source, doc_name, ext, file_hash, error) of listed files and of directories in stores, hashed by the executors.
+
+    The listing of local paths alone is made on the driver; they must lie on storage that all executors see.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                content, error = b"", None
-                try:
-                    with open(path, "rb") as f:
-                        content = f.read()
-                except OSError as e:
-                    error = str(e)
-                row = (path, os.path.basename(path), os.path.splitext(path)[1].lower().removeprefix("."), content, hashlib.sha256(content).hexdigest(), error)
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.string()), strict=True)], names=[x.split()[0] for x in FILE.split(", ")])
+            paths = batch.column(0).to_pylist()
+            found = [_digest(p) for p in paths]
+            columns = [paths, list(map(os.path.basename, paths)), [os.path.splitext(p)[1].lower().removeprefix(".") for p in paths], [h for h, _ in found], [e for _, e in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=[x.split()[0] for x in FILE.split(", ")])
 
     parts = max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))
-    return spark.createDataFrame([(f,) for f in files], "path string").repartition(parts).mapInArrow(read, FILE)
+    out = spark.createDataFrame([(f,) for f in files], "path string").repartition(parts).mapInArrow(read, FILE)
+    for uri in remote or ():
+        out = out.unionByName(read_remote(spark, uri).drop("content"))
+    return out
+
+
+def with_content(files: DataFrame) -> DataFrame:
+    """Adds ``content`` to rows with ``source``, read again by path; a row that has no error so far may get one.
+
+    Files of stores that only Spark reads are named to its reader, so many at a
+    time, and joined by path; no other file is read.
+    """
+    spark = files.sparkSession
+    far = F.col("source").contains("://")
+    schema = files.drop("error").schema.add("content", "binary").add("error", "string")
+    names = schema.fieldNames()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                content, error = _content(one.column("source")[0].as_py())
+                columns = {n: one.column(n) for n in names if n not in ("content", "error")}
+                columns |= {"content": pa.array([content], pa.binary()), "error": pa.array([one.column("error")[0].as_py() or error], pa.string())}
+                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    out = files.filter(~far).mapInArrow(read, schema)
+
+    def joined(paths: list[str]) -> DataFrame:
+        told = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("_path"), "content")
+        return files.filter(far).join(told, F.col("source") == F.col("_path")).select(*names)
+
+    part: list[str] = []
+    for r in files.filter(far).select("source").toLocalIterator():
+        part.append(r.source)
+        if len(part) == REMOTE_PATHS:
+            out, part = out.unionByName(joined(part)), []
+    return out.unionByName(joined(part)) if part else out
 
 
-def read_remote(spark: SparkSession, uri: str, most_bytes: int = 1 << 30) -> DataFrame:
-    """As :func:`read_files`, for a directory in any store that Spark reads (hidden files are skipped there)."""
+def read_remote(spark: SparkSession, uri: str) -> DataFrame:
+    """As :func:`read_files` with ``content``, for a file or directory in any store that Spark reads (hidden files are skipped there)."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri)
     ext = extension(F.col("path"))
-    small = F.col("length") <= most_bytes
     return found.filter(ext.isin(*EXTENSIONS)).select(
-        F.col("path").alias("source"), file_name(F.col("path")).alias("doc_name"), ext.alias("ext"), F.when(small, F.col("content")).alias("content"),
-        F.sha2("content", 256).alias("file_hash"), F.when(~small, F.lit("too large")).alias("error"),
+        F.col("path").alias("source"), file_name(F.col("path")).alias("doc_name"), ext.alias("ext"), "content", F.sha2("content", 256).alias("file_hash"), F.lit(None).cast("string").alias("error"),
     )

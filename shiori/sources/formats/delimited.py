@@ -15,8 +15,10 @@ def row_text(headers: list[str], cells: list[str]) -> str:
 
 
 def chunks(text: str, delimiter: str, size: int = CHUNK_SIZE) -> list[str]:
-    """The whole content is trimmed first; a record of another length than the header fails the file."""
-    rows = [r for r in csv.reader(io.StringIO(trim(text), newline=""), delimiter=delimiter) if r]
+    """The whole content is trimmed first, and a byte order mark goes; a record of another length than the header fails the file; cells have any length."""
+    body = trim(text.removeprefix("\ufeff"))
+    csv.field_size_limit(max(csv.field_size_limit(), len(body) + 1))
+    rows = [r for r in csv.reader(io.StringIO(body, newline=""), delimiter=delimiter) if r]
     if not rows:
         return []
     headers, records = rows[0], rows[1:]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 from shiori.functions.text import normalize_html
@@ -33,6 +34,7 @@ class _Sections(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[str] = []
+        self.open: Counter[str] = Counter()
         self.out: list[tuple[str, str]] = []
         self.heading, self.body, self.title = "", [], None
         self.skipping = 0
@@ -45,6 +47,7 @@ class _Sections(HTMLParser):
         if tag in VOID:
             return
         self.stack.append(tag)
+        self.open[tag] += 1
         self._opened(tag)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -53,7 +56,7 @@ class _Sections(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "p" and "p" not in self.stack:
+        if tag == "p" and not self.open["p"]:
             self._opened("p")
             self._closed("p")
         elif tag in HEADINGS:
@@ -66,14 +69,21 @@ class _Sections(HTMLParser):
             (self.body if self.title is None else self.title).append(data)
 
     def _close(self, names: set, border: set | frozenset) -> None:
+        if not any(self.open[n] for n in names):
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k] in names:
                 while len(self.stack) > k:
-                    self._closed(self.stack.pop())
+                    self._pop()
                 return
             if self.stack[k] in border:
                 return
 
+    def _pop(self) -> None:
+        tag = self.stack.pop()
+        self.open[tag] -= 1
+        self._closed(tag)
+
     def _opened(self, tag: str) -> None:
         if tag in SKIPPED:
             self.skipping += 1
@@ -104,7 +114,7 @@ class _Sections(HTMLParser):
     def finish(self) -> list[tuple[str, str]]:
         self.close()
         while self.stack:
-            self._closed(self.stack.pop())
+            self._pop()
         self._flush()
         return self.out
 

@@ -42,6 +42,21 @@ _HTML = re.compile(r" {0,3}<(?:!--|[!?]|/?[A-Za-z][A-Za-z0-9-]*(?:[\s/>]|$))")
 _INLINE_TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?>|<!--.*?-->", re.S)
 
 
+_MARKS = [(re.compile(rf"{m}(?=\S)"), re.compile(rf"(?<=\S){m}")) for m in (r"\*\*\*", r"\*\*", r"\*", "~~", "~", r"\|\|", r"\^")]
+_MARKS += [(re.compile(rf"(?<!\w){m}(?=\S)"), re.compile(rf"(?<=\S){m}(?!\w)")) for m in ("___", "__", "_")]
+#: Quotes and lists in each other are followed so deep; what lies deeper is text.
+DEEPEST = 100
+
+
+def unmarked(text: str, opener: re.Pattern, closer: re.Pattern) -> str:
+    """``text`` without pairs of marks; what one mark finds no partner for, no later one does."""
+    out, at = [], 0
+    while (a := opener.search(text, at)) and (b := closer.search(text, a.end() + 1)):
+        out += text[at : a.start()], text[a.end() : b.start()]
+        at = b.end()
+    return "".join([*out, text[at:]])
+
+
 def inline(text: str) -> str:
     """The text that inline Markdown shows."""
     kept: list[str] = []
@@ -66,10 +81,8 @@ def inline(text: str) -> str:
         text, n = link.subn(lambda m: m[1], text)
         if not n:
             break
-    for mark in (r"\*\*\*", r"\*\*", r"\*", "~~", "~", r"\|\|", r"\^"):
-        text = re.sub(rf"{mark}(?=\S)(.+?)(?<=\S){mark}", r"\1", text, flags=re.S)
-    for mark in ("___", "__", "_"):
-        text = re.sub(rf"(?<!\w){mark}(?=\S)(.+?)(?<=\S){mark}(?!\w)", r"\1", text, flags=re.S)
+    for opener, closer in _MARKS:
+        text = unmarked(text, opener, closer)
     text = html.unescape(text)
     return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], text)
 
@@ -102,8 +115,9 @@ class _Markdown:
             if not tight:
                 self.flush()
 
-    def blocks(self, lines: list[str], tight: bool = False) -> None:
+    def blocks(self, lines: list[str], tight: bool = False, depth: int = 0) -> None:
         held: list[str] = []
+        nested = depth < DEEPEST
         i = 0
         while i < len(lines):
             line = lines[i].expandtabs(4) if "\t" in lines[i][:8] else lines[i]
@@ -138,18 +152,21 @@ class _Markdown:
                 self.paragraph(held, tight)
                 held = []
                 i += 1
-            elif _QUOTE.match(line):
+            elif nested and _QUOTE.match(line):
                 self.paragraph(held, tight)
                 held, inner = [], []
                 while i < len(lines) and lines[i].strip() and (_QUOTE.match(lines[i]) or not self._starts_block(lines[i])):
                     inner.append(_QUOTE.sub("", lines[i], count=1))
                     i += 1
-                self.blocks(inner)
+                # Marks that all lines share are one quote for what is shown.
+                while all(map(_QUOTE.match, inner)):
+                    inner = [_QUOTE.sub("", x, count=1) for x in inner]
+                self.blocks(inner, depth=depth + 1)
                 self.flush()
-            elif item and not (held and (not line[item.end() :].strip() or (item[2][0].isdigit() and item[2][:-1] != "1"))):
+            elif nested and item and not (held and (not line[item.end() :].strip() or (item[2][0].isdigit() and item[2][:-1] != "1"))):
                 self.paragraph(held, tight)
                 held = []
-                i = self._list(lines, i)
+                i = self._list(lines, i, depth)
             elif not held and _HTML.match(line):
                 while i < len(lines) and lines[i].strip():
                     i += 1
@@ -170,7 +187,7 @@ class _Markdown:
     def _starts_block(self, line: str) -> bool:
         return bool(_ATX.match(line) or _FENCE.match(line) or _RULE.match(line) or _ITEM.match(line))
 
-    def _list(self, lines: list[str], i: int) -> int:
+    def _list(self, lines: list[str], i: int, depth: int) -> int:
         """Items of one list; it is loose if a blank line parts its blocks."""
         items: list[list[str]] = []
         kind = None
@@ -205,7 +222,7 @@ class _Markdown:
         for own in items:
             if own:
                 own[0] = _TASK.sub("", own[0], count=1)
-            self.blocks(own, tight=not loose)
+            self.blocks(own, tight=not loose, depth=depth + 1)
             self.flush()
         return i
 

@@ -45,6 +45,14 @@ def difference(old: dict, new: dict) -> list[tuple[str, str]]:
     return [(p, REMOVE) for p in sorted(old.keys() - new.keys())] + [(p, UPSERT) for p in sorted(new) if old.get(p) != new[p]]
 
 
+def changes_between(old: DataFrame, new: DataFrame) -> DataFrame:
+    """:func:`difference` of two snapshots as tables (path, mtime, size): path and kind; a rename is a removal and an upsert."""
+    was = old.select("path", F.struct("mtime", "size").alias("_old"))
+    met = was.join(new.select("path", F.struct("mtime", "size").alias("_new")), "path", "full")
+    kind = F.when(F.col("_new").isNull(), REMOVE).when(F.col("_old").isNull() | (F.col("_old") != F.col("_new")), UPSERT)
+    return met.select("path", kind.alias("kind")).filter("kind is not null")
+
+
 class _Reader(SimpleDataSourceStreamReader):
     def __init__(self, dirs: list[str], side: str, initial: bool) -> None:
         self.dirs, self.side, self.initial = dirs, side, initial

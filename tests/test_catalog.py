@@ -48,7 +48,7 @@ def test_library_does_not_need_the_llm_package():
                 assert not any("llm" in n for n in names), path
 
 
-def test_vector_batch_asks_every_hundredth_row(spark, tmp_path, monkeypatch):
+def test_vector_topk_asks_every_hundredth_row(spark, tmp_path, monkeypatch):
     """Ids beyond the first ten are asked, in several blocks, each against all rows."""
     rng = np.random.default_rng(7)
     vectors = rng.normal(size=(1050, 8)).astype(np.float32)
@@ -56,7 +56,7 @@ def test_vector_batch_asks_every_hundredth_row(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(int(i), vectors[i].tolist()) for i in order], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     monkeypatch.setattr(search, "QUERY_BLOCK", 4)
     got = {}
-    for r in catalog.QUERIES["vector_batch"](spark, str(tmp_path)).collect():
+    for r in catalog.QUERIES["vector_topk"](spark, str(tmp_path)).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
     wide = vectors.astype(np.float64)
     for q in range(0, 1050, 100):
@@ -65,8 +65,8 @@ def test_vector_batch_asks_every_hundredth_row(spark, tmp_path, monkeypatch):
     assert not got
 
 
-def test_adjacent_batch_takes_every_turn(spark, tmp_path):
+def test_adjacent_text_takes_every_turn(spark, tmp_path):
     turns = [(c, t, f"{c}.{t}") for c in (1, 2) for t in range(5)]
     spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {(r.source, r.chunk_id): r.text for r in catalog.QUERIES["adjacent_batch"](spark, str(tmp_path)).collect()}
+    got = {(r.source, r.chunk_id): r.text for r in catalog.QUERIES["adjacent_text"](spark, str(tmp_path)).collect()}
     assert got == {(str(c), t): "\n".join(f"{c}.{n}" for n in range(max(t - 1, 0), min(t + 1, 4) + 1)) for c, t, _ in turns}

@@ -111,7 +111,7 @@ def test_hybrid_against_brute_force(spark):
     chunks = spark.createDataFrame([(s, c, t) for (s, c), t in texts.items()], "source string, chunk_id long, chunk_text string").withColumn("vector", embedding.embed(F.col("chunk_text"), EMBED, "double"))
     asked = {0: "abc", 1: "検", 2: "", 3: "検索"}
     queries = spark.createDataFrame(list(asked.items()), "query_id long, query string")
-    got = search.hybrid(chunks, postings(chunks), corpus(chunks), queries, EMBED, limit=3, k=60, window=1).collect()
+    got = search.hybrid(chunks, corpus(chunks), queries, EMBED, index=postings(chunks), limit=3, k=60, window=1).collect()
     vectors = {k: EMBED([t])[0] for k, t in texts.items()}
     for q, text in asked.items():
         keyword = brute_bm25(texts, text)[:3] if len(text) >= 2 else []
