@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,8 @@ from shiori.functions.text import extension, file_name
 from shiori.schema import EXTENSIONS
 
 FILE = "source string, doc_name string, ext string, file_hash string, error string"
+#: A path with a scheme, as Spark names files of stores (``file:/x`` too).
+URI = r"^[A-Za-z][A-Za-z0-9+.-]+:/"
 #: Paths of a store that one reader is given.
 REMOTE_PATHS = 100_000
 
@@ -53,7 +56,7 @@ def expand_drop_paths(paths: list[str]) -> list[str]:
 
 
 def is_uri(path: str) -> bool:
-    return "://" in path
+    return re.match(URI, path) is not None
 
 
 def _content(path: str) -> tuple[bytes, str | None]:
@@ -103,7 +106,7 @@ def with_content(files: DataFrame) -> DataFrame:
     time, and joined by path; no other file is read.
     """
     spark = files.sparkSession
-    far = F.col("source").contains("://")
+    far = F.col("source").rlike(URI)
     schema = files.drop("error").schema.add("content", "binary").add("error", "string")
     names = schema.fieldNames()
 

@@ -1,7 +1,9 @@
 """Keeping a store in step with directories: a change feed as a streaming source.
 
-The source's offset names a snapshot {path: (mtime, size)} kept in a side file;
-a batch is the difference of two snapshots, as rows (path, kind, seq).  Unlike
+The source's offset names a snapshot {path: (mtime, size)} kept in a side file
+beside the query's checkpoint, in the same store (any that pyarrow.fs opens, by
+Hadoop's name or its own), so that another driver can go on from it; a batch is
+the difference of two snapshots, as rows (path, kind, seq).  Unlike
 the built-in file source it sees removals and changes in place.  A rename is a
 removal and an upsert in one batch; the removal of a directory removes each file.
 """
@@ -14,6 +16,7 @@ import os
 import uuid
 from collections.abc import Iterator
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
@@ -55,21 +58,23 @@ def changes_between(old: DataFrame, new: DataFrame) -> DataFrame:
 
 class _Reader(SimpleDataSourceStreamReader):
     def __init__(self, dirs: list[str], side: str, initial: bool) -> None:
-        self.dirs, self.side, self.initial = dirs, side, initial
-        os.makedirs(side, exist_ok=True)
+        self.dirs, self.initial = dirs, initial
+        scheme, colon, rest = side.partition("://")
+        self.fs, self.side = pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest if colon else os.path.abspath(side.removeprefix("file:")))
+        self.fs.create_dir(self.side, recursive=True)
 
     def _save(self, files: dict) -> dict:
         name = uuid.uuid4().hex
-        with open(os.path.join(self.side, f".{name}"), "w") as f:
-            json.dump(files, f)
-        os.rename(os.path.join(self.side, f".{name}"), os.path.join(self.side, name))
+        with self.fs.open_output_stream(f"{self.side}/.{name}") as f:
+            f.write(json.dumps(files).encode())
+        self.fs.move(f"{self.side}/.{name}", f"{self.side}/{name}")
         return {"snapshot": name}
 
     def _load(self, offset: dict) -> dict:
         if not offset.get("snapshot"):
             return {}
-        with open(os.path.join(self.side, offset["snapshot"])) as f:
-            return json.load(f)
+        with self.fs.open_input_stream(f"{self.side}/{offset['snapshot']}") as f:
+            return json.loads(f.read())
 
     def initialOffset(self) -> dict:
         return {"snapshot": ""} if self.initial else self._save(snapshot(self.dirs))
@@ -87,13 +92,11 @@ class _Reader(SimpleDataSourceStreamReader):
     def commit(self, end: dict) -> None:
         """Snapshots older than the committed one are of no more use."""
         keep = end.get("snapshot")
-        if not keep or not os.path.exists(os.path.join(self.side, keep)):
-            return
-        at = os.stat(os.path.join(self.side, keep)).st_mtime_ns
-        for name in os.listdir(self.side):
-            path = os.path.join(self.side, name)
-            if name != keep and os.stat(path).st_mtime_ns < at:
-                os.remove(path)
+        found = {x.base_name: x for x in self.fs.get_file_info(pafs.FileSelector(self.side))} if keep else {}
+        if keep in found:
+            for name, x in found.items():
+                if name != keep and x.mtime_ns < found[keep].mtime_ns:
+                    self.fs.delete_file(x.path)
 
 
 class DirectoryChanges(DataSource):
