@@ -402,15 +402,17 @@ def candidate_edges(found: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     In the group of an n-gram whose members are all compatible with its least node, that
     node stands for the group; in any other group all pairs are compared.
     """
-    rows = found.filter("n_shingles > 0").select("node", F.explode("parts").alias("sig"))
+    # A node once, however many documents are it; its marks differ from each other.
+    nodes = found.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bins").alias("bins"), F.first("parts").alias("parts"))
+    nodes = written(nodes, "ngram-nodes")
+    rows = nodes.select("node", F.explode("parts").alias("sig"))
     groups = rows.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("_top")).filter("pivot < _top").drop("_top")
     groups = written(groups, "ngram-groups")
-    members = written(rows.join(groups, "sig").distinct(), "ngram-members")
+    members = written(rows.join(groups, "sig"), "ngram-members")
     # N-grams of one shared passage bring the same nodes together: one of them stands for all.
     same = members.groupBy("sig", "pivot").agg(F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("_y"))
     same = same.groupBy("pivot", "_n", "_x", "_y").agg(F.min("sig").alias("sig"))
     alike = written(members.join(same.select("sig", "_n"), "sig"), "ngram-alike")
-    nodes = written(found.filter("n_shingles > 0").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bins").alias("bins")), "ngram-nodes")
     pairs = alike.filter("node != pivot").select("node", "pivot").distinct()
     other = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("n2"), F.col("bins").alias("bins2"))
     pairs = pairs.join(nodes, "node").join(other, "pivot")
