@@ -1,4 +1,9 @@
-"""Connected components of an edge table, by large-star and small-star steps."""
+"""Connected components of an edge table, by large-star and small-star steps.
+
+Edge cases: loops and repeated edges change nothing; an edge with a null end is
+dropped, as it names no node; an empty table gives no rows.  Columns other than
+``a`` and ``b`` are not read.
+"""
 
 from __future__ import annotations
 
