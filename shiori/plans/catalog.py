@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
+import os
 import zipfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +23,7 @@ from shiori.functions import text as tx
 from shiori.operators import chunking, embedding, ingest, render, search
 from shiori.operators.index import ANALYZERS, by_term, corpus, found_in_chunks, found_in_postings, postings
 from shiori.plans.oracle import ORACLE_SQL  # noqa: F401
-from shiori.schema import CHUNKS, EXTENSIONS, POSTINGS
+from shiori.schema import CHUNKS, DIMENSION, EXTENSIONS, POSTINGS
 from shiori.sources.formats import delimited, docx, html, markup
 from shiori.sources.staging import shared_folder, staged
 from shiori.sources.store import Store
@@ -291,6 +294,37 @@ def mean_pool(spark, sf_dir):
     return means.select("label", F.col("pos").cast("long").alias("pos"), F.round(F.when(norm > 0, F.col("m") / norm).otherwise(F.col("m")), 6).alias("x"))
 
 
+#: Words of the made-up model, after the one that stands for all others.
+WORDS = ("small", "cold", "widget")
+
+
+def made_up_model(folder: str) -> str:
+    """A static model: the weight of token r at position c is ((31 r + 7 c) mod 17 - 8) / 8."""
+    if not os.path.exists(os.path.join(folder, "model.safetensors")):
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        os.makedirs(folder, exist_ok=True)
+        tokenizer = Tokenizer(models.WordLevel({w: i for i, w in enumerate(("[UNK]", *WORDS))}, unk_token="[UNK]"))
+        tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
+        tokenizer.save(os.path.join(folder, "tokenizer.json"))
+        r, c = np.arange(len(WORDS) + 1)[:, None], np.arange(DIMENSION)
+        weights = (((31 * r + 7 * c) % 17 - 8) / 8).astype("<f4").tobytes()
+        head = json.dumps({"embedding.weight": {"dtype": "F32", "shape": [len(WORDS) + 1, DIMENSION], "data_offsets": [0, len(weights)]}}).encode()
+        with open(os.path.join(folder, "model.tmp"), "wb") as f:
+            f.write(len(head).to_bytes(8, "little") + head + weights)
+        os.rename(os.path.join(folder, "model.tmp"), os.path.join(folder, "model.safetensors"))
+    return folder
+
+
+@query
+def static_embed(spark, sf_dir):
+    """The parts' names by the static embedder: tokens looked up, averaged, scaled to length 1."""
+    model = embedding.StaticEmbedder(made_up_model(shared_folder(spark).removeprefix("file://") + "/static-model"))
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    vectors = names.withColumn("v", embedding.embed(F.col("p_name"), model))
+    return vectors.select("p_name", F.posexplode("v").alias("pos", "x")).select("p_name", F.col("pos").cast("long").alias("pos"), F.round(F.col("x").cast("double"), 3).alias("x"))
+
+
 def with_source(chunks: DataFrame) -> DataFrame:
     return chunks.select(source_of().alias("source"), "chunk_id", "chunk_text")
 

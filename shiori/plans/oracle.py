@@ -181,6 +181,11 @@ SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY d, ve
     "mean_pool": """
 WITH m AS (SELECT label, i - 1 AS pos, avg(embedding[i]::DOUBLE) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL)
 SELECT label, CAST(pos AS BIGINT) AS pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS x FROM m""",
+    "static_embed": """
+WITH t AS (SELECT p_name, unnest(string_split(p_name, ' ')) AS w FROM (SELECT DISTINCT p_name FROM part)),
+ids AS (SELECT p_name, CASE w WHEN 'small' THEN 1 WHEN 'cold' THEN 2 WHEN 'widget' THEN 3 ELSE 0 END AS id FROM t),
+m AS (SELECT p_name, pos, avg(((31 * id + 7 * pos) % 17 - 8) / 8.0::DOUBLE) AS m FROM ids, range(1024) AS g(pos) GROUP BY ALL)
+SELECT p_name, pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY p_name)), 3) AS x FROM m""",
     "fts_bm25_topk": f"WITH RECURSIVE {_search(ONE)} SELECT source, chunk_id, score, rank FROM fts",
     "stored_search": f"WITH RECURSIVE {_search(ONE)} SELECT source, chunk_id, score, rank FROM fts",
     "rrf_fuse": """
