@@ -136,6 +136,23 @@ def md5_hash(seed: int, *cols: Column) -> Column:
     return F.shiftleft(F.conv(digits, 16, 10).cast("long"), 3)
 
 
+def least_hashes(rows: DataFrame, group: list[str], bound: int) -> DataFrame:
+    """(group, top): the ``bound``-th least distinct hash ``h`` of each group, or its last; a written table.
+
+    No task holds a group: sketches of the distinct hashes are counted by ranges of
+    the hash (64 to an octave), and only what lies below about twice the bound is
+    then ranked.  Copies of a row count once.  ``group`` holds no nulls.
+    """
+    span = F.floor(64 * F.log2(F.col("h").cast("double") + 1))
+    counted = rows.groupBy(*group, span.alias("_span")).agg(F.approx_count_distinct("h").alias("_n"), F.max("h").alias("_top"))
+    before = Window.partitionBy(*group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    rough = counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_before") < 2 * bound)
+    rough = written(rough.groupBy(*group).agg(F.max("_top").alias("_rough")), "hash-ranges")
+    near = rows.join(rough, group).filter(F.col("h") <= F.col("_rough")).select(*group, "h").distinct()
+    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("h"))).filter(F.col("_r") <= bound)
+    return written(ranked.groupBy(*group).agg(F.max("h").alias("top")), "hash-bound")
+
+
 def running(
     df: DataFrame,
     group: list[str],

@@ -23,8 +23,8 @@ Edge cases: null, empty and letterless texts get ``und`` and score 0; a null id
 counts as held out and is never learned from; null languages are never learned;
 without any labelled row every text is ``und``; ties go to the first language in
 code-point order; repeated sample rows (same id and language) count once.  The
-sample is of the least hashes of the ids, up to a bound that counts by ranges of
-the hash (64 to an octave) give, so no task holds a language.  Only the named input columns are read by :func:`identify`; :func:`keep_identified`
+sample is of the least hashes of the ids, found without a task that holds a
+language.  Only the named input columns are read by :func:`identify`; :func:`keep_identified`
 keeps all columns of its input.
 """
 
@@ -37,9 +37,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from shiori.llm.common import parts, pieces, scratch, unit_hash, written
+from shiori.llm.common import least_hashes, parts, pieces, scratch, unit_hash, written
 
 ORDER = 4
 BITS = 12
@@ -249,12 +248,8 @@ def sample(df: DataFrame, spec: LangSpec, id_col: str, text_col: str, lang_col:
     rows = df.select(F.col(id_col).alias("doc"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter(F.col("doc").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_fold(F.col("doc"), spec.folds) != spec.held))
     rows = rows.withColumn("h", unit_hash(spec.seed, F.col("doc")))
-    # Counts by ranges of the hash, whose ends grow by a 64th of an octave; the ranges that together hold few enough.
-    ranges = rows.groupBy("lang", F.floor(64 * F.log2(F.col("h").cast("double") + 1)).alias("range")).agg(F.count(F.lit(1)).alias("_n"), F.max("h").alias("top"))
-    upto = F.sum("_n").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    bound = ranges.withColumn("_upto", upto).filter(F.col("_upto") <= spec.docs_per_language)
-    bound = written(bound.groupBy(F.col("lang").alias("_lang")).agg(F.max("top").alias("top")), "langid-bound")
-    chosen = rows.join(bound, F.col("lang") == F.col("_lang")).filter(F.col("h") <= F.col("top"))
+    bound = least_hashes(rows.select("lang", "h"), ["lang"], spec.docs_per_language)
+    chosen = rows.join(bound, "lang").filter(F.col("h") <= F.col("top"))
     chosen = chosen.groupBy("lang", "doc").agg(F.min("text").alias("text"), F.min("h").alias("h"))
     return written(chosen.select("doc", "lang", "text", (F.col("h") % 4 == 0).alias("calibrates")), "langid-sample")
 

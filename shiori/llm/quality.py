@@ -8,7 +8,7 @@ training scores: the one that errs least on the labelled sample; scores are
 shifted so that it lies at 0.7.
 
 The sample of labelled rows is bounded (``labelled_rows``, by a seeded hash of
-the id) and read whole; scoring reads every whole text once, without a shuffle.
+id and label) and read whole; scoring reads every whole text once, without a shuffle.
 
 Edge cases: null and empty texts have the features of no words and get a score
 as others do; null ids are not held out, never match a label and are scored;
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiori.llm.common import parts, scratch, unit_hash, written
+from shiori.llm.common import least_hashes, parts, scratch, unit_hash, written
 
 
 @dataclass(frozen=True)
@@ -201,9 +201,10 @@ def fit(docs: DataFrame, labels: DataFrame, spec: QualitySpec = QualitySpec(), *
     """Learns from at most ``labelled_rows`` labels outside the held-out fold."""
     rows = labels.select(F.col(id_col).alias("doc"), F.col(label_col).alias("label"))
     rows = rows.filter(F.col("doc").isNotNull() & F.col("label").isNotNull() & (fold(F.col("doc"), spec.folds) != spec.held))
-    chosen = rows.withColumn("h", unit_hash(spec.seed, F.col("doc"))).orderBy("h", "doc", "label").limit(spec.labelled_rows).select("doc", "label")
+    rows = rows.select("doc", "label", unit_hash(spec.seed, F.col("doc"), F.col("label")).alias("h"), F.lit(0).alias("all"))
     with scratch():
-        chosen = written(chosen, "quality-labels")
+        chosen = rows.join(least_hashes(rows, ["all"], spec.labelled_rows), "all").filter(F.col("h") <= F.col("top"))
+        chosen = written(chosen.select("doc", "label").distinct(), "quality-labels")
         texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
         # At most labelled_rows rows of two numbers: the bound of the broadcast.
         joined = texts.join(F.broadcast(chosen), "doc").select("doc", "label", "text")

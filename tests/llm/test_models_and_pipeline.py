@@ -8,10 +8,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shiori.llm import graph, langid, ngram_join, quality
-from shiori.llm.common import written
+from shiori.llm.common import unit_hash, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, parts string"
 SYLLABLES = {"aa": ["ka", "to", "mi", "ren"], "bb": ["sch", "ung", "ei", "ber"], "cc": ["ción", "os", "el", "ña"]}
@@ -134,10 +135,14 @@ def test_model_equals_its_twin():
 
 
 def test_sample_is_bounded_and_of_the_least_hashes(spark):
-    rows = [(i, "x", "aa" if i % 10 else "bb", "s") for i in range(3000)]
+    rows = [(i, "x", "aa" if i % 10 else "bb", "s") for i in range(3000)] + [(5, "x", "aa", "s")] * 2000
     got = langid.sample(docs(spark, rows), langid.LangSpec(docs_per_language=200), "doc_id", "text", "lang").collect()
     n = Counter(r.lang for r in got)
-    assert 185 <= n["aa"] <= 200 and 185 <= n["bb"] <= 200
+    assert n == {"aa": 200, "bb": 200}
+    hashed = {r.doc: r.h for r in spark.range(3000).select(F.col("id").alias("doc"), unit_hash(41, F.col("id")).alias("h")).collect()}
+    for lang, ids in (("aa", [i for i in range(3000) if i % 10]), ("bb", range(0, 3000, 10))):
+        learned = sorted((i for i in ids if zlib.crc32(str(i).encode()) % 5), key=hashed.get)
+        assert {r.doc for r in got if r.lang == lang} == set(learned[:200])
     few = langid.sample(docs(spark, rows), langid.LangSpec(docs_per_language=5000), "doc_id", "text", "lang")
     assert few.count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(3000))
 
