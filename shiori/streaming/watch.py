@@ -23,12 +23,14 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from shiori.operators.ingest import drop_files, update_files
 from shiori.sources.files import walk
-from shiori.sources.store import Store
+from shiori.sources.store import Conflict, Store
 
 log = logging.getLogger(__name__)
 
 SCHEMA = "path string, kind string, seq long"
 UPSERT, REMOVE = "upsert", "remove"
+#: Of a step of a batch that meets another writer.
+TRIES = 3
 
 
 def snapshot(dirs: list[str]) -> dict[str, list[int]]:
@@ -119,18 +121,26 @@ def last_per_path(changes: DataFrame, key: str = "path", kind: str = "kind", ord
 
 
 def apply_changes(store: Store, embedder, changes: DataFrame) -> None:
-    """Drops and upserts of one batch, by the same functions as the commands; a repeat changes nothing."""
+    """Drops and upserts of one batch, by the same functions as the commands; a repeat changes nothing.
+
+    Where another writer has published meanwhile, a step is tried again; any other
+    failure is logged, and the watch goes on with the next batch.
+    """
     last = last_per_path(changes).collect()  # one directory walk's worth, which the driver has listed itself
     spark = store.spark
     removed, upserted = ([r.path for r in last if r.kind == k] for k in (REMOVE, UPSERT))
-    try:
-        if removed:
-            drop_files(spark, store, removed)
-        if upserted:
-            update_files(spark, store, upserted, embedder)
-    except Exception:
-        log.exception("a batch of changes failed")
-        raise
+    steps = [(removed, lambda: drop_files(spark, store, removed)), (upserted, lambda: update_files(spark, store, upserted, embedder))]
+    for paths, step in steps:
+        for left in reversed(range(TRIES if paths else 0)):
+            try:
+                step()
+                break
+            except Conflict:
+                if not left:
+                    log.exception("other writers kept publishing; not applied: %s", paths)
+            except Exception:
+                log.exception("a batch of changes failed: %s", paths)
+                break
 
 
 def watch(spark: SparkSession, store: Store, dirs: list[str], embedder, checkpoint: str, *, initial: bool = False, once: bool = False, every: str = "2 seconds"):

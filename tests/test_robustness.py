@@ -13,6 +13,7 @@ from shiori.schema import CHUNKS, HASHED, POSTINGS
 from shiori.sources import files, store as stores
 from shiori.sources.formats import delimited, html, markup
 from shiori.sources.store import Store
+from shiori.streaming import watch
 
 EMBED = embedding.HashedEmbedder(1024)
 
@@ -129,3 +130,38 @@ def test_found_in_chunks_equals_found_in_postings(spark):
         return sorted((r.source, r.chunk_id, r.dl, sorted(zip(r.at, r.tf, strict=True))) for r in df.collect())
 
     assert rows(found_in_chunks(chunks, terms)) == rows(found_in_postings(postings(chunks), terms)) == [("a", 0, 3, [(0, 2)]), ("b", 0, 3, [(0, 1), (1, 1)])]
+
+
+def test_failing_batches_are_logged_and_passed_over(spark, tmp_path, caplog):
+    (tmp_path / "a.txt").write_text("text a")
+    store = Store(spark, str(tmp_path / "db"))
+
+    class Broken:
+        dim = 1024
+
+        def __call__(self, texts):
+            raise RuntimeError("no model")
+
+    def feed(kind):
+        return spark.createDataFrame([(str(tmp_path / "a.txt"), kind, 0)], watch.SCHEMA)
+
+    watch.apply_changes(store, Broken(), feed(watch.UPSERT))
+    assert "a batch of changes failed" in caplog.text and not store.exists(CHUNKS)
+    watch.apply_changes(store, EMBED, feed(watch.UPSERT))
+    assert store.read(CHUNKS).count() == 1
+    watch.apply_changes(store, EMBED, feed(watch.REMOVE))
+    assert store.read(CHUNKS).count() == 0
+
+
+def test_a_step_is_tried_again_after_another_writer(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_text("text a")
+    store, tried = Store(spark, str(tmp_path / "db")), []
+
+    def update(*args):
+        tried.append(1)
+        if len(tried) < 3:
+            raise stores.Conflict("version 1 exists already")
+
+    monkeypatch.setattr(watch, "update_files", update)
+    watch.apply_changes(store, EMBED, spark.createDataFrame([(str(tmp_path / "a.txt"), watch.UPSERT, 0)], watch.SCHEMA))
+    assert len(tried) == 3
