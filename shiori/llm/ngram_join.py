@@ -382,6 +382,7 @@ def united(groups: DataFrame) -> DataFrame:
     The nodes that any group brings together are together in the union as well.
     """
     sizes = groups.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_pivot")).filter(F.col("_n") > BIG_GROUP)
+    sizes = written(sizes, "ngram-big-sizes")  # so that the join is of two shuffles, which a hot group may be split in
     big = written(groups.join(sizes, "sig").select("sig", "node", "n", "_n", F.xxhash64("node", "_class").alias("_key"), F.xxhash64("_pivot", "_class").alias("_pivot")), "ngram-big")
     if not big.head(1):
         return groups.drop("_class")
@@ -430,7 +431,7 @@ def candidate_edges(found: DataFrame, percent: int) -> tuple[DataFrame, DataFram
 
     # A group of two has no pair but the one that was judged.
     rest = alike.filter("_n > 2")
-    odd = rest.join(judged.filter("not ok").select("node", "pivot"), ["node", "pivot"]).select("sig").distinct()
+    odd = written(rest.join(judged.filter("not ok").select("node", "pivot"), ["node", "pivot"]).select("sig").distinct(), "ngram-odd-groups")
     odd = written(by_size(rest.join(odd, "sig").join(nodes.select("node", "n"), "node").select("sig", "node", "n"), percent), "ngram-sized")
     odd = united(odd)
     odd = written(odd.join(nodes.select("node", "bins"), "node").select("sig", "node", "n", "bins"), "ngram-odd")
