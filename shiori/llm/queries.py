@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from shiori.llm import alignment, decontaminate, html_crf, langid, media, mixing, ngram_join, quality, secrets, sharding, warc
+from shiori.llm import alignment, decontaminate, html_crf, langid, media, mixing, ngram_join, quality, secrets, sharding, toxicity, warc
 from shiori.llm.common import written
 from shiori.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -72,4 +72,9 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_media, op4_ngram_join, op5_html, op6_quality, op7_decontaminate, op8_langid, op9_secrets, op10_warc, op11_alignment)}
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, spec = table(spark, sf_dir, "documents"), toxicity.ToxicSpec(folds=4, held=2, threshold=0.3)
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), spec))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_media, op4_ngram_join, op5_html, op6_quality, op7_decontaminate, op8_langid, op9_secrets, op10_warc, op11_alignment, op12_toxicity)}
