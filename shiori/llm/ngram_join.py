@@ -549,6 +549,16 @@ def tile_edges(n: int, percent: int):
     return run
 
 
+def one_each(texts: DataFrame, nodes: int) -> DataFrame:
+    """A row of ``texts`` (a written table) for each of its ``nodes``: of repeated documents one lends its text."""
+    if texts.count() <= nodes:
+        return texts
+    again = few(written(texts.groupBy("node").count().filter("count > 1").select("node"), "ngram-lent-again"))
+    others = [c for c in texts.columns if c not in ("node", "text")]
+    once = texts.join(again, "node", "left_semi").groupBy("node").agg(*(F.first(c).alias(c) for c in others), F.first("text").alias("text"))
+    return written(texts.join(again, "node", "left_anti").unionByName(once.select(*texts.columns)), "ngram-texts")
+
+
 def links(df: DataFrame, found: DataFrame, *, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Verified links (a, b) of nodes: at most one per node and tile, and enough to hold each component together."""
     candidates, centrality = candidate_edges(found, percent)
@@ -565,7 +575,8 @@ def links(df: DataFrame, found: DataFrame, *, n: int, percent: int, id_col: str,
     docs = df.select(F.col(id_col).cast("long").alias("_id2"), F.xxhash64(text_col).alias("_th2"), F.col(text_col).alias("text"))
     asked = few(written(member.join(size.drop("_g"), "family"), "ngram-asked"))
     texts = docs.join(asked, (F.col("_th") == F.col("_th2")) & F.col("_id").eqNullSafe(F.col("_id2")))
-    texts = written(texts.select("node", "family", "n", "hub", "_b", F.pmod(F.xxhash64("node"), F.col("_b")).alias("_own"), "text"), "ngram-texts")
+    texts = written(texts.select("node", "family", "n", "hub", "_b", F.pmod(F.xxhash64("node"), F.col("_b")).alias("_own"), "text"), "ngram-lent")
+    texts = one_each(texts, member.count())
 
     tile = F.pmod(F.xxhash64("family"), F.lit(max(1, total // BLOCK_GRAMS)))
     one = texts.filter("_b = 1").select(tile.alias("tile"), "family", F.lit(3).alias("role"), "node", "text")
@@ -627,11 +638,13 @@ def keep_one(df: DataFrame, *, n: int = 5, percent: int = 80, id_col: str = "doc
     Of repeated rows (equal id and text, with words) one stays, whichever Spark meets first.
     """
     judged = written(join_components(df, n=n, percent=percent, id_col=id_col, text_col=text_col), "ngram-judged-docs")
-    own = (F.col(id_col).cast("long").eqNullSafe(F.col("_id"))) & (F.xxhash64(text_col) == F.col("_th"))
-    key = [F.col("doc_id").alias("_id"), F.col("th").alias("_th")]
-    kept = df.join(few(written(judged.filter("not leads").select(*key).distinct(), "ngram-drop")), own, "left_anti")
-    again = judged.filter("leads and n_shingles > 0").groupBy("doc_id", "th").count().filter("count > 1").select(*key)
-    again = few(written(again, "ngram-again"))
-    if not again.head(1):
-        return kept
-    return kept.join(again, own, "left_anti").unionByName(kept.join(again, own, "left_semi").dropDuplicates([id_col, text_col]))
+    key = [F.col("doc_id").alias("id2"), F.col("th").alias("th2")]
+    gone = few(written(judged.filter("not leads").select(*key).distinct(), "ngram-drop"))
+    again = few(written(judged.filter("leads and n_shingles > 0").groupBy("doc_id", "th").count().filter("count > 1").select(*key), "ngram-again"))
+    # The row stands in a struct, so that none of its columns can clash.
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("input"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"))
+    own = F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))
+    kept = rows.join(gone, own, "left_anti")
+    if again.head(1):
+        kept = kept.join(again, own, "left_anti").unionByName(kept.join(again, own, "left_semi").dropDuplicates(["id", "th"]))
+    return kept.select("input.*")

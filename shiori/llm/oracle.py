@@ -51,15 +51,15 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t
 ), r AS (SELECT *, CAST(floor(target - whole * source_size) AS BIGINT) AS rest FROM q
 ), keys AS (
-  SELECT source, doc_id, size, {_hash(17, "doc_id", "size")} AS h, sum(size) AS words, count(*) AS copies FROM d GROUP BY ALL
+  SELECT source, doc_id, size, {_hash(17, "doc_id", "size")} AS h, sum(size) AS words FROM d GROUP BY ALL
 ), c AS (
   SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM keys
 ), f AS (
-  SELECT c.source, c.doc_id, c.size, whole * c.size + CASE WHEN before + words <= rest THEN c.size WHEN before <= rest THEN (rest - before) // copies ELSE 0 END AS taken, source_size, target
-  FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source
+  SELECT c.source, c.doc_id, c.size, whole, rest - before AS room, source_size, target FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source
+), n AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id, size) - 1 AS nth FROM d
 )
-SELECT d.doc_id, d.source, d.size, source_size, target, CAST(taken AS BIGINT) AS taken
-FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.doc_id IS NOT DISTINCT FROM f.doc_id AND d.size = f.size
+SELECT n.doc_id, n.source, n.size, source_size, target, CAST(whole * n.size + greatest(0, least(n.size, room - nth * n.size)) AS BIGINT) AS taken
+FROM n JOIN f ON n.source IS NOT DISTINCT FROM f.source AND n.doc_id IS NOT DISTINCT FROM f.doc_id AND n.size = f.size
 """
 
 OP2 = rf"""

@@ -471,6 +471,26 @@ def test_keep_one(spark):
     assert ngram_join.keep_one(docs(spark, [])).count() == 0
 
 
+def test_ngram_repeated_row_with_a_near_copy(spark, monkeypatch):
+    """A row repeated 3,000 times lends its text once."""
+    text = " ".join(f"w{i}" for i in range(200))
+    data = [(1, text, "aa", "s")] * 3000 + [(2, text + " ka", "aa", "s"), (3, prose(random.Random(6), "bb", 50), "bb", "s")]
+    seen, whole = {}, ngram_join.written
+
+    def counting(df, name):
+        out = whole(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counting)
+    df = docs(spark, data).repartition(4)
+    got = {(r.doc_id, r.component_id) for r in ngram_join.join_components(df).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3)}, seen
+    assert seen.get("ngram-texts") == 2, seen
+    kept = ngram_join.keep_one(df, n=3, percent=90)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and kept.columns == df.columns
+
+
 # --- pipeline
 
 
@@ -543,10 +563,11 @@ def brute_shards(docs):
 
 def test_pipeline_on_odd_tables(spark, tmp_path):
     """No rows, no column n_chars, null ids and texts, repeated rows, more columns."""
-    schema = "doc_id long, text string, lang string, source string, copy string, slot int"
+    more = ["copy", "slot", "_id", "_th", "_id2", "_th2", "id", "th", "id2", "th2", "input", "_s", "_whole", "_size", "_key", "_cut", "_need", "_part", "place", "size", "h", "node", "doc", "_k", "_file", "_row", "parts", "bins"]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in more)
     rng = random.Random(3)
-    rows = [(i if i % 9 else None, prose(rng, "aa", 30), "aa", "s" if i % 3 else None, "c", 1) for i in range(60)]
-    rows += [rows[1]] * 3 + [(100, None, None, None, None, None), (101, "", "aa", "s", "c", 1), (102, "??", "aa", "s", "c", 1)]
+    rows = [(i if i % 9 else None, prose(rng, "aa", 30), "aa", "s" if i % 3 else None, *more) for i in range(60)]
+    rows += [rows[1]] * 3 + [(100, None, None, None, *[None] * len(more)), (101, "", "aa", "s", *more), (102, "??", "aa", "s", *more)]
     item = spark.createDataFrame([(1, None), (None, "??")], "item_id long, text string")
     for name, data in (("empty", []), ("odd", rows)):
         sf = f"file://{tmp_path}/{name}"
