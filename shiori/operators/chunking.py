@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,43 +98,3 @@ def pack_lines(lines: Iterable[str], size: int = CHUNK_SIZE) -> list[str]:
         else:
             out.append(line)
     return out
-
-
-def pack_rows(df: DataFrame, keys: list[str], order: str, text: str, size: int = CHUNK_SIZE) -> DataFrame:
-    """:func:`pack_lines` over each group's rows in order (keys, chunk_id, chunk_text).
-
-    Packing is a chain through a group, so a group's rows pass one task in order;
-    they stream through it, and no more than the open chunk and a batch is held.
-    """
-    rows = df.select(*keys, F.col(order).alias("_o"), F.col(text).alias("_t"))
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "_o").drop("_o")
-    schema = df.select(*keys).schema.add("chunk_id", "long").add("chunk_text", "string")
-    n, names = len(keys), [*keys, "chunk_id", "chunk_text"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, number, lines, length = None, 0, [], 0
-        for batch in batches:
-            done: list[tuple] = []
-            for *key, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if line is None:
-                    continue
-                if key == group and length + 1 + len(line) <= size:
-                    lines.append(line)
-                    length += 1 + len(line)
-                    continue
-                if lines:
-                    done.append((*group, number, "\n".join(lines)))
-                number = number + 1 if key == group else 0
-                group, lines, length = key, [line], len(line)
-            if done:
-                yield _rows(done, batch.schema, n, names)
-            last = batch.schema
-        if lines:
-            yield _rows([(*group, number, "\n".join(lines))], last, n, names)
-
-    return dealt.mapInArrow(run, schema)
-
-
-def _rows(rows: list[tuple], schema: pa.Schema, n: int, names: list[str]) -> pa.RecordBatch:
-    kinds = [*(schema.field(i).type for i in range(n)), pa.int64(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)

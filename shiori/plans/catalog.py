@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shiori.functions import text as tx
-from shiori.operators import chunking, embedding, ingest, render, search
+from shiori.operators import chunking, embedding, ingest, packing, render, search
 from shiori.operators.index import ANALYZERS, by_term, corpus, found_in_chunks, found_in_postings, postings
 from shiori.plans.oracle import ORACLE_SQL  # noqa: F401
 from shiori.schema import CHUNKS, DIMENSION, EXTENSIONS, POSTINGS
@@ -256,7 +256,7 @@ def row_to_text(spark, sf_dir):
 @query
 def pack_rows(spark, sf_dir):
     lines = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.concat_ws(", ", F.concat(F.lit("c_custkey: "), F.col("c_custkey").cast("string")), F.concat(F.lit("c_name: "), "c_name")).alias("line"))
-    return chunking.pack_rows(lines, ["c_nationkey"], "c_custkey", "line", size=200)
+    return packing.pack_rows(lines, ["c_nationkey"], "c_custkey", "line", size=200)
 
 
 @query

@@ -1,5 +1,6 @@
 """Hostile and odd inputs of the readers, the command line, remote paths, many segments, blocks of queries."""
 
+import random
 import time
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shiori import cli
-from shiori.operators import chunking, embedding, ingest, search
+from shiori.operators import chunking, embedding, ingest, packing, search
 from shiori.operators.index import corpus, found_in_chunks, found_in_postings, postings
 from shiori.schema import CHUNKS, HASHED, POSTINGS
 from shiori.sources import files, store as stores
@@ -60,12 +61,46 @@ def test_deep_html_takes_linear_time():
 
 def test_pack_rows_keeps_order_and_groups(spark):
     rows = [(k, i, "x" * (i % 9 + 1)) for k in ("a", "b", None) for i in range(200)] + [("a", 500, None), ("c", 1, "y" * 50)]
-    got = chunking.pack_rows(spark.createDataFrame(rows, "k string, o int, t string").repartition(5), ["k"], "o", "t", 20).collect()
+    got = packing.pack_rows(spark.createDataFrame(rows, "k string, o int, t string").repartition(5), ["k"], "o", "t", 20).collect()
     for k in ("a", "b", "c", None):
         expected = chunking.pack_lines([t for key, _, t in rows if key == k and t is not None], 20)
         assert [r.chunk_text for r in sorted((r for r in got if r.k == k), key=lambda r: r.chunk_id)] == expected
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_pack_rows_of_groups_over_many_blocks(spark, seed):
+    """Blocks hardly longer than a chunk, empty lines, lines over several blocks, one group with most rows."""
+    rng = random.Random(seed)
+    size = rng.choice((1, 7, 40))
+    rows = []
+    for g in range(5):
+        for i in range(rng.choice((1, 3, 600))):
+            n = rng.choice((0, 1, 2, size, size + 1, 3 * size, rng.randrange(9), 40 * size if rng.random() < 0.1 else 1))
+            rows.append((g or None, 1.5, i, "".join(rng.choice("aé文") for _ in range(n)), 7))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g int, h double, i int, t string, k0 int").repartition(3)
+    got = {}
+    for r in packing.pack_rows(df, ["g", "h"], "i", "t", size, block=1).collect():
+        got.setdefault(r.g, {})[r.chunk_id] = r.chunk_text
+    for g in {r[0] for r in rows}:
+        expected = chunking.pack_lines([t for _, t in sorted((i, t) for own, _, i, t, _ in rows if own == g)], size)
+        assert got.pop(g) == dict(enumerate(expected))
+    assert not got
+    assert packing.pack_rows(df.limit(0), ["g"], "i", "t", size).collect() == []
+
+
+def test_pack_rows_spreads_one_group_over_all_tasks(spark, tmp_path):
+    """A million lines of one group: read back in blocks, each by a task of its own."""
+    lines = spark.range(1_000_000, numPartitions=8).select(F.lit("g").alias("g"), "id", F.concat(F.lit("line "), F.col("id").cast("string"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int"))).alias("t"))
+    packed = packing.pack_rows(lines, ["g"], "id", "t", 1000)
+    packed.withColumn("task", F.spark_partition_id()).write.parquet(str(tmp_path / "packed"))
+    back = spark.read.parquet(str(tmp_path / "packed"))
+    tasks = back.groupBy("task").count().collect()
+    assert len(tasks) == 4 and max(r["count"] for r in tasks) < 0.5 * back.count()
+    expected = chunking.pack_lines((f"line {i}" + "x" * (i % 90) for i in range(1_000_000)), 1000)
+    assert back.orderBy("chunk_id").select("chunk_text").toPandas()["chunk_text"].tolist() == expected
+
+
 def test_unchanged_files_are_not_read_again(spark, tmp_path, monkeypatch):
     for name in ("a.txt", "b.txt"):
         (tmp_path / name).write_text(f"text of {name}")

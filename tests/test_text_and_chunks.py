@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shiori.functions import text as tx
-from shiori.operators import chunking
+from shiori.operators import chunking, packing
 from shiori.sources import formats
 from shiori.sources.formats import delimited, docx, html, markup, pdf
 
@@ -138,7 +138,7 @@ def test_merge_and_pack_rows(spark):
     rows = [(g, i, "x" * rng.choice((1, 50, 199, 200, 500))) for g in range(4) for i in range(30)]
     df = spark.createDataFrame(rows, "g int, i int, t string")
     merged = {(r.g, r.chunk_id): r.chunk_text for r in chunking.merge_short_rows(df, ["g"], "i", "t").collect()}
-    packed = {(r.g, r.chunk_id): r.chunk_text for r in chunking.pack_rows(df, ["g"], "i", "t", 600).collect()}
+    packed = {(r.g, r.chunk_id): r.chunk_text for r in packing.pack_rows(df, ["g"], "i", "t", 600).collect()}
     for g in range(4):
         own = [t for a, _, t in rows if a == g]
         assert [merged[g, k] for k in range(len([1 for a, _ in merged if a == g]))] == chunking.merge_short(own, 200)
