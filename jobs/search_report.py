@@ -58,7 +58,7 @@ class Settings:
 def run(spark: SparkSession, of: Settings) -> DataFrame:
     """Writes the day's report and returns its hits, read back."""
     day = of.day or today_utc().isoformat()
-    embedder = StaticEmbedder(of.model_dir) if of.model_dir else HashedEmbedder(of.hashed_dimensions)
+    embedder = StaticEmbedder.shipped(spark, of.model_dir) if of.model_dir else HashedEmbedder(of.hashed_dimensions)
     docs = spark.read.parquet(of.documents)
     docs = docs.filter(F.col(of.id_column).isNotNull()).select(F.concat(F.lit("documents/"), F.col(of.id_column).cast("string"), F.lit(".txt")).alias("source"), F.col(of.text_column).alias("text"))
     chunks = explode_chunks(docs, chunks_of(F.col("text")), ["source"]).withColumn("vector", embed(F.col("chunk_text"), embedder, "double"))

@@ -10,6 +10,7 @@ import urllib.request
 from pyspark.sql import SparkSession
 
 from shiori.config import Config
+from shiori.operators.embedding import MODEL_FILES
 
 
 def session() -> SparkSession:
@@ -19,7 +20,7 @@ def session() -> SparkSession:
 def download(base: str, folder: str) -> None:
     """Fetches the model's files that are missing; a file appears under its name when it is whole."""
     os.makedirs(folder, exist_ok=True)
-    for name in ("tokenizer.json", "model.safetensors"):
+    for name in MODEL_FILES:
         target = os.path.join(folder, name)
         if not os.path.exists(target):
             urllib.request.urlretrieve(f"{base.rstrip('/')}/{name}", target + ".tmp")
@@ -58,7 +59,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     store = Store(spark, config.db_path)
 
     def embedder():
-        return HashedEmbedder(args.hashed) if args.hashed else StaticEmbedder(config.model_dir)
+        return HashedEmbedder(args.hashed) if args.hashed else StaticEmbedder.shipped(spark, config.model_dir)
 
     if args.command == "add":
         done = ingest.update_files(spark, store, args.files, embedder())

@@ -16,11 +16,14 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from shiori.schema import DIMENSION
 
+MODEL_FILES = ("tokenizer.json", "model.safetensors")
+
 
 def bigrams(text: str) -> list[str]:
     low = text.lower()
@@ -72,14 +75,32 @@ def _static(folder: str) -> tuple:
 
 
 class StaticEmbedder:
+    """``folder``: where the model lies on every machine.  :meth:`shipped` brings it there."""
+
     def __init__(self, folder: str) -> None:
-        for name in ("tokenizer.json", "model.safetensors"):
+        for name in MODEL_FILES:
             if not os.path.isfile(os.path.join(folder, name)):
                 raise FileNotFoundError(f"{name} is missing in {folder}; run init first")
-        self.folder, self.dim = folder, DIMENSION
+        self.folder, self.name, self.dim = folder, "", DIMENSION
+
+    @classmethod
+    def shipped(cls, spark: SparkSession, uri: str) -> StaticEmbedder:
+        """A model in a folder of the driver or of any store: each machine fetches it once, when a task first asks.
+
+        Spark knows a shipped folder by its last name, so two models of a session need different ones.
+        """
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for name in MODEL_FILES:
+            if not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, name)):
+                raise FileNotFoundError(f"{name} is missing in {uri}; run init first")
+        spark.sparkContext.addFile(fs.makeQualified(at).toString(), recursive=True)
+        out = cls.__new__(cls)
+        out.folder, out.name, out.dim = "", at.getName(), DIMENSION
+        return out
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        tokenizer, weights = _static(self.folder)
+        tokenizer, weights = _static(self.folder or SparkFiles.get(self.name))
         out = np.zeros((len(texts), self.dim), np.float32)
         for i, text in enumerate(texts):
             ids = [t for t in tokenizer.encode(text or "").ids if t < len(weights)]

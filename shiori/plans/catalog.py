@@ -6,10 +6,9 @@ constants; scores are rounded to nine places.
 
 from __future__ import annotations
 
-import hashlib
 import io
 import json
-import os
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -25,7 +24,7 @@ from shiori.operators.index import ANALYZERS, by_term, corpus, found_in_chunks,
 from shiori.plans.oracle import ORACLE_SQL  # noqa: F401
 from shiori.schema import CHUNKS, DIMENSION, EXTENSIONS, POSTINGS
 from shiori.sources.formats import delimited, docx, html, markup
-from shiori.sources.staging import shared_folder, staged
+from shiori.sources.staging import put, release, shared_folder, staged
 from shiori.sources.store import Store
 from shiori.streaming.watch import changes_between, last_per_path
 
@@ -184,16 +183,31 @@ def md_sections(spark, sf_dir):
     return sections_of(spread(table(spark, sf_dir, "part").select("p_partkey", page.alias("md"))), "p_partkey", "md", markup.markdown_sections)
 
 
+#: Customers' keys of a delimited file.
+FILE_KEYS = 500
+
+
+def delimited_chunks(spark, sf_dir, delimiter: str) -> DataFrame:
+    """A delimited file for each nation and range of keys: its customers, names quoted, every seventh without a segment; its lines packed."""
+    name = F.concat(F.lit('"'), F.col("c_name"), F.lit(f'{delimiter} ""x"""'))
+    segment = F.when(F.col("c_custkey") % 7 == 0, F.lit("")).otherwise(F.col("c_mktsegment"))
+    line = F.concat_ws(delimiter, F.col("c_custkey").cast("string"), segment, name)
+    rows = table(spark, sf_dir, "customer").withColumn("file", F.floor(F.col("c_custkey") / FILE_KEYS) * 100 + F.col("c_nationkey"))
+    files = rows.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("l"))
+    head = F.lit("\ufeff" + delimiter.join(("key", "segment", "name")) + "\n")
+    files = files.select("file", F.concat(head, F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"))
+    cut = sections_of(spread(files), "file", "text", lambda t: [("", x) for x in delimited.chunks(t, delimiter, 200)])
+    return cut.select("file", F.col("section").alias("chunk_id"), F.col("body").alias("chunk_text"))
+
+
 @query
 def csv_chunks(spark, sf_dir):
-    """A CSV file for each nation: its customers, names quoted, every seventh without a segment; its lines packed."""
-    name = F.concat(F.lit('"'), F.col("c_name"), F.lit(', ""x"""'))
-    segment = F.when(F.col("c_custkey") % 7 == 0, F.lit("")).otherwise(F.col("c_mktsegment"))
-    line = F.concat_ws(",", F.col("c_custkey").cast("string"), name, segment)
-    files = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("line")))).alias("l"))
-    files = files.select("c_nationkey", F.concat(F.lit("﻿key,name,segment\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("csv"))
-    cut = sections_of(spread(files), "c_nationkey", "csv", lambda t: [("", x) for x in delimited.chunks(t, ",", 200)])
-    return cut.select("c_nationkey", F.col("section").alias("chunk_id"), F.col("body").alias("chunk_text"))
+    return delimited_chunks(spark, sf_dir, ",")
+
+
+@query
+def tsv_chunks(spark, sf_dir):
+    return delimited_chunks(spark, sf_dir, "\t")
 
 
 def docx_of(name: str) -> bytes:
@@ -298,28 +312,25 @@ def mean_pool(spark, sf_dir):
 WORDS = ("small", "cold", "widget")
 
 
-def made_up_model(folder: str) -> str:
-    """A static model: the weight of token r at position c is ((31 r + 7 c) mod 17 - 8) / 8."""
-    if not os.path.exists(os.path.join(folder, "model.safetensors")):
-        from tokenizers import Tokenizer, models, pre_tokenizers
-
-        os.makedirs(folder, exist_ok=True)
-        tokenizer = Tokenizer(models.WordLevel({w: i for i, w in enumerate(("[UNK]", *WORDS))}, unk_token="[UNK]"))
-        tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
-        tokenizer.save(os.path.join(folder, "tokenizer.json"))
-        r, c = np.arange(len(WORDS) + 1)[:, None], np.arange(DIMENSION)
-        weights = (((31 * r + 7 * c) % 17 - 8) / 8).astype("<f4").tobytes()
-        head = json.dumps({"embedding.weight": {"dtype": "F32", "shape": [len(WORDS) + 1, DIMENSION], "data_offsets": [0, len(weights)]}}).encode()
-        with open(os.path.join(folder, "model.tmp"), "wb") as f:
-            f.write(len(head).to_bytes(8, "little") + head + weights)
-        os.rename(os.path.join(folder, "model.tmp"), os.path.join(folder, "model.safetensors"))
+def made_up_model(spark: SparkSession) -> str:
+    """A static model in a new folder of the shared one: the weight of token r at position c is ((31 r + 7 c) mod 17 - 8) / 8."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tokenizer = Tokenizer(models.WordLevel({w: i for i, w in enumerate(("[UNK]", *WORDS))}, unk_token="[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
+    r, c = np.arange(len(WORDS) + 1)[:, None], np.arange(DIMENSION)
+    weights = (((31 * r + 7 * c) % 17 - 8) / 8).astype("<f4").tobytes()
+    head = json.dumps({"embedding.weight": {"dtype": "F32", "shape": [len(WORDS) + 1, DIMENSION], "data_offsets": [0, len(weights)]}}).encode()
+    folder = f"{shared_folder(spark)}/static-model-{uuid.uuid4().hex}"
+    put(spark, f"{folder}/tokenizer.json", tokenizer.to_str().encode())
+    put(spark, f"{folder}/model.safetensors", len(head).to_bytes(8, "little") + head + weights)
     return folder
 
 
 @query
 def static_embed(spark, sf_dir):
     """The parts' names by the static embedder: tokens looked up, averaged, scaled to length 1."""
-    model = embedding.StaticEmbedder(made_up_model(shared_folder(spark).removeprefix("file://") + "/static-model"))
+    model = embedding.StaticEmbedder.shipped(spark, made_up_model(spark))
     names = table(spark, sf_dir, "part").select("p_name").distinct()
     vectors = names.withColumn("v", embedding.embed(F.col("p_name"), model))
     return vectors.select("p_name", F.posexplode("v").alias("pos", "x")).select("p_name", F.col("pos").cast("long").alias("pos"), F.round(F.col("x").cast("double"), 3).alias("x"))
@@ -392,22 +403,17 @@ def hybrid_batch(spark, sf_dir):
 
 
 def stored_index(spark, sf_dir) -> Store:
-    """A store of the documents' chunks and postings, built once in the shared folder and found there again."""
-    path = f"{shared_folder(spark)}/search-store-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
-    store = Store(spark, path)
-    if not store.exists(CHUNKS):
-        chunks = staged(embedded_chunks(spark, sf_dir).select("source", F.col("source").alias("doc_name"), "vector", "chunk_id", "chunk_text"), "chunks")
-        store.publish({CHUNKS: chunks, POSTINGS: by_term(postings(chunks))})
+    """A new store of the documents' chunks and postings."""
+    store = Store(spark, f"{shared_folder(spark)}/search-store-{uuid.uuid4().hex}")
+    chunks = staged(embedded_chunks(spark, sf_dir).select("source", F.col("source").alias("doc_name"), "vector", "chunk_id", "chunk_text"), "chunks")
+    store.publish({CHUNKS: chunks, POSTINGS: by_term(postings(chunks))})
+    release(chunks)
     return store
 
 
 @query
 def stored_search(spark, sf_dir):
-    """The single search over a stored index: the query's terms are pushed down to the postings' files.
-
-    The store holds vectors as floats, so chunks that are nearly as near may change places; the
-    full-text leg, which this query returns, is the same.
-    """
+    """The single search over a stored index: the query's terms are pushed down to the postings' files."""
     store = stored_index(spark, sf_dir)
     terms = sorted(set(ANALYZERS["bigram"](TERM)))
     found = staged(found_in_postings(store.read(POSTINGS), terms), "found")
@@ -415,6 +421,13 @@ def stored_search(spark, sf_dir):
     return hits.select("source", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query
+def stored_hybrid(spark, sf_dir):
+    """All benchmark queries over a stored index, whose vectors are floats."""
+    hits = ingest.search_store(stored_index(spark, sf_dir), benchmark_queries(spark, sf_dir), embedding.HashedEmbedder(DIM), limit=LIMIT, k=RRF_K, window=WINDOW)
+    return hits.select("query_id", "source", "chunk_id", F.round("score", 9).alias("score"), "method", F.col("rank").cast("long").alias("rank"))
+
+
 @query
 def short_query(spark, sf_dir):
     """One character: no full-text leg, all hits are semantic; a one-character text has the zero vector."""

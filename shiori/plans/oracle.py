@@ -91,6 +91,38 @@ def _shown(x: str) -> str:
 PAGE_SECTIONS = _PAGE.format(heading=_shown("heading"), body=_shown("x"))
 PAGE_CHUNKS = CHUNKS.replace("SELECT doc_id, trim(text", "SELECT page_id * 10 + section AS doc_id, trim(body").replace("FROM documents", "FROM sections")
 
+DELIMITED = """
+WITH RECURSIVE l AS (
+  SELECT CAST(c_custkey // 500 * 100 + c_nationkey AS BIGINT) AS file, 'key: ' || c_custkey || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE ', segment: ' || c_mktsegment END || ', name: ' || c_name || '{delimiter} "x"' AS line,
+    row_number() OVER (PARTITION BY c_custkey // 500 * 100 + c_nationkey ORDER BY c_custkey) AS i FROM customer
+), f(file, i, chunk_id, size) AS (
+  SELECT file, i, CAST(0 AS BIGINT), length(line) FROM l WHERE i = 1
+  UNION ALL
+  SELECT l.file, l.i, CASE WHEN f.size + 1 + length(l.line) <= 200 THEN f.chunk_id ELSE f.chunk_id + 1 END, CASE WHEN f.size + 1 + length(l.line) <= 200 THEN f.size + 1 + length(l.line) ELSE length(l.line) END
+  FROM f JOIN l ON l.file = f.file AND l.i = f.i + 1
+)
+SELECT file, chunk_id, string_agg(line, chr(10) ORDER BY i) AS chunk_text FROM f JOIN l USING (file, i) GROUP BY ALL"""
+
+#: As _search, but for vectors that are stored as floats.
+FLOATS = """
+cf AS (SELECT source, chunk_id, d, CAST(x / norm AS FLOAT)::DOUBLE AS x FROM cv JOIN cn USING (source, chunk_id)),
+qf AS (SELECT query_id, d, CAST(x / norm AS FLOAT)::DOUBLE AS x FROM qv JOIN qn USING (query_id)),
+cs AS (SELECT source, chunk_id, sum(x * x) AS s FROM cf GROUP BY ALL),
+qs AS (SELECT query_id, sum(x * x) AS s FROM qf GROUP BY ALL),
+dots AS (SELECT query_id, source, chunk_id, sum(cf.x * qf.x) AS dot FROM qf JOIN cf USING (d) GROUP BY ALL),
+pairs AS (
+  SELECT q.query_id, c.source, c.chunk_id, round(-sqrt(greatest(coalesce(qs.s, 0) + coalesce(cs.s, 0) - 2 * coalesce(dot, 0), 0)), 9) AS score
+  FROM q CROSS JOIN c LEFT JOIN qs USING (query_id) LEFT JOIN cs USING (source, chunk_id) LEFT JOIN dots USING (query_id, source, chunk_id)
+),
+"""
+
+
+def _floats(sql: str) -> str:
+    """The search's CTEs with ``dots`` and ``pairs`` over floats."""
+    start, end = sql.index("dots AS ("), sql.index("vec AS (")
+    return sql[:start] + FLOATS.strip() + "\n" + sql[end:]
+
+
 ORACLE_SQL: dict[str, str] = {
     "html_sections": f"WITH {PAGE_SECTIONS} SELECT page_id, CAST(section AS BIGINT) AS section, heading, body FROM sections",
     "html_chunks": f"""
@@ -135,16 +167,8 @@ WITH s AS (
     {'h': '## Size', 'b': 'size ' || p_size || chr(10) || 'more' || chr(10) || chr(10) || 'code ' || p_name}] AS parts FROM part
 )
 SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CAST(i - 1 AS BIGINT) AS section, parts[i].h AS heading, parts[i].b AS body FROM (SELECT p_partkey, parts, unnest(range(1, 4)) AS i FROM s)""",
-    "csv_chunks": """
-WITH RECURSIVE l AS (
-  SELECT c_nationkey, 'key: ' || c_custkey || ', name: ' || c_name || ', "x"' || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE ', segment: ' || c_mktsegment END AS line, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer
-), f(c_nationkey, i, chunk_id, size) AS (
-  SELECT c_nationkey, i, CAST(0 AS BIGINT), length(line) FROM l WHERE i = 1
-  UNION ALL
-  SELECT l.c_nationkey, l.i, CASE WHEN f.size + 1 + length(l.line) <= 200 THEN f.chunk_id ELSE f.chunk_id + 1 END, CASE WHEN f.size + 1 + length(l.line) <= 200 THEN f.size + 1 + length(l.line) ELSE length(l.line) END
-  FROM f JOIN l ON l.c_nationkey = f.c_nationkey AND l.i = f.i + 1
-)
-SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, chunk_id, string_agg(line, chr(10) ORDER BY i) AS chunk_text FROM f JOIN l USING (c_nationkey, i) GROUP BY ALL""",
+    "csv_chunks": DELIMITED.format(delimiter=","),
+    "tsv_chunks": DELIMITED.format(delimiter="' || chr(9) || '"),
     "docx_sections": """
 WITH s AS (SELECT s_suppkey, [
   {'h': '', 'b': 'lead'}, {'h': '# ' || s_name, 'b': 'first ' || s_name || chr(10) || chr(10) || 'second'}, {'h': '## 見出し', 'b': 'third'}] AS parts FROM supplier)
@@ -188,6 +212,7 @@ m AS (SELECT p_name, pos, avg(((31 * id + 7 * pos) % 17 - 8) / 8.0::DOUBLE) AS m
 SELECT p_name, pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY p_name)), 3) AS x FROM m""",
     "fts_bm25_topk": f"WITH RECURSIVE {_search(ONE)} SELECT source, chunk_id, score, rank FROM fts",
     "stored_search": f"WITH RECURSIVE {_search(ONE)} SELECT source, chunk_id, score, rank FROM fts",
+    "stored_hybrid": f"WITH RECURSIVE {_floats(_search('SELECT item_id AS query_id, text AS query FROM benchmark'))} SELECT query_id, source, chunk_id, score, method, rank FROM fused",
     "rrf_fuse": """
 WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS r, 1 AS leg FROM part QUALIFY r < 50),
 b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS r, 2 AS leg FROM part QUALIFY r < 50),

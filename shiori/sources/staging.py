@@ -60,3 +60,11 @@ def sweep(spark: SparkSession, older_than_seconds: float) -> int:
     for path in old:
         fs.delete(path, True)
     return len(old)
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file of the shared folder, whatever its store."""
+    fs, at = _folder(spark, path)
+    stream = fs.create(at, False)
+    stream.write(bytearray(content))
+    stream.close()

@@ -70,3 +70,17 @@ def test_adjacent_text_takes_every_turn(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {(r.source, r.chunk_id): r.text for r in catalog.QUERIES["adjacent_text"](spark, str(tmp_path)).collect()}
     assert got == {(str(c), t): "\n".join(f"{c}.{n}" for n in range(max(t - 1, 0), min(t + 1, 4) + 1)) for c, t, _ in turns}
+
+
+def test_stored_search_reads_the_table_as_it_is(spark, tmp_path):
+    """Another table at the same path: its rows are found, not those of the run before."""
+    def put(first, mode):
+        rows = [(first + i, f"under the station {i} {'x' * i}") for i in range(8)]
+        spark.createDataFrame(rows, "doc_id long, text string").write.mode(mode).parquet(str(tmp_path / "documents.parquet"))
+        return {f"documents/{first + i}.txt" for i in range(8)}
+
+    for first in (0, 100):
+        known = put(first, "overwrite")
+        spark.catalog.clearCache()
+        got = {r.source for r in catalog.QUERIES["stored_search"](spark, str(tmp_path)).collect()}
+        assert len(got) == 5 and got <= known
