@@ -17,7 +17,7 @@ from shiori.operators.index import by_term, corpus, postings
 from shiori.schema import CHUNKS, HASHED, POSTINGS
 from shiori.sources.files import collect_files, expand_drop_paths, is_uri, read_files, with_content
 from shiori.sources.formats import chunks_of_file
-from shiori.sources.staging import staged
+from shiori.sources.staging import release, remove, staged
 from shiori.sources.store import Store
 
 log = logging.getLogger(__name__)
@@ -91,10 +91,17 @@ def update_files(spark: SparkSession, store: Store, paths: list[str], embedder,
     stored = store.read(HASHED, base) if not replace_all else store.read(HASHED, base).limit(0)
     # Hashes first: the contents of what is new or changed alone are read on, and by path, not through the join.
     classified = staged(classify(read_files(spark, files, remote), stored).filter(F.col("action") != UNCHANGED), "classified")
-    work = with_content(classified)
     path = f"{store.path}/_staging/{uuid.uuid4().hex}"
-    parsed(work).drop("content").write.parquet(path)
-    done = spark.read.parquet(path)
+    try:
+        parsed(with_content(classified)).drop("content").write.parquet(path)
+        return _publish_files(store, spark.read.parquet(path), base, embedder, today or today_utc(), analyzer, replace_all)
+    finally:
+        release(classified)
+        remove(spark, path)
+
+
+def _publish_files(store: Store, done: DataFrame, base: int, embedder, today: datetime.date, analyzer: str, replace_all: bool) -> Outcome:
+    """One version from the staged, parsed files."""
     failed = {r.source: r.failure for r in done.filter("failure is not null").select("source", "failure").toLocalIterator()}
     for source, why in failed.items():
         log.error("%s: %s", source, why)
@@ -104,7 +111,7 @@ def update_files(spark: SparkSession, store: Store, paths: list[str], embedder,
         return Outcome(0, failed)
     chunks = good.select("source", "doc_name", F.posexplode("chunks").alias("chunk_id", "chunk_text"))
     chunks = chunks.withColumn("vector", embed(F.col("chunk_text"), embedder))
-    add = {HASHED: meta_rows(good, F.lit(today or today_utc())), CHUNKS: chunks, POSTINGS: by_term(postings(chunks, analyzer))}
+    add = {HASHED: meta_rows(good, F.lit(today)), CHUNKS: chunks, POSTINGS: by_term(postings(chunks, analyzer))}
     gone = good.filter(F.col("action") == CHANGED).select("source")
     store.publish(add, None if replace_all else gone, (CHUNKS, HASHED, POSTINGS) if replace_all else (), base)
     return Outcome(count, failed)

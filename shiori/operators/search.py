@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from shiori.operators.embedding import embed
 from shiori.operators.index import ANALYZERS, found_in_chunks, found_in_postings
-from shiori.sources.staging import staged
+from shiori.sources.staging import release, staged
 
 #: Okapi BM25.
 K1, B = 1.2, 0.75
@@ -216,8 +216,12 @@ def hybrid(chunks: DataFrame, corpus: DataFrame, queries: DataFrame, embedder, *
             found = staged(found_in_chunks(chunks, terms, analyzer) if index is None else found_in_postings(index, terms), "found")
             legs.append((KEYWORD, full_text_leg(found, corpus, terms, asked, limit)))
         one = with_context(fuse(legs, limit, k), chunks, window)
-        one = one if only else staged(one, "hits")
+        if not only:  # else the result is lazy, and reads what was found
+            one = staged(one, "hits")
+            if terms:
+                release(found)
         out = one if out is None else out.unionByName(one)
+    release(told)
     if out is None:
         raise ValueError("no query")
     return out

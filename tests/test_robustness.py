@@ -1,7 +1,9 @@
 """Hostile and odd inputs of the readers, the command line, remote paths, many segments, blocks of queries."""
 
+import datetime
 import random
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -10,13 +12,14 @@ from pyspark.sql import functions as F
 from shiori import cli
 from shiori.operators import chunking, embedding, ingest, packing, search
 from shiori.operators.index import corpus, found_in_chunks, found_in_postings, postings
-from shiori.schema import CHUNKS, HASHED, POSTINGS
+from shiori.schema import CHUNKS, HASHED, META, POSTINGS
 from shiori.sources import files, store as stores
 from shiori.sources.formats import delimited, html, markup
 from shiori.sources.store import Store
 from shiori.streaming import watch
 
 EMBED = embedding.HashedEmbedder(1024)
+DAY = datetime.date(2022, 1, 8)
 
 
 def test_files_of_repeated_options_add_up():
@@ -126,16 +129,76 @@ def test_directories_of_a_store(spark, tmp_path):
     assert store.read(HASHED).count() == 2
 
 
-def test_many_segments_are_folded(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(stores, "MOST_SEGMENTS", 3)
+def meta(spark, *sources, text="x"):
+    return spark.createDataFrame([(s, s, DAY, DAY, text) for s in sources], META)
+
+
+def test_upkeep_is_not_part_of_a_publish(spark, tmp_path, monkeypatch):
+    """Publishes add segments; a fold leaves few, and the same rows; what was deleted stays so."""
+    monkeypatch.setattr(stores, "FOLD", 3)
+    store = Store(spark, str(tmp_path / "db"))
+    for i in range(7):
+        store.publish({HASHED: meta(spark, "same", f"own{i}", text=str(i))}, spark.createDataFrame([("same",)], "source string"))
+    store.publish(remove=spark.createDataFrame([("own2",)], "source string"))
+
+    def rows():
+        return sorted((r.source, r.file_hash) for r in store.read(HASHED).collect())
+
+    table = store.manifest()["tables"][HASHED]
+    expected = sorted([("same", "6"), *((f"own{i}", str(i)) for i in range(7) if i != 2)])
+    assert len(table["segments"]) == 7 and rows() == expected
+    assert store.fold() > 0 and store.fold() == 0
+    table = store.manifest()["tables"][HASHED]
+    assert len(table["segments"]) <= 3 and len(table["tombstones"]) <= 3 and rows() == expected
+    store.publish({HASHED: meta(spark, "own2", text="again")}, spark.createDataFrame([("own2",), ("same",)], "source string"))
+    expected = sorted([("own2", "again"), *((f"own{i}", str(i)) for i in range(7) if i != 2)])
+    assert rows() == expected
+    store.compact()
+    table = store.manifest()["tables"][HASHED]
+    assert len(table["segments"]) == 1 and not table["tombstones"] and rows() == expected
+
+
+def test_folding_rewrites_each_row_a_logarithm_of_times():
+    """A thousand publishes of ten rows, folded whenever it is due."""
+    parts, written, most = [], 0, 0
+    for _ in range(1000):
+        parts.append({"rows": 10})
+        while own := stores.due(parts):
+            rows = sum(p["rows"] for p in own)
+            parts = [p for p in parts if not any(p is o for o in own)] + [{"rows": rows}]
+            written += rows
+        most = max(most, len(parts))
+    assert sum(p["rows"] for p in parts) == 10_000
+    assert written <= 10_000 * 4 and most <= stores.FOLD * 5
+
+
+def test_concurrent_writers_lose_no_publish(spark, tmp_path):
+    stores_of = [Store(spark, str(tmp_path / "db")) for _ in range(20)]
+    with ThreadPoolExecutor(20) as pool:
+        versions = list(pool.map(lambda x: x[1].publish({HASHED: meta(spark, f"s{x[0]}")}, base=0), enumerate(stores_of)))
+    assert sorted(versions) == list(range(1, 21)) and stores_of[0].read(HASHED).count() == 20
+    # The same source from the same base: the second fails; a fold between does not matter.
+    store, base = stores_of[0], stores_of[0].version()
+    store.publish({HASHED: meta(spark, "s3", text="y")}, spark.createDataFrame([("s3",)], "source string"), base=base)
+    with pytest.raises(stores.Conflict):
+        store.publish(remove=spark.createDataFrame([("s3",)], "source string"), base=base)
+    base = store.version()
+    assert store.fold() > 0
+    store.publish(remove=spark.createDataFrame([("s4",)], "source string"), base=base)
+    assert {r.source: r.file_hash for r in store.read(HASHED).collect()} == {f"s{i}": "y" if i == 3 else "x" for i in range(20) if i != 4}
+
+
+def test_expire_keeps_pinned_versions(spark, tmp_path):
     store = Store(spark, str(tmp_path / "db"))
-    for i in range(6):
-        (tmp_path / "x.txt").write_text(f"text {i}")
-        ingest.update_files(spark, store, [str(tmp_path / "x.txt")], EMBED)
-        assert [r.chunk_text for r in store.read(CHUNKS).collect()] == [f"text {i}"]
-        assert len(store.manifest()["tables"][CHUNKS]["segments"]) <= 3
-    terms = [r.term for r in store.read(POSTINGS).filter(F.col("term") == "te").collect()]
-    assert terms == ["te"]
+    for i in range(4):
+        store.publish({HASHED: meta(spark, "a", text=str(i))}, spark.createDataFrame([("a",)], "source string"))
+    (tmp_path / "db" / "_staging" / "left").mkdir(parents=True)
+    store.compact()
+    assert store.expire(3600) == 0 and len(store.versions()) == 5
+    assert store.expire(-60, pinned=(2,)) >= 3
+    assert store.versions() == [2, 5] and not list((tmp_path / "db" / "_staging").iterdir())
+    assert [r.file_hash for r in store.read(HASHED, 2).collect()] == ["1"] and [r.file_hash for r in store.read(HASHED).collect()] == ["3"]
+    assert store.expire(-60) > 0 and store.versions() == [5] and store.read(HASHED).count() == 1
 
 
 def test_blocks_of_queries_change_nothing(spark, monkeypatch):
