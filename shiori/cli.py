@@ -1,4 +1,4 @@
-"""Commands: init, add, search, drop, list, reindex, status, watch."""
+"""Commands: init, add, search, drop, list, reindex, status, watch, retry, upkeep."""
 
 from __future__ import annotations
 
@@ -39,7 +39,9 @@ def parser() -> argparse.ArgumentParser:
     found.add_argument("--json", action="store_true")
     sub.add_parser("list", help="registered documents").add_argument("keyword", nargs="?")
     sub.add_parser("reindex", help="rebuild everything").add_argument("--dry-run", action="store_true")
-    sub.add_parser("status", help="tables of the store")
+    sub.add_parser("status", help="tables of the store, and changes that could not be applied")
+    sub.add_parser("retry", help="try the changes again that could not be applied")
+    sub.add_parser("upkeep", help="fold segments and delete old versions").add_argument("--keep-days", type=float, default=7.0)
     return p
 
 
@@ -54,6 +56,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     from shiori.operators.embedding import HashedEmbedder, StaticEmbedder
     from shiori.schema import HASHED
     from shiori.sources.store import Store
+    from shiori.streaming.watch import failures, retry, watch
 
     spark = spark or session()
     store = Store(spark, config.db_path)
@@ -70,6 +73,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(render.list_text(ingest.list_docs(store.read(HASHED), args.keyword, config.search_limit).collect()))
     elif args.command == "status":
         print(render.status_text(config.db_path, ingest.status(store)))
+        for r in failures(spark, os.path.join(config.db_path, "_watch", "failed")).orderBy("path").toLocalIterator():
+            print(f"not applied ({r.attempts} attempts): {r.kind} {r.path}: {r.error}")
+    elif args.command == "retry":
+        left = retry(store, embedder(), os.path.join(config.db_path, "_watch"))
+        print(f"{len(left)} change(s) still not applied.")
+    elif args.command == "upkeep":
+        print(f"Rewrote {store.fold()} row(s), deleted {store.expire(args.keep_days * 86400)} old folder(s).")
     elif args.command == "reindex":
         count = ingest.reindex(spark, store, None if args.dry_run else embedder(), dry_run=args.dry_run)
         if count and not args.dry_run:
@@ -79,8 +89,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         hits = ingest.search_store(store, asked, embedder(), limit=config.search_limit, k=config.search_rrf_k, window=config.search_adjacent_window)
         print(render.as_json(hits) if args.json else render.as_text(hits))
     else:
-        from shiori.streaming.watch import watch
-
         watch(spark, store, args.files, embedder(), os.path.join(config.db_path, "_watch")).awaitTermination()
     return 0
 

@@ -6,10 +6,14 @@ Hadoop's name or its own), so that another driver can go on from it; a batch is
 the difference of two snapshots, as rows (path, kind, seq).  Unlike
 the built-in file source it sees removals and changes in place.  A rename is a
 removal and an upsert in one batch; the removal of a directory removes each file.
+
+A change that fails costs no other: it goes to a ledger beside the checkpoint, is tried
+again by later batches and at the next start, and is listed by ``status``.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import logging
 import os
@@ -17,6 +21,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
@@ -31,6 +36,8 @@ SCHEMA = "path string, kind string, seq long"
 UPSERT, REMOVE = "upsert", "remove"
 #: Of a step of a batch that meets another writer.
 TRIES = 3
+#: Batches that try a change before it is left alone, and the name of the ledger that a retry leaves.
+ATTEMPTS, RETRIES = 5, -1
 
 
 def snapshot(dirs: list[str]) -> dict[str, list[int]]:
@@ -120,32 +127,111 @@ def last_per_path(changes: DataFrame, key: str = "path", kind: str = "kind", ord
     return changes.groupBy(key).agg(F.max_by(kind, order).alias(kind))
 
 
-def apply_changes(store: Store, embedder, changes: DataFrame) -> None:
+LEDGER = "path string, kind string, attempts int, error string"
+
+
+def failures(spark: SparkSession, ledger: str) -> DataFrame:
+    """What could not be applied (LEDGER), as the last batch has left it."""
+    try:
+        return spark.read.schema(LEDGER + ", batch long").parquet(ledger).drop("batch")
+    except AnalysisException as x:
+        if x.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
+def _attempt(paths: list[str], step) -> dict[str, str]:
+    """Runs a step on paths and tells which failed and why.
+
+    Where another writer has published the same sources, it is tried again.  Of other
+    failures the half that fails is looked for, down to single paths; if both halves
+    fail, what is wrong is not a path, and all have failed.
+    """
+    for left in reversed(range(TRIES)):
+        try:
+            return step(paths) or {}
+        except Conflict as x:
+            if not left:
+                return dict.fromkeys(paths, str(x))
+        except Exception as x:
+            log.exception("a batch of %d changes failed", len(paths))
+            why = f"{type(x).__name__}: {x}"[:2000]
+            break
+    if len(paths) == 1:
+        return {paths[0]: why}
+    halves = [paths[: len(paths) // 2], paths[len(paths) // 2 :]]
+    done = _attempt_half(halves[0], step)
+    if done is not None:
+        return done | _attempt(halves[1], step)
+    return dict.fromkeys(paths, why) if _attempt_half(halves[1], step) is None else _attempt(halves[0], step)
+
+
+def _attempt_half(paths: list[str], step) -> dict[str, str] | None:
+    """What failed of a half, or None if the step itself did."""
+    try:
+        return step(paths) or {}
+    except Exception:
+        return None
+
+
+def apply_changes(store: Store, embedder, changes: DataFrame, ledger: str | None = None, batch: int = 0) -> dict[str, str]:
     """Drops and upserts of one batch, by the same functions as the commands; a repeat changes nothing.
 
-    Where another writer has published meanwhile, a step is tried again; any other
-    failure is logged, and the watch goes on with the next batch.
+    What fails is written to ``ledger`` (a table, replaced by each batch) with its
+    error, and tried again by the batches after, ATTEMPTS times in all; then it stays
+    there until its file changes.  Returns the paths that failed now.
     """
-    last = last_per_path(changes).collect()  # one directory walk's worth, which the driver has listed itself
     spark = store.spark
-    removed, upserted = ([r.path for r in last if r.kind == k] for k in (REMOVE, UPSERT))
-    steps = [(removed, lambda: drop_files(spark, store, removed)), (upserted, lambda: update_files(spark, store, upserted, embedder))]
+    known = {r.path: r for r in failures(spark, ledger).collect()} if ledger else {}
+    # One directory walk's worth, which the driver has listed itself.
+    kinds = {p: r.kind for p, r in known.items() if r.attempts < ATTEMPTS} | {r.path: r.kind for r in last_per_path(changes).collect()}
+    tried = {p: known[p].attempts if p in known and known[p].attempts < ATTEMPTS else 0 for p in kinds}
+    removed, upserted = ([p for p, k in kinds.items() if k == kind] for kind in (REMOVE, UPSERT))
+    steps = [(removed, lambda paths: drop_files(spark, store, paths) and None), (upserted, lambda paths: update_files(spark, store, paths, embedder).failed)]
+    failed: dict[str, str] = {}
     for paths, step in steps:
-        for left in reversed(range(TRIES if paths else 0)):
-            try:
-                step()
-                break
-            except Conflict:
-                if not left:
-                    log.exception("other writers kept publishing; not applied: %s", paths)
-            except Exception:
-                log.exception("a batch of changes failed: %s", paths)
-                break
+        if paths:
+            failed |= _attempt(sorted(paths), step)
+    if ledger:
+        rows = [(p, r.kind, r.attempts, r.error) for p, r in known.items() if p not in kinds] + [(p, kinds.get(p, UPSERT), tried.get(p, 0) + 1, why) for p, why in failed.items()]
+        spark.createDataFrame(rows, LEDGER).coalesce(1).write.mode("overwrite").parquet(f"{ledger}/batch={batch}")
+        forget(spark, ledger, batch)
+    for path, why in sorted(failed.items()):
+        log.error("not applied: %s (%s)", path, why)
+    return failed
+
+
+def forget(spark: SparkSession, ledger: str, but: int) -> None:
+    """Deletes the ledgers of other batches."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.listStatus(at):
+        if f.getPath().getName() != f"batch={but}":
+            fs.delete(f.getPath(), True)
+
+
+def retry(store: Store, embedder, checkpoint: str) -> dict[str, str]:
+    """Tries what the ledger holds without waiting for another change."""
+    ledger = os.path.join(checkpoint, "failed")
+    if not failures(store.spark, ledger).head(1):
+        return {}
+    return apply_changes(store, embedder, store.spark.createDataFrame([], SCHEMA), ledger, RETRIES)
 
 
 def watch(spark: SparkSession, store: Store, dirs: list[str], embedder, checkpoint: str, *, initial: bool = False, once: bool = False, every: str = "2 seconds"):
-    """Starts the streaming query; ``once`` handles what has changed since the last run and ends."""
+    """Starts the streaming query; ``once`` handles what has changed since the last run and ends.
+
+    First what the last run could not apply is tried again.  After a batch the store is
+    folded, if that is due.
+    """
     spark.dataSource.register(DirectoryChanges)
+    retry(store, embedder, checkpoint)
+
+    def handle(rows: DataFrame, batch: int) -> None:
+        apply_changes(store, embedder, rows, os.path.join(checkpoint, "failed"), batch)
+        with contextlib.suppress(Conflict):  # another writer folds
+            store.fold()
+
     feed = spark.readStream.format("directory_changes").options(dirs=json.dumps(dirs), side=os.path.join(checkpoint, "snapshots"), initial=str(initial).lower()).load()
-    writer = feed.writeStream.option("checkpointLocation", os.path.join(checkpoint, "query")).foreachBatch(lambda df, _: apply_changes(store, embedder, df))
+    writer = feed.writeStream.option("checkpointLocation", os.path.join(checkpoint, "query")).foreachBatch(handle)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

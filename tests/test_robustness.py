@@ -230,25 +230,57 @@ def test_found_in_chunks_equals_found_in_postings(spark):
     assert rows(found_in_chunks(chunks, terms)) == rows(found_in_postings(postings(chunks), terms)) == [("a", 0, 3, [(0, 2)]), ("b", 0, 3, [(0, 1), (1, 1)])]
 
 
-def test_failing_batches_are_logged_and_passed_over(spark, tmp_path, caplog):
-    (tmp_path / "a.txt").write_text("text a")
-    store = Store(spark, str(tmp_path / "db"))
-
-    class Broken:
-        dim = 1024
+def choosy():
+    class Choosy(embedding.HashedEmbedder):
+        """Fails on some text."""
 
         def __call__(self, texts):
-            raise RuntimeError("no model")
-
-    def feed(kind):
-        return spark.createDataFrame([(str(tmp_path / "a.txt"), kind, 0)], watch.SCHEMA)
-
-    watch.apply_changes(store, Broken(), feed(watch.UPSERT))
-    assert "a batch of changes failed" in caplog.text and not store.exists(CHUNKS)
-    watch.apply_changes(store, EMBED, feed(watch.UPSERT))
-    assert store.read(CHUNKS).count() == 1
-    watch.apply_changes(store, EMBED, feed(watch.REMOVE))
-    assert store.read(CHUNKS).count() == 0
+            if any("boom" in (t or "") for t in texts):
+                raise RuntimeError("no model")
+            return embedding.HashedEmbedder(1024)(texts)
+
+    return Choosy(1024)
+
+
+def test_a_failing_change_costs_no_other_and_is_tried_again(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"{i}.txt").write_text("boom" if i == 3 else f"text {i}")
+    store, ledger = Store(spark, str(tmp_path / "db")), str(tmp_path / "ck" / "failed")
+
+    def feed(*paths, kind=watch.UPSERT):
+        return spark.createDataFrame([(str(tmp_path / p), kind, 0) for p in paths], watch.SCHEMA)
+
+    def told():
+        return {(r.path.rpartition("/")[2], r.kind, r.attempts) for r in watch.failures(spark, ledger).collect()}
+
+    assert told() == set()
+    failed = watch.apply_changes(store, choosy(), feed(*(f"{i}.txt" for i in range(5))), ledger, 0)
+    assert list(failed) == [str(tmp_path / "3.txt")] and "no model" in failed[str(tmp_path / "3.txt")]
+    assert told() == {("3.txt", "upsert", 1)} and store.read(HASHED).count() == 4
+    # Tried again with the next batch, whatever that brings.
+    watch.apply_changes(store, choosy(), feed("5.txt"), ledger, 1)
+    assert told() == {("3.txt", "upsert", 2)} and store.read(HASHED).count() == 5
+    watch.apply_changes(store, EMBED, feed("0.txt", kind=watch.REMOVE), ledger, 2)
+    assert told() == set() and {r.doc_name for r in store.read(HASHED).collect()} == {f"{i}.txt" for i in range(1, 6)}
+
+
+def test_a_batch_without_a_model_is_kept_and_retried(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setenv("DB_PATH", str(tmp_path / "db"))
+    monkeypatch.setattr(watch, "ATTEMPTS", 2)
+    (tmp_path / "a.txt").write_text("boom a")
+    (tmp_path / "b.txt").write_text("boom b")
+    store, checkpoint = Store(spark, str(tmp_path / "db")), str(tmp_path / "db" / "_watch")
+    rows = spark.createDataFrame([(str(tmp_path / n), watch.UPSERT, 0) for n in ("a.txt", "b.txt")], watch.SCHEMA)
+    ledger = f"{checkpoint}/failed"
+    assert len(watch.apply_changes(store, choosy(), rows, ledger, 0)) == 2
+    cli.main(["status"], spark)
+    assert capsys.readouterr().out.count("not applied (1 attempts): upsert") == 2
+    assert len(watch.retry(store, choosy(), checkpoint)) == 2
+    # Left alone after so many attempts, until the file changes.
+    assert watch.retry(store, EMBED, checkpoint) == {} and not store.exists(HASHED)
+    assert watch.apply_changes(store, EMBED, rows.limit(1), ledger, 1) == {}
+    assert store.read(HASHED).count() == 1 and watch.failures(spark, ledger).count() == 1
+    cli.main(["upkeep"], spark)
 
 
 def test_a_step_is_tried_again_after_another_writer(spark, tmp_path, monkeypatch):
