@@ -197,6 +197,25 @@ def with_context(hits: DataFrame, chunks: DataFrame, window: int) -> DataFrame:
     return joined.groupBy(*hits.columns).agg(F.array_join(F.transform(parts, lambda p: p["chunk_text"]), "\n").alias("text"))
 
 
+#: Chunks of a block of one source.
+CONTEXT_BLOCK = 1024
+
+
+def all_contexts(chunks: DataFrame, window: int, block: int = CONTEXT_BLOCK) -> DataFrame:
+    """(source, chunk_id, text): :func:`with_context` of every chunk, by one exchange.
+
+    Chunks are dealt by source and block of ids, those near an edge to the next block
+    too, and a range frame gathers each one's neighbours; no task holds a long source.
+    Chunk ids differ within a source; a null text is passed over.
+    """
+    home = F.floor(F.col("chunk_id") / block).cast("long")
+    near = F.array_distinct(F.transform(F.array(F.lit(-window), F.lit(0), F.lit(window)), lambda d: F.floor((F.col("chunk_id") + d) / block).cast("long")))
+    dealt = chunks.select("source", "chunk_id", "chunk_text", F.explode(near if window <= block else F.sequence(home - window // block - 1, home + window // block + 1)).alias("block"))
+    frame = Window.partitionBy("source", "block").orderBy("chunk_id").rangeBetween(-window, window)
+    told = dealt.withColumn("text", F.array_join(F.collect_list("chunk_text").over(frame), "\n"))
+    return told.filter(F.col("block") == home).select("source", "chunk_id", "text")
+
+
 def hybrid(chunks: DataFrame, corpus: DataFrame, queries: DataFrame, embedder, *, index: DataFrame | None = None, limit: int = 5, k: int = 60, window: int = 1, analyzer: str = "bigram", kind: str = "float") -> DataFrame:
     """Both legs cut at ``limit``, fused, cut again, with neighbouring text.
 

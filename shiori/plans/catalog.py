@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shiori.functions import text as tx
+from shiori.functions import tables, text as tx
 from shiori.operators import chunking, embedding, ingest, packing, render, search
 from shiori.operators.index import ANALYZERS, by_term, corpus, found_in_chunks, found_in_postings, postings
 from shiori.plans.oracle import ORACLE_SQL  # noqa: F401
 from shiori.schema import CHUNKS, DIMENSION, EXTENSIONS, POSTINGS
+from shiori.sources import listing
 from shiori.sources.formats import delimited, docx, html, markup
 from shiori.sources.staging import put, release, shared_folder, staged
 from shiori.sources.store import Store
@@ -140,6 +141,39 @@ def chunk_plain_text(spark, sf_dir):
     return document_chunks(spark, sf_dir)
 
 
+@query
+def sql_chunks(spark, sf_dir):
+    """The chunks of all documents, in SQL text alone."""
+    tables.register(spark)
+    return spark.sql("SELECT doc_id, chunk_id, chunk_text FROM {docs}, LATERAL chunks(text)", docs=spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def file_dispatch(spark, sf_dir):
+    """A file of its own kind for each supplier, written by Spark, listed and read by the executors, each by its reader."""
+    kinds = F.array(*map(F.lit, ("md", "adoc", "txt", "html", "csv", "exe")))
+    name = F.col("s_name")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", name, F.element_at(kinds, (F.col("s_suppkey") % 6 + 1).cast("int")).alias("ext"))
+    content = (
+        F.when(F.col("ext") == "md", F.concat(F.lit("# "), name, F.lit("\n\nbody *of* it\n"))).when(F.col("ext") == "adoc", F.concat(F.lit("== "), name, F.lit("\n\nbody\n")))
+        .when(F.col("ext") == "html", F.concat(F.lit("<h1>"), name, F.lit("</h1><p>body</p>"))).when(F.col("ext") == "csv", F.concat(F.lit("name,other\n"), name, F.lit(",x\n"))).otherwise(F.concat(F.lit("plain "), name))
+    )
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, ext, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fs, at, _ = listing.opened(f"{folder}/{key % 10}/{key}.{ext}")
+                fs.create_dir(at.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(at) as f:
+                    f.write(text.encode())
+            yield batch.select([0])
+
+    rows.select("s_suppkey", "ext", content.alias("text")).mapInArrow(write, rows.select("s_suppkey").schema).write.format("noop").mode("overwrite").save()
+    found = listing.document_files(spark, [folder], content=True)
+    return found.select("doc_name", "ext", "size", "file_hash", F.array_join("chunks", "|").alias("chunks"), "error")
+
+
 @query
 def merge_short(spark, sf_dir):
     return chunking.merge_short_rows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn", "text")
@@ -377,8 +411,7 @@ def turns_as_chunks(spark, sf_dir) -> DataFrame:
 @query
 def adjacent_text(spark, sf_dir):
     """The context of all turns."""
-    turns = turns_as_chunks(spark, sf_dir)
-    return search.with_context(turns.select("source", "chunk_id"), turns, WINDOW)
+    return search.all_contexts(turns_as_chunks(spark, sf_dir), WINDOW)
 
 
 def embedded_chunks(spark, sf_dir) -> DataFrame:

@@ -150,6 +150,16 @@ SELECT 'doc_chunk' AS name, count(*) AS row_count, 'source, doc_name, vector, ch
 UNION ALL SELECT 'doc_meta', count(*), 'source, doc_name, created, updated, file_hash' FROM ({STORED})""",
     "reindex_plan": f"SELECT source, doc_name, '2022-01-09' AS created, '2022-01-09' AS updated, file_hash FROM ({CURRENT}) WHERE source IN (SELECT source FROM ({STORED}))",
     "chunk_plain_text": f"WITH RECURSIVE {CHUNKS} SELECT * FROM chunks",
+    "sql_chunks": f"WITH RECURSIVE {CHUNKS} SELECT * FROM chunks",
+    "file_dispatch": """
+WITH s AS (SELECT *, ['md', 'adoc', 'txt', 'html', 'csv', 'exe'][s_suppkey % 6 + 1] AS ext FROM supplier),
+f AS (
+  SELECT s_suppkey, ext, CASE ext WHEN 'md' THEN '# ' || s_name || chr(10) || chr(10) || 'body *of* it' || chr(10) WHEN 'adoc' THEN '== ' || s_name || chr(10) || chr(10) || 'body' || chr(10) WHEN 'html' THEN '<h1>' || s_name || '</h1><p>body</p>'
+    WHEN 'csv' THEN 'name,other' || chr(10) || s_name || ',x' || chr(10) ELSE 'plain ' || s_name END AS raw,
+    CASE ext WHEN 'md' THEN '# ' || s_name || chr(10) || 'body of it' WHEN 'adoc' THEN '== ' || s_name || chr(10) || 'body' WHEN 'html' THEN s_name || chr(10) || 'body' WHEN 'csv' THEN 'name: ' || s_name || ', other: x' ELSE 'plain ' || s_name END AS chunks
+  FROM s WHERE ext <> 'exe'
+)
+SELECT s_suppkey || '.' || ext AS doc_name, ext, CAST(strlen(raw) AS BIGINT) AS size, sha256(raw) AS file_hash, chunks, CAST(NULL AS VARCHAR) AS error FROM f""",
     "merge_short": """
 WITH n AS (SELECT conv_id, turn, text, row_number() OVER w AS f FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 g AS (SELECT *, sum(CASE WHEN f = 1 OR length(text) >= 200 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS chunk_id FROM n)

@@ -84,3 +84,15 @@ def test_stored_search_reads_the_table_as_it_is(spark, tmp_path):
         spark.catalog.clearCache()
         got = {r.source for r in catalog.QUERIES["stored_search"](spark, str(tmp_path)).collect()}
         assert len(got) == 5 and got <= known
+
+
+@pytest.mark.parametrize("window", [0, 1, 3, 9])
+def test_all_contexts_over_blocks(spark, window):
+    """Gaps in the ids, edges of blocks, and a window longer than a block: as the join gives it; one exchange."""
+    rng = np.random.default_rng(3)
+    turns = [(s, int(c), f"{s}.{c}") for s in ("a", "b") for c in np.flatnonzero(rng.random(40) < 0.8)]
+    df = spark.createDataFrame(turns, "source string, chunk_id long, chunk_text string")
+    got = search.all_contexts(df, window, block=4)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    expected = search.with_context(df.select("source", "chunk_id"), df, window)
+    assert sorted(got.collect()) == sorted(expected.select("source", "chunk_id", "text").collect())
