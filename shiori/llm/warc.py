@@ -2,9 +2,14 @@
 
 :func:`write_warc` writes a record per row into archives in the shared folder;
 :func:`read_warc` cuts every archive into byte ranges.  A task scans its range
-for the gzip magic, accepts a candidate only if its first bytes decode to a WARC
-header, then walks member by member, and owns exactly the records that start in
-its range (it reads past its end to finish the last one).
+for the gzip magic, accepts a candidate only if it decodes to a WARC record, then
+walks member by member, and owns exactly the records that start in its range (it
+reads past its end to finish the last one).
+
+A record's payload may hold a stored member, which decodes as well.  So ranges are
+settled before they are read: each tells where its first member starts and its last
+one ends, and a range that does not begin where those before it end is walked again
+from there.  An archive of one range needs none of that.
 
 Lost executors: a task writes under a name that holds a fresh id and reports it;
 only reported archives are read, so retries and speculative copies leave no
@@ -29,8 +34,9 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from shiori.llm.common import new_path, release, written
+from shiori.llm.common import new_path, release, scratch, written
 
 #: Fixed values of the formats.
 GZIP_MAGIC = b"\x1f\x8b\x08"
@@ -138,7 +144,12 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
 
 
 def members(source, start: int, end: int) -> Iterator[bytes]:
-    """Decoded members of an open archive that start in [start, end).
+    """Decoded members of an open archive that start in [start, end)."""
+    return (raw for raw, _, _ in located(source, start, end))
+
+
+def located(source, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """:func:`members`, each with where it starts and ends.
 
     One chunk of the archive is held beside the member that is being decoded; a
     candidate that turns out false late is left by reading on from its second byte.
@@ -190,25 +201,70 @@ def members(source, start: int, end: int) -> Iterator[bytes]:
         if bad or not first.startswith(b"WARC/"):
             at, known = at + 1, False
             continue
-        yield b"".join(held)
-        at = place - len(decoder.unused_data)
-        known = False
+        stop = place - len(decoder.unused_data)
+        yield b"".join(held), at, stop
+        at, known = stop, False
         if reach(at):
             head = window[at - base : at - base + 3]
             known = (head if len(head) == 3 else source.read_at(3, at)) == GZIP_MAGIC
 
 
+def settled(ranges: DataFrame) -> DataFrame:
+    """``ranges`` (uri, start, end) with ``begin``: where the first member that belongs to each starts; a range without one is left out.
+
+    Members do not overlap, so a range goes on where the ranges before it have ended;
+    what begins elsewhere has taken a payload for a member (or passed over bytes that
+    are no member, and does so again).  A round walks the ranges that are wrong; each
+    range is one row of numbers in a written table.
+    """
+    schema = "uri string, start long, end long, begin long, first long, last long"
+    tasks = max(1, min(ranges.count(), 4 * int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, last = [], []
+            for r in batch.to_pylist():
+                found = None, None
+                if r["begin"] < r["end"]:
+                    fs, at = opened(r["uri"])
+                    with fs.open_input_file(at) as source:
+                        for _, a, b in located(source, r["begin"], r["end"]):
+                            found = a if found[0] is None else found[0], b
+                first.append(found[0])
+                last.append(found[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=[c.split()[0] for c in schema.split(", ")])
+
+    def walked(rows: DataFrame) -> DataFrame:
+        return rows.select("uri", "start", "end", F.col("begin").cast("long").alias("begin")).repartition(tasks).mapInArrow(survey, schema)
+
+    with scratch() as keep:
+        found = written(walked(ranges.withColumn("begin", F.col("start"))), "warc-ranges")
+        while True:
+            before = Window.partitionBy("uri").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+            told = found.withColumn("carry", F.max("last").over(before))
+            right = F.col("carry").isNull() | F.col("begin").eqNullSafe(F.col("carry")) | F.col("first").eqNullSafe(F.col("carry")) | (F.col("first").isNull() & (F.col("carry") >= F.col("end")))
+            wrong = written(told.filter(~right).select("uri", "start", "end", F.col("carry").alias("begin")), "warc-wrong")
+            if not wrong.head(1):
+                return keep(found).filter("first is not null").select("uri", "end", F.col("first").alias("begin"))
+            rest = found.join(wrong.select("uri", "start"), ["uri", "start"], "left_anti").select(*found.columns)
+            found = written(rest.unionByName(walked(wrong)), "warc-ranges")
+
+
 def read_warc(archives: DataFrame, *, split_bytes: int = 8 << 20) -> DataFrame:
     """Every record of the archives (columns ``uri`` and ``n_bytes``), split into byte ranges.
 
     Returns page_id, url, record_type, refers_to, payload (null for revisits),
     payload_bytes and payload_digest (of the payload read, or as a revisit states).
     """
-    ranges = archives.filter("n_bytes > 0").select(
-        "uri", F.explode(F.sequence(F.lit(0), F.col("n_bytes") - 1, F.lit(split_bytes))).alias("start")
-    ).withColumn("end", F.col("start") + split_bytes)
+    ranges = archives.filter("n_bytes > 0").select("uri", "n_bytes", F.explode(F.sequence(F.lit(0), F.col("n_bytes") - 1, F.lit(split_bytes))).alias("start"))
+    ranges = ranges.withColumn("end", F.col("start") + split_bytes).withColumn("begin", F.col("start"))
+    several = ranges.filter(F.col("n_bytes") > split_bytes)
+    count = ranges.count()
+    ranges = ranges.filter(F.col("n_bytes") <= split_bytes).select("uri", "end", "begin")
+    if several.head(1):
+        ranges = ranges.unionByName(settled(several.select("uri", "start", "end")))
     spark = archives.sparkSession
-    tasks = max(1, min(ranges.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = max(1, min(count, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     schema = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string"
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
 
@@ -222,7 +278,7 @@ def read_warc(archives: DataFrame, *, split_bytes: int = 8 << 20) -> DataFrame:
             for r in batch.to_pylist():
                 fs, at = opened(r["uri"])
                 with fs.open_input_file(at) as source:
-                    for raw in members(source, r["start"], r["end"]):
+                    for raw in members(source, r["begin"], r["end"]):
                         x = parse_record(raw)
                         f, payload = x["fields"], x["payload"]
                         revisit = f["warc-type"] == "revisit"

@@ -467,6 +467,26 @@ def test_warc_round_trip(spark):
     assert warc.archive_round_trip(pages(spark, [])).count() == 0
 
 
+def test_warc_records_inside_payloads(spark, tmp_path):
+    """A payload that holds a stored WARC member, at range sizes from 7 bytes up: no record is invented, none is lost."""
+    inner = warc.build_record(999, "http://in", b"inner " * 8, False, None)
+
+    def stored(page, payload):
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: http://x\r\nX-Page-Id: {page}\r\nContent-Length: {len(payload) + 4}\r\n\r\n".encode()
+        packer = zlib.compressobj(0, zlib.DEFLATED, 31)
+        return packer.compress(head + b"\r\n\r\n" + payload + b"\r\n\r\n") + packer.flush()
+
+    pad = bytes(random.Random(1).randrange(256) for _ in range(150))
+    raw = stored(0, b"zero") + stored(1, pad + inner + pad + inner + inner + pad) + stored(2, inner + pad) + b"no member" + stored(3, b"three")
+    (tmp_path / "a.warc.gz").write_bytes(raw)
+    (tmp_path / "b.warc.gz").write_bytes(stored(4, inner))
+    archives = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", len(raw)), (f"file://{tmp_path}/b.warc.gz", (tmp_path / "b.warc.gz").stat().st_size)], "uri string, n_bytes long")
+    for split in (7, 64, 333, len(raw)):
+        got = warc.read_warc(archives, split_bytes=split).collect()
+        assert sorted(r.page_id for r in got) == [0, 1, 2, 3, 4], split
+        assert {r.page_id: bytes(r.payload) for r in got}[2] == inner + pad
+
+
 def test_warc_false_magic_inside_members(tmp_path):
     """Gzip magic in stored bytes is no record; each record is owned by the range it starts in."""
     rng = random.Random(9)
