@@ -72,8 +72,9 @@ class Block:
     #: The names of its own element alone.
     own: frozenset
     linked: int
-    #: Number of the innermost container.
+    #: Number of the innermost container, and of the page's containers those that they stand in.
     group: int
+    parents: list[int]
 
 
 class _Stack:
@@ -85,7 +86,7 @@ class _Stack:
         self.at: dict[str, list[int]] = {name: [] for name in BLOCK}
         self.headings: list[int] = []
         self.counts: dict[str, int] = {}
-        self.groups = 0
+        self.parents = [0]
         self.seen: tuple[frozenset, frozenset] | None = None
 
     def push(self, name: str, attributes: str) -> None:
@@ -99,11 +100,10 @@ class _Stack:
         self.at[name].append(len(self.open))
         if name in HEADINGS:
             self.headings.append(len(self.open))
+        group = self.open[-1][2] if self.open else 0
         if name in CONTAINERS:
-            self.groups += 1
-            group = self.groups
-        else:
-            group = self.open[-1][2] if self.open else 0
+            self.parents.append(group)
+            group = len(self.parents) - 1
         self.open.append((name, found, group))
         for c in found:
             if c not in self.counts:
@@ -156,7 +156,7 @@ def leaf_blocks(html: str, known: frozenset | None = None) -> list[Block]:
             text = " ".join(text.split())
             if text:
                 own, found, group = stack.open[-1] if stack.open else ("", frozenset(), 0)
-                out.append(Block(text, own, *stack.context(), found, linked, group))
+                out.append(Block(text, own, *stack.context(), found, linked, group, stack.parents))
         linked = 0
 
     def tag_end(start: int) -> int:
@@ -240,31 +240,42 @@ def context_features(tag: str, ancestors: frozenset, names: frozenset, found: fr
     return own + [f"{n}<{inside}" for n in ("header", "footer", "section", "div", "aside") if inside and n in ancestors]
 
 
-def text_features(blocks: list[Block]) -> list[list[str]]:
-    """Of each block's text and of its place in the page."""
+def text_keys(blocks: list[Block]) -> list[tuple]:
+    """Of each block's text and of its place in the page: what its features hang on."""
     mass: dict[int, int] = {}
-    for b in blocks:
+    counts = [b.text.count(" ") + 1 for b in blocks]
+    for b, words in zip(blocks, counts, strict=True):
         if b.linked * 2 < len(b.text):
-            mass[b.group] = mass.get(b.group, 0) + b.text.count(" ") + 1
+            mass[b.group] = mass.get(b.group, 0) + words
+    # Words in a container and all that it holds, and then their share of the page's; an inner container has the higher number.
+    parents = blocks[0].parents if blocks else [0]
+    held = [mass.get(g, 0) for g in range(len(parents))]
+    for g in range(len(parents) - 1, 0, -1):
+        held[parents[g]] += held[g]
+    whole = max(1, held[0])
     out, titled = [], False
-    for b in blocks:
-        size, words = len(b.text), b.text.count(" ") + 1
-        own = [f"size={min(size.bit_length(), 11)}", f"words={min(words.bit_length(), 8)}", f"links={round(4 * min(1.0, b.linked / max(1, size)))}", f"mass={min(mass.get(b.group, 0).bit_length(), 9)}"]
-        if b.text[-1] in ".!?。！？…\"":
-            own.append("stop")
-        if b.text[0] == "©" or b.text[:9].lower() == "copyright":
-            own.append("sign")
-        if b.tag == "h1":
-            titled = True
-        elif titled:
-            own.append("titled")
-        out.append(own)
+    for b, words in zip(blocks, counts, strict=True):
+        text, size = b.text, len(b.text)
+        stop, sign = text[-1] in ".!?。！？…\"", text[0] == "©" or text[:9].lower() == "copyright"
+        inside = "article" if "article" in b.ancestors else "main" if "main" in b.ancestors else ""
+        links = round(4 * min(1.0, b.linked / size)) if b.linked else 0
+        own = mass.get(b.group, 0).bit_length()
+        out.append((min(size.bit_length(), 11), min(words.bit_length(), 8), links, min(own, 9), 8 * held[b.group] // whole, 8 * held[parents[b.group]] // whole, stop, sign, titled and b.tag != "h1", inside))
+        titled = titled or b.tag == "h1"
     return out
 
 
+def text_features(key: tuple) -> list[str]:
+    """The names of the features of a key."""
+    size, words, links, mass, held, around, stop, sign, titled, inside = key
+    own = [f"size={size}", f"words={words}", f"links={links}", f"mass={mass}", f"held={held}", f"around={around}"]
+    own += ["stop"] * stop + ["sign"] * sign + ["titled"] * titled
+    return own + [f"links={links}<{inside}"] * bool(inside)
+
+
 def features(blocks: list[Block]) -> list[list[str]]:
     """Names of each block's binary features."""
-    return [context_features(b.tag, b.ancestors, b.names, b.own) + own for b, own in zip(blocks, text_features(blocks), strict=True)]
+    return [context_features(b.tag, b.ancestors, b.names, b.own) + text_features(key) for b, key in zip(blocks, text_keys(blocks), strict=True)]
 
 
 @dataclass
@@ -278,13 +289,15 @@ class Crf:
         return frozenset(f[5:] for f in self.weights if f.startswith("name="))
 
     def scores(self, blocks: list[Block]) -> list[float]:
-        get, places = self.weights.get, {}
+        get, places, texts = self.weights.get, {}, {}
         out = []
-        for b, own in zip(blocks, text_features(blocks), strict=True):
+        for b, own in zip(blocks, text_keys(blocks), strict=True):
             key = b.tag, b.ancestors, b.names, b.own
             if key not in places:
                 places[key] = sum(get(f, 0.0) for f in context_features(*key))
-            out.append(places[key] + sum(get(f, 0.0) for f in own))
+            if own not in texts:
+                texts[own] = sum(get(f, 0.0) for f in text_features(own))
+            out.append(places[key] + texts[own])
         return out
 
     def decode(self, blocks: list[Block]) -> list[bool]:
@@ -306,7 +319,7 @@ class Crf:
         return labels[::-1]
 
 
-def train(pages: list[tuple[list[Block], list[bool]]], *, rounds: int = 150, l2: float = 1e-4, rate: float = 0.15) -> Crf:
+def train(pages: list[tuple[list[Block], list[bool]]], *, rounds: int = 250, l2: float = 1e-4, rate: float = 0.15) -> Crf:
     """Maximum likelihood with an L2 prior, on all labelled pages at once."""
     names: dict[str, int] = {}
     rows = [[[names.setdefault(f, len(names)) for f in fs] for fs in features(blocks)] for blocks, _ in pages]
@@ -367,7 +380,7 @@ PARTS = {
 PARTS = {k: v.split() for k, v in PARTS.items()}
 
 
-def labelled_pages(n: int = 700, seed: int = 7) -> list[tuple[list[Block], list[bool]]]:
+def labelled_pages(n: int = 1300, seed: int = 7) -> list[tuple[list[Block], list[bool]]]:
     """Seeded pages of many layouts; a block is text where it holds the mark that only articles are given."""
     rng = random.Random(seed)
     mark = ""
@@ -466,10 +479,40 @@ def labelled_pages(n: int = 700, seed: int = 7) -> list[tuple[list[Block], list[
             return f"<dl><dt>{m(2, False)}<dd>{m(8)}</dl>"
         return f"<div class='{noise()}'>{text}</div><section><h2>{m(3, False)}</h2><p>{m(30)}</p></section>"
 
+    def link_list() -> str:
+        """A list of links that is what the article tells."""
+        items = [f"<a href='/{i}'>{m(rng.randint(1, 9), chance(0.2))}</a>" for i in range(rng.randint(2, 12))]
+        about = f"{rng.choice((', ', ' - ', ' '))}{words(rng.randint(2, 12))}" if chance(0.3) else ""
+        tag = rng.choice(("ul", "ul", "ol"))
+        return f"<{tag}>" + "".join(f"<li>{x}{about}{'</li>' if chance(0.7) else ''}" for x in items) + f"</{tag}>"
+
+    def column() -> str:
+        """A name that tells of the place in the layout alone."""
+        return rng.choice(("wrap", "wrapper", "col", "col1", "col2", "col3", "column", "left", "right", "center", "inner", "outer", "box", "row", "cell", "grid", "layout", "container", "block", "a", "b", noise()))
+
+    def columns(content: str) -> str:
+        """The article in one column, and boilerplate in others, none of them named for what it holds."""
+        kind, head = rng.choice(("id", "class")), rng.choice(("h2", "h3", "h4", "p", "div"))
+        side = "".join(f"<{head}>{words(rng.randint(1, 3), False)}</{head}>{menu()}" if chance(0.7) else menu() for _ in range(rng.randint(1, 3)))
+        cells = [f"<div {kind}='{column()}'>{content}</div>", f"<div {kind}='{column()}'>{side}</div>"]
+        if chance(0.35):
+            cells.reverse()
+        if chance(0.2):
+            cells.insert(rng.randrange(3), f"<div {kind}='{column()}'>{menu()}</div>")
+        inner = "".join(cells)
+        return f"<div {kind}='{column()}'>{inner}</div>" if chance(0.7) else inner
+
     def article() -> str:
-        loose = chance(0.15)
+        loose, kind = chance(0.2), rng.random()
         parts = [paragraph(loose) for _ in range(rng.choice((1, 1, 2, 3, 5, 9, 14)))]
-        level = 1 if chance(0.85) else 2
+        if 0.7 <= kind < 0.82:  # beside other columns: an article of some length
+            parts += [paragraph(loose) for _ in range(3)]
+        if kind < 0.54 and chance(0.18):
+            for _ in range(rng.randint(1, 2)):
+                parts.insert(rng.randint(0, len(parts)), link_list())
+            if chance(0.25):
+                parts = [link_list()]
+        level = 1 if chance(0.8) else 2
         head = f"<h{level}>{m(rng.randint(1, 12), chance(0.4))}</h{level}>" if chance(0.88) else ""
         line = f"<{(tag := rng.choice(('p', 'div', 'address')))} class='{rng.choice(('byline', 'author', 'date', 'meta', noise()))}'>{m(rng.randint(2, 6), False)}</{tag}>" if chance(0.25) else ""
         if head and chance(0.2):
@@ -478,16 +521,17 @@ def labelled_pages(n: int = 700, seed: int = 7) -> list[tuple[list[Block], list[
             parts.insert(rng.randint(1, len(parts)), boiler(True))
         foot = f"<footer>{rng.choice((menu(), words(rng.randint(2, 9))))}</footer>" if chance(0.08) else ""
         content = head + line + "".join(parts) + foot
-        kind = rng.random()
-        if kind < 0.4:
+        if kind < 0.35:
             return f"<article>{content}</article>"
-        if kind < 0.5:
+        if kind < 0.45:
             return f"<main><article class='{noise()}'>{content}</article>{boiler() if chance(0.3) else ''}</main>"
-        if kind < 0.6:
+        if kind < 0.54:
             return f"<main>{content}</main>"
-        if kind < 0.78:
+        if kind < 0.7:
             return named(some(), "article", content)
-        if kind < 0.84:
+        if kind < 0.82:
+            return columns(content)
+        if kind < 0.86:
             return f'<div id="page"><section class="post">{content}</section></div>'
         if kind < 0.92:
             return f"<div id='{noise()}'>{content}</div>"
@@ -516,7 +560,7 @@ def labelled_pages(n: int = 700, seed: int = 7) -> list[tuple[list[Block], list[
 
 
 @functools.lru_cache(maxsize=2)
-def default_model(n: int = 700, seed: int = 7) -> Crf:
+def default_model(n: int = 1300, seed: int = 7) -> Crf:
     return train(labelled_pages(n, seed))
 
 

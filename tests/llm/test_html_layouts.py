@@ -105,15 +105,63 @@ PAGES = {
 }
 
 
+PAGES |= {
+    "columns": (
+        """<html><body><div id=wrap><div id=col1><h2>Post heading here</h2><div>The first thing that I want to tell you is that the garden is full of snails this year.</div>
+        <div>They came with the rain in May, and nobody knows how to make them leave again.</div></div>
+        <div id=col2><h4>Archive</h4><ul><li><a href="/5">May 2020</a></li><li><a href="/4">April 2020</a></li><li><a href="/3">March 2020</a></li></ul></div></div></body></html>""",
+        ["Post heading here", "The first thing that I want to tell you is that the garden is full of snails this year.", "They came with the rain in May, and nobody knows how to make them leave again."],
+    ),
+    "books": (
+        """<html><body><nav><a href="/">Home</a></nav><article><h1>Books to read in winter</h1><p>These are the books that we liked best this year, in no order.</p>
+        <ul><li><a href="/1">The first book of many</a></li><li><a href="/2">A house by the sea</a></li><li><a href="/3">Snow</a></li></ul><p>Tell us what you have read, and we will add it to the list.</p></article></body></html>""",
+        ["Books to read in winter", "These are the books that we liked best this year, in no order.", "The first book of many", "A house by the sea", "Snow", "Tell us what you have read, and we will add it to the list."],
+    ),
+    "links": (
+        """<html><body><header><a href="/">The pond</a></header><main><h1>Talks of the meeting</h1><p>All talks were recorded and can be seen here.</p><ul><li><a href="/1">How frogs sleep</a><li><a href="/2">Water and iron</a><li><a href="/3">What the heron saw</a></ul>
+        <p>The next meeting is in June.</p></main><footer>&copy; The pond society</footer></body></html>""",
+        ["Talks of the meeting", "All talks were recorded and can be seen here.", "How frogs sleep", "Water and iron", "What the heron saw", "The next meeting is in June."],
+    ),
+    "left column": (
+        """<html><body><div class="outer"><div class="left"><p>Topics</p><ul><li><a href="/a">Stones</a><li><a href="/b">Metals</a><li><a href="/c">Glass</a></ul></div>
+        <div class="right"><h1>How glass is cut</h1><p>A wheel of hard steel makes a fine line on the glass, and the glass then breaks along it.</p><p>The line must be drawn once only.</p></div></div><p>&copy; 2011 The workshop</p></body></html>""",
+        ["How glass is cut", "A wheel of hard steel makes a fine line on the glass, and the glass then breaks along it.", "The line must be drawn once only."],
+    ),
+    "forum": (
+        """<html><body><div id="top-bar"><a href="/l">Log in</a> <a href="/r">Register</a></div><div class="thread-title"><h1>My bike makes a noise</h1></div>
+        <div class="post-body"><p>When I ride uphill there is a noise from the back wheel, like a small bell.</p><p>It stops when I stop pedalling. What can it be?</p></div>
+        <div class="replies"><div class="reply"><p>Check the chain first, it may be dry.</p></div><div class="reply"><p>Mine did that too, it was the brake.</p></div></div><div class="footer-links"><a href="/h">Help</a></div></body></html>""",
+        ["My bike makes a noise", "When I ride uphill there is a noise from the back wheel, like a small bell.", "It stops when I stop pedalling. What can it be?"],
+    ),
+    "press": (
+        """<html><body><div class="cookie-consent"><p>This site uses cookies.</p><button>Fine</button></div><div role="main"><h1>Harbour to be widened</h1><p class="date">12 March 2018</p>
+        <p>The council has voted to widen the harbour so that larger ships can enter it at low tide.</p><p>Work begins in the autumn and will take three years.</p><p>For questions, call the office of the harbour master.</p></div>
+        <div class="social-share"><a href="#">Share</a></div><div class="related"><h3>More news</h3><a href="/1">Fish prices fall</a><a href="/2">New ferry</a></div></body></html>""",
+        ["Harbour to be widened", "12 March 2018", "The council has voted to widen the harbour so that larger ships can enter it at low tide.", "Work begins in the autumn and will take three years.", "For questions, call the office of the harbour master."],
+    ),
+    "glossary": (
+        """<html><body><nav class="breadcrumbs"><a href="/">Start</a> &gt; <a href="/g">Words</a></nav><article><h1>Words of the trade</h1><dl><dt>Adze<dd>A tool for shaping wood, like an axe with a turned blade.<dt>Bevel<dd>An edge that is not square.</dl></article>
+        <aside class="advert"><p>Learn the trade in ten weeks!</p></aside></body></html>""",
+        ["Words of the trade", "Adze", "A tool for shaping wood, like an axe with a turned blade.", "Bevel", "An edge that is not square."],
+    ),
+    "two boxes": (
+        """<html><body><div id=x7><div id=k1><h2>Rain in the hills</h2><div>It has rained in the hills for nine days, and the streams are higher than they have been in years.</div><div>Sheep were moved to the barns on Tuesday.</div></div>
+        <div id=k2><h4>Pages</h4><ul><li><a href="/a">About</a></li><li><a href="/m">Map</a></li></ul><h4>Friends</h4><ul><li><a href="/o">Other hills</a></li></ul></div></div></body></html>""",
+        ["Rain in the hills", "It has rained in the hills for nine days, and the streams are higher than they have been in years.", "Sheep were moved to the barns on Tuesday."],
+    ),
+}
+
+
 def test_hand_written_layouts():
     model, kept, found, wanted = html_crf.default_model(), 0, 0, 0
     report = []
     for name, (page, lines) in PAGES.items():
         got = html_crf.main_text(model, page).split("\n")
+        assert got != [""], name
         both = sum(min(got.count(x), lines.count(x)) for x in set(lines))
         report += [(name, "+", x) for x in got if x not in lines] + [(name, "-", x) for x in lines if x not in got]
         kept, found, wanted = kept + both, found + len(got), wanted + len(lines)
-    assert kept / wanted >= 0.95 and kept / found >= 0.95, report
+    assert kept / wanted >= 0.97 and kept / found >= 0.97, report
 
 
 @pytest.mark.parametrize("page,text", [
