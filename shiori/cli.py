@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="shiori", description=__doc__)
     p.add_argument("--hashed", type=int, metavar="DIM", help="embed by hashed bigrams of so many dimensions instead of a model")
     sub = p.add_subparsers(dest="command", required=True)
-    sub.add_parser("init", help="download the embedding model").add_argument("--url", required=True)
+    sub.add_parser("init", help="download the embedding model").add_argument("--url", default="", help="where its files are (by default MODEL_URL)")
     for name, text in (("add", "register files or directories"), ("drop", "remove files or directories"), ("watch", "follow directories")):
         sub.add_parser(name, help=text).add_argument("-f", "--file", "--files", dest="files", nargs="+", action="extend", required=True)
     found = sub.add_parser("search", help="hybrid search")
@@ -48,7 +48,9 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args, config = parser().parse_args(argv), Config.load()
     if args.command == "init":
-        download(args.url, config.model_dir)
+        if not (args.url or config.model_url):
+            parser().error("name the model's address: --url or MODEL_URL")
+        download(args.url or config.model_url, config.model_dir)
         print(f"Model ready at {config.model_dir}")
         return 0
 

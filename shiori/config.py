@@ -19,6 +19,8 @@ def cache_root() -> Path:
 class Config:
     db_path: str = field(default_factory=lambda: str(cache_root() / "db"))
     model_dir: str = field(default_factory=lambda: str(cache_root() / "model"))
+    #: Where ``init`` finds the model's files, if it is not told.
+    model_url: str = ""
     search_limit: int = 5
     search_rrf_k: int = 60
     search_adjacent_window: int = 1
@@ -40,6 +42,6 @@ class Config:
             return int(text) if text.isascii() and text.removeprefix("+").isdigit() else default
 
         return Config(
-            values.get("DB_PATH", base.db_path), values.get("MODEL_DIR", base.model_dir), number("SEARCH_LIMIT", base.search_limit), number("SEARCH_RRF_K", base.search_rrf_k),
+            values.get("DB_PATH", base.db_path), values.get("MODEL_DIR", base.model_dir), values.get("MODEL_URL", base.model_url), number("SEARCH_LIMIT", base.search_limit), number("SEARCH_RRF_K", base.search_rrf_k),
             number("SEARCH_ADJACENT_WINDOW", base.search_adjacent_window),
         )

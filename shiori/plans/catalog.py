@@ -22,7 +22,7 @@ from shiori.functions import tables, text as tx
 from shiori.operators import chunking, embedding, ingest, packing, render, search
 from shiori.operators.index import ANALYZERS, by_term, corpus, found_in_chunks, found_in_postings, postings
 from shiori.plans.oracle import ORACLE_SQL  # noqa: F401
-from shiori.schema import CHUNKS, DIMENSION, EXTENSIONS, POSTINGS
+from shiori.schema import CHUNKS, DIMENSION, EXTENSIONS, HASHED, POSTINGS
 from shiori.sources import listing
 from shiori.sources.formats import delimited, docx, html, markup
 from shiori.sources.staging import put, release, shared_folder, staged
@@ -461,6 +461,19 @@ def stored_hybrid(spark, sf_dir):
     return hits.select("query_id", "source", "chunk_id", F.round("score", 9).alias("score"), "method", F.col("rank").cast("long").alias("rank"))
 
 
+@query
+def store_reindex(spark, sf_dir):
+    """A store of the day before, emptied and filled by a rebuild in one version; then every third source is dropped and the store folded."""
+    store = Store(spark, f"{shared_folder(spark)}/reindexed-store-{uuid.uuid4().hex}")
+    store.publish({HASHED: stored(spark, sf_dir)})
+    known, day = store.read(HASHED), F.lit(NEXT_DAY).cast("date")
+    files = current(spark, sf_dir).join(known.select("source"), "source", "left_semi")
+    store.publish({HASHED: ingest.meta_rows(ingest.classify(files, known.limit(0)), day)}, truncate=(HASHED,))
+    store.publish(remove=table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select(source_of().alias("source")))
+    store.compact()
+    return told_days(store.read(HASHED))
+
+
 @query
 def short_query(spark, sf_dir):
     """One character: no full-text leg, all hits are semantic; a one-character text has the zero vector."""

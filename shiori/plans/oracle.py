@@ -149,6 +149,7 @@ WITH RECURSIVE {CHUNKS}
 SELECT 'doc_chunk' AS name, count(*) AS row_count, 'source, doc_name, vector, chunk_id, chunk_text' AS fields FROM chunks
 UNION ALL SELECT 'doc_meta', count(*), 'source, doc_name, created, updated, file_hash' FROM ({STORED})""",
     "reindex_plan": f"SELECT source, doc_name, '2022-01-09' AS created, '2022-01-09' AS updated, file_hash FROM ({CURRENT}) WHERE source IN (SELECT source FROM ({STORED}))",
+    "store_reindex": f"SELECT source, doc_name, '2022-01-09' AS created, '2022-01-09' AS updated, file_hash FROM ({CURRENT}) WHERE source IN (SELECT source FROM ({STORED})) AND doc_id % 3 <> 0",
     "chunk_plain_text": f"WITH RECURSIVE {CHUNKS} SELECT * FROM chunks",
     "sql_chunks": f"WITH RECURSIVE {CHUNKS} SELECT * FROM chunks",
     "file_dispatch": """

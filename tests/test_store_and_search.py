@@ -196,6 +196,37 @@ def test_cli(spark, tree, tmp_path, monkeypatch, capsys):
     assert Store(spark, str(tmp_path / "db")).read(HASHED).count() == 0
 
 
+def test_init_fetches_what_is_missing(monkeypatch, tmp_path, capsys):
+    source = tmp_path / "from"
+    source.mkdir()
+    for name in embedding.MODEL_FILES:
+        (source / name).write_text(f"whole {name}")
+    monkeypatch.setenv("MODEL_DIR", str(tmp_path / "model"))
+    monkeypatch.delenv("MODEL_URL", raising=False)
+    with pytest.raises(SystemExit):
+        cli.main(["init"])
+    monkeypatch.setenv("MODEL_URL", source.as_uri())
+    assert cli.main(["init"]) == 0
+    (source / "tokenizer.json").write_text("another")
+    assert cli.main(["init", "--url", source.as_uri() + "/"]) == 0
+    assert sorted(p.name for p in (tmp_path / "model").iterdir()) == sorted(embedding.MODEL_FILES)
+    assert (tmp_path / "model" / "tokenizer.json").read_text() == "whole tokenizer.json"
+
+
+def test_shipped_model(spark, tmp_path):
+    """The model's folder is fetched by the tasks; where it lies on the driver does not matter."""
+    from shiori.plans.catalog import made_up_model
+
+    with pytest.raises(FileNotFoundError):
+        embedding.StaticEmbedder.shipped(spark, str(tmp_path))
+    folder = made_up_model(spark)
+    model = embedding.StaticEmbedder.shipped(spark, folder)
+    df = spark.createDataFrame([("small cold",), ("",), (None,)], "t string")
+    got = [r.v for r in df.select(embedding.embed(F.col("t"), model).alias("v")).collect()]
+    own = embedding.StaticEmbedder(folder.removeprefix("file://"))(["small cold", "", None])
+    assert np.allclose(got, own) and np.linalg.norm(got[0]) == pytest.approx(1, abs=1e-5)
+
+
 def test_config(monkeypatch, tmp_path):
     (tmp_path / ".env").write_text("SEARCH_LIMIT=7\nSEARCH_RRF_K=x\n# no\nDB_PATH=~/db\n")
     for name in ("SEARCH_LIMIT", "SEARCH_RRF_K", "DB_PATH"):
