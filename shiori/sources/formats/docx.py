@@ -5,7 +5,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from xml.parsers import expat
+from collections.abc import Iterator
+from xml.etree import ElementTree
 
 from shiori.functions.text import trim
 
@@ -17,45 +18,33 @@ def heading_level(style: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
-class _Paragraphs:
-    """Local names only: whatever the namespace, ``p`` is a paragraph and ``t`` its text."""
+def local(name: str) -> str:
+    """A name without its namespace, which does not matter here."""
+    return name.rpartition("}")[2]
 
-    def __init__(self) -> None:
-        self.out: list[str] = []
-        self.text: list[str] = []
-        self.style: str | None = None
-        self.inside = self.shown = False
 
-    def start(self, name: str, attributes: dict) -> None:
-        local = name.rpartition(":")[2]
-        if local == "p":
-            self.text, self.style, self.inside = [], None, True
-        elif local == "t":
-            self.shown = True
-        elif local == "pStyle" and self.inside:
-            self.style = next((v for k, v in attributes.items() if k.rpartition(":")[2] == "val"), self.style)
+def inside(paragraph: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    """A paragraph's descendants, in order, but for those of paragraphs in it (text boxes)."""
+    left = list(reversed(paragraph))
+    while left:
+        element = left.pop()
+        if local(element.tag) != "p":
+            yield element
+            left += reversed(element)
 
-    def end(self, name: str) -> None:
-        local = name.rpartition(":")[2]
-        if local == "t":
-            self.shown = False
-        elif local == "p":
-            line, level = trim("".join(self.text)), heading_level(self.style)
-            if line:
-                self.out.append(f"{'#' * level} {line}" if level else line)
-            self.inside, self.shown, self.style = False, False, None
 
-    def data(self, text: str) -> None:
-        if self.shown:
-            self.text.append(text)
+def line_of(paragraph: ElementTree.Element) -> str:
+    """A paragraph's text, led by the marks of its style; empty without text."""
+    parts = list(inside(paragraph))
+    text = trim("".join(e.text or "" for e in parts if local(e.tag) == "t"))
+    styles = [v for e in parts if local(e.tag) == "pStyle" for k, v in e.attrib.items() if local(k) == "val"]
+    level = heading_level(styles[-1]) if styles else None
+    return f"{'#' * level} {text}" if level and text else text
 
 
 def markdown_of_xml(xml: str | bytes) -> str:
-    seen, parser = _Paragraphs(), expat.ParserCreate()
-    parser.buffer_text = True
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = seen.start, seen.end, seen.data
-    parser.Parse(xml, True)
-    return "".join(f"{p}\n\n" for p in seen.out)
+    lines = (line_of(e) for e in ElementTree.fromstring(xml).iter() if local(e.tag) == "p")
+    return "".join(f"{line}\n\n" for line in lines if line)
 
 
 def pseudo_markdown(content: bytes) -> str:

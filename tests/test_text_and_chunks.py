@@ -102,6 +102,12 @@ def test_delimited():
     assert chunking.pack_lines(["a" * 30, "b" * 30, "c" * 80, "d"], 61) == ["a" * 30 + "\n" + "b" * 30, "c" * 80, "d"]
 
 
+def test_docx_text_boxes_and_deep_runs():
+    """A paragraph inside another stands for itself; text lies at any depth; an empty heading is none."""
+    xml = '<d xmlns="x"><p><pPr><pStyle val="Heading2"/></pPr><r><ins><t>He</t></ins></r><box><p><r><t>in a box</t></r></p></box><r><t>ad</t></r></p><p><pPr><pStyle val="Heading1"/></pPr></p><p><r><t> </t><del>gone</del></r></p></d>'
+    assert docx.markdown_of_xml(xml) == "## Head\n\nin a box\n\n"
+
+
 def test_docx():
     assert [docx.heading_level(s) for s in ("Heading1", "heading 2", "見出し 1", "Normal", None, "Heading7")] == [1, 2, 1, None, None, None]
     xml = '<w:d xmlns:w="u"><w:p><w:pPr><w:pStyle w:val="見出し 1"/></w:pPr><w:r><w:t>はじめに</w:t></w:r></w:p><w:p><w:r><w:t>a &lt; b</w:t></w:r></w:p></w:d>'
