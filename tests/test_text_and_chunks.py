@@ -16,6 +16,7 @@ from shiori.sources.formats import delimited, docx, html, markup, pdf
 
 
 def test_chunk_fixtures():
+    # Small inputs and their results, which any engine of this kind must give.
     assert chunking.chunk_text("") == chunking.chunk_text("   ") == []
     assert chunking.chunk_text("短いテキスト") == ["短いテキスト"]
     parts = chunking.chunk_text("あ" * 900 + "。" + "い" * 900, 1000, 0, 0)
