@@ -93,9 +93,10 @@ def found_in_postings(index: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def corpus(chunks: DataFrame, analyzer: str = "bigram") -> DataFrame:
-    """One row: n (chunks) and avgdl (terms per chunk)."""
+    """One row: n (chunks) and avgdl (terms per chunk); a null text has none."""
+    low = F.coalesce(F.lower("chunk_text"), F.lit(""))
     if analyzer == "bigram":
-        length = F.greatest(F.length(F.lower("chunk_text")) - 1, F.lit(0))
+        length = F.greatest(F.length(low) - 1, F.lit(0))
     else:
-        length = F.regexp_count(F.lower("chunk_text"), F.lit(r"(?U)\w+"))
+        length = F.regexp_count(low, F.lit(r"(?U)\w+"))
     return chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(length.cast("double")), F.lit(0.0)).alias("avgdl"))

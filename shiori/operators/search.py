@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,6 +37,8 @@ QUERY_BLOCK, TERMS_BLOCK, ROWS = 4096, 200_000, 512
 DENSE, LISTED = 1 << 22, 1 << 22
 KEYWORD, SEMANTIC = 1, 2
 PLACES = 9
+#: Of a distance that is computed by products, against rounding: a share of the longest vector.
+SLACK = 1e-6
 
 
 def rrf(rank: Column, k: int) -> Column:
@@ -59,12 +62,25 @@ def terms_of(query: Column, analyzer: str = "bigram") -> Column:
     return F.when(F.length(query) >= MIN_QUERY, split(query)).otherwise(F.array().cast("array<string>"))
 
 
+def cut(ids: np.ndarray, i: np.ndarray, j: np.ndarray, score: np.ndarray, part: pa.RecordBatch, limit: int) -> pa.RecordBatch:
+    """SCORED, of pairs of a query (place ``i`` in ``ids``) and a row ``j`` of the batch: each query's best ``limit``, ties in order of source and chunk."""
+    many = np.bincount(i, minlength=len(ids))
+    if len(i) and many.max() > limit:
+        named = pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["s", "c"])
+        place = np.empty(part.num_rows, np.int64)
+        place[pc.sort_indices(named, [("s", "ascending"), ("c", "ascending")]).to_numpy()] = np.arange(part.num_rows)
+        order = np.lexsort((place[j], -score, i))
+        order = order[np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) < limit]
+        i, j, score = i[order], j[order], score[order]
+    return pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), part.column(0).take(pa.array(j)), part.column(1).take(pa.array(j)), pa.array(score)], names=["query_id", "source", "chunk_id", "score"])
+
+
 def best(ids: np.ndarray, score: np.ndarray, part: pa.RecordBatch, limit: int, above: float = -np.inf) -> pa.RecordBatch:
-    """Of a batch's scores (queries x rows): each query's best ``limit``, ties included."""
+    """Of a batch's scores (queries x rows): each query's best ``limit``."""
     keep = min(limit, score.shape[1])
     least = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
     i, j = np.nonzero((score >= least[:, None]) & (score > above))
-    return pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), part.column(0).take(pa.array(j)), part.column(1).take(pa.array(j)), pa.array(score[i, j])], names=["query_id", "source", "chunk_id", "score"])
+    return cut(ids, i, j, score[i, j], part, limit)
 
 
 SCORED = "query_id long, source string, chunk_id long, score double"
@@ -83,10 +99,17 @@ class Weights:
         self.avgdl = max(avgdl, 1e-12)
 
     def score(self, dl: np.ndarray, sizes: np.ndarray, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        """BM25 of queries x rows: the product of the rows' and the queries' sparse terms."""
-        rows, queries = len(dl), len(self.ids)
-        row = np.repeat(np.arange(rows), sizes)
-        part = self.idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / self.avgdl))
+        """BM25 of queries x rows, of rows of ``sizes`` terms each."""
+        row = np.repeat(np.arange(len(dl)), sizes)
+        return self.product(len(dl), row, at, self.parts(at, tf, dl[row]))
+
+    def parts(self, at: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        """What a term gives a row in which it stands ``tf`` times, of length ``dl``."""
+        return self.idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / self.avgdl))
+
+    def product(self, rows: int, row: np.ndarray, at: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """Queries x rows: the product of the rows' terms (``part`` at ``row`` and term ``at``) and the queries' sparse terms."""
+        queries = len(self.ids)
         used, where = np.unique(at, return_inverse=True)
         if max(rows, queries) * len(used) <= DENSE:
             a, b = np.zeros((len(used), rows)), np.zeros((len(used), queries))
@@ -134,6 +157,33 @@ def full_text_leg(found: DataFrame, corpus: DataFrame, terms: list[str], asked:
     return ranked(found.mapInArrow(near, SCORED), limit)
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    square = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
+    return np.sqrt(np.maximum(square, 0))
+
+
+def slack_of(q: np.ndarray, longest: float) -> float:
+    """By how much :func:`distances` may be off for vectors up to that length."""
+    return SLACK * (1 + longest + float(np.sqrt((q * q).sum(1)).max()))
+
+
+def near_pairs(q: np.ndarray, v: np.ndarray, limit: int, reach: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a query and a vector that may be among its nearest ``limit``, with distances of their differences, so that equal vectors are equally far."""
+    about = distances(q, v)
+    keep = min(limit, len(v))
+    last = np.partition(about, keep - 1, axis=1)[:, keep - 1]
+    i, j = np.nonzero(about <= np.minimum(last + 2 * slack, reach)[:, None])
+    far = np.empty(len(i))
+    for start in range(0, len(i), 16 * ROWS):
+        own = slice(start, start + 16 * ROWS)
+        far[own] = np.sqrt(((q[i[own]] - v[j[own]]) ** 2).sum(1))
+    return i, j, far
+
+
+def matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
 def vector_leg(chunks: DataFrame, ids: np.ndarray, vectors: np.ndarray, limit: int, vector: str = "vector") -> DataFrame:
     """Exact nearest chunks by L2 distance to a block of query vectors: (query_id, source, chunk_id, score = -distance, rank)."""
     shared = chunks.sparkSession.sparkContext.broadcast((ids, vectors.astype(np.float64)))
@@ -143,9 +193,9 @@ def vector_leg(chunks: DataFrame, ids: np.ndarray, vectors: np.ndarray, limit: i
         for batch in batches:
             for start in range(0, batch.num_rows, 2 * ROWS):
                 part = batch.slice(start, 2 * ROWS)
-                v = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                square = (q * q).sum(1)[:, None] + (v * v).sum(1) - 2 * q @ v.T
-                yield best(ids, -np.round(np.sqrt(np.maximum(square, 0)), PLACES), part, limit)
+                v = matrix(part.column(2), part.num_rows)
+                i, j, far = near_pairs(q, v, limit, np.full(len(ids), np.inf), slack_of(q, float(np.sqrt((v * v).sum(1).max()))))
+                yield cut(ids, i, j, -np.round(far, PLACES), part, limit)
 
     return ranked(chunks.select("source", "chunk_id", vector).mapInArrow(near, SCORED), limit)
 

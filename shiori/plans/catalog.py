@@ -20,7 +20,9 @@ from pyspark.sql.window import Window
 
 from shiori.functions import tables, text as tx
 from shiori.operators import chunking, embedding, ingest, packing, render, search
+from shiori.operators.blockmax import BlockIndex
 from shiori.operators.index import ANALYZERS, by_term, corpus, found_in_chunks, found_in_postings, postings
+from shiori.operators.pivots import Pivots
 from shiori.plans.oracle import ORACLE_SQL  # noqa: F401
 from shiori.schema import CHUNKS, DIMENSION, EXTENSIONS, HASHED, POSTINGS
 from shiori.sources import listing
@@ -333,6 +335,15 @@ def vector_topk(spark, sf_dir):
     return search.nearest(spread(vectors), queries, LIMIT).select("query_id", F.col("chunk_id").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
 
 
+@query
+def vector_pruned(spark, sf_dir):
+    """The same by a layout in cells of which those out of reach are passed over."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.lit("v").alias("source"), F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    laid = Pivots.lay_out(spread(vectors), f"{shared_folder(spark)}/laid-vectors-{uuid.uuid4().hex}")
+    queries = vectors.filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    return laid.nearest(queries, LIMIT).select("query_id", F.col("chunk_id").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
+
+
 @query
 def mean_pool(spark, sf_dir):
     """Mean of each label's vectors, L2-normalised, position by position."""
@@ -454,6 +465,15 @@ def stored_search(spark, sf_dir):
     return hits.select("source", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query
+def fts_blockmax(spark, sf_dir):
+    """The full-text leg of all benchmark queries over an index that passes over blocks."""
+    chunks = with_source(document_chunks(spark, sf_dir))
+    index = BlockIndex.build(chunks, f"{shared_folder(spark)}/block-index-{uuid.uuid4().hex}")
+    hits = index.top_k(benchmark_queries(spark, sf_dir), LIMIT)
+    return hits.select("query_id", "source", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query
 def stored_hybrid(spark, sf_dir):
     """All benchmark queries over a stored index, whose vectors are floats."""

@@ -123,6 +123,13 @@ def _floats(sql: str) -> str:
     return sql[:start] + FLOATS.strip() + "\n" + sql[end:]
 
 
+NEAREST = """
+WITH p AS (
+  SELECT q.vec_id AS query_id, v.vec_id, round(sqrt(greatest(list_dot_product(q.e, q.e) + list_dot_product(v.e, v.e) - 2 * list_dot_product(q.e, v.e), 0)), 9) AS d
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0) q, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v
+)
+SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) - 1 AS rank FROM p QUALIFY rank < 5"""
+
 ORACLE_SQL: dict[str, str] = {
     "html_sections": f"WITH {PAGE_SECTIONS} SELECT page_id, CAST(section AS BIGINT) AS section, heading, body FROM sections",
     "html_chunks": f"""
@@ -207,12 +214,8 @@ SELECT c_nationkey, chunk_id, string_agg(line, chr(10) ORDER BY i) AS chunk_text
 WITH s AS (SELECT doc_id, '  ' || replace(text, chr(10), ' ' || chr(9) || repeat(chr(10), 4) || ' ') || chr(12288) || chr(10) AS x FROM documents)
 SELECT doc_id, trim(regexp_replace(regexp_replace(x, '[\\t\\r\\f\\v \\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {WS}) AS html_text,
   trim(regexp_replace(x, '[ \\t]+', ' ', 'g'), {WS}) AS pdf_text FROM s""",
-    "vector_topk": """
-WITH p AS (
-  SELECT q.vec_id AS query_id, v.vec_id, round(sqrt(greatest(list_dot_product(q.e, q.e) + list_dot_product(v.e, v.e) - 2 * list_dot_product(q.e, v.e), 0)), 9) AS d
-  FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0) q, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v
-)
-SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) - 1 AS rank FROM p QUALIFY rank < 5""",
+    "vector_topk": NEAREST,
+    "vector_pruned": NEAREST,
     "mean_pool": """
 WITH m AS (SELECT label, i - 1 AS pos, avg(embedding[i]::DOUBLE) AS m FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL)
 SELECT label, CAST(pos AS BIGINT) AS pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS x FROM m""",
@@ -223,6 +226,7 @@ m AS (SELECT p_name, pos, avg(((31 * id + 7 * pos) % 17 - 8) / 8.0::DOUBLE) AS m
 SELECT p_name, pos, round(m / sqrt(sum(m * m) OVER (PARTITION BY p_name)), 3) AS x FROM m""",
     "fts_bm25_topk": f"WITH RECURSIVE {_search(ONE)} SELECT source, chunk_id, score, rank FROM fts",
     "stored_search": f"WITH RECURSIVE {_search(ONE)} SELECT source, chunk_id, score, rank FROM fts",
+    "fts_blockmax": f"WITH RECURSIVE {_search('SELECT item_id AS query_id, text AS query FROM benchmark')} SELECT query_id, source, chunk_id, score, rank FROM fts",
     "stored_hybrid": f"WITH RECURSIVE {_floats(_search('SELECT item_id AS query_id, text AS query FROM benchmark'))} SELECT query_id, source, chunk_id, score, method, rank FROM fused",
     "rrf_fuse": """
 WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS r, 1 AS leg FROM part QUALIFY r < 50),
