@@ -7,7 +7,8 @@ chunk of the block, whatever the corpus' mean length is by then; summed over a q
 terms they bound the block.  Blocks of the greatest bounds are scored first; their last
 of the best is a threshold, and only blocks whose bound reaches it are scored.  The
 heads of the rows (term, block, bounds) are read for all blocks of the query's terms,
-the positions and frequencies only for those that are scored.
+the positions and frequencies for those that are scored: pushed down to the files
+where these are PUSHED_BLOCKS at most, else by a join.
 """
 
 from __future__ import annotations
