@@ -1,10 +1,11 @@
 """Full-text search over stored postings that passes over blocks which cannot reach the best hits.
 
 Chunks are ordered by classes of length, then source, and cut into blocks, so that a
-block's chunks are alike; a term's postings in a block are one row, with the greatest term frequency and the least chunk length of that row.  BM25
-grows with the one and falls with the other, so these bound what the term gives any
-chunk of the block, whatever the corpus' mean length is by then; summed over a query's
-terms they bound the block.  Blocks of the greatest bounds are scored first; their last
+block's chunks are alike; a term's postings in a block are one row, with the greatest
+term frequency and the least chunk length of that row.  BM25 grows with the one and
+falls with the other, so these bound what the term gives any chunk of the block,
+whatever the corpus' mean length is by then; summed over a query's terms they bound the
+block.  Blocks of the greatest bounds are scored first; their last
 of the best is a threshold, and only blocks whose bound reaches it are scored.  The
 heads of the rows (term, block, bounds) are read for all blocks of the query's terms,
 the positions and frequencies for those that are scored: pushed down to the files
