@@ -12,6 +12,7 @@ import functools
 import hashlib
 import json
 import os
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from shiori.schema import DIMENSION
+from shiori.sources.staging import shared_folder
 
 MODEL_FILES = ("tokenizer.json", "model.safetensors")
 
@@ -57,11 +59,11 @@ class HashedEmbedder:
 
 
 @functools.lru_cache(maxsize=2)
-def _static(folder: str) -> tuple:
-    """Tokenizer and memory-mapped weights; needs tokenizer.json and model.safetensors."""
+def _static(prefix: str) -> tuple:
+    """Tokenizer and memory-mapped weights of the files tokenizer.json and model.safetensors, whose paths begin with ``prefix``."""
     from tokenizers import Tokenizer
 
-    path = os.path.join(folder, "model.safetensors")
+    path = prefix + "model.safetensors"
     with open(path, "rb") as f:
         size = int.from_bytes(f.read(8), "little")
         head = json.loads(f.read(size))
@@ -71,7 +73,7 @@ def _static(folder: str) -> tuple:
     if told["dtype"] != "F32" or dim != DIMENSION or end - start != rows * dim * 4:
         raise ValueError(f"embedding.weight must be float32 with {DIMENSION} columns")
     weights = np.memmap(path, "<f4", "r", 8 + size + start, (rows, dim))
-    return Tokenizer.from_file(os.path.join(folder, "tokenizer.json")), weights
+    return Tokenizer.from_file(prefix + "tokenizer.json"), weights
 
 
 class StaticEmbedder:
@@ -87,20 +89,34 @@ class StaticEmbedder:
     def shipped(cls, spark: SparkSession, uri: str) -> StaticEmbedder:
         """A model in a folder of the driver or of any store: each machine fetches it once, when a task first asks.
 
-        Spark knows a shipped folder by its last name, so two models of a session need different ones.
+        Spark ships files, and a local folder to a local master alone, and knows them by
+        their last name; so the files go under names made of where they lie and when they were written.
         """
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
-        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        jvm, at = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        fs = at.getFileSystem(conf)
+        at = fs.makeQualified(at)
+        told = [at.toString()]
         for name in MODEL_FILES:
-            if not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, name)):
+            if not fs.exists(jvm.org.apache.hadoop.fs.Path(at, name)):
                 raise FileNotFoundError(f"{name} is missing in {uri}; run init first")
-        spark.sparkContext.addFile(fs.makeQualified(at).toString(), recursive=True)
+            file = fs.getFileStatus(jvm.org.apache.hadoop.fs.Path(at, name))
+            told += [str(file.getLen()), str(file.getModificationTime())]
+        mark = hashlib.sha256("\n".join(told).encode()).hexdigest()[:16]
+        for name in MODEL_FILES:
+            to = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/model-{mark}-{name}")
+            held = to.getFileSystem(conf)
+            if not held.exists(to):
+                new = jvm.org.apache.hadoop.fs.Path(f"{to.toString()}-{uuid.uuid4().hex}")
+                jvm.org.apache.hadoop.fs.FileUtil.copy(fs, jvm.org.apache.hadoop.fs.Path(at, name), held, new, False, conf)
+                held.rename(new, to)
+            spark.sparkContext.addFile(held.makeQualified(to).toString())
         out = cls.__new__(cls)
-        out.folder, out.name, out.dim = "", at.getName(), DIMENSION
+        out.folder, out.name, out.dim = "", f"model-{mark}-", DIMENSION
         return out
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        tokenizer, weights = _static(self.folder or SparkFiles.get(self.name))
+        tokenizer, weights = _static(os.path.join(self.folder, "") if self.folder else SparkFiles.get(self.name))
         out = np.zeros((len(texts), self.dim), np.float32)
         for i, text in enumerate(texts):
             ids = [t for t in tokenizer.encode(text or "").ids if t < len(weights)]
