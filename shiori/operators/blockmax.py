@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,44 @@ PUSHED_BLOCKS = 2_000
 TOGETHER = 8
 CHUNKS = "block long, source array<string>, chunk_id array<long>, dl array<long>"
 POSTINGS = "term string, block long, n long, top_tf long, least_dl long, at array<int>, tf array<long>, dl array<long>"
-_TERMS = "array<struct<term: string, at: array<int>, tf: array<long>>>"
+#: Both, as they are cut: a row for each term of a block, and one without a term for its chunks, so that no row holds all terms of a block.
+WHOLE = f"{POSTINGS}, source array<string>, chunk_id array<long>"
+
+
+def _lists(sizes: np.ndarray, values: np.ndarray, kind: pa.DataType, of: np.ndarray | None = None) -> pa.ListArray:
+    """Lists of those sizes; null where ``of`` is false."""
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+    lists = pa.ListArray.from_arrays(offsets, pa.array(values, kind))
+    return lists if of is None else pc.if_else(pa.array(of), lists, pa.scalar(None, lists.type))
+
+
+def _rows(number: int, held: list[tuple], split: Callable[[str], list[str]]) -> pa.RecordBatch:
+    """WHOLE, of one block of chunks (source, chunk_id, text)."""
+    terms: dict[str, int] = {}
+    which, at, tf, lengths = [], [], [], []
+    for k, (_, _, text) in enumerate(held):
+        found = split(text or "")
+        lengths.append(len(found))
+        counts = Counter(found)
+        which += [terms.setdefault(t, len(terms)) for t in counts]
+        tf += counts.values()
+        at += [k] * len(counts)
+    which, at, tf, dl = (np.array(x, np.int64) for x in (which, at, tf, lengths))
+    order = np.argsort(which, kind="stable")
+    at, tf = at[order], tf[order]
+    n = np.bincount(which, minlength=len(terms))
+    first = np.cumsum(n) - n
+    # The chunks' row comes last: of no term, with the lengths of all.
+    sizes, ends = np.append(n, 0), np.append(n, len(dl))
+    top, least = (f.reduceat(x, first) if len(first) else np.zeros(0, np.int64) for f, x in ((np.maximum, tf), (np.minimum, dl[at])))
+    last = np.arange(len(n) + 1) == len(n)
+    named = np.where(last, len(held), 0)
+    columns = [
+        pa.array([*terms, None], pa.string()), pa.array(np.full(len(last), number), pa.int64()), pa.array(np.append(n, len(held)), pa.int64()), pa.array(np.append(top, 0), pa.int64()), pa.array(np.append(least, 0), pa.int64()),
+        _lists(sizes, at, pa.int32()), _lists(sizes, tf, pa.int64()), _lists(ends, np.concatenate((dl[at], dl)), pa.int64()),
+        _lists(named, [h[0] for h in held], pa.string(), last), _lists(named, [h[1] for h in held], pa.int64(), last),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "block", "n", "top_tf", "least_dl", "at", "tf", "dl", "source", "chunk_id"])
 
 
 def _in_blocks(table: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -67,38 +105,21 @@ class BlockIndex:
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number, held = TaskContext.get().partitionId() << 33, []
-
-            def row() -> pa.RecordBatch:
-                terms: dict[str, tuple[list, list]] = {}
-                lengths = []
-                for at, (_, _, text) in enumerate(held):
-                    found = split(text or "")
-                    lengths.append(len(found))
-                    for term, tf in Counter(found).items():
-                        own = terms.setdefault(term, ([], []))
-                        own[0].append(at)
-                        own[1].append(tf)
-                told = [{"term": t, "at": at, "tf": tf} for t, (at, tf) in sorted(terms.items())]
-                kind = pa.list_(pa.struct([("term", pa.string()), ("at", pa.list_(pa.int32())), ("tf", pa.list_(pa.int64()))]))
-                arrays = [pa.array([number], pa.int64()), pa.array([[h[0] for h in held]], pa.list_(pa.string())), pa.array([[h[1] for h in held]], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([told], kind)]
-                return pa.RecordBatch.from_arrays(arrays, names=["block", "source", "chunk_id", "dl", "terms"])
-
             for batch in batches:
-                for own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    held.append(own)
-                    if len(held) == block:
-                        yield row()
-                        number, held = number + 1, []
+                for start in range(0, batch.num_rows, block):
+                    for own in zip(*(c.to_pylist() for c in batch.slice(start, block).columns), strict=True):
+                        held.append(own)
+                        if len(held) == block:
+                            yield _rows(number, held, split)
+                            number, held = number + 1, []
             if held:
-                yield row()
+                yield _rows(number, held, split)
 
         whole = f"{path}/whole-{uuid.uuid4().hex}"
-        ordered.mapInArrow(cut, f"{CHUNKS}, terms {_TERMS}").write.parquet(whole)
-        cuts = spark.read.schema(f"{CHUNKS}, terms {_TERMS}").parquet(whole)
-        cuts.drop("terms").write.parquet(f"{path}/chunks")
-        each = cuts.select("block", F.col("dl").alias("lengths"), F.explode("terms").alias("t"))
-        dl = F.transform("t.at", lambda i: F.get("lengths", i))
-        rows = each.select(F.col("t.term").alias("term"), "block", F.size("t.at").cast("long").alias("n"), F.array_max("t.tf").alias("top_tf"), F.array_min(dl).alias("least_dl"), F.col("t.at").alias("at"), F.col("t.tf").alias("tf"), dl.alias("dl"))
+        ordered.mapInArrow(cut, WHOLE).write.parquet(whole)
+        cuts = spark.read.schema(WHOLE).parquet(whole)
+        cuts.filter("term is null").select("block", "source", "chunk_id", "dl").write.parquet(f"{path}/chunks")
+        rows = cuts.filter("term is not null").drop("source", "chunk_id")
         rows.repartitionByRange("term", F.pmod(F.xxhash64("block"), F.lit(salts))).sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
         remove(spark, whole)
         return cls(spark, path, analyzer)
@@ -135,29 +156,30 @@ class BlockIndex:
         scores are rounded, and those below ``least`` of the query are left out.
         """
         found = _in_blocks(self._of_terms(terms), asks).join(F.broadcast(numbers), "term").join(asks.select("block"), "block", "left_semi")
-        lists = found.groupBy("block").agg(F.collect_list(F.struct("t", "at", "tf", "dl")).alias("p"))
-        rows = lists.join(asks, "block").join(_in_blocks(self.chunks, asks).select("block", "source", "chunk_id"), "block")
+        # Lengths lie with the chunks; what is gathered by block is as narrow as can be.
+        lists = found.groupBy("block").agg(F.collect_list(F.struct("t", "at", F.col("tf").cast("array<int>").alias("tf"))).alias("p"))
+        rows = lists.join(asks, "block").join(_in_blocks(self.chunks, asks), "block")
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights = shared.value
             for batch in batches:
                 for start in range(0, batch.num_rows, TOGETHER):
                     some = batch.slice(start, TOGETHER)
-                    own, asking, source, chunk = some.columns
+                    own, asking, source, chunk, dl = some.columns
                     sizes = source.value_lengths().to_numpy()
                     first = np.cumsum(sizes) - sizes
-                    t, at, tf, dl = own.flatten().flatten()
+                    t, at, tf = own.flatten().flatten()
                     block = np.repeat(np.arange(some.num_rows), own.value_lengths().to_numpy())
                     many = at.value_lengths().to_numpy()
                     number, tf = np.repeat(t.to_numpy(), many), tf.flatten().to_numpy()
                     row = np.repeat(first[block], many) + at.flatten().to_numpy()
-                    score = np.round(weights.product(sizes.sum(), row, number, weights.parts(number, tf, dl.flatten().to_numpy())), PLACES)
+                    score = np.round(weights.product(sizes.sum(), row, number, weights.parts(number, tf, dl.flatten().to_numpy()[row])), PLACES)
                     asked = np.zeros((len(weights.ids), some.num_rows), bool)
                     asked[asking.flatten().to_numpy(), np.repeat(np.arange(some.num_rows), asking.value_lengths().to_numpy())] = True
                     part = pa.RecordBatch.from_arrays([source.flatten(), chunk.flatten()], names=["source", "chunk_id"])
                     yield best(weights.ids, np.where(np.repeat(asked, sizes, axis=1) & (score >= least[:, None]), score, 0.0), part, limit, 0.0)
 
-        return rows.select("p", "queries", "source", "chunk_id").mapInArrow(near, SCORED)
+        return rows.select("p", "queries", "source", "chunk_id", "dl").mapInArrow(near, SCORED)
 
     def top_k(self, queries: DataFrame, limit: int, first: int = FIRST, told: list | None = None) -> DataFrame:
         """(query_id, source, chunk_id, score, rank) of queries (query_id, query) by BM25 with OR semantics, as a scan of all chunks gives it.

@@ -136,3 +136,13 @@ def test_blocks_of_nothing(spark, tmp_path):
     told = spark.createDataFrame([(1, "some query"), (2, "")], "query_id long, query string")
     assert empty.top_k(told, 5).collect() == []
     assert empty.top_k(told.limit(0), 5).collect() == []
+
+
+def test_no_row_of_a_build_holds_all_terms_of_a_block(spark, tmp_path, monkeypatch):
+    """What is written on the way is read in batches of thousands of rows, so a row is a term's postings in a block, at most."""
+    monkeypatch.setattr(blockmax, "remove", lambda *a: None)
+    chunks = spark.createDataFrame([("s", i, f"words number {i} and {i * 7919}") for i in range(40)], "source string, chunk_id long, chunk_text string")
+    blockmax.BlockIndex.build(chunks, str(tmp_path / "index"), block=16)
+    whole = spark.read.parquet(f"{next((tmp_path / 'index').glob('whole-*'))}")
+    assert not any("struct" in kind for _, kind in whole.dtypes)
+    assert all(max(len(x) for x in r if isinstance(x, list)) <= 16 for r in whole.collect()) and whole.filter("term is not null").count() > 100
