@@ -9,9 +9,9 @@ the cut, if that would not advance).  A chunk that is itself shorter than
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +20,8 @@ from shiori.functions.text import trim
 from shiori.schema import CHUNK_OVERLAP, CHUNK_SIZE, MIN_CHUNK
 
 MARKS = "。！？"
+#: Texts that are Python objects at once.
+PART = 256
 
 
 def cut_length(window: str) -> int:
@@ -68,13 +70,18 @@ def chunk_sections(sections: Iterable[tuple[str, str]], size: int = CHUNK_SIZE,
 def chunks_of(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, least: int = MIN_CHUNK) -> Column:
     """``array<string>`` of a text's chunks (null: none)."""
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunk_text(t, size, overlap, least) if isinstance(t, str) else [])
+    @F.arrow_udf("array<string>")
+    def split(texts: pa.Array) -> pa.Array:
+        return by_parts(texts, lambda part: pa.array([chunk_text(t, size, overlap, least) if t else [] for t in part], pa.list_(pa.string())))
 
     return split(text)
 
 
+def by_parts(texts: pa.Array, made: Callable[[list[str | None]], pa.Array], rows: int = PART) -> pa.Array:
+    """``made`` of a batch's texts, a few of them as Python objects at a time."""
+    return pa.concat_arrays([made(texts.slice(at, rows).to_pylist()) for at in range(0, max(1, len(texts)), rows)])
+
+
 def explode_chunks(df: DataFrame, chunks: Column, keys: list[str]) -> DataFrame:
     """A row per chunk: keys, chunk_id (dense from 0) and chunk_text."""
     return df.select(*keys, F.posexplode(chunks).alias("chunk_id", "chunk_text")).withColumn("chunk_id", F.col("chunk_id").cast("long"))

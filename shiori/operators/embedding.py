@@ -13,14 +13,14 @@ import hashlib
 import json
 import os
 import uuid
-from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from shiori.operators.chunking import by_parts
 from shiori.schema import DIMENSION
 from shiori.sources.staging import shared_folder
 
@@ -32,6 +32,21 @@ def bigrams(text: str) -> list[str]:
     return [low[i : i + 2] for i in range(len(low) - 1)]
 
 
+def bigram_counts(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct bigrams of texts in order, how many texts hold each, and bigram by bigram which (by place) and how often; and the texts' numbers of bigrams."""
+    low = [(t or "").lower() for t in texts]
+    points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    sizes = np.array([len(t) for t in low], np.int64)
+    row = np.repeat(np.arange(len(low)), sizes)
+    inside = row[1:] == row[:-1]
+    # Two code points of 21 bits and the text's place: one number to sort.
+    keys, tf = np.unique(((points[:-1] << 21 | points[1:]) * len(low) + row[:-1])[inside], return_counts=True)
+    pair, at = keys // max(1, len(low)), keys % max(1, len(low))
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    n = np.diff(np.append(first, len(pair)))
+    return [chr(x >> 21) + chr(x & 0x1FFFFF) for x in pair[first].tolist()], n, at, tf, np.maximum(sizes - 1, 0)
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1; zero rows stay."""
     norms = np.sqrt((rows * rows).sum(axis=-1, keepdims=True))
@@ -51,11 +66,9 @@ class HashedEmbedder:
         self.dim = dim
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for i, text in enumerate(texts):
-            for gram, n in Counter(bigrams(text or "")).items():
-                out[i, _slot(gram, self.dim)] += n
-        return unit(out)
+        grams, n, at, tf, _ = bigram_counts(texts)
+        slots = np.array([_slot(g, self.dim) for g in grams], np.int64)
+        return unit(np.bincount(at * self.dim + np.repeat(slots, n), tf, len(texts) * self.dim).reshape(len(texts), self.dim))
 
 
 @functools.lru_cache(maxsize=2)
@@ -127,10 +140,16 @@ class StaticEmbedder:
 
 def embed(text: Column, embedder, kind: str = "float") -> Column:
     """``array<kind>`` of unit vectors, in Arrow batches."""
+    of = {"float": pa.float32(), "double": pa.float64()}[kind]
+
+    def vectors(texts: list[str | None]) -> pa.Array:
+        found = embedder(texts)
+        offsets = np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()).cast(of, safe=False))
 
-    @F.pandas_udf(f"array<{kind}>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(embedder(texts.tolist())), index=texts.index, dtype=object)
+    @F.arrow_udf(f"array<{kind}>")
+    def run(texts: pa.Array) -> pa.Array:
+        return by_parts(texts, vectors)
 
     return run(text)
 

@@ -4,13 +4,14 @@ import io
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shiori.functions import text as tx
-from shiori.operators import chunking, packing
+from shiori.operators import chunking, embedding, packing
 from shiori.sources import formats
 from shiori.sources.formats import delimited, docx, html, markup, pdf
 
@@ -156,3 +157,19 @@ def test_chunks_column(spark):
     df = spark.createDataFrame([(1, "あ" * 900 + "。" + "い" * 1900), (2, None), (3, " ")], "k int, t string")
     got = chunking.explode_chunks(df, chunking.chunks_of(F.col("t")), ["k"]).orderBy("k", "chunk_id").collect()
     assert [(r.k, r.chunk_id, len(r.chunk_text)) for r in got] == [(1, 0, 1053), (1, 1, 1000), (1, 2, 1000), (1, 3, 200)]
+
+
+class Few:
+    """An embedder that takes no more texts than a part."""
+
+    def __call__(self, texts):
+        if len(texts) > chunking.PART:
+            raise MemoryError(len(texts))
+        return np.ones((len(texts), 2))
+
+
+def test_a_batch_is_cut_and_embedded_in_parts(spark):
+    n = 2 * chunking.PART + 7
+    df = spark.range(n, numPartitions=1).select("id", F.concat(F.lit("text "), "id").alias("t"))
+    got = df.select("id", embedding.embed(F.col("t"), Few()).alias("v"), chunking.chunks_of(F.col("t")).alias("c")).collect()
+    assert len(got) == n and all(r.v == [1.0, 1.0] and r.c == [f"text {r.id}"] for r in got)
