@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiori.operators.embedding import bigrams
+from shiori.operators.embedding import bigram_counts, bigrams
 
 _WORD = re.compile(r"\w+")
 
@@ -18,6 +20,8 @@ _WORD = re.compile(r"\w+")
 ANALYZERS = {"bigram": bigrams, "word": lambda text: _WORD.findall(text.lower())}
 #: So many terms are pushed down to the postings' files.
 PUSHED_TERMS = 2_000
+#: Chunks whose postings are shuffled together.
+GROUP = 512
 #: Of chunks that hold any of some numbered terms: which (``at``), how often (``tf``), and the chunk's length (``dl``).
 FOUND = "source string, chunk_id long, dl long, at array<int>, tf array<int>"
 
@@ -46,6 +50,39 @@ def postings(chunks: DataFrame, analyzer: str = "bigram") -> DataFrame:
     return chunks.select("source", "chunk_id", "chunk_text").mapInArrow(count, schema)
 
 
+def _grouped(texts: list[str | None], analyzer: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of at most GROUP texts: their terms in order, how many texts hold each, and term by term which (by place) and how often; and the texts' lengths."""
+    if analyzer != "bigram":
+        found = [ANALYZERS[analyzer](t or "") for t in texts]
+        told = sorted((t, at, n) for at, own in enumerate(found) for t, n in Counter(own).items())
+        terms, which = np.unique(np.array([t for t, _, _ in told], object), return_inverse=True) if told else ([], np.zeros(0, np.int64))
+        return list(terms), np.bincount(which, minlength=len(terms)), np.array([at for _, at, _ in told], np.int64), np.array([n for _, _, n in told], np.int64), np.array([len(x) for x in found], np.int64)
+    return bigram_counts(texts)
+
+
+def stored_postings(chunks: DataFrame, analyzer: str = "bigram", salts: int = 8) -> DataFrame:
+    """:func:`postings` as they are stored: hot terms over several files, each file sorted by term.
+
+    A row for each term of GROUP chunks is shuffled and sorted, and told apart after
+    that; a row a posting would cost many times as much.  Terms are dealt by hash: to
+    deal them by range, all chunks would be read twice.
+    """
+    schema = "term string, salt int, source array<string>, chunk_id array<long>, tf array<int>, dl array<int>"
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches, GROUP):
+            terms, n, at, tf, dl = _grouped(part.column(2).to_pylist(), analyzer)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+            place = pa.array(at, pa.int64())
+            salt = zlib.crc32(f"{part.column(0)[0]}/{part.column(1)[0]}".encode("utf-8", "replace")) % salts if part.num_rows else 0
+            lists = [part.column(0).take(place), part.column(1).take(place), pa.array(tf, pa.int32()), pa.array(dl[at], pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(np.full(len(terms), salt), pa.int32()), *(pa.ListArray.from_arrays(offsets, x) for x in lists)], names=["term", "salt", "source", "chunk_id", "tf", "dl"])
+
+    grouped = chunks.select("source", F.col("chunk_id").cast("long").alias("chunk_id"), "chunk_text").mapInArrow(group, schema)
+    dealt = grouped.repartition("term", "salt").sortWithinPartitions("term")
+    return dealt.select("term", F.inline(F.arrays_zip("source", "chunk_id", "tf", "dl"))).select("term", "source", "chunk_id", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
+
+
 def by_term(found: DataFrame, salts: int = 8) -> DataFrame:
     """Postings as they are stored: dealt by ranges of the term and sorted, so that few files hold a term; hot terms spread over ranges by source."""
     salt = F.pmod(F.xxhash64("source"), F.lit(salts))
@@ -80,13 +117,17 @@ def found_in_chunks(chunks: DataFrame, terms: list[str], analyzer: str = "bigram
     return chunks.select("source", "chunk_id", "chunk_text").mapInArrow(count, FOUND)
 
 
-def found_in_postings(index: DataFrame, terms: list[str]) -> DataFrame:
-    """FOUND, from postings: those of the terms alone are read and brought together by chunk."""
-    spark = index.sparkSession
+def terms_in(index: DataFrame, terms: list[str]) -> DataFrame:
+    """The terms' postings, with the term's number (``at``); few terms are pushed down to the files."""
     if len(terms) <= PUSHED_TERMS:
         index = index.filter(F.col("term").isin(terms))
-    numbers = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, at int")
-    mine = index.join(F.broadcast(numbers), "term")
+    numbers = index.sparkSession.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, at int")
+    return index.join(F.broadcast(numbers), "term")
+
+
+def found_in_postings(index: DataFrame, terms: list[str]) -> DataFrame:
+    """FOUND, from postings: those of the terms alone are read and brought together by chunk."""
+    mine = terms_in(index, terms)
     pairs = F.collect_list(F.struct("at", F.col("tf").cast("int").alias("tf")))
     rows = mine.groupBy("source", "chunk_id").agg(F.first("dl").alias("dl"), pairs.alias("p"))
     return rows.select("source", "chunk_id", "dl", F.col("p.at").alias("at"), F.col("p.tf").alias("tf"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shiori.operators import search
 from shiori.operators.embedding import embed
-from shiori.operators.index import by_term, corpus, postings
+from shiori.operators.index import corpus, stored_postings
 from shiori.schema import CHUNKS, HASHED, POSTINGS
 from shiori.sources.files import collect_files, expand_drop_paths, is_uri, read_files, with_content
 from shiori.sources.formats import chunks_of_file
@@ -111,7 +111,7 @@ def _publish_files(store: Store, done: DataFrame, base: int, embedder, today: da
         return Outcome(0, failed)
     chunks = good.select("source", "doc_name", F.posexplode("chunks").alias("chunk_id", "chunk_text"))
     chunks = chunks.withColumn("vector", embed(F.col("chunk_text"), embedder))
-    add = {HASHED: meta_rows(good, F.lit(today)), CHUNKS: chunks, POSTINGS: by_term(postings(chunks, analyzer))}
+    add = {HASHED: meta_rows(good, F.lit(today)), CHUNKS: chunks, POSTINGS: stored_postings(chunks, analyzer)}
     gone = good.filter(F.col("action") == CHANGED).select("source")
     store.publish(add, None if replace_all else gone, (CHUNKS, HASHED, POSTINGS) if replace_all else (), base)
     return Outcome(count, failed)
