@@ -68,7 +68,8 @@ class HashedEmbedder:
     def __call__(self, texts: list[str]) -> np.ndarray:
         grams, n, at, tf, _ = bigram_counts(texts)
         slots = np.array([_slot(g, self.dim) for g in grams], np.int64)
-        return unit(np.bincount(at * self.dim + np.repeat(slots, n), tf, len(texts) * self.dim).reshape(len(texts), self.dim))
+        out = np.bincount(at * self.dim + np.repeat(slots, n), tf, len(texts) * self.dim).astype(np.float64)  # of nothing, it is of whole numbers
+        return unit(out.reshape(len(texts), self.dim))
 
 
 @functools.lru_cache(maxsize=2)

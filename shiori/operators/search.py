@@ -16,15 +16,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shiori.operators.chunking import by_parts
 from shiori.operators.embedding import embed
-from shiori.operators.index import ANALYZERS, found_in_chunks, found_in_postings
+from shiori.operators.index import ANALYZERS, found_in_chunks, found_in_postings, terms_in
 from shiori.sources.staging import release, staged
 
 #: Okapi BM25.
@@ -35,6 +35,8 @@ MIN_QUERY = 2
 QUERY_BLOCK, TERMS_BLOCK, ROWS = 4096, 200_000, 512
 #: Entries of a dense matrix at most, and pairs that are listed at once.
 DENSE, LISTED = 1 << 22, 1 << 22
+#: Postings that cost as much to bring together by chunk as the chunk's text to be read and counted.
+SCAN = 32
 KEYWORD, SEMANTIC = 1, 2
 PLACES = 9
 #: Of a distance that is computed by products, against rounding: a share of the longest vector.
@@ -55,9 +57,9 @@ def ranked(scored: DataFrame, limit: int) -> DataFrame:
 def terms_of(query: Column, analyzer: str = "bigram") -> Column:
     """``array<string>``: distinct terms of a query that is long enough."""
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sorted(set(ANALYZERS[analyzer](t))) if isinstance(t, str) else [])
+    @F.arrow_udf("array<string>")
+    def split(texts: pa.Array) -> pa.Array:
+        return by_parts(texts, lambda part: pa.array([sorted(set(ANALYZERS[analyzer](t))) if t is not None else [] for t in part], pa.list_(pa.string())))
 
     return F.when(F.length(query) >= MIN_QUERY, split(query)).otherwise(F.array().cast("array<string>"))
 
@@ -266,12 +268,17 @@ def all_contexts(chunks: DataFrame, window: int, block: int = CONTEXT_BLOCK) ->
     return told.filter(F.col("block") == home).select("source", "chunk_id", "text")
 
 
+def _saves(index: DataFrame, terms: list[str], corpus: DataFrame) -> bool:
+    """Whether the terms' postings are so few that bringing them together costs less than a look at the texts."""
+    return terms_in(index, terms).count() <= SCAN * corpus.select("n").first()[0]
+
+
 def hybrid(chunks: DataFrame, corpus: DataFrame, queries: DataFrame, embedder, *, index: DataFrame | None = None, limit: int = 5, k: int = 60, window: int = 1, analyzer: str = "bigram", kind: str = "float") -> DataFrame:
     """Both legs cut at ``limit``, fused, cut again, with neighbouring text.
 
     ``chunks``: source, chunk_id, chunk_text, vector.  ``index``: their postings;
-    without them the chunks' texts are scanned for the queries' terms, once for a
-    block of queries.  Vectors and terms of the queries are made by the executors.
+    without them, or where those of a block's terms are more than SCAN a chunk, the
+    chunks' texts are scanned for the queries' terms, once for a block of queries.  Vectors and terms of the queries are made by the executors.
     """
     told = queries.select(F.col("query_id").cast("long").alias("query_id"), F.coalesce("query", F.lit("")).alias("query"))
     told = staged(told.withColumn("vector", embed(F.col("query"), embedder, kind)).withColumn("terms", terms_of(F.col("query"), analyzer)), "queries")
@@ -282,7 +289,7 @@ def hybrid(chunks: DataFrame, corpus: DataFrame, queries: DataFrame, embedder, *
         asked = [(r.query_id, number[t]) for r in rows for t in r.terms]
         legs = [(SEMANTIC, vector_leg(chunks, np.array([r.query_id for r in rows]), np.array([r.vector for r in rows], np.float64), limit))]
         if terms:
-            found = staged(found_in_chunks(chunks, terms, analyzer) if index is None else found_in_postings(index, terms), "found")
+            found = staged(found_in_postings(index, terms) if index is not None and _saves(index, terms, corpus) else found_in_chunks(chunks, terms, analyzer), "found")
             legs.append((KEYWORD, full_text_leg(found, corpus, terms, asked, limit)))
         one = with_context(fuse(legs, limit, k), chunks, window)
         if not only:  # else the result is lazy, and reads what was found

@@ -159,17 +159,15 @@ def test_chunks_column(spark):
     assert [(r.k, r.chunk_id, len(r.chunk_text)) for r in got] == [(1, 0, 1053), (1, 1, 1000), (1, 2, 1000), (1, 3, 200)]
 
 
-class Few:
-    """An embedder that takes no more texts than a part."""
+def test_a_batch_is_cut_and_embedded_in_parts(spark):
+    most = chunking.PART
 
-    def __call__(self, texts):
-        if len(texts) > chunking.PART:
+    def few(texts):
+        if len(texts) > most:
             raise MemoryError(len(texts))
         return np.ones((len(texts), 2))
 
-
-def test_a_batch_is_cut_and_embedded_in_parts(spark):
-    n = 2 * chunking.PART + 7
+    n = 2 * most + 7
     df = spark.range(n, numPartitions=1).select("id", F.concat(F.lit("text "), "id").alias("t"))
-    got = df.select("id", embedding.embed(F.col("t"), Few()).alias("v"), chunking.chunks_of(F.col("t")).alias("c")).collect()
+    got = df.select("id", embedding.embed(F.col("t"), few).alias("v"), chunking.chunks_of(F.col("t")).alias("c")).collect()
     assert len(got) == n and all(r.v == [1.0, 1.0] and r.c == [f"text {r.id}"] for r in got)
