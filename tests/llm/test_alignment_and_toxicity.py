@@ -240,3 +240,66 @@ def test_toxicity_gradients():
     net = toxicity.train(texts, toxic, ToxicSpec(buckets=1 << 12, word_dropout=0.0, feature_dropout=0.0, steps=2000))
     z = net.logits([t for _, t, _ in rows])
     assert np.mean((z > 0) == (toxic > 0)) > 0.98
+
+
+def test_toxicity_learns_from_all_labels(spark):
+    """Far more labelled rows than a shard holds: each is trained on or sets thresholds, whatever the partitions."""
+    spec = ToxicSpec(labelled_rows=30, language_texts=5, buckets=1 << 12, epochs=2, steps=1, rounds=2)
+    rows, labels = labelled(700, seed=3)
+    table = spark.createDataFrame([*labels, labels[5]], "doc_id long, toxic int")
+    df = docs(spark, [*rows, rows[5], rows[6]])
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", toxicity.unit_hash(spec.seed, df.doc_id).alias("h")).collect()}
+    outside = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    learned = [t for i, t, _ in outside if hashes[i] % 4]
+    net = toxicity.fit(df, table, spec)
+    # Words are those of all texts that are trained on.
+    seen = Counter(r for t in learned for r in set(toxicity.words(t, spec.buckets)[0].ravel().tolist()))
+    assert set(np.flatnonzero(net.table.any(axis=1)).tolist()) == {r for r, n in seen.items() if n >= spec.least_docs}
+    assert (net.trained, net.tested) == (len(learned), len(outside) - len(learned))
+    # Languages are told by the words of all documents outside the fold, repeated rows too.
+    assert net.languages.names == sorted(LANGS)
+    counted = np.zeros((toxicity.LANGUAGE_ROWS, len(LANGS)))
+    for _, t, lang in [*outside, *(r for r in rows[5:7] if r in outside)]:
+        for row in toxicity.words(t, spec.buckets)[0].ravel():
+            counted[row % (toxicity.LANGUAGE_ROWS - 1) + 1, sorted(LANGS).index(lang)] += 1
+    expected = np.log((counted + 0.5) / (counted + 0.5).sum(axis=0))
+    assert np.allclose(net.languages.logp[1:], expected[1:], atol=1e-5) and not net.languages.logp[0].any()
+    told = net.judged(net._runs([t for _, t, _ in rows]), len(rows))[1]
+    assert np.mean([a == b for a, (*_, b) in zip(told, rows, strict=True)]) > 0.99
+    assert net.judged(net._runs([None, " "]), 2)[1] == [None, None]
+    # The thresholds are those of all texts apart from these, to a step.
+    truth, tests = dict(labels), [(i, t) for i, t, _ in outside if hashes[i] % 4 == 0]
+    z, toxic = np.round(net.logits([t for _, t in tests]) / toxicity.STEP) * toxicity.STEP, np.array([truth[i] for i, _ in tests], bool)
+    rate = np.mean([truth[i] for i, *_ in outside])
+    assert net.cut == pytest.approx(toxicity.best_cut(z, toxic, rate), abs=2 * toxicity.STEP)
+    again = toxicity.fit(df.repartition(7), table.repartition(5), spec)
+    assert np.array_equal(again.table, net.table) and np.array_equal(again.out, net.out) and again.bias == net.bias
+    assert (again.cut, again.cuts) == (net.cut, net.cuts)
+
+
+def test_toxicity_of_long_texts(learned, monkeypatch):
+    """Texts beyond the words that are held at once: the same features, peaks and places."""
+    _, _, net = learned
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(LANGS["aa"]) + rng.choice(LANGS["bb"]) for _ in range(n)) for n in (0, 1, 5, 90, 400, 2)]
+    rows = [toxicity.rows_of(t, net.spec) for t in texts]
+    empty = np.zeros((3, toxicity.ROWS), np.int32)
+    ids = np.concatenate([part for own in rows for part in (own, empty)])
+    start = np.cumsum([0, *(len(own) + 3 for own in rows[:-1])])
+    stop = start + [max(1, len(own)) for own in rows]
+    whole, places = toxicity.peaks(net, ids, start, stop)
+    pooled = net.pooled(texts)
+    assert np.allclose(np.maximum(whole, 0), pooled, atol=1e-4)
+    monkeypatch.setattr(toxicity, "CHUNK", 16)
+    best, at = toxicity.peaks(net, ids, start, stop)
+    assert np.allclose(best, whole, atol=1e-5) and np.mean(at == places) > 0.99
+    assert np.allclose(net.pooled(texts), pooled, atol=1e-4)
+    monkeypatch.setattr(toxicity, "SEGMENT", 50)
+    assert all(np.array_equal(toxicity.rows_of(t, net.spec), own) for t, own in zip(texts, rows, strict=True))
+
+
+def test_cut_between_equal_and_counted_logits():
+    z, toxic = np.array([0.0, 1.0, 1.0, 2.0]), np.array([False, False, True, True])
+    assert toxicity.best_cut(z, toxic, 0.5) == pytest.approx(1.5) or toxicity.best_cut(z, toxic, 0.5) == pytest.approx(0.5)
+    assert toxicity.best_cut(z, toxic, 0.5, np.array([1.0, 9.0, 1.0, 9.0])) == pytest.approx(1.5)
+    assert toxicity.best_cut(z, toxic, 0.5, np.array([9.0, 1.0, 9.0, 1.0])) == pytest.approx(0.5)
