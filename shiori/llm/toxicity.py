@@ -38,6 +38,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -290,12 +291,14 @@ class State:
     def rows(self, at: np.ndarray) -> np.ndarray:
         return np.concatenate((self.net.table[at], self.squares["table"][at, None]), axis=1)
 
-    def put(self, place: np.ndarray, values: np.ndarray) -> None:
-        """Sets rows of the table, and those of :meth:`flat` at places from ``buckets`` on, which are all there."""
+    def put(self, place: np.ndarray, values: list[np.ndarray]) -> None:
+        """Sets rows of the table, and those of :meth:`flat` at places from ``buckets`` on, which are all there; by columns."""
         inside = place < self.net.spec.buckets
-        at, own = place[inside], values[inside]
-        self.net.table[at], self.squares["table"][at] = own[:, :-1], own[:, -1]
-        rest = values[~inside][np.argsort(place[~inside])].ravel()
+        at, order = place[inside], np.argsort(place[~inside])
+        for i, own in enumerate(values[:-1]):
+            self.net.table[at, i] = own[inside]
+        self.squares["table"][at] = values[-1][inside]
+        rest = np.stack([own[~inside][order] for own in values], axis=1).ravel()
         for x in self.dense():
             x[...] = rest[: x.size].reshape(x.shape)
             rest = rest[x.size :]
@@ -474,9 +477,9 @@ def trained(shards: DataFrame, one: bool, rows: int, spec: ToxicSpec) -> Net:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["place", "n"])
 
-    counted = shards.mapInArrow(using, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    counted = shards.mapInArrow(using, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros(spec.buckets, np.int64)
-    seen[counted["place"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    seen[counted["place"].to_numpy()] = counted["n"].to_numpy()
     state = begin(seen, spec)
     rounds = 1 if one else spec.rounds
     epochs = -(-passes(rows, spec) // rounds)
@@ -495,8 +498,9 @@ def trained(shards: DataFrame, one: bool, rows: int, spec: ToxicSpec) -> Net:
                 yield pa.RecordBatch.from_arrays(columns, names=["place", "n", *names])
 
         schema = ", ".join(f"{c} long" for c in ("place", "n", *names))
-        merged = shards.mapInArrow(run, schema).groupBy("place").agg(*((F.sum(c) / F.sum("n") * UNIT).alias(c) for c in names)).toPandas()
-        state.put(merged["place"].to_numpy(np.int64), merged[names].to_numpy(np.float64))
+        merged = shards.mapInArrow(run, schema).groupBy("place").agg(*((F.sum(c) / F.sum("n") * UNIT).cast("float").alias(c) for c in names)).toArrow()
+        state.put(merged["place"].to_numpy(), [merged[c].to_numpy() for c in names])
+        del merged
         shared.destroy()
     return state.net
 
@@ -526,12 +530,12 @@ def tell_languages(docs: DataFrame, spec: ToxicSpec, id_col: str, text_col: str,
                     yield from flush()
         yield from flush()
 
-    counted = rows.select("lang", "text").mapInArrow(count, "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).toPandas()
-    if counted.empty:
+    counted = rows.select("lang", "text").mapInArrow(count, "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()
+    if not counted.num_rows:
         return None
-    names = sorted(counted["lang"].unique())
+    names = sorted(counted["lang"].unique().to_pylist())
     n = np.zeros((LANGUAGE_ROWS, len(names)))
-    n[counted["place"].to_numpy(np.int64), np.searchsorted(names, counted["lang"].to_numpy(str))] = counted["n"]
+    n[counted["place"].to_numpy(), pc.index_in(counted["lang"], pa.array(names, pa.string())).to_numpy()] = counted["n"].to_numpy()
     logp = np.log((n + 0.5) / (n + 0.5).sum(axis=0))
     logp[0] = 0  # the empty row
     return Languages(names, logp.astype(np.float32))
